@@ -1,0 +1,39 @@
+"""Join helpers with an explicit size check before any broadcast.
+
+Spark already broadcasts a scan whose file size is under
+``spark.sql.autoBroadcastJoinThreshold`` and AQE converts joins from runtime
+statistics.  A derived side (for example the result of a per-user top-k)
+has no static size estimate, so Spark would shuffle the large side to join a
+few rows.  :func:`restrict_to` broadcasts such a side only when a proven row
+bound is under a limit, and otherwise falls back to an ordinary join.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows of a key-only side that are safe to ship to every executor (a few tens of MB).
+BROADCAST_ROW_LIMIT = 2_000_000
+
+
+def maybe_broadcast(df: DataFrame, row_bound: int | None, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Hint a broadcast only when ``row_bound`` (an upper bound on ``df``'s rows) is known and small."""
+    if row_bound is not None and row_bound <= limit:
+        return F.broadcast(df)
+    return df
+
+
+def restrict_to(big: DataFrame, keys: DataFrame, on: str | Sequence[str], row_bound: int | None) -> DataFrame:
+    """Rows of ``big`` whose key occurs in ``keys`` (a semi join, broadcast when provably small)."""
+    return big.join(maybe_broadcast(keys, row_bound), on, "left_semi")
+
+
+def user_bound(users: DataFrame, per_user: int) -> int:
+    """Upper bound for a per-user top-k result: ``per_user`` rows for every user.
+
+    One count of the user table (a footer-statistics scan for Parquet).
+    """
+    return users.count() * per_user
