@@ -219,3 +219,114 @@ q("user_count", "SELECT COUNT(*) AS user_count FROM w_user")
 q("gender_labels", """
 SELECT u_id, username, COALESCE(NULLIF(gender, ''), 'not set') AS gender_label FROM w_user
 """)
+
+
+# ------------------------------------------------------------------ catalog
+def _catalog(where: str = "") -> str:
+    return f"""
+, catalog AS (
+    SELECT I.item_id, I.c_id, C.u_id, I.item_name, I.size, I.last_worn, C.c_name,
+           string_agg(DISTINCT T.tag, ',' ORDER BY T.tag) AS tag,
+           string_agg(DISTINCT K.category, ',' ORDER BY K.category) AS category,
+           string_agg(DISTINCT L.color, ',' ORDER BY L.color) AS color,
+           string_agg(DISTINCT M.image_url, ',' ORDER BY M.image_url) AS image_url
+    FROM w_item I
+    JOIN w_closet C ON I.c_id = C.c_id
+    LEFT JOIN w_tag T ON I.item_id = T.item_id
+    LEFT JOIN w_cat K ON I.item_id = K.item_id
+    LEFT JOIN w_color L ON I.item_id = L.item_id
+    LEFT JOIN w_img M ON I.item_id = M.item_id
+    {where}
+    GROUP BY I.item_id, I.c_id, C.u_id, I.item_name, I.size, I.last_worn, C.c_name
+)
+"""
+
+
+def _kw(p: str) -> str:
+    like = "'%" + p.lower() + "%'"
+    return (
+        f"(lower(I.item_name) LIKE {like} OR lower(COALESCE(T.tag, '')) LIKE {like} "
+        f"OR lower(COALESCE(K.category, '')) LIKE {like} OR lower(COALESCE(L.color, '')) LIKE {like} "
+        f"OR lower(COALESCE(I.size, '')) LIKE {like})"
+    )
+
+
+CAT_COLS = "item_id, c_id, u_id, item_name, size, last_worn, c_name, tag, category, color, image_url"
+SEARCH_ORDER_SQL = ("CASE WHEN last_worn IS NULL OR last_worn = '' THEN 0 ELSE 1 END, "
+                    "last_worn ASC NULLS FIRST, item_name ASC, item_id ASC")
+
+q("closets", "SELECT c_id, c_name, u_id FROM w_closet")
+q("item_catalog", _catalog() + f"SELECT {CAT_COLS} FROM catalog")
+q("items_by_closet", _catalog("WHERE I.c_id = 3") + f"SELECT {CAT_COLS} FROM catalog")
+q("search_keyword", _catalog("WHERE " + _kw("re")) + f"SELECT {CAT_COLS} FROM catalog")
+q("search_wildcard", _catalog("WHERE " + _kw("r_d")) + f"SELECT {CAT_COLS} FROM catalog")
+q("search_category_keyword", _catalog("WHERE " + _kw("econ")) + f"SELECT {CAT_COLS} FROM catalog")
+q("search_tag", _catalog("WHERE T.tag = 'hot'") + f"SELECT {CAT_COLS} FROM catalog")
+q("search_combined", _catalog("WHERE C.u_id = 1 AND " + _kw("ge") + " AND K.category = 'LARGE' AND L.color = 'Blue'")
+  + f"SELECT {CAT_COLS} FROM catalog")
+q("search_unworn_first", _catalog() + f"""
+SELECT {CAT_COLS}, position FROM (
+    SELECT *, row_number() OVER (PARTITION BY u_id ORDER BY {SEARCH_ORDER_SQL}) AS position FROM catalog) x
+WHERE position <= 5
+""")
+
+_REQ = """
+, req AS (SELECT N.outfit_id, O.u_id, N.item_id FROM w_inc N JOIN w_outfit O ON N.outfit_id = O.outfit_id)
+"""
+q("owned_items", _REQ + """
+SELECT outfit_id, u_id, item_id FROM req
+WHERE EXISTS (SELECT 1 FROM w_item I JOIN w_closet C ON I.c_id = C.c_id
+              WHERE C.u_id = req.u_id AND I.item_id = req.item_id)
+""")
+q("ownership_violations", _REQ + """
+SELECT outfit_id, u_id, item_id FROM req
+WHERE NOT EXISTS (SELECT 1 FROM w_item I JOIN w_closet C ON I.c_id = C.c_id
+                  WHERE C.u_id = req.u_id AND I.item_id = req.item_id)
+""")
+q("item_outfit_refs", """
+SELECT N.item_id, O.u_id, COUNT(DISTINCT N.outfit_id) AS outfit_count
+FROM w_inc N JOIN w_outfit O ON N.outfit_id = O.outfit_id
+GROUP BY N.item_id, O.u_id
+""")
+q("closet_outfit_refs", """
+SELECT C.c_id,
+       (SELECT COUNT(DISTINCT N.outfit_id) FROM w_item I JOIN w_inc N ON I.item_id = N.item_id
+        WHERE I.c_id = C.c_id) AS outfit_count
+FROM w_closet C
+""")
+q("facet_options", """
+SELECT DISTINCT C.u_id, 'categories' AS facet, K.category AS value
+FROM w_cat K JOIN w_item I ON K.item_id = I.item_id JOIN w_closet C ON I.c_id = C.c_id WHERE K.category <> ''
+UNION ALL
+SELECT DISTINCT C.u_id, 'colors', L.color
+FROM w_color L JOIN w_item I ON L.item_id = I.item_id JOIN w_closet C ON I.c_id = C.c_id WHERE L.color <> ''
+UNION ALL
+SELECT DISTINCT C.u_id, 'tags', T.tag
+FROM w_tag T JOIN w_item I ON T.item_id = I.item_id JOIN w_closet C ON I.c_id = C.c_id WHERE T.tag <> ''
+""")
+
+
+def _first(c: str) -> str:
+    """C2 in DuckDB: first trimmed non-blank comma part, else ''."""
+    return f"COALESCE(list_filter(list_transform(string_split(COALESCE({c}, ''), ','), lambda x: trim(x)), lambda x: x <> '')[1], '')"
+
+
+_HAY = "lower(concat_ws(' ', COALESCE(item_name, ''), COALESCE(category, ''), COALESCE(color, ''), COALESCE(tag, '')))"
+q("picker_filter", _catalog() + f"""
+SELECT {CAT_COLS} FROM catalog WHERE {_first('category')} = 'SMALL' AND contains({_HAY}, 'old')
+""")
+q("picker_filter_closet", _catalog() + f"""
+SELECT {CAT_COLS} FROM catalog WHERE c_id = 7 AND contains({_HAY}, 'ge')
+""")
+q("item_labels", _catalog() + f"""
+SELECT item_id, u_id, item_name,
+       COALESCE(NULLIF({_first('category')}, ''), NULLIF({_first('tag')}, ''), 'Item') AS type_label,
+       {_first('image_url')} AS image,
+       COALESCE(NULLIF({_first('color')}, ''), 'No color') AS color_label,
+       COALESCE(NULLIF(size, ''), 'No size') AS size_label,
+       COALESCE(NULLIF(last_worn, ''), 'Not recorded') AS last_worn_label
+FROM catalog
+""")
+q("primary_category_facet", _catalog() + f"""
+SELECT DISTINCT u_id, {_first('category')} AS category FROM catalog WHERE {_first('category')} <> ''
+""")

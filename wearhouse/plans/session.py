@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 # Settings for sessions this package creates (tests, bench, examples).
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

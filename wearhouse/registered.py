@@ -38,3 +38,25 @@ register("admin_users", reports.admin_users)
 register("accounts", reports.accounts)
 register("user_count", reports.user_count)
 register("gender_labels", reports.gender_labels)
+
+# Step 3-4: catalog, lookups, search
+from wearhouse.operators import catalog  # noqa: E402
+
+register("closets", catalog.closets)
+register("item_catalog", catalog.item_catalog)
+register("items_by_closet", lambda t: catalog.items_by_closet(t, 3))
+register("search_keyword", lambda t: catalog.search(t, q="re"))
+register("search_wildcard", lambda t: catalog.search(t, q="r_d"))
+register("search_category_keyword", lambda t: catalog.search(t, q="econ"))
+register("search_tag", lambda t: catalog.search(t, tag="hot"))
+register("search_combined", lambda t: catalog.search(t, q="ge", category="LARGE", color="Blue", user_id=1))
+register("search_unworn_first", lambda t: catalog.search_top(t, 5))
+register("owned_items", lambda t: catalog.owned_requests(t, catalog.outfit_requests(t)))
+register("ownership_violations", lambda t: catalog.ownership_violations(t, catalog.outfit_requests(t)))
+register("item_outfit_refs", catalog.item_outfit_refs)
+register("closet_outfit_refs", catalog.closet_outfit_refs)
+register("facet_options", catalog.facet_options)
+register("picker_filter", lambda t: catalog.picker_filter(t, q="old", category="SMALL"))
+register("picker_filter_closet", lambda t: catalog.picker_filter(t, q="GE", closet_id=7))
+register("item_labels", catalog.item_labels)
+register("primary_category_facet", catalog.primary_category_facet)
