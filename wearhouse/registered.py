@@ -60,3 +60,17 @@ register("picker_filter", lambda t: catalog.picker_filter(t, q="old", category="
 register("picker_filter_closet", lambda t: catalog.picker_filter(t, q="GE", closet_id=7))
 register("item_labels", catalog.item_labels)
 register("primary_category_facet", catalog.primary_category_facet)
+
+# Step 5-6: outfits, history, outfit page
+from wearhouse.operators import history, outfits  # noqa: E402
+
+register("outfit_list", outfits.outfit_list)
+register("outfit_detail", outfits.outfit_detail)
+register("outfit_detail_nested", outfits.outfit_detail_nested)
+register("outfit_items", outfits.outfit_items)
+register("outfit_filter", lambda t: outfits.outfit_filter(t, q="Outfit 1", season="Summer", occasion="1-URGENT"))
+register("outfit_cards", outfits.outfit_cards)
+register("season_facet", outfits.season_facet)
+register("occasion_facet", outfits.occasion_facet)
+register("wear_history", history.wear_history)
+register("recent_records", history.recent_records)
