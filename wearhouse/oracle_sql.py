@@ -444,3 +444,87 @@ SELECT {H_COLS} FROM (
     SELECT *, row_number() OVER (PARTITION BY u_id ORDER BY datetime DESC, outfit_id ASC) AS rn FROM hist) x
 WHERE rn <= 5
 """)
+
+
+# ------------------------------------------------------------------ audits
+def _audit_sql() -> None:
+    from wearhouse.sources.schemas import CHECKS, FOREIGN_KEYS, FUNCTIONAL_DEPENDENCIES, NOT_NULL, PRIMARY_KEYS, UNIQUE_KEYS
+
+    keys = list(PRIMARY_KEYS.items()) + [(n, k) for n, ks in UNIQUE_KEYS.items() for k in ks]
+    parts = [
+        f"SELECT '{n}' AS table_name, '{','.join(k)}' AS key_columns, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS n_rows, "
+        f"COUNT(*) AS distinct_keys, COUNT(CASE WHEN n > 1 THEN 1 END) AS dup_keys "
+        f"FROM (SELECT COUNT(*) AS n FROM {n} GROUP BY {', '.join(k)}) x"
+        for n, k in keys
+    ]
+    q("audit_pk", "\n" + "\nUNION ALL\n".join(parts))
+    parts = [
+        f"SELECT '{n}' AS table_name, '{c}' AS column_name, CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_count FROM {n}"
+        for n, cols in NOT_NULL.items() for c in cols
+    ]
+    q("audit_not_null", "\n" + "\nUNION ALL\n".join(parts))
+    parts = [
+        f"SELECT '{n}' AS table_name, '{r}' AS check_name, CAST(COUNT(*) FILTER (WHERE NOT COALESCE({p}, TRUE)) AS BIGINT) AS violations FROM {n}"
+        for n, rules in CHECKS.items() for r, p in rules
+    ]
+    q("audit_check", "\n" + "\nUNION ALL\n".join(parts))
+    parts = [
+        f"SELECT '{c}' AS child_table, '{cc}' AS child_column, '{p}' AS parent_table, COUNT(*) AS orphan_rows "
+        f"FROM {c} WHERE {cc} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} WHERE {p}.{pc} = {c}.{cc})"
+        for c, cc, p, pc in FOREIGN_KEYS
+    ]
+    q("audit_fk", "\n" + "\nUNION ALL\n".join(parts))
+    parts = [
+        f"SELECT '{n}' AS table_name, '{','.join(x)}' AS determinant, '{','.join(y)}' AS dependent, "
+        f"COUNT(*) FILTER (WHERE k > 1) AS violations "
+        f"FROM (SELECT COUNT(*) AS k FROM (SELECT DISTINCT {', '.join(x + y)} FROM {n}) d GROUP BY {', '.join(x)}) g"
+        for n, x, y in FUNCTIONAL_DEPENDENCIES
+    ]
+    q("audit_fd", "\n" + "\nUNION ALL\n".join(parts))
+
+
+_audit_sql()
+
+q("audit_ownership", """
+SELECT N.outfit_id, N.item_id, O.u_id AS outfit_owner, C.u_id AS item_owner
+FROM w_inc N
+JOIN w_outfit O ON N.outfit_id = O.outfit_id
+LEFT JOIN w_item I ON N.item_id = I.item_id
+LEFT JOIN w_closet C ON I.c_id = C.c_id
+WHERE C.u_id IS NULL OR C.u_id <> O.u_id
+""")
+q("audit_season", """
+SELECT outfit_id, season FROM w_season WHERE season NOT IN ('Spring', 'Summer', 'Autumn', 'Winter')
+""")
+
+_USAGE_CTE = _USAGE.split("SELECT u_id, item_id, item_name, category, color, last_worn, wear_count FROM (")[0]
+q("report_rows", _USAGE_CTE + """
+, cats AS (
+    SELECT C.u_id, COALESCE(K.category, 'Uncategorized') AS category, COUNT(DISTINCT I.item_id) AS item_count
+    FROM w_item I JOIN w_closet C ON I.c_id = C.c_id LEFT JOIN w_cat K ON I.item_id = K.item_id
+    GROUP BY C.u_id, COALESCE(K.category, 'Uncategorized')
+)
+, lists AS (
+    SELECT u_id, 'categoryReport' AS report,
+           row_number() OVER (PARTITION BY u_id ORDER BY item_count DESC, category ASC) AS position,
+           category AS label, item_count AS value, 'items' AS suffix
+    FROM cats
+    UNION ALL
+    SELECT u_id, 'mostWornReport', rn, item_name, wear_count, 'wears' FROM (
+        SELECT *, row_number() OVER (PARTITION BY u_id
+            ORDER BY wear_count DESC, last_worn ASC NULLS FIRST, item_name ASC, item_id ASC) AS rn FROM usage) x
+    WHERE rn <= 5
+    UNION ALL
+    SELECT u_id, 'leastWornReport', rn, item_name, wear_count, 'wears' FROM (
+        SELECT *, row_number() OVER (PARTITION BY u_id
+            ORDER BY wear_count ASC, last_worn ASC NULLS FIRST, item_name ASC, item_id ASC) AS rn FROM usage) x
+    WHERE rn <= 5
+)
+SELECT u_id, report, CAST(position AS BIGINT) AS position, COALESCE(NULLIF(label, ''), 'Untitled') AS label,
+       CAST(COALESCE(value, 0) AS VARCHAR) || ' ' || suffix AS value_text
+FROM lists
+UNION ALL
+SELECT U.u_id, r.report, CAST(1 AS BIGINT), 'No data', '-'
+FROM w_user U CROSS JOIN (VALUES ('categoryReport'), ('mostWornReport'), ('leastWornReport')) r(report)
+WHERE NOT EXISTS (SELECT 1 FROM lists L WHERE L.u_id = U.u_id AND L.report = r.report)
+""")

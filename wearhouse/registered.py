@@ -74,3 +74,15 @@ register("season_facet", outfits.season_facet)
 register("occasion_facet", outfits.occasion_facet)
 register("wear_history", history.wear_history)
 register("recent_records", history.recent_records)
+
+# Step 7: audits
+from wearhouse.operators import audit  # noqa: E402
+
+register("audit_pk", audit.primary_keys)
+register("audit_not_null", audit.not_null)
+register("audit_check", audit.checks)
+register("audit_fk", audit.foreign_keys)
+register("audit_fd", audit.functional_dependencies)
+register("audit_ownership", audit.ownership)
+register("audit_season", audit.unknown_seasons)
+register("report_rows", reports.report_rows)
