@@ -528,3 +528,181 @@ SELECT U.u_id, r.report, CAST(1 AS BIGINT), 'No data', '-'
 FROM w_user U CROSS JOIN (VALUES ('categoryReport'), ('mostWornReport'), ('leastWornReport')) r(report)
 WHERE NOT EXISTS (SELECT 1 FROM lists L WHERE L.u_id = U.u_id AND L.report = r.report)
 """)
+
+
+# ------------------------------------------------------------------ change sets
+TABLES = ("w_user", "w_closet", "w_item", "w_tag", "w_cat", "w_color", "w_img",
+          "w_outfit", "w_oimg", "w_season", "w_occ", "w_inc", "w_rec")
+
+
+def _counts(filters: dict[str, str], extra: dict[str, str] | None = None, rejects: str = "SELECT 0") -> str:
+    """Table counts after a change: ``filters`` maps a table to a WHERE clause,
+    ``extra`` to a count of added rows."""
+    parts = []
+    for n in TABLES:
+        where = f" WHERE {filters[n]}" if n in filters else ""
+        add = f" + ({extra[n]})" if extra and n in extra else ""
+        parts.append(f"SELECT '{n}' AS table_name, CAST((SELECT COUNT(*) FROM {n}{where}){add} AS BIGINT) AS n_rows")
+    parts.append(f"SELECT 'rejects', CAST(({rejects}) AS BIGINT)")
+    return "\nUNION ALL\n".join(parts)
+
+
+q("touch_worn", """
+, d AS (SELECT N.item_id, MAX(substr(R.datetime, 1, 10)) AS w FROM w_inc N JOIN w_rec R ON N.outfit_id = R.outfit_id GROUP BY N.item_id)
+SELECT I.item_id,
+       CASE WHEN d.w IS NOT NULL AND (I.last_worn IS NULL OR I.last_worn = '' OR I.last_worn < d.w) THEN d.w
+            ELSE I.last_worn END AS last_worn
+FROM w_item I LEFT JOIN d ON I.item_id = d.item_id
+""")
+
+_ODEL = "outfit_id NOT IN (SELECT outfit_id FROM w_outfit WHERE outfit_id % 7 = 0 AND outfit_id % 14 <> 0)"
+q("cascade_delete_outfits", "\n" + _counts(
+    {n: _ODEL for n in ("w_outfit", "w_oimg", "w_season", "w_occ", "w_inc", "w_rec")},
+    rejects="SELECT COUNT(*) FROM w_outfit WHERE outfit_id % 14 = 0",
+))
+
+_IREQ = """
+, req AS (SELECT I.item_id AS change_id, C.u_id, I.item_id FROM w_item I JOIN w_closet C ON I.c_id = C.c_id WHERE I.item_id % 9 = 0)
+, refs AS (SELECT N.item_id, O.u_id, COUNT(DISTINCT N.outfit_id) AS n
+           FROM w_inc N JOIN w_outfit O ON N.outfit_id = O.outfit_id GROUP BY N.item_id, O.u_id)
+, outc AS (
+    SELECT req.change_id, req.item_id, req.u_id,
+           CASE WHEN COALESCE(refs.n, 0) > 0
+                THEN 'This item is used by ' || CAST(refs.n AS VARCHAR) || ' outfit(s). Update or delete those outfits first.'
+                ELSE 'deleted' END AS outcome
+    FROM req LEFT JOIN refs ON refs.item_id = req.item_id AND refs.u_id = req.u_id
+)
+"""
+q("delete_items_restricted", _IREQ + "SELECT change_id, item_id, u_id, outcome FROM outc")
+_IDEL = "item_id NOT IN (SELECT item_id FROM outc WHERE outcome = 'deleted')"
+q("delete_items_tables", _IREQ + _counts(
+    {n: _IDEL for n in ("w_item", "w_tag", "w_cat", "w_color", "w_img", "w_inc")},
+    rejects="SELECT COUNT(*) FROM outc WHERE outcome <> 'deleted'",
+))
+
+_LISTS = """
+, olists AS (
+    SELECT O.outfit_id, O.u_id, O.outfit_name, O.note, O.created_date,
+           (SELECT string_agg(DISTINCT S.season, ',' ORDER BY S.season) FROM w_season S WHERE S.outfit_id = O.outfit_id) AS season,
+           (SELECT string_agg(DISTINCT A.occasion, ',' ORDER BY A.occasion) FROM w_occ A WHERE A.outfit_id = O.outfit_id) AS occasion,
+           (SELECT string_agg(DISTINCT G.image_url, ',' ORDER BY G.image_url) FROM w_oimg G WHERE G.outfit_id = O.outfit_id) AS image_url,
+           COALESCE((SELECT list_sort(list_distinct(list(N.item_id))) FROM w_inc N WHERE N.outfit_id = O.outfit_id), []) AS ids
+    FROM w_outfit O
+)
+, owned AS (SELECT I.item_id, C.u_id FROM w_item I JOIN w_closet C ON I.c_id = C.c_id)
+"""
+_SEASON_ERR = ("list_bool_or(list_transform(list_filter(list_transform(string_split(COALESCE({c}, ''), ','), "
+               "lambda x: trim(x)), lambda x: x <> ''), lambda x: lower(x) NOT IN ('spring', 'summer', 'autumn', 'winter')))")
+_OUPD = _LISTS + f"""
+, chg AS (
+    SELECT outfit_id AS change_id, u_id, outfit_id, outfit_name, season, ids,
+           CASE WHEN len(ids) >= 2 THEN list_slice(ids, 1, len(ids) - 1) ELSE ids END AS new_ids
+    FROM olists WHERE outfit_id % 5 = 0
+)
+, unowned AS (
+    SELECT change_id, COUNT(*) AS n FROM (SELECT change_id, u_id, unnest(new_ids) AS item_id FROM chg) x
+    WHERE NOT EXISTS (SELECT 1 FROM owned WHERE owned.item_id = x.item_id AND owned.u_id = x.u_id)
+    GROUP BY change_id
+)
+, outc AS (
+    SELECT chg.change_id, chg.u_id, chg.outfit_id, chg.new_ids, chg.season,
+           CASE WHEN len(chg.new_ids) = 0 THEN 'Select at least one clothing item.'
+                WHEN COALESCE(unowned.n, 0) > 0 THEN 'One or more clothing items do not belong to this user.'
+                WHEN EXISTS (SELECT 1 FROM w_rec R WHERE R.outfit_id = chg.outfit_id) AND len(chg.ids) >= 2
+                     THEN 'Clothing items cannot be changed after an outfit has wear records. Create a new outfit instead.'
+                WHEN COALESCE({_SEASON_ERR.format(c='chg.season')}, FALSE)
+                     THEN 'Season must be one of: Spring, Summer, Autumn, Winter.'
+                ELSE 'updated' END AS outcome
+    FROM chg LEFT JOIN unowned ON chg.change_id = unowned.change_id
+)
+"""
+q("outfit_update_lock", _OUPD + "SELECT change_id, u_id, outcome FROM outc")
+q("outfit_update_tables", _OUPD + """
+, upd AS (SELECT * FROM outc WHERE outcome = 'updated')
+""" + _counts(
+    {"w_inc": "outfit_id NOT IN (SELECT outfit_id FROM upd)",
+     # re-saving cleans the image list, which drops blank image rows
+     "w_oimg": "NOT (image_url = '' AND outfit_id IN (SELECT outfit_id FROM upd))"},
+    {"w_inc": "SELECT COALESCE(SUM(len(new_ids)), 0) FROM upd"},
+    rejects="SELECT COUNT(*) FROM outc WHERE outcome <> 'updated'",
+))
+
+_WEARS = _LISTS + """
+, recs AS (SELECT R.outfit_id, R.datetime, R.rating, O.u_id,
+                  (R.outfit_id * 100000 + datediff('day', DATE '1970-01-01', CAST(substr(R.datetime, 1, 10) AS DATE))) * 4 AS base
+           FROM w_rec R JOIN w_outfit O ON R.outfit_id = O.outfit_id)
+, newo AS (
+    SELECT outfit_id * 100000 * 4 + 2 AS change_id, u_id, ids, occasion, image_url, outfit_id AS src,
+           CASE WHEN outfit_id % 3 = 0 THEN '9' ELSE '3' END AS rating_raw
+    FROM olists WHERE outfit_id % 6 = 2
+)
+, new_unowned AS (
+    SELECT change_id, COUNT(*) AS n FROM (SELECT change_id, u_id, unnest(ids) AS item_id FROM newo) x
+    WHERE NOT EXISTS (SELECT 1 FROM owned WHERE owned.item_id = x.item_id AND owned.u_id = x.u_id)
+    GROUP BY change_id
+)
+, new_outc AS (
+    SELECT newo.*,
+           CASE WHEN len(ids) = 0 THEN 'Select at least one clothing item for the outfit.'
+                WHEN COALESCE(new_unowned.n, 0) > 0 THEN 'One or more clothing items do not belong to this user.'
+                WHEN rating_raw = '9' THEN 'Rating must be between 1 and 5.'
+                ELSE 'recorded' END AS outcome
+    FROM newo LEFT JOIN new_unowned ON newo.change_id = new_unowned.change_id
+)
+, new_ids AS (
+    SELECT change_id, (SELECT MAX(outfit_id) FROM w_outfit) + row_number() OVER (ORDER BY change_id) AS new_outfit_id
+    FROM new_outc WHERE outcome = 'recorded'
+)
+, outc AS (
+    SELECT base AS change_id, outfit_id, 'recorded' AS outcome FROM recs WHERE outfit_id % 4 = 0
+    UNION ALL
+    SELECT base + 1, CAST(NULL AS BIGINT), 'This outfit already has a record for that date.' FROM recs WHERE outfit_id % 4 = 1
+    UNION ALL
+    SELECT n.change_id, i.new_outfit_id, n.outcome FROM new_outc n LEFT JOIN new_ids i ON n.change_id = i.change_id
+)
+"""
+q("record_wears", _WEARS + "SELECT change_id, outfit_id, outcome FROM outc")
+_VALS = "list_filter(list_transform(string_split(COALESCE({c}, ''), ','), lambda x: trim(x)), lambda x: x <> '')"
+q("record_wears_tables", _WEARS + """
+, made AS (SELECT * FROM new_outc WHERE outcome = 'recorded')
+""" + _counts(
+    {},
+    {
+        "w_outfit": "SELECT COUNT(*) FROM made",
+        "w_season": "SELECT COUNT(*) FROM made",
+        "w_occ": f"SELECT COALESCE(SUM(len(list_distinct({_VALS.format(c='occasion')}))), 0) FROM made",
+        "w_oimg": f"SELECT COALESCE(SUM(len(list_distinct({_VALS.format(c='image_url')}))), 0) FROM made",
+        "w_inc": "SELECT COALESCE(SUM(len(ids)), 0) FROM made",
+        "w_rec": "SELECT (SELECT COUNT(*) FROM made) + (SELECT COUNT(*) FROM recs WHERE outfit_id % 4 = 0)",
+    },
+    rejects="SELECT COUNT(*) FROM outc WHERE outcome <> 'recorded'",
+))
+
+q("clean_lists", _LISTS + """
+, raw AS (
+    SELECT R.outfit_id, R.datetime,
+           CASE R.outfit_id % 7 WHEN 0 THEN '0' WHEN 1 THEN ' 6' WHEN 2 THEN 'x' WHEN 3 THEN ''
+                ELSE CAST(R.rating AS VARCHAR) END AS rating_raw,
+           upper(COALESCE(L.season, '')) || ', ,' AS season_raw,
+           ' ' || array_to_string(L.ids, ',') || ', x,' || COALESCE(CAST(L.ids[1] AS VARCHAR), '') AS ids_raw
+    FROM w_rec R JOIN olists L ON R.outfit_id = L.outfit_id
+)
+, parsed AS (
+    SELECT *, trim(rating_raw) AS rt,
+           list_transform(list_filter(list_transform(string_split(season_raw, ','), lambda x: trim(x)), lambda x: x <> ''),
+               lambda x: CASE lower(x) WHEN 'spring' THEN 'Spring' WHEN 'summer' THEN 'Summer'
+                                       WHEN 'autumn' THEN 'Autumn' WHEN 'winter' THEN 'Winter' END) AS sl,
+           list_filter(list_transform(string_split(ids_raw, ','), lambda x: TRY_CAST(trim(x) AS BIGINT)),
+               lambda x: x IS NOT NULL) AS il
+    FROM raw
+)
+SELECT outfit_id, datetime,
+       CASE WHEN rt IS NULL OR rt = '' OR rt = '0' THEN NULL
+            WHEN TRY_CAST(rt AS INTEGER) BETWEEN 1 AND 5 THEN TRY_CAST(rt AS INTEGER) END AS rating,
+       NOT (rt IS NULL OR rt = '' OR rt = '0') AND COALESCE(TRY_CAST(rt AS INTEGER) NOT BETWEEN 1 AND 5, TRUE) AS rating_error,
+       CASE WHEN NOT list_bool_or(list_transform(sl, lambda x: x IS NULL)) OR len(sl) = 0
+            THEN array_to_string(list_filter(sl, lambda x, i: list_position(sl, x) = i), ',') END AS seasons,
+       COALESCE(list_bool_or(list_transform(sl, lambda x: x IS NULL)), FALSE) AS season_error,
+       array_to_string(list_filter(il, lambda x, i: list_position(il, x) = i), ',') AS item_ids
+FROM parsed
+""")

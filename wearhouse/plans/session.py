@@ -72,3 +72,14 @@ def _count():
 
 
 _counter = _count()
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+
+    Used for a validated change batch that several output tables read: it is
+    computed once, survives the loss of an executor, and keeps a stable
+    partitioning (needed for dense id assignment).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

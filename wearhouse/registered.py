@@ -86,3 +86,83 @@ register("audit_fd", audit.functional_dependencies)
 register("audit_ownership", audit.ownership)
 register("audit_season", audit.unknown_seasons)
 register("report_rows", reports.report_rows)
+
+# Step 8: change sets over batches derived from the tables
+from pyspark.sql import functions as F  # noqa: E402
+
+from wearhouse.functions.columns import item_id_list, rating_error, rating_value, season_error, season_values  # noqa: E402
+from wearhouse.operators import changes  # noqa: E402
+from wearhouse.sources import derive_changes as dc  # noqa: E402
+
+AS_OF = "2026-01-01 00:00:00"
+
+
+def _outcomes(batch, result, ok_text: str, keep=("change_id",), applied_cols=()):
+    out = batch.select(*keep).join(result.applied.select("change_id", *applied_cols), "change_id", "left")
+    return out.join(result.rejects, "change_id", "left").select(
+        *keep, *applied_cols, F.coalesce(F.col("reason"), F.lit(ok_text)).alias("outcome")
+    )
+
+
+def _with_rejects(result):
+    n = result.rejects.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("rejects").alias("table_name"), "n_rows")
+    return changes.table_counts(result.tables).unionByName(n)
+
+
+def q_touch_worn(t):
+    wears = t.w_inc.join(t.w_rec.select("outfit_id", "datetime"), "outfit_id").select("item_id", "datetime")
+    return changes.touch_worn(t, wears).w_item.select("item_id", "last_worn")
+
+
+def q_cascade_delete_outfits(t):
+    return _with_rejects(changes.delete_outfits(t, dc.outfit_deletes(t)))
+
+
+def q_delete_items_restricted(t):
+    batch = dc.item_deletes(t)
+    return _outcomes(batch, changes.delete_items(t, batch), "deleted", keep=("change_id", "item_id", "u_id"))
+
+
+def q_delete_items_tables(t):
+    return _with_rejects(changes.delete_items(t, dc.item_deletes(t)))
+
+
+def q_outfit_update_lock(t):
+    batch = dc.outfit_updates(t)
+    return _outcomes(batch, changes.update_outfits(t, batch), "updated", keep=("change_id", "u_id"))
+
+
+def q_outfit_update_tables(t):
+    return _with_rejects(changes.update_outfits(t, dc.outfit_updates(t)))
+
+
+def q_record_wears(t):
+    batch = dc.wear_changes(t)
+    return _outcomes(batch, changes.record_wears(t, batch, as_of=AS_OF), "recorded", applied_cols=("outfit_id",))
+
+
+def q_record_wears_tables(t):
+    return _with_rejects(changes.record_wears(t, dc.wear_changes(t), as_of=AS_OF))
+
+
+def q_clean_lists(t):
+    raw = dc.raw_payloads(t)
+    return raw.select(
+        "outfit_id", "datetime",
+        rating_value("rating_raw").alias("rating"),
+        rating_error("rating_raw").alias("rating_error"),
+        F.when(~season_error("season_raw"), F.array_join(season_values("season_raw"), ",")).alias("seasons"),
+        season_error("season_raw").alias("season_error"),
+        F.array_join(F.transform(item_id_list("ids_raw"), lambda x: x.cast("string")), ",").alias("item_ids"),
+    )
+
+
+register("touch_worn", q_touch_worn)
+register("cascade_delete_outfits", q_cascade_delete_outfits)
+register("delete_items_restricted", q_delete_items_restricted)
+register("delete_items_tables", q_delete_items_tables)
+register("outfit_update_lock", q_outfit_update_lock)
+register("outfit_update_tables", q_outfit_update_tables)
+register("record_wears", q_record_wears)
+register("record_wears_tables", q_record_wears_tables)
+register("clean_lists", q_clean_lists)
