@@ -706,3 +706,6 @@ SELECT outfit_id, datetime,
        array_to_string(list_filter(il, lambda x, i: list_position(il, x) = i), ',') AS item_ids
 FROM parsed
 """)
+
+# The stream applies the same changes in two micro-batches; the final counts equal the one-batch job's.
+q("stream_wear_ingest", _Q["record_wears_tables"])

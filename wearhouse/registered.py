@@ -166,3 +166,29 @@ register("outfit_update_tables", q_outfit_update_tables)
 register("record_wears", q_record_wears)
 register("record_wears_tables", q_record_wears_tables)
 register("clean_lists", q_clean_lists)
+
+# Step 9: stream ingest (same batch job per micro-batch)
+from wearhouse.plans.session import scratch_path  # noqa: E402
+from wearhouse.sources.tables import load_tables, write_tables  # noqa: E402
+from wearhouse.streaming.ingest import start_wear_ingest  # noqa: E402
+
+
+def q_stream_wear_ingest(t):
+    """Publish the tables as snapshot 0, stream the derived wear changes in two
+    files (one micro-batch each) and return the final snapshot's table counts."""
+    spark = t.spark
+    root = scratch_path(spark, "wear-ingest")
+    write_tables(t, f"{root}/tables", version=0)
+    src = f"{root}/incoming"
+    batch = dc.wear_changes(t)
+    batch.repartition(2, "change_id").write.json(src)
+    query = start_wear_ingest(spark, src, f"{root}/tables", f"{root}/_stream", as_of=AS_OF, max_files_per_trigger=1)
+    query.awaitTermination()
+    final = load_tables(spark, f"{root}/tables")
+    rejects = spark.read.parquet(f"{root}/tables/_rejects").agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit("rejects").alias("table_name"), "n_rows"
+    )
+    return changes.table_counts(final).unionByName(rejects)
+
+
+register("stream_wear_ingest", q_stream_wear_ingest)

@@ -96,11 +96,11 @@ _CLUSTER = {
 }
 
 
-def write_tables(tables: Tables, root: str, version: int | None = None, extra: dict | None = None) -> int:
+def write_tables(tables: Tables, root: str, version: int | None = None, batch_id: int | None = None) -> int:
     """Publish ``tables`` as snapshot ``version`` (default: latest + 1) and commit it.
 
-    ``extra`` adds columns to the commit marker (the stream ingest stores its
-    last ``batch_id`` there).  Returns the version written.
+    The commit marker is written last; it records the stream ``batch_id``
+    that produced the snapshot (NULL for batch jobs).  Returns the version.
     """
     spark = tables.spark
     if version is None:
@@ -110,14 +110,21 @@ def write_tables(tables: Tables, root: str, version: int | None = None, extra: d
     for name, df in tables.conform().as_dict().items():
         key = _CLUSTER[name]
         df.sortWithinPartitions(key).write.mode("overwrite").parquet(f"{base}/{name}")
-    marker: dict[str, object] = {"committed": True}
-    marker.update(extra or {})
-    spark.createDataFrame([tuple(marker.values())], list(marker)).write.mode("overwrite").parquet(
+    spark.createDataFrame([(True, batch_id)], "committed boolean, batch_id bigint").write.mode("overwrite").parquet(
         f"{root}/_commits/v={version}"
     )
     return version
 
 
+def last_batch_id(spark: SparkSession, root: str) -> int | None:
+    """The highest stream batch id already published under ``root``."""
+    try:
+        row = spark.read.parquet(f"{root}/_commits").agg(F.max("batch_id").alias("b")).first()
+    except Exception:  # no commit yet
+        return None
+    return None if row is None or row["b"] is None else int(row["b"])
+
+
 def read_commit(spark: SparkSession, root: str, version: int) -> dict:
     rows = spark.read.parquet(f"{root}/_commits").where(F.col("v") == version).limit(1).collect()
     return rows[0].asDict() if rows else {}
