@@ -23,13 +23,15 @@ def col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Python's str.strip() removes every Unicode whitespace; Spark's trim() only spaces.
-_WS = r"(?U)^\s+|\s+$"
+# Python's str.strip() removes every character for which str.isspace() holds;
+# Spark's trim() removes only spaces.  The set is built from that rule (all
+# such characters lie below U+3001) and handed to btrim, which is code-generated.
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 
 def trim9(c: ColumnOrName) -> Column:
     """Strip leading and trailing whitespace like Python ``str.strip()``."""
-    return F.regexp_replace(col(c), _WS, "")
+    return F.btrim(col(c), F.lit(PY_WHITESPACE))
 
 
 def concat_distinct(c: ColumnOrName) -> Column:
@@ -52,6 +54,15 @@ def join_sorted(arr: ColumnOrName) -> Column:
     )
 
 
+def to_integer(text: Column, dtype: str = "bigint") -> Column:
+    """Integer text (optional sign, ASCII digits) -> number, anything else -> NULL.
+
+    The pattern test runs first so that malformed text never reaches the cast:
+    a failing cast raises and catches an exception per value, which is slow.
+    """
+    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast(dtype))
+
+
 def split_values(c: ColumnOrName) -> Column:
     """Split comma text, trim each part, drop blanks; duplicates are kept."""
     parts = F.split(F.coalesce(col(c).cast("string"), F.lit("")), ",")
@@ -77,7 +88,7 @@ def as_list_array(arr: ColumnOrName) -> Column:
 def item_id_list(c: ColumnOrName) -> Column:
     """comma text -> distinct bigint ids, unparsable parts skipped, first-seen order."""
     parts = F.split(F.coalesce(col(c).cast("string"), F.lit("")), ",")
-    ids = F.transform(parts, lambda x: trim9(x).try_cast("bigint"))
+    ids = F.transform(parts, lambda x: to_integer(trim9(x)))
     return F.array_distinct(F.filter(ids, lambda x: x.isNotNull()))
 
 
@@ -87,7 +98,7 @@ def rating_value(c: ColumnOrName) -> Column:
     Pair with :func:`rating_error` to reject the invalid ones.
     """
     text = trim9(col(c).cast("string"))
-    as_int = text.try_cast("int")
+    as_int = to_integer(text, "int")
     return F.when(text.isNull() | (text == "") | (text == "0"), F.lit(None).cast("int")).when(
         as_int.between(RATING_MIN, RATING_MAX), as_int
     )
@@ -145,12 +156,12 @@ def today_text(as_of: str | None = None) -> Column:
 def optional_id(c: ColumnOrName) -> Column:
     """blank -> NULL, otherwise the bigint value (NULL when unparsable)."""
     t = trim9(col(c).cast("string"))
-    return F.when(F.nullif(t, F.lit("")).isNotNull(), t.try_cast("bigint"))
+    return F.when(F.nullif(t, F.lit("")).isNotNull(), to_integer(t))
 
 
 def optional_id_error(c: ColumnOrName) -> Column:
     t = trim9(col(c).cast("string"))
-    return F.nullif(t, F.lit("")).isNotNull() & t.try_cast("bigint").isNull()
+    return F.nullif(t, F.lit("")).isNotNull() & to_integer(t).isNull()
 
 
 def image_allowed(c: ColumnOrName) -> Column:

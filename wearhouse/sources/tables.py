@@ -96,11 +96,15 @@ _CLUSTER = {
 }
 
 
-def write_tables(tables: Tables, root: str, version: int | None = None, batch_id: int | None = None) -> int:
+def write_tables(
+    tables: Tables, root: str, version: int | None = None, batch_id: int | None = None, row_group_bytes: int | None = None
+) -> int:
     """Publish ``tables`` as snapshot ``version`` (default: latest + 1) and commit it.
 
     The commit marker is written last; it records the stream ``batch_id``
-    that produced the snapshot (NULL for batch jobs).  Returns the version.
+    that produced the snapshot (NULL for batch jobs).  ``row_group_bytes``
+    overrides the Parquet row-group size (small data sets need small row
+    groups to be split across tasks).  Returns the version.
     """
     spark = tables.spark
     if version is None:
@@ -109,7 +113,10 @@ def write_tables(tables: Tables, root: str, version: int | None = None, batch_id
     base = f"{root}/v={version}"
     for name, df in tables.conform().as_dict().items():
         key = _CLUSTER[name]
-        df.sortWithinPartitions(key).write.mode("overwrite").parquet(f"{base}/{name}")
+        w = df.sortWithinPartitions(key).write.mode("overwrite")
+        if row_group_bytes:
+            w = w.option("parquet.block.size", str(row_group_bytes))
+        w.parquet(f"{base}/{name}")
     spark.createDataFrame([(True, batch_id)], "committed boolean, batch_id bigint").write.mode("overwrite").parquet(
         f"{root}/_commits/v={version}"
     )
