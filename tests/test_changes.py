@@ -146,3 +146,23 @@ def test_stream_batch_replay_is_noop(spark, golden):
     t = load_tables(spark, root)
     assert t.w_outfit.count() == 3 and t.w_rec.count() == 3
     assert t.w_rec.where(F.col("datetime") == "2026-07-01 00:00:00").count() == 1
+
+
+def test_publish_writes_only_changes(spark, golden):
+    from wearhouse.operators.changes import publish
+    from wearhouse.sources.tables import compact_tables, latest_version, manifest
+
+    root = tempfile.mkdtemp(prefix="wearhouse-test-")
+    write_tables(golden, root, version=0)
+    base = load_tables(spark, root)
+    batch = wear_batch(spark, [dict(change_id=1, u_id=1, outfit_id="2", datetime="2026-06-09")])
+    v = publish(changes.record_wears(base, batch), base, root, 0)
+    parts = manifest(spark, root, v)
+    assert parts["w_user"] == ["v=0/w_user"] and parts["w_tag"] == ["v=0/w_tag"]  # untouched: not rewritten
+    assert parts["w_rec"] == ["v=0/w_rec", f"v={v}/w_rec"]  # insert-only: one new part
+    assert parts["w_item"] == [f"v={v}/w_item"]  # last_worn updated: rewritten
+    t = load_tables(spark, root)
+    assert t.w_rec.count() == 3 and t.w_item.where("item_id = 5").first().last_worn == "2026-06-09"
+    v2 = compact_tables(spark, root, max_parts=1)
+    assert v2 == latest_version(spark, root) and manifest(spark, root, v2)["w_rec"] == [f"v={v2}/w_rec"]
+    assert load_tables(spark, root).w_rec.count() == 3

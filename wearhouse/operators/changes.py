@@ -16,7 +16,7 @@ Every change is all-or-nothing (a rejected wear record creates no outfit).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,9 +74,25 @@ def MSG_ITEM_IN_USE(n: Column) -> Column:
 
 @dataclass(frozen=True)
 class ChangeResult:
+    """New tables, applied and rejected changes.  ``appends`` holds, for tables
+    that only gained rows, just those rows (so publishing can add one part
+    instead of rewriting the table)."""
+
     tables: Tables
     applied: DataFrame
     rejects: DataFrame
+    appends: dict[str, DataFrame] = field(default_factory=dict)
+
+
+def publish(result: ChangeResult, base: Tables, root: str, base_version: int, **kw) -> int:
+    """Publish ``result`` on top of snapshot ``base_version`` (which ``base`` was
+    loaded from): untouched tables keep their files, insert-only tables get one
+    new part, the rest are rewritten."""
+    from wearhouse.sources.tables import write_tables
+
+    new, old = result.tables.as_dict(), base.as_dict()
+    unchanged = [n for n in new if new[n] is old[n]]
+    return write_tables(result.tables, root, base_version=base_version, unchanged=unchanged, appends=result.appends, **kw)
 
 
 def first_failure(*checks: tuple[Column, Column | str]) -> Column:
@@ -231,9 +247,10 @@ def add_users(t: Tables, changes: DataFrame) -> ChangeResult:
     ok, bad = _split(materialize(v))
     ok = assign_ids(ok, "u_id", ["change_id"], high_water(t.w_user, "u_id") + 1)
     ok = assign_ids(ok, "c_id", ["change_id"], high_water(t.w_closet, "c_id") + 1)
-    users = t.w_user.unionByName(ok.select("u_id", "username", F.coalesce("gender", F.lit("")).alias("gender"), F.lit("user").alias("role")))
-    closets = t.w_closet.unionByName(ok.select("c_id", F.concat("username", F.lit("'s Closet")).alias("c_name"), "u_id"))
-    return ChangeResult(t.with_tables(w_user=users, w_closet=closets), ok, bad)
+    new_users = ok.select("u_id", "username", F.coalesce("gender", F.lit("")).alias("gender"), F.lit("user").alias("role"))
+    new_closets = ok.select("c_id", F.concat("username", F.lit("'s Closet")).alias("c_name"), "u_id")
+    tables = t.with_tables(w_user=t.w_user.unionByName(new_users), w_closet=t.w_closet.unionByName(new_closets))
+    return ChangeResult(tables, ok, bad, {"w_user": new_users, "w_closet": new_closets})
 
 
 def add_closets(t: Tables, changes: DataFrame) -> ChangeResult:
@@ -244,7 +261,8 @@ def add_closets(t: Tables, changes: DataFrame) -> ChangeResult:
     v = c.withColumn("reason", first_failure((F.col("_user").isNull(), MSG_USER_NOT_FOUND), (F.col("c_name").isNull(), MSG_CLOSET_NAME))).drop("_user")
     ok, bad = _split(materialize(v))
     ok = assign_ids(ok, "c_id", ["change_id"], high_water(t.w_closet, "c_id") + 1)
-    return ChangeResult(t.with_tables(w_closet=t.w_closet.unionByName(ok.select("c_id", "c_name", "u_id"))), ok, bad)
+    new = ok.select("c_id", "c_name", "u_id")
+    return ChangeResult(t.with_tables(w_closet=t.w_closet.unionByName(new)), ok, bad, {"w_closet": new})
 
 
 def _closet_owner(t: Tables, changes: DataFrame) -> DataFrame:
@@ -301,14 +319,13 @@ def add_items(t: Tables, changes: DataFrame) -> ChangeResult:
     v = c.withColumn("reason", first_failure((F.col("item_name").isNull(), MSG_ITEM_NAME), (~F.col("_closet_ok"), MSG_CLOSET_NOT_FOUND))).drop("_closet_ok")
     ok, bad = _split(materialize(v))
     ok = assign_ids(ok, "item_id", ["change_id"], high_water(t.w_item, "item_id") + 1)
-    items = t.w_item.unionByName(ok.select(
+    delta = {"w_item": ok.select(
         "item_id", "c_id", "item_name", F.coalesce("size", F.lit("")).alias("size"), F.coalesce("last_worn", F.lit("")).alias("last_worn")
-    ))
-    out = {"w_item": items}
+    )}
     for table, col in ITEM_CHILDREN:
-        rows = ok.select("item_id", F.explode(as_list(col)).alias(col))
-        out[table] = t.get(table).unionByName(rows)
-    return ChangeResult(t.with_tables(**out), ok, bad)
+        delta[table] = ok.select("item_id", F.explode(as_list(col)).alias(col))
+    out = {n: t.get(n).unionByName(d) for n, d in delta.items()}
+    return ChangeResult(t.with_tables(**out), ok, bad, delta)
 
 
 def update_items(t: Tables, changes: DataFrame, mode: str = "replace") -> ChangeResult:
@@ -385,20 +402,24 @@ def _outfit_payload(changes: DataFrame) -> DataFrame:
     return changes.withColumn("_ids", item_id_list("item_ids")).withColumn("_name", required_name("outfit_name"))
 
 
-def _outfit_children(t: Tables, rows: DataFrame, replace: bool) -> dict[str, DataFrame]:
-    out = {}
+def _outfit_children(t: Tables, rows: DataFrame, replace: bool) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """New child tables and, for inserts, just the added rows."""
+    out, delta = {}, {}
     lists = {"image_url": as_list("image_url"), "season": season_values("season"), "occasion": as_list("occasion")}
     for table, col in OUTFIT_CHILDREN:
         vals = rows.select("outfit_id", lists[col].alias("values"))
         if replace:
             out[table] = replace_values(t.get(table), "outfit_id", col, vals)
         else:
-            out[table] = t.get(table).unionByName(vals.select("outfit_id", F.explode("values").alias(col)))
+            delta[table] = vals.select("outfit_id", F.explode("values").alias(col))
+            out[table] = t.get(table).unionByName(delta[table])
     inc = rows.select("outfit_id", F.col("_ids").alias("values"))
-    out["w_inc"] = replace_values(t.w_inc, "outfit_id", "item_id", inc) if replace else t.w_inc.unionByName(
-        inc.select("outfit_id", F.explode("values").alias("item_id")).distinct()
-    )
-    return out
+    if replace:
+        out["w_inc"] = replace_values(t.w_inc, "outfit_id", "item_id", inc)
+    else:
+        delta["w_inc"] = inc.select("outfit_id", F.explode("values").alias("item_id")).distinct()
+        out["w_inc"] = t.w_inc.unionByName(delta["w_inc"])
+    return out, delta
 
 
 def add_outfits(t: Tables, changes: DataFrame, as_of: str | None = None) -> ChangeResult:
@@ -415,11 +436,13 @@ def add_outfits(t: Tables, changes: DataFrame, as_of: str | None = None) -> Chan
     )).drop("_unowned")
     ok, bad = _split(materialize(v))
     ok = assign_ids(ok, "outfit_id", ["change_id"], high_water(t.w_outfit, "outfit_id") + 1)
-    outfits = t.w_outfit.unionByName(ok.select(
+    new = ok.select(
         "outfit_id", "u_id", F.col("_name").alias("outfit_name"), F.coalesce("note", F.lit("")).alias("note"),
         today_text(as_of).alias("created_date"),
-    ))
-    return ChangeResult(t.with_tables(w_outfit=outfits, **_outfit_children(t, ok, replace=False)), ok, bad)
+    )
+    children, delta = _outfit_children(t, ok, replace=False)
+    delta["w_outfit"] = new
+    return ChangeResult(t.with_tables(w_outfit=t.w_outfit.unionByName(new), **children), ok, bad, delta)
 
 
 def update_outfits(t: Tables, changes: DataFrame) -> ChangeResult:
@@ -446,7 +469,8 @@ def update_outfits(t: Tables, changes: DataFrame) -> ChangeResult:
     ok = last_per(ok, ["outfit_id"])
     new_rows = ok.select("outfit_id", "u_id", F.col("_name").alias("outfit_name"), F.coalesce("note", F.lit("")).alias("note"), "created_date")
     outfits = t.w_outfit.join(ok.select("outfit_id"), "outfit_id", "left_anti").unionByName(new_rows)
-    return ChangeResult(t.with_tables(w_outfit=outfits, **_outfit_children(t, ok, replace=True)), ok, bad)
+    children, _ = _outfit_children(t, ok, replace=True)
+    return ChangeResult(t.with_tables(w_outfit=outfits, **children), ok, bad)
 
 
 def delete_outfits(t: Tables, changes: DataFrame) -> ChangeResult:
@@ -503,7 +527,9 @@ def record_wears(t: Tables, changes: DataFrame, as_of: str | None = None) -> Cha
         F.coalesce("outfit_note", F.lit("")).alias("note"),
         date_part(F.coalesce(F.col("datetime"), F.lit(""))).alias("created_date"),
     )
-    t2 = t.with_tables(w_outfit=t.w_outfit.unionByName(new_outfits), **_outfit_children(t, new, replace=False))
+    children, delta = _outfit_children(t, new, replace=False)
+    delta["w_outfit"] = new_outfits
+    t2 = t.with_tables(w_outfit=t.w_outfit.unionByName(new_outfits), **children)
     reuse = ok.where(F.col("_oid").isNotNull()).withColumn("outfit_id", F.col("_oid"))
     applied = reuse.unionByName(new.select(*reuse.columns))
     recs = applied.select(
@@ -511,12 +537,13 @@ def record_wears(t: Tables, changes: DataFrame, as_of: str | None = None) -> Cha
         F.coalesce("weather", F.lit("")).alias("weather"), F.coalesce("note", F.lit("")).alias("note"),
         F.coalesce("mood", F.lit("")).alias("mood"),
     )
+    delta["w_rec"] = recs
     t2 = t2.with_tables(w_rec=t.w_rec.unionByName(recs))
     worn = (
         reuse.select("outfit_id", "_dt").join(t.w_inc, "outfit_id").select("item_id", F.col("_dt").alias("datetime"))
         .unionByName(new.select(F.explode("_ids").alias("item_id"), F.col("_dt").alias("datetime")))
     )
-    return ChangeResult(touch_worn(t2, worn), applied, bad)
+    return ChangeResult(touch_worn(t2, worn), applied, bad, delta)
 
 
 def update_records(t: Tables, changes: DataFrame) -> ChangeResult:

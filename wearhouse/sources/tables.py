@@ -2,9 +2,16 @@
 
 Plain Parquet has no row-level DELETE/UPDATE, and a path cannot be overwritten
 while it is being read, so a change job publishes ``old snapshot + changes`` as
-a *new* version directory ``<root>/v=<N>/<table>`` and then writes a one-row
-commit marker ``<root>/_commits/v=<N>``.  Readers take the highest committed
-version, so they never see a half-written snapshot.
+a *new* version and then writes a one-row commit marker
+``<root>/_commits/v=<N>``.  Readers take the highest committed version, so they
+never see a half-written snapshot.
+
+The marker holds a manifest: for every table, the list of Parquet directories
+(relative to ``root``) that together hold its rows.  A version therefore only
+writes what changed: a table the job did not touch keeps its parts, an
+insert-only change adds one part with just the new rows, and only a table with
+updated or deleted rows is rewritten (into ``v=<N>/<table>``).
+:func:`compact_tables` merges tables whose part list has grown long.
 """
 
 from __future__ import annotations
@@ -77,13 +84,21 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
     return None if row is None or row["v"] is None else int(row["v"])
 
 
+def manifest(spark: SparkSession, root: str, version: int) -> dict[str, list[str]]:
+    """Table -> part directories (relative to ``root``) of a committed version."""
+    rows = spark.read.parquet(f"{root}/_commits").where(F.col("v") == version).select("tables").limit(1).collect()
+    if not rows or rows[0]["tables"] is None:
+        return {n: [f"v={version}/{n}"] for n in SCHEMAS}
+    return {k: list(v) for k, v in rows[0]["tables"].items()}
+
+
 def load_tables(spark: SparkSession, root: str, version: int | None = None) -> Tables:
     """Read a committed snapshot (the latest when ``version`` is None)."""
     v = latest_version(spark, root) if version is None else version
     if v is None:
         raise FileNotFoundError(f"no committed snapshot under {root}")
-    base = f"{root}/v={v}"
-    return Tables(**{n: scan(spark, base, n) for n in SCHEMAS})
+    parts = manifest(spark, root, v)
+    return Tables(**{n: spark.read.schema(SCHEMAS[n]).parquet(*[f"{root}/{p}" for p in parts[n]]) for n in SCHEMAS})
 
 
 # Clustering keys used when a snapshot is written: rows of one key land in one
@@ -96,33 +111,69 @@ _CLUSTER = {
 }
 
 
+def _write(df: DataFrame, name: str, path: str, row_group_bytes: int | None) -> None:
+    w = df.sortWithinPartitions(_CLUSTER[name]).write.mode("overwrite")
+    if row_group_bytes:
+        w = w.option("parquet.block.size", str(row_group_bytes))
+    w.parquet(path)
+
+
 def write_tables(
-    tables: Tables, root: str, version: int | None = None, batch_id: int | None = None, row_group_bytes: int | None = None
+    tables: Tables,
+    root: str,
+    version: int | None = None,
+    batch_id: int | None = None,
+    row_group_bytes: int | None = None,
+    base_version: int | None = None,
+    unchanged: tuple[str, ...] | list[str] = (),
+    appends: dict[str, DataFrame] | None = None,
 ) -> int:
     """Publish ``tables`` as snapshot ``version`` (default: latest + 1) and commit it.
 
-    The commit marker is written last; it records the stream ``batch_id``
+    With ``base_version``, tables named in ``unchanged`` keep the base
+    version's parts and tables in ``appends`` get one new part holding only
+    the given rows; every other table is written in full.  The commit marker
+    is written last and records the manifest and the stream ``batch_id``
     that produced the snapshot (NULL for batch jobs).  ``row_group_bytes``
-    overrides the Parquet row-group size (small data sets need small row
-    groups to be split across tasks).  Returns the version.
+    overrides the Parquet row-group size.  Returns the version.
     """
     spark = tables.spark
     if version is None:
         last = latest_version(spark, root)
         version = 0 if last is None else last + 1
-    base = f"{root}/v={version}"
+    base_parts = manifest(spark, root, base_version) if base_version is not None else {}
+    appends = appends or {}
+    parts: dict[str, list[str]] = {}
     for name, df in tables.conform().as_dict().items():
-        key = _CLUSTER[name]
-        w = df.sortWithinPartitions(key).write.mode("overwrite")
-        if row_group_bytes:
-            w = w.option("parquet.block.size", str(row_group_bytes))
-        w.parquet(f"{base}/{name}")
-    spark.createDataFrame([(True, batch_id)], "committed boolean, batch_id bigint").write.mode("overwrite").parquet(
-        f"{root}/_commits/v={version}"
-    )
+        rel = f"v={version}/{name}"
+        if name in unchanged and name in base_parts:
+            parts[name] = base_parts[name]
+        elif name in appends and name in base_parts:
+            _write(conform(appends[name], SCHEMAS[name]), name, f"{root}/{rel}", row_group_bytes)
+            parts[name] = base_parts[name] + [rel]
+        else:
+            _write(df, name, f"{root}/{rel}", row_group_bytes)
+            parts[name] = [rel]
+    spark.createDataFrame(
+        [(True, batch_id, parts)], "committed boolean, batch_id bigint, tables map<string, array<string>>"
+    ).write.mode("overwrite").parquet(f"{root}/_commits/v={version}")
     return version
 
 
+def compact_tables(spark: SparkSession, root: str, max_parts: int = 32, row_group_bytes: int | None = None) -> int | None:
+    """Publish a new version in which every table with more than ``max_parts``
+    parts is rewritten as one part; returns the new version (None if nothing to do)."""
+    v = latest_version(spark, root)
+    if v is None:
+        return None
+    parts = manifest(spark, root, v)
+    long = [n for n, p in parts.items() if len(p) > max_parts]
+    if not long:
+        return None
+    t = load_tables(spark, root, v)
+    return write_tables(t, root, base_version=v, unchanged=[n for n in parts if n not in long], row_group_bytes=row_group_bytes)
+
+
 def last_batch_id(spark: SparkSession, root: str) -> int | None:
     """The highest stream batch id already published under ``root``."""
     try:

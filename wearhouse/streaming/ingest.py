@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from wearhouse.operators.changes import record_wears
-from wearhouse.sources.tables import last_batch_id, load_tables, write_tables
+from wearhouse.operators.changes import publish, record_wears
+from wearhouse.sources.tables import last_batch_id, latest_version, load_tables
 
 WEAR_CHANGE_SCHEMA = StructType(
     [StructField("change_id", LongType()), StructField("u_id", LongType())]
@@ -37,9 +37,12 @@ def apply_wear_batch(spark: SparkSession, batch: DataFrame, batch_id: int, snaps
     last = last_batch_id(spark, snapshot_root)
     if last is not None and batch_id <= last:
         return False
-    tables = load_tables(spark, snapshot_root)
+    base_version = latest_version(spark, snapshot_root)
+    tables = load_tables(spark, snapshot_root, base_version)
     result = record_wears(tables, batch, as_of=as_of)
-    version = write_tables(result.tables, snapshot_root, batch_id=batch_id)
+    # New records and outfits are appended as one part each; only CLOTH_ITEM
+    # (last_worn) is rewritten.
+    version = publish(result, tables, snapshot_root, base_version, batch_id=batch_id)
     result.rejects.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
         f"{snapshot_root}/_rejects/v={version}"
     )
