@@ -166,3 +166,88 @@ def test_publish_writes_only_changes(spark, golden):
     v2 = compact_tables(spark, root, max_parts=1)
     assert v2 == latest_version(spark, root) and manifest(spark, root, v2)["w_rec"] == [f"v={v2}/w_rec"]
     assert load_tables(spark, root).w_rec.count() == 3
+
+
+def test_closets_add_rename(spark, golden):
+    add = spark.createDataFrame([(1, 2, " Gym "), (2, 2, " "), (3, 9, "X")], "change_id long, u_id long, c_name string")
+    r = changes.add_closets(golden, add)
+    ok, bad = accounted(add, r)
+    assert ok == {1} and bad[2] == changes.MSG_CLOSET_NAME and bad[3] == changes.MSG_USER_NOT_FOUND
+    assert r.tables.w_closet.where("c_id = 4").first().c_name == "Gym"
+    ren = spark.createDataFrame([(1, 1, 1, "Daily"), (2, 1, 1, "Everyday"), (3, 2, 2, "Mine")], "change_id long, u_id long, c_id long, c_name string")
+    r2 = changes.rename_closets(golden, ren)
+    ok, bad = accounted(ren, r2)
+    assert ok == {1, 2} and bad[3] == changes.MSG_CLOSET_NOT_FOUND
+    assert r2.tables.w_closet.where("c_id = 1").first().c_name == "Everyday"  # last rename wins
+
+
+ITEM_CHANGE = ("change_id long, u_id long, item_id long, c_id long, item_name string, size string, last_worn string, "
+               "tag string, category string, color string, image_url string")
+
+
+def test_items_add_update(spark, golden):
+    add = spark.createDataFrame([(1, 1, None, 2, "Scarf", None, None, "warm, soft,warm", "Accessory", "", None),
+                                 (2, 1, None, 9, "Bad", None, None, None, None, None, None)], ITEM_CHANGE)
+    r = changes.add_items(golden, add)
+    ok, bad = accounted(add, r)
+    assert ok == {1} and bad[2] == changes.MSG_CLOSET_NOT_FOUND
+    assert sorted(x.tag for x in r.tables.w_tag.where("item_id = 8").collect()) == ["soft", "warm"]
+    assert r.tables.w_color.where("item_id = 8").count() == 0
+    constraints_hold(r.tables)
+    upd = spark.createDataFrame([(1, 1, 1, None, None, "L", None, "new", None, None, None)], ITEM_CHANGE)
+    rep = changes.update_items(golden, upd, mode="replace").tables
+    row = rep.w_item.where("item_id = 1").first()
+    assert (row.item_name, row.size, row.c_id) == ("", "L", 1)  # PUT: absent name becomes ''
+    assert rep.w_cat.where("item_id = 1").count() == 0 and [x.tag for x in rep.w_tag.where("item_id = 1").collect()] == ["new"]
+    mer = changes.update_items(golden, upd, mode="merge").tables
+    row = mer.w_item.where("item_id = 1").first()
+    assert (row.item_name, row.size) == ("White Cotton Tee", "L") and mer.w_cat.where("item_id = 1").count() == 1
+
+
+REC_CHANGE = "change_id long, u_id long, outfit_id long, datetime string, rating string, weather string, mood string, note string"
+
+
+def test_records_update_delete(spark, golden):
+    upd = spark.createDataFrame([(1, 1, 1, "2026-05-20 08:30:00", "2", "Rain", None, "meh"),
+                                 (2, 1, 1, "2026-05-20", None, None, None, None),
+                                 (3, 1, 2, "2026-05-22 13:00:00", "8", None, None, None),
+                                 (4, 2, 1, "2026-05-20 08:30:00", None, None, None, None)], REC_CHANGE)
+    r = changes.update_records(golden, upd)
+    ok, bad = accounted(upd, r)
+    assert ok == {1} and bad[2] == changes.MSG_RECORD_NOT_FOUND and bad[3] == changes.MSG_RATING and bad[4] == changes.MSG_OUTFIT_NOT_FOUND
+    rec = r.tables.w_rec.where("outfit_id = 1").first()
+    assert (rec.rating, rec.weather, rec.mood, rec.note) == (2, "Rain", "", "meh")
+    dele = spark.createDataFrame([(1, 1, 2, "2026-05-22 13:00:00", None, None, None, None),
+                                  (2, 1, 2, "", None, None, None, None)], REC_CHANGE)
+    r2 = changes.delete_records(golden, dele)
+    ok, bad = accounted(dele, r2)
+    assert ok == {1} and bad[2] == changes.MSG_RECORD_DATE
+    assert r2.tables.w_rec.count() == 1 and r2.tables.w_outfit.count() == 2
+
+
+def test_change_file_source_and_json_sink(spark, golden):
+    import json
+    import os
+
+    from wearhouse.operators.reports import overview
+    from wearhouse.sources.tables import read_changes, rows_as_json
+
+    d = tempfile.mkdtemp(prefix="wearhouse-test-")
+    with open(os.path.join(d, "c.json"), "w") as f:
+        f.write(json.dumps({"change_id": 1, "u_id": 1, "outfit_id": "1", "datetime": "2026-06-01"}) + "\n")
+        f.write("{not json\n")
+    df = read_changes(spark, d, WEAR_CHANGE_SCHEMA)
+    rows = df.collect()
+    assert len(rows) == 2 and rows[1]["_corrupt_record"] == "{not json" and rows[0]["_corrupt_record"] is None
+    js = golden.w_user.select(rows_as_json(golden.w_user).alias("j")).where("j like '%student%'").first().j
+    assert json.loads(js) == {"u_id": 1, "username": "student", "gender": "female", "role": "user"}
+    bundle = overview(golden, user_id=1)
+    assert set(bundle) == {"totals", "category_counts", "most_worn", "least_worn", "outfit_reuse", "recent_records"}
+    assert all(df.count() >= 1 for df in bundle.values())
+
+
+def test_first_present(spark):
+    from wearhouse.functions.columns import first_present
+
+    df = spark.createDataFrame([("", "bob", None), (None, None, "c")], "a string, b string, c string")
+    assert [r.x for r in df.select(first_present("a", "b", "c").alias("x")).collect()] == ["bob", "c"]

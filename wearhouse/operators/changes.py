@@ -512,7 +512,6 @@ def record_wears(t: Tables, changes: DataFrame, as_of: str | None = None) -> Cha
         (F.col("_oid").isNull() & season_error("season"), MSG_SEASON),
         (F.coalesce(F.col("_dup"), F.lit(False)), MSG_DUPLICATE_RECORD),
     )).drop("_owner", "_unowned", "_dup", "_oid_bad")
-    v = materialize(v)
     # In-batch duplicates on an existing outfit: the first change wins.
     firsts = first_of(v, ["_oid", "_dt"], F.col("reason").isNull())
     v = v.join(firsts, "change_id", "left").withColumn(
