@@ -102,3 +102,9 @@ def test_column_helpers(spark):
 def test_image_extension(spark):
     df = spark.createDataFrame([("a.PNG",), ("b.txt",), ("noext",), ("x.tar.webp",)], "u string")
     assert [r.ok for r in df.select(C.image_allowed("u").alias("ok")).collect()] == [True, False, False, True]
+
+
+def test_rating_blank_check_before_trim(spark):
+    df = spark.createDataFrame([(" 0",), ("  ",), ("0",), ("",), (" 4 ",)], "r string")
+    got = [(x.v, x.e) for x in df.select(C.rating_value("r").alias("v"), C.rating_error("r").alias("e")).collect()]
+    assert got == [(None, True), (None, True), (None, False), (None, False), (4, False)]

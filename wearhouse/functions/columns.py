@@ -93,22 +93,25 @@ def item_id_list(c: ColumnOrName) -> Column:
 
 
 def rating_value(c: ColumnOrName) -> Column:
-    """None, '', '0' -> NULL; an integer 1-5 -> that int; anything else -> NULL.
+    """None, '', '0' (exactly, before any trimming) -> NULL; an integer 1-5
+    (surrounding whitespace allowed) -> that int; anything else -> NULL.
 
     Pair with :func:`rating_error` to reject the invalid ones.
     """
-    text = trim9(col(c).cast("string"))
-    as_int = to_integer(text, "int")
-    return F.when(text.isNull() | (text == "") | (text == "0"), F.lit(None).cast("int")).when(
-        as_int.between(RATING_MIN, RATING_MAX), as_int
-    )
+    raw = col(c).cast("string")
+    as_int = to_integer(trim9(raw), "int")
+    return F.when(_rating_blank(raw), F.lit(None).cast("int")).when(as_int.between(RATING_MIN, RATING_MAX), as_int)
+
+
+def _rating_blank(raw: Column) -> Column:
+    return raw.isNull() | (raw == "") | (raw == "0")
 
 
 def rating_error(c: ColumnOrName) -> Column:
-    """True when a rating is given (not None, '', 0) but is not an integer 1-5."""
-    text = trim9(col(c).cast("string"))
-    blank = text.isNull() | (text == "") | (text == "0")
-    return ~blank & rating_value(c).isNull()
+    """True when a rating is given (not None, '', '0') but is not an integer 1-5
+    (so ' 0' and '  ' are errors, as ``int()`` of them is 0 or fails)."""
+    raw = col(c).cast("string")
+    return ~_rating_blank(raw) & rating_value(c).isNull()
 
 
 def _season_map() -> Column:

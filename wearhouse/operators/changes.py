@@ -121,6 +121,15 @@ def last_per(df: DataFrame, key: list[str]) -> DataFrame:
     return df.join(lasts, [*key, "change_id"], "left_semi")
 
 
+def alternate(df: DataFrame, *names: str) -> Column:
+    """the first of the alternate payload fields present in ``df`` that is
+    neither NULL nor '' (``username | name``, ``c_name | name``, ``c_id | closet_id``)."""
+    present = [n for n in names if n in df.columns]
+    if len(present) == 1:
+        return F.col(present[0])
+    return F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in present])
+
+
 def _split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     ok = validated.where(F.col("reason").isNull()).drop("reason")
     bad = validated.where(F.col("reason").isNotNull()).select("change_id", "reason")
@@ -235,9 +244,9 @@ def touch_worn(t: Tables, wears: DataFrame) -> Tables:
 
 # ------------------------------------------------------------- M1 - M4
 def add_users(t: Tables, changes: DataFrame) -> ChangeResult:
-    """M1: sign-ups (change_id, username, gender): role 'user', a default closet
-    "<name>'s Closet"; blank names and taken usernames are rejected."""
-    c = changes.withColumn("username", required_name("username"))
+    """M1: sign-ups (change_id, username | name, gender): role 'user', a default
+    closet "<name>'s Closet"; blank names and taken usernames are rejected."""
+    c = changes.withColumn("username", required_name(alternate(changes, "username", "name")))
     taken = t.w_user.select(F.col("username").alias("_u"), F.lit(True).alias("_taken"))
     c = c.join(taken, c["username"] == taken["_u"], "left").join(first_of(c, ["username"]), "change_id", "left")
     v = c.withColumn("reason", first_failure(
@@ -254,8 +263,8 @@ def add_users(t: Tables, changes: DataFrame) -> ChangeResult:
 
 
 def add_closets(t: Tables, changes: DataFrame) -> ChangeResult:
-    """M2: new closets (change_id, u_id, c_name); trimmed name required, user must exist."""
-    c = changes.withColumn("c_name", required_name("c_name")).join(
+    """M2: new closets (change_id, u_id, c_name | name); trimmed name required, user must exist."""
+    c = changes.withColumn("c_name", required_name(alternate(changes, "c_name", "name"))).join(
         t.w_user.select("u_id", F.lit(True).alias("_user")), "u_id", "left"
     )
     v = c.withColumn("reason", first_failure((F.col("_user").isNull(), MSG_USER_NOT_FOUND), (F.col("c_name").isNull(), MSG_CLOSET_NAME))).drop("_user")
@@ -272,7 +281,8 @@ def _closet_owner(t: Tables, changes: DataFrame) -> DataFrame:
 def rename_closets(t: Tables, changes: DataFrame) -> ChangeResult:
     """M3: rename (change_id, u_id, c_id, c_name); owner must match, name required;
     the last rename of a closet in the batch wins."""
-    c = _closet_owner(t, changes).withColumn("c_name", required_name("c_name"))
+    changes = changes.withColumn("c_id", alternate(changes, "c_id", "closet_id").cast("bigint"))
+    c = _closet_owner(t, changes).withColumn("c_name", required_name(alternate(changes, "c_name", "name")))
     v = c.withColumn("reason", first_failure(
         (F.col("_owner").isNull() | (F.col("_owner") != F.col("u_id")), MSG_CLOSET_NOT_FOUND),
         (F.col("c_name").isNull(), MSG_CLOSET_NAME),
@@ -496,7 +506,9 @@ def record_wears(t: Tables, changes: DataFrame, as_of: str | None = None) -> Cha
     exists, or repeats an earlier change of the batch, is rejected together
     with the outfit it would have created.  Worn items get M13.
     """
-    c = changes.withColumn("_oid", optional_id("outfit_id")).withColumn("_oid_bad", optional_id_error("outfit_id"))
+    # An outfit id of 0 is "no outfit" (a falsy id creates a new outfit).
+    c = changes.withColumn("_oid", F.nullif(optional_id("outfit_id"), F.lit(0).cast("bigint")))
+    c = c.withColumn("_oid_bad", optional_id_error("outfit_id"))
     c = c.withColumn("_ids", F.when(F.col("_oid").isNull(), item_id_list("item_ids")).otherwise(F.array().cast("array<bigint>")))
     c = c.withColumn("_dt", F.coalesce(F.nullif(F.col("datetime"), F.lit("")), now_text(as_of)))
     owners = t.w_outfit.select(F.col("outfit_id").alias("_oid"), F.col("u_id").alias("_owner"))

@@ -654,7 +654,10 @@ _WEARS = _LISTS + """
     FROM new_outc WHERE outcome = 'recorded'
 )
 , outc AS (
-    SELECT base AS change_id, outfit_id, 'recorded' AS outcome FROM recs WHERE outfit_id % 4 = 0
+    -- outfit id 0 is falsy: such a change asks for a new outfit and names no items
+    SELECT base AS change_id, CASE WHEN outfit_id = 0 THEN NULL ELSE outfit_id END AS outfit_id,
+           CASE WHEN outfit_id = 0 THEN 'Select at least one clothing item for the outfit.' ELSE 'recorded' END AS outcome
+    FROM recs WHERE outfit_id % 4 = 0
     UNION ALL
     SELECT base + 1, CAST(NULL AS BIGINT), 'This outfit already has a record for that date.' FROM recs WHERE outfit_id % 4 = 1
     UNION ALL
@@ -673,7 +676,7 @@ q("record_wears_tables", _WEARS + """
         "w_occ": f"SELECT COALESCE(SUM(len(list_distinct({_VALS.format(c='occasion')}))), 0) FROM made",
         "w_oimg": f"SELECT COALESCE(SUM(len(list_distinct({_VALS.format(c='image_url')}))), 0) FROM made",
         "w_inc": "SELECT COALESCE(SUM(len(ids)), 0) FROM made",
-        "w_rec": "SELECT (SELECT COUNT(*) FROM made) + (SELECT COUNT(*) FROM recs WHERE outfit_id % 4 = 0)",
+        "w_rec": "SELECT (SELECT COUNT(*) FROM made) + (SELECT COUNT(*) FROM recs WHERE outfit_id % 4 = 0 AND outfit_id <> 0)",
     },
     rejects="SELECT COUNT(*) FROM outc WHERE outcome <> 'recorded'",
 ))
@@ -697,9 +700,10 @@ q("clean_lists", _LISTS + """
     FROM raw
 )
 SELECT outfit_id, datetime,
-       CASE WHEN rt IS NULL OR rt = '' OR rt = '0' THEN NULL
+       CASE WHEN rating_raw IS NULL OR rating_raw = '' OR rating_raw = '0' THEN NULL
             WHEN TRY_CAST(rt AS INTEGER) BETWEEN 1 AND 5 THEN TRY_CAST(rt AS INTEGER) END AS rating,
-       NOT (rt IS NULL OR rt = '' OR rt = '0') AND COALESCE(TRY_CAST(rt AS INTEGER) NOT BETWEEN 1 AND 5, TRUE) AS rating_error,
+       NOT (rating_raw IS NULL OR rating_raw = '' OR rating_raw = '0')
+           AND COALESCE(TRY_CAST(rt AS INTEGER) NOT BETWEEN 1 AND 5, TRUE) AS rating_error,
        CASE WHEN NOT list_bool_or(list_transform(sl, lambda x: x IS NULL)) OR len(sl) = 0
             THEN array_to_string(list_filter(sl, lambda x, i: list_position(sl, x) = i), ',') END AS seasons,
        COALESCE(list_bool_or(list_transform(sl, lambda x: x IS NULL)), FALSE) AS season_error,
