@@ -37,7 +37,7 @@ from wearhouse.functions.columns import (
     today_text,
 )
 from wearhouse.plans.factorised import items_with_owner, outfit_wears
-from wearhouse.plans.session import materialize
+from wearhouse.plans.session import checkpoint_partitions, materialize
 from wearhouse.sources.schemas import SEASONS
 from wearhouse.sources.tables import Tables
 
@@ -148,12 +148,13 @@ def high_water(df: DataFrame, id_col: str, stored: int | None = None) -> int:
 def assign_ids(df: DataFrame, id_col: str, order: list[str], start: int) -> DataFrame:
     """Dense ids ``start, start+1, ...`` in ``order`` without a global window.
 
-    The batch is range-sorted and checkpointed (stable partitions); each
+    The batch is range-sorted and checkpointed with its partitions kept
+    (partition i holds the i-th key range, rows in order); each
     partition's row count is a tiny table whose running sum gives the
     partition's first id; a row's id is that offset plus its position inside
     the partition (from ``monotonically_increasing_id``).
     """
-    sorted_ = materialize(df.orderBy(*order))
+    sorted_ = checkpoint_partitions(df.orderBy(*order))
     tagged = sorted_.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
     counts = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
@@ -524,7 +525,9 @@ def record_wears(t: Tables, changes: DataFrame, as_of: str | None = None) -> Cha
         (F.col("_oid").isNull() & season_error("season"), MSG_SEASON),
         (F.coalesce(F.col("_dup"), F.lit(False)), MSG_DUPLICATE_RECORD),
     )).drop("_owner", "_unowned", "_dup", "_oid_bad")
-    # In-batch duplicates on an existing outfit: the first change wins.
+    # In-batch duplicates on an existing outfit: the first change wins.  The
+    # check reads the validated batch twice, so it is materialized first.
+    v = materialize(v)
     firsts = first_of(v, ["_oid", "_dt"], F.col("reason").isNull())
     v = v.join(firsts, "change_id", "left").withColumn(
         "reason", F.when(~F.coalesce(F.col("_first"), F.lit(True)), F.lit(MSG_DUPLICATE_RECORD)).otherwise(F.col("reason"))

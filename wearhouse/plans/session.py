@@ -75,11 +75,27 @@ _counter = _count()
 
 
 def materialize(df):
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+    """Cut lineage by writing ``df`` once as Parquet into the shared checkpoint
+    folder and reading it back.
 
-    Used for a validated change batch that several output tables read: it is
-    computed once, survives the loss of an executor, and keeps a stable
-    partitioning (needed for dense id assignment).
+    Used for a validated change batch that several outputs read: it is
+    computed once (a reliable ``checkpoint()`` would compute it twice and
+    serialise rows one by one), and the result survives the loss of an executor.
     """
+    spark = df.sparkSession
+    path = scratch_path(spark, "stage")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def checkpoint_partitions(df):
+    """A reliable checkpoint that keeps ``df``'s partitions exactly (partition i
+    of the result is partition i of ``df``), computed once: persisted first,
+    so the checkpoint write reads the cached blocks instead of recomputing."""
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
