@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearhouse.functions.columns import all_of, first_value, join_sorted, like_contains
-from wearhouse.plans.factorised import ITEM_ATTRS, attrs_by_key, item_attrs, items_with_owner, long_attrs
+from wearhouse.plans.factorised import ITEM_ATTRS, item_attrs, items_with_owner, keyed_arrays, long_attrs
 from wearhouse.sources.tables import Tables
 
 CATALOG_COLUMNS = ("item_id", "c_id", "u_id", "item_name", "size", "last_worn", "c_name", "tag", "category", "color", "image_url")
@@ -97,11 +97,9 @@ def search(
         preds.append(F.col("u_id") == F.lit(user_id))
     items = items.where(all_of(preds)) if preds else items
 
-    long = long_attrs(t, ITEM_ATTRS, "item_id")
-    if preds:
-        # A user or closet search aggregates only that user's children.
-        long = long.join(items.select("item_id"), "item_id", "left_semi")
-    df = items.join(attrs_by_key(long, ITEM_ATTRS, "item_id"), "item_id", "left")
+    # A user or closet search aggregates only that user's children.
+    attrs = keyed_arrays(t, ITEM_ATTRS, "item_id", restrict=items.select("item_id") if preds else None)
+    df = items.join(attrs, "item_id", "left")
     cols = {k: _arr(k) for k in ("tags", "categories", "colors", "images")}
 
     for value, key in ((category, "categories"), (color, "colors"), (tag, "tags")):

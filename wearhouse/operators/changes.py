@@ -209,6 +209,7 @@ def cascade_delete(
         return b if a is None else a.unionByName(b)
 
     out = t.as_dict()
+    out_flag = t.bucketed
     if users is not None:
         users = users.select("u_id").distinct()
         closets = union(closets.select("c_id") if closets is not None else None, t.w_closet.join(users, "u_id", "left_semi").select("c_id"))
@@ -226,7 +227,7 @@ def cascade_delete(
         outfits = outfits.select("outfit_id").distinct()
         for name in ("w_outfit", "w_oimg", "w_season", "w_occ", "w_inc", "w_rec"):
             out[name] = out[name].join(outfits, "outfit_id", "left_anti")
-    return Tables(**out)
+    return Tables(**out, bucketed=out_flag)
 
 
 # ------------------------------------------------------------------- M13

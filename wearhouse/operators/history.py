@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearhouse.functions.columns import join_sorted
-from wearhouse.plans.factorised import OUTFIT_ATTRS, attrs_by_key, includes_count, long_attrs
+from wearhouse.plans.factorised import OUTFIT_ATTRS, keyed_arrays
 from wearhouse.plans.joins import restrict_to, user_bound
 from wearhouse.plans.topk import top_k_per_group
 from wearhouse.sources.tables import Tables
@@ -16,14 +16,12 @@ HISTORY_SPEC = OUTFIT_ATTRS[:2]  # seasons, occasions
 
 def _outfit_side(t: Tables, keys: DataFrame | None = None, row_bound: int | None = None) -> DataFrame:
     """Per outfit: name, owner, season/occasion arrays and INCLUDES item count."""
-    long = long_attrs(t, HISTORY_SPEC, "outfit_id")
     inc = t.w_inc
     outfits = t.w_outfit.select("outfit_id", "u_id", "outfit_name")
     if keys is not None:
-        long = restrict_to(long, keys, "outfit_id", row_bound)
         inc = restrict_to(inc, keys, "outfit_id", row_bound)
         outfits = restrict_to(outfits, keys, "outfit_id", row_bound)
-    attrs = attrs_by_key(long, HISTORY_SPEC, "outfit_id")
+    attrs = keyed_arrays(t, HISTORY_SPEC, "outfit_id", restrict=keys, row_bound=row_bound)
     counts = inc.groupBy("outfit_id").agg(F.count("item_id").alias("n_items"))
     return outfits.join(attrs, "outfit_id", "left").join(counts, "outfit_id", "left")
 

@@ -61,9 +61,55 @@ def attrs_by_key(long: DataFrame, spec=ITEM_ATTRS, key: str = "item_id", extra:
     return long.groupBy(key).agg(*aggs, *(extra or []))
 
 
+_ENTITY = {"item_id": "w_item", "outfit_id": "w_outfit"}
+
+
+def keyed_arrays(
+    t: Tables,
+    spec=ITEM_ATTRS,
+    key: str = "item_id",
+    restrict: DataFrame | None = None,
+    row_bound: int | None = None,
+    preview: bool = False,
+) -> DataFrame:
+    """Per key, a sorted distinct array per child table of ``spec`` (and, with
+    ``preview``, the smallest non-blank outfit image as ``outfit_preview``).
+
+    Plain tables: one union + one aggregate (a single shuffle for all
+    children).  Bucketed tables: one aggregate per child, each local to its
+    bucket, left-joined onto the entity's keys; every join is co-partitioned,
+    so nothing is shuffled.  (A union of renamed columns would lose the
+    bucket partitioning.)  ``restrict`` limits the keys first (a semi join,
+    broadcast only under ``row_bound``).  Keys without children have NULL or
+    empty arrays; callers treat both as empty.
+    """
+    from wearhouse.plans.joins import restrict_to
+
+    if restrict is not None:
+        restrict = restrict.select(key).distinct()
+    if not t.bucketed:
+        long = long_attrs(t, spec, key)
+        if restrict is not None:
+            long = restrict_to(long, restrict, key, row_bound)
+        extra = [F.min(F.when(F.col("kind") == "images", F.nullif(F.col("value"), F.lit("")))).alias("outfit_preview")] if preview else None
+        return attrs_by_key(long, spec, key, extra)
+    out = t.get(_ENTITY[key]).select(key)
+    if restrict is not None:
+        out = restrict_to(out, restrict, key, row_bound)
+    for tbl, colname, kind in spec:
+        child = t.get(tbl)
+        if restrict is not None:
+            child = restrict_to(child, restrict, key, row_bound)
+        aggs = [_sorted_set(F.col(colname)).alias(kind)]
+        if preview and kind == "images":
+            aggs.append(F.min(F.nullif(F.col(colname), F.lit(""))).alias("outfit_preview"))
+        out = out.join(child.groupBy(key).agg(*aggs), key, "left")
+    return out
+
+
 def item_attrs(t: Tables) -> DataFrame:
     """``item_id, tags, categories, colors, images`` (sorted distinct arrays)."""
-    return attrs_by_key(long_attrs(t, ITEM_ATTRS, "item_id"), ITEM_ATTRS, "item_id")
+    return keyed_arrays(t, ITEM_ATTRS, "item_id")
 
 
 def item_attrs_for(t: Tables, keys: DataFrame, row_bound: int | None) -> DataFrame:
@@ -72,10 +118,7 @@ def item_attrs_for(t: Tables, keys: DataFrame, row_bound: int | None) -> DataFra
     Used after a top-k: the few surviving ids are broadcast (size checked)
     and the child tables are filtered at the scan side instead of shuffled.
     """
-    from wearhouse.plans.joins import restrict_to
-
-    long = restrict_to(long_attrs(t, ITEM_ATTRS, "item_id"), keys.select("item_id").distinct(), "item_id", row_bound)
-    return attrs_by_key(long, ITEM_ATTRS, "item_id")
+    return keyed_arrays(t, ITEM_ATTRS, "item_id", restrict=keys, row_bound=row_bound)
 
 
 def outfit_wears(t: Tables) -> DataFrame:
@@ -100,8 +143,7 @@ def item_wears(t: Tables) -> DataFrame:
 
 def outfit_attrs(t: Tables) -> DataFrame:
     """``outfit_id, seasons, occasions, images, outfit_preview`` from the three outfit child tables."""
-    extra = [F.min(F.when(F.col("kind") == "images", F.nullif(F.col("value"), F.lit("")))).alias("outfit_preview")]
-    return attrs_by_key(long_attrs(t, OUTFIT_ATTRS, "outfit_id"), OUTFIT_ATTRS, "outfit_id", extra)
+    return keyed_arrays(t, OUTFIT_ATTRS, "outfit_id", preview=True)
 
 
 def outfit_item_summary(t: Tables) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearhouse.functions.columns import join_sorted
-from wearhouse.plans.factorised import OUTFIT_ATTRS, attrs_by_key, items_with_owner, long_attrs
+from wearhouse.plans.factorised import OUTFIT_ATTRS, items_with_owner, keyed_arrays
 from wearhouse.sources.tables import Tables
 
 
@@ -22,7 +22,7 @@ def _days(dt: Column) -> Column:
 
 def _outfit_lists(t: Tables) -> DataFrame:
     """Per outfit: season/occasion/image comma text and sorted item ids text."""
-    attrs = attrs_by_key(long_attrs(t, OUTFIT_ATTRS, "outfit_id"), OUTFIT_ATTRS, "outfit_id")
+    attrs = keyed_arrays(t, OUTFIT_ATTRS, "outfit_id")
     ids = t.w_inc.groupBy("outfit_id").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     return t.w_outfit.join(attrs, "outfit_id", "left").join(ids, "outfit_id", "left").select(
         "outfit_id", "u_id", "outfit_name", "note",

@@ -12,10 +12,18 @@ writes what changed: a table the job did not touch keeps its parts, an
 insert-only change adds one part with just the new rows, and only a table with
 updated or deleted rows is rewritten (into ``v=<N>/<table>``).
 :func:`compact_tables` merges tables whose part list has grown long.
+
+Optionally every part is written *bucketed* on its table's key (``item_id``
+for the item tables, ``outfit_id`` for the outfit tables, INCLUDES and
+RECORD) with one bucket count for the whole snapshot.  Readers register each
+part as an external table and read it through the catalog, so aggregates and
+joins on those keys find their input already co-partitioned and need no
+shuffle; a union of equally bucketed parts stays co-partitioned.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +50,10 @@ class Tables:
     w_occ: DataFrame
     w_inc: DataFrame
     w_rec: DataFrame
+    # True when the tables were read from a bucketed snapshot (item tables on
+    # item_id, outfit tables on outfit_id): plans then prefer bucket-local
+    # aggregates and co-partitioned joins over a union.
+    bucketed: bool = False
 
     def get(self, name: str) -> DataFrame:
         return getattr(self, name)
@@ -50,7 +62,7 @@ class Tables:
         return replace(self, **changed)
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name in SCHEMAS}
 
     @property
     def spark(self) -> SparkSession:
@@ -58,7 +70,7 @@ class Tables:
 
     def conform(self) -> "Tables":
         """Project every table to its declared column order and types."""
-        return Tables(**{n: conform(df, SCHEMAS[n]) for n, df in self.as_dict().items()})
+        return Tables(**{n: conform(df, SCHEMAS[n]) for n, df in self.as_dict().items()}, bucketed=self.bucketed)
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
@@ -86,10 +98,33 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
 
 def manifest(spark: SparkSession, root: str, version: int) -> dict[str, list[str]]:
     """Table -> part directories (relative to ``root``) of a committed version."""
-    rows = spark.read.parquet(f"{root}/_commits").where(F.col("v") == version).select("tables").limit(1).collect()
+    return _marker(spark, root, version)[0]
+
+
+def _marker(spark: SparkSession, root: str, version: int) -> tuple[dict[str, list[str]], dict[str, int]]:
+    rows = spark.read.parquet(f"{root}/_commits").where(F.col("v") == version).limit(1).collect()
     if not rows or rows[0]["tables"] is None:
-        return {n: [f"v={version}/{n}"] for n in SCHEMAS}
-    return {k: list(v) for k, v in rows[0]["tables"].items()}
+        return {n: [f"v={version}/{n}"] for n in SCHEMAS}, {}
+    r = rows[0].asDict()
+    return {k: list(v) for k, v in r["tables"].items()}, dict(r.get("buckets") or {})
+
+
+def _catalog_name(path: str) -> str:
+    return "wh_" + hashlib.sha1(path.encode()).hexdigest()[:20]
+
+
+def _read_part(spark: SparkSession, name: str, path: str, buckets: int | None) -> DataFrame:
+    schema = SCHEMAS[name]
+    if not buckets:
+        return spark.read.schema(schema).parquet(path)
+    key = _CLUSTER[name]
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    tname = _catalog_name(path)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {tname} ({cols}) USING parquet "
+        f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(tname)
 
 
 def load_tables(spark: SparkSession, root: str, version: int | None = None) -> Tables:
@@ -97,8 +132,19 @@ def load_tables(spark: SparkSession, root: str, version: int | None = None) -> T
     v = latest_version(spark, root) if version is None else version
     if v is None:
         raise FileNotFoundError(f"no committed snapshot under {root}")
-    parts = manifest(spark, root, v)
-    return Tables(**{n: spark.read.schema(SCHEMAS[n]).parquet(*[f"{root}/{p}" for p in parts[n]]) for n in SCHEMAS})
+    parts, buckets = _marker(spark, root, v)
+    out = {}
+    for n in SCHEMAS:
+        b = buckets.get(n)
+        if b:
+            frames = [_read_part(spark, n, f"{root}/{p}", b) for p in parts[n]]
+            df = frames[0]
+            for f in frames[1:]:
+                df = df.unionByName(f)
+        else:
+            df = spark.read.schema(SCHEMAS[n]).parquet(*[f"{root}/{p}" for p in parts[n]])
+        out[n] = df
+    return Tables(**out, bucketed=bool(buckets) and all(buckets.get(n) for n in ("w_item", "w_outfit")))
 
 
 # Clustering keys used when a snapshot is written: rows of one key land in one
@@ -111,8 +157,20 @@ _CLUSTER = {
 }
 
 
-def _write(df: DataFrame, name: str, path: str, row_group_bytes: int | None) -> None:
-    w = df.sortWithinPartitions(_CLUSTER[name]).write.mode("overwrite")
+def _write(df: DataFrame, name: str, path: str, row_group_bytes: int | None, buckets: int | None = None) -> None:
+    key = _CLUSTER[name]
+    if buckets:
+        # bucketBy needs a catalog table: an external one whose files stay after the drop.
+        tname = _catalog_name(path)
+        # One task per bucket (same hash as the bucketing), so each bucket is one file.
+        w = df.repartition(int(buckets), key).write.mode("overwrite").format("parquet")
+        w = w.bucketBy(int(buckets), key).sortBy(key).option("path", path)
+        if row_group_bytes:
+            w = w.option("parquet.block.size", str(row_group_bytes))
+        w.saveAsTable(tname)
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {tname}")
+        return
+    w = df.sortWithinPartitions(key).write.mode("overwrite")
     if row_group_bytes:
         w = w.option("parquet.block.size", str(row_group_bytes))
     w.parquet(path)
@@ -127,6 +185,7 @@ def write_tables(
     base_version: int | None = None,
     unchanged: tuple[str, ...] | list[str] = (),
     appends: dict[str, DataFrame] | None = None,
+    buckets: int | None = None,
 ) -> int:
     """Publish ``tables`` as snapshot ``version`` (default: latest + 1) and commit it.
 
@@ -135,27 +194,38 @@ def write_tables(
     the given rows; every other table is written in full.  The commit marker
     is written last and records the manifest and the stream ``batch_id``
     that produced the snapshot (NULL for batch jobs).  ``row_group_bytes``
-    overrides the Parquet row-group size.  Returns the version.
+    overrides the Parquet row-group size.  ``buckets`` writes every new part
+    bucketed on the table key (default: the base version's bucket count).
+    Returns the version.
     """
     spark = tables.spark
     if version is None:
         last = latest_version(spark, root)
         version = 0 if last is None else last + 1
-    base_parts = manifest(spark, root, base_version) if base_version is not None else {}
+    base_parts, base_buckets = _marker(spark, root, base_version) if base_version is not None else ({}, {})
+    if buckets is None and base_buckets:
+        buckets = next(iter(base_buckets.values()))
     appends = appends or {}
     parts: dict[str, list[str]] = {}
+    nbuckets: dict[str, int] = {}
     for name, df in tables.conform().as_dict().items():
         rel = f"v={version}/{name}"
         if name in unchanged and name in base_parts:
             parts[name] = base_parts[name]
-        elif name in appends and name in base_parts:
-            _write(conform(appends[name], SCHEMAS[name]), name, f"{root}/{rel}", row_group_bytes)
+            if name in base_buckets:
+                nbuckets[name] = base_buckets[name]
+            continue
+        if name in appends and name in base_parts and base_buckets.get(name) == buckets:
+            _write(conform(appends[name], SCHEMAS[name]), name, f"{root}/{rel}", row_group_bytes, buckets)
             parts[name] = base_parts[name] + [rel]
         else:
-            _write(df, name, f"{root}/{rel}", row_group_bytes)
+            _write(df, name, f"{root}/{rel}", row_group_bytes, buckets)
             parts[name] = [rel]
+        if buckets:
+            nbuckets[name] = int(buckets)
     spark.createDataFrame(
-        [(True, batch_id, parts)], "committed boolean, batch_id bigint, tables map<string, array<string>>"
+        [(True, batch_id, parts, nbuckets)],
+        "committed boolean, batch_id bigint, tables map<string, array<string>>, buckets map<string, int>",
     ).write.mode("overwrite").parquet(f"{root}/_commits/v={version}")
     return version
 
