@@ -186,8 +186,9 @@ def report_rows(t: Tables, user_id: int | None = None) -> DataFrame:
     (0 when NULL) and "N <suffix>" text; a user with an empty list gets one
     'No data' / '-' row.  Positions follow each list's own order."""
     cats = ranked(category_counts(t, user_id), ["u_id"], [F.col("item_count").desc(), F.col("category").asc()], "position")
-    most = ranked(item_usage(t, "DESC", user_id), ["u_id"], usage_order("DESC"), "position")
-    least = ranked(item_usage(t, "ASC", user_id), ["u_id"], usage_order("ASC"), "position")
+    wears = item_wears(t)  # one wear aggregate for both lists (one plan, so its exchanges are reused)
+    most = ranked(item_usage(t, "DESC", user_id, wears=wears), ["u_id"], usage_order("DESC"), "position")
+    least = ranked(item_usage(t, "ASC", user_id, wears=wears), ["u_id"], usage_order("ASC"), "position")
     frames = {"categoryReport": cats, "mostWornReport": most, "leastWornReport": least}
     users = _user_filter(t.w_user.select("u_id"), user_id)
     out = None
