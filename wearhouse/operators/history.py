@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from wearhouse.functions.columns import join_sorted
 from wearhouse.plans.factorised import OUTFIT_ATTRS, keyed_arrays
-from wearhouse.plans.joins import restrict_to, user_bound
+from wearhouse.plans.joins import restrict_to
+from wearhouse.plans.session import materialize
 from wearhouse.plans.topk import top_k_per_group
 from wearhouse.sources.tables import Tables
 
@@ -51,7 +52,7 @@ def recent_records(t: Tables, user_id: int | None = None, k: int = 5) -> DataFra
     if user_id is not None:
         owners = owners.where(F.col("u_id") == F.lit(user_id))
     recs = t.w_rec.join(owners, "outfit_id")
-    top = top_k_per_group(recs, ["u_id"], [F.col("datetime").desc(), F.col("outfit_id").asc()], k)
+    top = materialize(top_k_per_group(recs, ["u_id"], [F.col("datetime").desc(), F.col("outfit_id").asc()], k))
     keys = top.select("outfit_id").distinct()
-    side = _outfit_side(t, keys, user_bound(t.w_user, k)).drop("u_id")
+    side = _outfit_side(t, keys, top.count()).drop("u_id")
     return _shape(top.join(side, "outfit_id", "left"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wearhouse.functions.columns import join_sorted
 from wearhouse.plans.factorised import item_attrs_for, item_wears, items_with_owner, outfit_wears, includes_count
-from wearhouse.plans.joins import user_bound
+from wearhouse.plans.session import materialize
 from wearhouse.plans.topk import ranked, top_k_per_group
 from wearhouse.sources.tables import Tables
 
@@ -85,8 +85,11 @@ def item_usage(
     base = items.join(wears.select("item_id", "wear_count"), "item_id", "left").withColumn(
         "wear_count", F.coalesce(F.col("wear_count"), F.lit(0)).cast("bigint")
     )
-    top = top_k_per_group(base, ["u_id"], usage_order(direction), k)
-    attrs = item_attrs_for(t, top, user_bound(t.w_user, k))
+    # The k rows per user are computed once and written out (a small table in
+    # the shared checkpoint folder); the enrichment reads them several times
+    # and its broadcast is bounded by their exact count.
+    top = materialize(top_k_per_group(base, ["u_id"], usage_order(direction), k))
+    attrs = item_attrs_for(t, top, top.count())
     return top.join(attrs, "item_id", "left").select(
         "u_id", "item_id", "item_name",
         join_sorted("categories").alias("category"),

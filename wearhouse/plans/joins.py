@@ -29,11 +29,3 @@ def maybe_broadcast(df: DataFrame, row_bound: int | None, limit: int = BROADCAST
 def restrict_to(big: DataFrame, keys: DataFrame, on: str | Sequence[str], row_bound: int | None) -> DataFrame:
     """Rows of ``big`` whose key occurs in ``keys`` (a semi join, broadcast when provably small)."""
     return big.join(maybe_broadcast(keys, row_bound), on, "left_semi")
-
-
-def user_bound(users: DataFrame, per_user: int) -> int:
-    """Upper bound for a per-user top-k result: ``per_user`` rows for every user.
-
-    One count of the user table (a footer-statistics scan for Parquet).
-    """
-    return users.count() * per_user
