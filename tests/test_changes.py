@@ -271,3 +271,18 @@ def test_bucketed_snapshot_same_results(spark, golden):
     assert len(manifest(spark, root, v)["w_rec"]) == 2
     t2 = load_tables(spark, root)
     assert t2.w_rec.count() == 3 and key(outfits.outfit_list(t2)) == key(outfits.outfit_list(changes.record_wears(golden, batch).tables))
+
+
+def test_replayed_wear_batch_only_adds_rejects(spark, golden):
+    batch = wear_batch(spark, [
+        dict(change_id=1, u_id=1, outfit_id="1", datetime="2026-06-02", rating="5"),
+        dict(change_id=2, u_id=1, outfit_id="2", datetime="2026-06-03 10:00:00"),
+    ])
+    once = changes.record_wears(golden, batch, as_of="2026-07-01 00:00:00")
+    t1 = once.tables
+    again = changes.record_wears(t1, batch, as_of="2026-07-01 00:00:00")
+    ok, bad = accounted(batch, again)
+    assert not ok and set(bad.values()) == {changes.MSG_DUPLICATE_RECORD}
+    before = {r.table_name: r.n_rows for r in changes.table_counts(t1).collect()}
+    after = {r.table_name: r.n_rows for r in changes.table_counts(again.tables).collect()}
+    assert before == after
