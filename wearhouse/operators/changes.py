@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -149,19 +149,24 @@ def assign_ids(df: DataFrame, id_col: str, order: list[str], start: int) -> Data
     """Dense ids ``start, start+1, ...`` in ``order`` without a global window.
 
     The batch is range-sorted and checkpointed with its partitions kept
-    (partition i holds the i-th key range, rows in order); each
-    partition's row count is a tiny table whose running sum gives the
-    partition's first id; a row's id is that offset plus its position inside
-    the partition (from ``monotonically_increasing_id``).
+    (partition i holds the i-th key range, rows in order); the running sum of
+    the per-partition row counts gives each partition's first id, and a row's
+    id is that offset plus its position inside the partition (from
+    ``monotonically_increasing_id``).
     """
     sorted_ = checkpoint_partitions(df.orderBy(*order))
     tagged = sorted_.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
-    counts = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).alias("_off")
-    ).fillna(0, ["_off"])
+    # One count per partition (as zipWithIndex does): a number per partition,
+    # not per row, turned into each partition's first id.
+    counts = sorted(tuple(r) for r in tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).collect())
+    offsets, running = [], 0
+    for p, n in counts:
+        offsets.append((p, running))
+        running += n
+    spark = df.sparkSession
+    off = spark.createDataFrame(offsets or [(0, 0)], "_p int, _off bigint")
     return (
-        tagged.join(F.broadcast(offsets), "_p")
+        tagged.join(F.broadcast(off), "_p")
         .withColumn(id_col, (F.lit(start) + F.col("_off") + (F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33))).cast(LongType()))
         .drop("_p", "_m", "_off")
     )

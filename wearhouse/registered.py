@@ -185,7 +185,7 @@ def q_stream_wear_ingest(t):
     query = start_wear_ingest(spark, src, f"{root}/tables", f"{root}/_stream", as_of=AS_OF, max_files_per_trigger=1)
     query.awaitTermination()
     final = load_tables(spark, f"{root}/tables")
-    rejects = spark.read.parquet(f"{root}/tables/_rejects").agg(F.count(F.lit(1)).alias("n_rows")).select(
+    rejects = spark.read.parquet(f"{root}/tables/rejects").agg(F.count(F.lit(1)).alias("n_rows")).select(
         F.lit("rejects").alias("table_name"), "n_rows"
     )
     return changes.table_counts(final).unionByName(rejects)

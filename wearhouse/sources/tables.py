@@ -3,7 +3,7 @@
 Plain Parquet has no row-level DELETE/UPDATE, and a path cannot be overwritten
 while it is being read, so a change job publishes ``old snapshot + changes`` as
 a *new* version and then writes a one-row commit marker
-``<root>/_commits/v=<N>``.  Readers take the highest committed version, so they
+``<root>/commits/v=<N>``.  Readers take the highest committed version, so they
 never see a half-written snapshot.
 
 The marker holds a manifest: for every table, the list of Parquet directories
@@ -90,7 +90,7 @@ def scan(spark: SparkSession, path: str, name: str) -> DataFrame:
 def latest_version(spark: SparkSession, root: str) -> int | None:
     """Highest committed snapshot version under ``root`` (None when there is none)."""
     try:
-        row = spark.read.parquet(f"{root}/_commits").agg(F.max("v").alias("v")).first()
+        row = spark.read.parquet(f"{root}/commits").agg(F.max("v").alias("v")).first()
     except Exception:  # no commit directory yet
         return None
     return None if row is None or row["v"] is None else int(row["v"])
@@ -102,7 +102,7 @@ def manifest(spark: SparkSession, root: str, version: int) -> dict[str, list[str
 
 
 def _marker(spark: SparkSession, root: str, version: int) -> tuple[dict[str, list[str]], dict[str, int]]:
-    rows = spark.read.parquet(f"{root}/_commits").where(F.col("v") == version).limit(1).collect()
+    rows = spark.read.parquet(f"{root}/commits").where(F.col("v") == version).limit(1).collect()
     if not rows or rows[0]["tables"] is None:
         return {n: [f"v={version}/{n}"] for n in SCHEMAS}, {}
     r = rows[0].asDict()
@@ -226,7 +226,7 @@ def write_tables(
     spark.createDataFrame(
         [(True, batch_id, parts, nbuckets)],
         "committed boolean, batch_id bigint, tables map<string, array<string>>, buckets map<string, int>",
-    ).write.mode("overwrite").parquet(f"{root}/_commits/v={version}")
+    ).write.mode("overwrite").parquet(f"{root}/commits/v={version}")
     return version
 
 
@@ -247,14 +247,14 @@ def compact_tables(spark: SparkSession, root: str, max_parts: int = 32, row_grou
 def last_batch_id(spark: SparkSession, root: str) -> int | None:
     """The highest stream batch id already published under ``root``."""
     try:
-        row = spark.read.parquet(f"{root}/_commits").agg(F.max("batch_id").alias("b")).first()
+        row = spark.read.parquet(f"{root}/commits").agg(F.max("batch_id").alias("b")).first()
     except Exception:  # no commit yet
         return None
     return None if row is None or row["b"] is None else int(row["b"])
 
 
 def read_commit(spark: SparkSession, root: str, version: int) -> dict:
-    rows = spark.read.parquet(f"{root}/_commits").where(F.col("v") == version).limit(1).collect()
+    rows = spark.read.parquet(f"{root}/commits").where(F.col("v") == version).limit(1).collect()
     return rows[0].asDict() if rows else {}
 
 

@@ -44,7 +44,7 @@ def apply_wear_batch(spark: SparkSession, batch: DataFrame, batch_id: int, snaps
     # (last_worn) is rewritten.
     version = publish(result, tables, snapshot_root, base_version, batch_id=batch_id)
     result.rejects.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-        f"{snapshot_root}/_rejects/v={version}"
+        f"{snapshot_root}/rejects/v={version}"
     )
     return True
 
