@@ -286,3 +286,39 @@ def test_replayed_wear_batch_only_adds_rejects(spark, golden):
     before = {r.table_name: r.n_rows for r in changes.table_counts(t1).collect()}
     after = {r.table_name: r.n_rows for r in changes.table_counts(again.tables).collect()}
     assert before == after
+
+
+def test_stream_ingest_with_malformed_line(spark, golden):
+    import json
+    import os
+
+    from wearhouse.streaming.ingest import start_wear_ingest
+
+    root = tempfile.mkdtemp(prefix="wearhouse-test-")
+    write_tables(golden, f"{root}/tables", version=0)
+    os.makedirs(f"{root}/in")
+    with open(f"{root}/in/a.json", "w") as f:
+        f.write(json.dumps({"change_id": 1, "u_id": 1, "outfit_id": "2", "datetime": "2026-06-10"}) + "\n")
+        f.write("{oops\n")
+        f.write(json.dumps({"change_id": 2, "u_id": 1, "item_ids": "3", "datetime": "2026-06-11 08:00:00"}) + "\n")
+    q = start_wear_ingest(spark, f"{root}/in", f"{root}/tables", f"{root}/ckpt", as_of="2026-07-01 00:00:00")
+    q.awaitTermination()
+    t = load_tables(spark, f"{root}/tables")
+    assert t.w_rec.count() == 4 and t.w_outfit.count() == 3
+    bad = spark.read.parquet(f"{root}/tables/malformed").collect()
+    assert len(bad) == 1 and bad[0].raw == "{oops" and bad[0].reason == changes.MSG_MALFORMED
+
+
+def test_deleted_ids_are_not_reused(spark, golden):
+    from wearhouse.operators.changes import publish
+
+    root = tempfile.mkdtemp(prefix="wearhouse-test-")
+    write_tables(golden, root, version=0)
+    base = load_tables(spark, root)
+    assert base.id_marks["w_outfit"] == 2
+    dele = spark.createDataFrame([(1, 1, 2)], "change_id long, u_id long, outfit_id long")
+    v = publish(changes.delete_outfits(base, dele), base, root, 0)
+    t = load_tables(spark, root, v)
+    assert t.w_outfit.count() == 1 and t.id_marks["w_outfit"] == 2
+    r = changes.record_wears(t, wear_batch(spark, [dict(change_id=1, u_id=1, item_ids="3", datetime="2026-06-11")]))
+    assert [x.outfit_id for x in r.applied.collect()] == [3]  # not 2 again

@@ -61,6 +61,7 @@ MSG_DUPLICATE_RECORD = "This outfit already has a record for that date."
 MSG_RECORD_DATE = "Record date is required."
 MSG_RECORD_NOT_FOUND = "Record not found."
 MSG_USER_NOT_FOUND = "User not found."
+MSG_MALFORMED = "Malformed change."
 
 
 def MSG_CLOSET_IN_USE(n: Column) -> Column:
@@ -232,7 +233,7 @@ def cascade_delete(
         outfits = outfits.select("outfit_id").distinct()
         for name in ("w_outfit", "w_oimg", "w_season", "w_occ", "w_inc", "w_rec"):
             out[name] = out[name].join(outfits, "outfit_id", "left_anti")
-    return Tables(**out, bucketed=out_flag)
+    return Tables(**out, bucketed=out_flag, id_marks=t.id_marks)
 
 
 # ------------------------------------------------------------------- M13
@@ -261,8 +262,8 @@ def add_users(t: Tables, changes: DataFrame) -> ChangeResult:
         (F.coalesce(F.col("_taken"), F.lit(False)) | ~F.coalesce(F.col("_first"), F.lit(True)), MSG_USER_EXISTS),
     )).drop("_u", "_taken", "_first")
     ok, bad = _split(materialize(v))
-    ok = assign_ids(ok, "u_id", ["change_id"], high_water(t.w_user, "u_id") + 1)
-    ok = assign_ids(ok, "c_id", ["change_id"], high_water(t.w_closet, "c_id") + 1)
+    ok = assign_ids(ok, "u_id", ["change_id"], high_water(t.w_user, "u_id", t.id_marks.get("w_user")) + 1)
+    ok = assign_ids(ok, "c_id", ["change_id"], high_water(t.w_closet, "c_id", t.id_marks.get("w_closet")) + 1)
     new_users = ok.select("u_id", "username", F.coalesce("gender", F.lit("")).alias("gender"), F.lit("user").alias("role"))
     new_closets = ok.select("c_id", F.concat("username", F.lit("'s Closet")).alias("c_name"), "u_id")
     tables = t.with_tables(w_user=t.w_user.unionByName(new_users), w_closet=t.w_closet.unionByName(new_closets))
@@ -276,7 +277,7 @@ def add_closets(t: Tables, changes: DataFrame) -> ChangeResult:
     )
     v = c.withColumn("reason", first_failure((F.col("_user").isNull(), MSG_USER_NOT_FOUND), (F.col("c_name").isNull(), MSG_CLOSET_NAME))).drop("_user")
     ok, bad = _split(materialize(v))
-    ok = assign_ids(ok, "c_id", ["change_id"], high_water(t.w_closet, "c_id") + 1)
+    ok = assign_ids(ok, "c_id", ["change_id"], high_water(t.w_closet, "c_id", t.id_marks.get("w_closet")) + 1)
     new = ok.select("c_id", "c_name", "u_id")
     return ChangeResult(t.with_tables(w_closet=t.w_closet.unionByName(new)), ok, bad, {"w_closet": new})
 
@@ -335,7 +336,7 @@ def add_items(t: Tables, changes: DataFrame) -> ChangeResult:
     c = _owned_closet(t, changes.withColumn("item_name", required_name("item_name")))
     v = c.withColumn("reason", first_failure((F.col("item_name").isNull(), MSG_ITEM_NAME), (~F.col("_closet_ok"), MSG_CLOSET_NOT_FOUND))).drop("_closet_ok")
     ok, bad = _split(materialize(v))
-    ok = assign_ids(ok, "item_id", ["change_id"], high_water(t.w_item, "item_id") + 1)
+    ok = assign_ids(ok, "item_id", ["change_id"], high_water(t.w_item, "item_id", t.id_marks.get("w_item")) + 1)
     delta = {"w_item": ok.select(
         "item_id", "c_id", "item_name", F.coalesce("size", F.lit("")).alias("size"), F.coalesce("last_worn", F.lit("")).alias("last_worn")
     )}
@@ -452,7 +453,7 @@ def add_outfits(t: Tables, changes: DataFrame, as_of: str | None = None) -> Chan
         (season_error("season"), MSG_SEASON),
     )).drop("_unowned")
     ok, bad = _split(materialize(v))
-    ok = assign_ids(ok, "outfit_id", ["change_id"], high_water(t.w_outfit, "outfit_id") + 1)
+    ok = assign_ids(ok, "outfit_id", ["change_id"], high_water(t.w_outfit, "outfit_id", t.id_marks.get("w_outfit")) + 1)
     new = ok.select(
         "outfit_id", "u_id", F.col("_name").alias("outfit_name"), F.coalesce("note", F.lit("")).alias("note"),
         today_text(as_of).alias("created_date"),
@@ -523,6 +524,7 @@ def record_wears(t: Tables, changes: DataFrame, as_of: str | None = None) -> Cha
     existing = t.w_rec.select(F.col("outfit_id").alias("_oid"), F.col("datetime").alias("_dt"), F.lit(True).alias("_dup"))
     c = c.join(existing, ["_oid", "_dt"], "left")
     v = c.withColumn("reason", first_failure(
+        (F.col("u_id").isNull(), MSG_MALFORMED),
         (F.col("_oid_bad"), MSG_INVALID_OUTFIT),
         (F.col("_oid").isNotNull() & (F.col("_owner").isNull() | (F.col("_owner") != F.col("u_id"))), MSG_OUTFIT_NOT_FOUND),
         (F.col("_oid").isNull() & (F.size("_ids") == 0), MSG_RECORD_ITEMS),
@@ -541,7 +543,7 @@ def record_wears(t: Tables, changes: DataFrame, as_of: str | None = None) -> Cha
     ok, bad = _split(materialize(v))
 
     new = ok.where(F.col("_oid").isNull())
-    new = assign_ids(new, "outfit_id", ["change_id"], high_water(t.w_outfit, "outfit_id") + 1)
+    new = assign_ids(new, "outfit_id", ["change_id"], high_water(t.w_outfit, "outfit_id", t.id_marks.get("w_outfit")) + 1)
     new_outfits = new.select(
         "outfit_id", "u_id", F.coalesce(F.col("outfit_name"), F.lit("Outfit Record")).alias("outfit_name"),
         F.coalesce("outfit_note", F.lit("")).alias("note"),

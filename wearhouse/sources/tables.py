@@ -24,7 +24,7 @@ shuffle; a union of equally bucketed parts stays co-partitioned.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +54,9 @@ class Tables:
     # item_id, outfit tables on outfit_id): plans then prefer bucket-local
     # aggregates and co-partitioned joins over a union.
     bucketed: bool = False
+    # Highest id ever issued per id-keyed table (from the snapshot's commit
+    # marker): new ids continue above it, so ids of deleted rows are never reused.
+    id_marks: dict = field(default_factory=dict)
 
     def get(self, name: str) -> DataFrame:
         return getattr(self, name)
@@ -70,7 +73,8 @@ class Tables:
 
     def conform(self) -> "Tables":
         """Project every table to its declared column order and types."""
-        return Tables(**{n: conform(df, SCHEMAS[n]) for n, df in self.as_dict().items()}, bucketed=self.bucketed)
+        return Tables(**{n: conform(df, SCHEMAS[n]) for n, df in self.as_dict().items()}, bucketed=self.bucketed,
+                      id_marks=self.id_marks)
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
@@ -101,12 +105,20 @@ def manifest(spark: SparkSession, root: str, version: int) -> dict[str, list[str
     return _marker(spark, root, version)[0]
 
 
+ID_COLUMNS = {"w_user": "u_id", "w_closet": "c_id", "w_item": "item_id", "w_outfit": "outfit_id"}
+
+
 def _marker(spark: SparkSession, root: str, version: int) -> tuple[dict[str, list[str]], dict[str, int]]:
+    parts, buckets, _ = _marker_full(spark, root, version)
+    return parts, buckets
+
+
+def _marker_full(spark: SparkSession, root: str, version: int):
     rows = spark.read.parquet(f"{root}/commits").where(F.col("v") == version).limit(1).collect()
     if not rows or rows[0]["tables"] is None:
-        return {n: [f"v={version}/{n}"] for n in SCHEMAS}, {}
+        return {n: [f"v={version}/{n}"] for n in SCHEMAS}, {}, {}
     r = rows[0].asDict()
-    return {k: list(v) for k, v in r["tables"].items()}, dict(r.get("buckets") or {})
+    return {k: list(v) for k, v in r["tables"].items()}, dict(r.get("buckets") or {}), dict(r.get("id_marks") or {})
 
 
 def _catalog_name(path: str) -> str:
@@ -132,7 +144,7 @@ def load_tables(spark: SparkSession, root: str, version: int | None = None) -> T
     v = latest_version(spark, root) if version is None else version
     if v is None:
         raise FileNotFoundError(f"no committed snapshot under {root}")
-    parts, buckets = _marker(spark, root, v)
+    parts, buckets, marks = _marker_full(spark, root, v)
     out = {}
     for n in SCHEMAS:
         b = buckets.get(n)
@@ -144,7 +156,7 @@ def load_tables(spark: SparkSession, root: str, version: int | None = None) -> T
         else:
             df = spark.read.schema(SCHEMAS[n]).parquet(*[f"{root}/{p}" for p in parts[n]])
         out[n] = df
-    return Tables(**out, bucketed=bool(buckets) and all(buckets.get(n) for n in ("w_item", "w_outfit")))
+    return Tables(**out, bucketed=bool(buckets) and all(buckets.get(n) for n in ("w_item", "w_outfit")), id_marks=marks)
 
 
 # Clustering keys used when a snapshot is written: rows of one key land in one
@@ -202,7 +214,10 @@ def write_tables(
     if version is None:
         last = latest_version(spark, root)
         version = 0 if last is None else last + 1
-    base_parts, base_buckets = _marker(spark, root, base_version) if base_version is not None else ({}, {})
+    base_parts, base_buckets, base_marks = _marker_full(spark, root, base_version) if base_version is not None else ({}, {}, {})
+    marks = {k: max(int(v), int(tables.id_marks.get(k) or 0)) for k, v in base_marks.items()}
+    for k, v in tables.id_marks.items():
+        marks[k] = max(int(v or 0), marks.get(k, 0))
     if buckets is None and base_buckets:
         buckets = next(iter(base_buckets.values()))
     appends = appends or {}
@@ -221,15 +236,30 @@ def write_tables(
         else:
             _write(df, name, f"{root}/{rel}", row_group_bytes, buckets)
             parts[name] = [rel]
+        if name in ID_COLUMNS:
+            # The highest id in what was just written (read back: one column, no recomputation).
+            written = spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{rel}").agg(F.max(ID_COLUMNS[name]).alias("m")).first()["m"]
+            marks[name] = max(marks.get(name, 0), int(written or 0))
         if buckets:
             nbuckets[name] = int(buckets)
+    for name in ID_COLUMNS:
+        if name not in marks:  # unchanged table carried from a base without marks
+            m = load_part_max(spark, root, parts[name], ID_COLUMNS[name], name)
+            marks[name] = m
     spark.createDataFrame(
-        [(True, batch_id, parts, nbuckets)],
-        "committed boolean, batch_id bigint, tables map<string, array<string>>, buckets map<string, int>",
+        [(True, batch_id, parts, nbuckets, marks)],
+        "committed boolean, batch_id bigint, tables map<string, array<string>>, buckets map<string, int>, "
+        "id_marks map<string, bigint>",
     ).write.mode("overwrite").parquet(f"{root}/commits/v={version}")
     return version
 
 
+def load_part_max(spark: SparkSession, root: str, parts: list[str], col: str, name: str | None = None) -> int:
+    reader = spark.read.schema(SCHEMAS[name]) if name else spark.read
+    row = reader.parquet(*[f"{root}/{p}" for p in parts]).agg(F.max(col).alias("m")).first()
+    return int(row["m"] or 0)
+
+
 def compact_tables(spark: SparkSession, root: str, max_parts: int = 32, row_group_bytes: int | None = None) -> int | None:
     """Publish a new version in which every table with more than ``max_parts``
     parts is rewritten as one part; returns the new version (None if nothing to do)."""

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from wearhouse.operators.changes import publish, record_wears
+from wearhouse.operators.changes import MSG_MALFORMED, publish, record_wears
 from wearhouse.sources.tables import last_batch_id, latest_version, load_tables
 
 WEAR_CHANGE_SCHEMA = StructType(
@@ -30,6 +30,8 @@ WEAR_CHANGE_SCHEMA = StructType(
                   "outfit_note", "season", "occasion", "image_url", "item_ids")
     ]
 )
+# The stream keeps lines that are not valid JSON (or lack a change id) as rejects.
+STREAM_SCHEMA = StructType(WEAR_CHANGE_SCHEMA.fields + [StructField("_corrupt_record", StringType())])
 
 
 def apply_wear_batch(spark: SparkSession, batch: DataFrame, batch_id: int, snapshot_root: str, as_of: str | None = None) -> bool:
@@ -39,6 +41,13 @@ def apply_wear_batch(spark: SparkSession, batch: DataFrame, batch_id: int, snaps
         return False
     base_version = latest_version(spark, snapshot_root)
     tables = load_tables(spark, snapshot_root, base_version)
+    if "_corrupt_record" in batch.columns:
+        bad = F.col("_corrupt_record").isNotNull() | F.col("change_id").isNull()
+        batch.where(bad).select(
+            "change_id", F.lit(MSG_MALFORMED).alias("reason"), F.col("_corrupt_record").alias("raw"),
+            F.lit(batch_id).alias("batch_id"),
+        ).write.mode("overwrite").parquet(f"{snapshot_root}/malformed/batch={batch_id}")
+        batch = batch.where(~bad).drop("_corrupt_record")
     result = record_wears(tables, batch, as_of=as_of)
     # New records and outfits are appended as one part each; only CLOTH_ITEM
     # (last_worn) is rewritten.
@@ -61,7 +70,7 @@ def start_wear_ingest(
     """Start the ingest.  ``available_now`` processes what is there and stops
     (each micro-batch writes a full snapshot, so a continuous trigger would
     only add versions); ``checkpoint_location`` must be a shared folder."""
-    reader = spark.readStream.schema(WEAR_CHANGE_SCHEMA)
+    reader = spark.readStream.schema(STREAM_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt_record")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.json(source_dir)
