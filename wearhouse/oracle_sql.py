@@ -713,3 +713,6 @@ FROM parsed
 
 # The stream applies the same changes in two micro-batches; the final counts equal the one-batch job's.
 q("stream_wear_ingest", _Q["record_wears_tables"])
+
+# Q20's nested item rows, flattened, equal Q18's rows.
+q("outfit_detail_nested_items", _Q["outfit_items"])

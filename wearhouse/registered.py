@@ -192,3 +192,12 @@ def q_stream_wear_ingest(t):
 
 
 register("stream_wear_ingest", q_stream_wear_ingest)
+
+
+def q_outfit_detail_nested_items(t):
+    """Q20's nested ``items`` array flattened back to rows: it must equal Q18."""
+    nested = outfits.outfit_detail_nested(t)
+    return nested.select("outfit_id", F.inline("items"))
+
+
+register("outfit_detail_nested_items", q_outfit_detail_nested_items)
