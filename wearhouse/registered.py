@@ -92,6 +92,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from wearhouse.functions.columns import item_id_list, rating_error, rating_value, season_error, season_values  # noqa: E402
 from wearhouse.operators import changes  # noqa: E402
+from wearhouse.plans.session import materialize  # noqa: E402
 from wearhouse.sources import derive_changes as dc  # noqa: E402
 
 AS_OF = "2026-01-01 00:00:00"
@@ -127,22 +128,28 @@ def q_delete_items_tables(t):
     return _with_rejects(changes.delete_items(t, dc.item_deletes(t)))
 
 
+def _batch(df):
+    """A derived change batch is written once (as a real batch would arrive as
+    files) so the job's several reads of it do not re-derive it."""
+    return materialize(df)
+
+
 def q_outfit_update_lock(t):
-    batch = dc.outfit_updates(t)
+    batch = _batch(dc.outfit_updates(t))
     return _outcomes(batch, changes.update_outfits(t, batch), "updated", keep=("change_id", "u_id"))
 
 
 def q_outfit_update_tables(t):
-    return _with_rejects(changes.update_outfits(t, dc.outfit_updates(t)))
+    return _with_rejects(changes.update_outfits(t, _batch(dc.outfit_updates(t))))
 
 
 def q_record_wears(t):
-    batch = dc.wear_changes(t)
+    batch = _batch(dc.wear_changes(t))
     return _outcomes(batch, changes.record_wears(t, batch, as_of=AS_OF), "recorded", applied_cols=("outfit_id",))
 
 
 def q_record_wears_tables(t):
-    return _with_rejects(changes.record_wears(t, dc.wear_changes(t), as_of=AS_OF))
+    return _with_rejects(changes.record_wears(t, _batch(dc.wear_changes(t)), as_of=AS_OF))
 
 
 def q_clean_lists(t):
