@@ -562,7 +562,7 @@ q("cascade_delete_outfits", "\n" + _counts(
 ))
 
 _IREQ = """
-, req AS (SELECT I.item_id AS change_id, C.u_id, I.item_id FROM w_item I JOIN w_closet C ON I.c_id = C.c_id WHERE I.item_id % 9 = 0)
+, req AS (SELECT I.item_id AS change_id, C.u_id, I.item_id FROM w_item I JOIN w_closet C ON I.c_id = C.c_id )
 , refs AS (SELECT N.item_id, O.u_id, COUNT(DISTINCT N.outfit_id) AS n
            FROM w_inc N JOIN w_outfit O ON N.outfit_id = O.outfit_id GROUP BY N.item_id, O.u_id)
 , outc AS (
