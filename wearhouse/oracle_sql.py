@@ -597,7 +597,7 @@ _OUPD = _LISTS + f"""
 , chg AS (
     SELECT outfit_id AS change_id, u_id, outfit_id, outfit_name, season, ids,
            CASE WHEN len(ids) >= 2 THEN list_slice(ids, 1, len(ids) - 1) ELSE ids END AS new_ids
-    FROM olists WHERE outfit_id % 5 = 0
+    FROM olists
 )
 , unowned AS (
     SELECT change_id, COUNT(*) AS n FROM (SELECT change_id, u_id, unnest(new_ids) AS item_id FROM chg) x

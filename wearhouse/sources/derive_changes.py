@@ -54,9 +54,9 @@ def item_deletes(t: Tables) -> DataFrame:
 
 
 def outfit_updates(t: Tables) -> DataFrame:
-    """Re-save every 5th outfit with its own lists, dropping its highest item
+    """Every outfit is re-saved with its own lists, dropping its highest item
     id when it has two or more items (a composition change)."""
-    o = _outfit_lists(t).where(F.col("outfit_id") % 5 == 0)
+    o = _outfit_lists(t)
     ids = F.when(F.size("ids") >= 2, F.slice("ids", 1, F.size("ids") - 1)).otherwise(F.col("ids"))
     return o.select(
         F.col("outfit_id").alias("change_id"), "u_id", "outfit_id", "outfit_name", "note",
