@@ -555,10 +555,21 @@ SELECT I.item_id,
 FROM w_item I LEFT JOIN d ON I.item_id = d.item_id
 """)
 
-_ODEL = "outfit_id NOT IN (SELECT outfit_id FROM w_outfit WHERE outfit_id % 7 = 0 AND outfit_id % 14 <> 0)"
-q("cascade_delete_outfits", "\n" + _counts(
+_OREQ = """
+, first_item AS (SELECT outfit_id, MIN(item_id) AS item_id FROM w_inc GROUP BY outfit_id)
+, item_owner AS (SELECT I.item_id, C.u_id FROM w_item I JOIN w_closet C ON I.c_id = C.c_id)
+, oreq AS (
+    SELECT O.outfit_id, COALESCE(IO.u_id, O.u_id) AS u_id, O.u_id AS owner
+    FROM w_outfit O
+    LEFT JOIN first_item FI ON O.outfit_id = FI.outfit_id
+    LEFT JOIN item_owner IO ON FI.item_id = IO.item_id
+)
+, odel AS (SELECT outfit_id FROM oreq WHERE u_id = owner)
+"""
+_ODEL = "outfit_id NOT IN (SELECT outfit_id FROM odel)"
+q("cascade_delete_outfits", _OREQ + _counts(
     {n: _ODEL for n in ("w_outfit", "w_oimg", "w_season", "w_occ", "w_inc", "w_rec")},
-    rejects="SELECT COUNT(*) FROM w_outfit WHERE outfit_id % 14 = 0",
+    rejects="SELECT COUNT(*) FROM oreq WHERE u_id <> owner",
 ))
 
 _IREQ = """

@@ -37,13 +37,13 @@ def _ids_text(ids: Column) -> Column:
 
 
 def outfit_deletes(t: Tables) -> DataFrame:
-    """Delete every 7th outfit; every 14th names the wrong owner (rejected)."""
-    o = t.w_outfit.where(F.col("outfit_id") % 7 == 0)
-    return o.select(
-        F.col("outfit_id").alias("change_id"),
-        F.when(F.col("outfit_id") % 14 == 0, F.col("u_id") + 1).otherwise(F.col("u_id")).alias("u_id"),
-        "outfit_id",
-    )
+    """Every outfit is asked to be deleted by the owner of its lowest item id
+    (its own owner when it has no existing item): requests from another user
+    are rejected, the rest cascade."""
+    first_item = t.w_inc.groupBy("outfit_id").agg(F.min("item_id").alias("item_id"))
+    owner_of_item = items_with_owner(t).select("item_id", F.col("u_id").alias("_iu"))
+    req = t.w_outfit.select("outfit_id", "u_id").join(first_item, "outfit_id", "left").join(owner_of_item, "item_id", "left")
+    return req.select(F.col("outfit_id").alias("change_id"), F.coalesce("_iu", "u_id").alias("u_id"), "outfit_id")
 
 
 def item_deletes(t: Tables) -> DataFrame:
