@@ -695,7 +695,9 @@ q("record_wears_tables", _WEARS + """
 q("clean_lists", _LISTS + """
 , raw AS (
     SELECT R.outfit_id, R.datetime,
-           CASE R.outfit_id % 7 WHEN 0 THEN '0' WHEN 1 THEN ' 6' WHEN 2 THEN 'x' WHEN 3 THEN ''
+           CASE WHEN R.weather = 'A' THEN '0'
+                WHEN R.weather = 'R' THEN ' ' || CAST(R.rating AS VARCHAR) || ' '
+                WHEN R.mood = 'O' THEN 'x'
                 ELSE CAST(R.rating AS VARCHAR) END AS rating_raw,
            upper(COALESCE(L.season, '')) || ', ,' AS season_raw,
            ' ' || array_to_string(L.ids, ',') || ', x,' || COALESCE(CAST(L.ids[1] AS VARCHAR), '') AS ids_raw

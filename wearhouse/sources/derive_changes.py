@@ -104,10 +104,12 @@ def wear_changes(t: Tables) -> DataFrame:
 def raw_payloads(t: Tables) -> DataFrame:
     """Messy form payloads per record: rating text, season text, item id text."""
     o = _outfit_lists(t)
-    rec = t.w_rec.select("outfit_id", "datetime", "rating").join(o.select("outfit_id", "season", "ids"), "outfit_id")
-    k = F.col("outfit_id") % 7
+    rec = t.w_rec.select("outfit_id", "datetime", "rating", "weather", "mood").join(o.select("outfit_id", "season", "ids"), "outfit_id")
+    # The record's own flags decide how messy its payload is.
     rating_raw = (
-        F.when(k == 0, F.lit("0")).when(k == 1, F.lit(" 6")).when(k == 2, F.lit("x")).when(k == 3, F.lit(""))
+        F.when(F.col("weather") == "A", F.lit("0"))
+        .when(F.col("weather") == "R", F.concat(F.lit(" "), F.col("rating").cast("string"), F.lit(" ")))
+        .when(F.col("mood") == "O", F.lit("x"))
         .otherwise(F.col("rating").cast("string"))
     )
     ids_raw = F.concat(F.lit(" "), _ids_text("ids"), F.lit(", x,"), F.coalesce(F.get("ids", 0).cast("string"), F.lit("")))
