@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearhouse.llm.common import documents, emit, fold, materialize, rows_of
+from wearhouse.llm.common import documents, emit, fold, map_arrow, materialize, rows_of
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -56,7 +56,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         yield from flush(counts)
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    parts = rows.mapInArrow(run, "lang string, word string, n long")
+    parts = map_arrow(rows, run, "lang string, word string, n long")
     return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -82,7 +82,7 @@ def gram_counts(counts: DataFrame) -> DataFrame:
                 yield from flush(sums)
         yield from flush(sums)
 
-    return counts.select("lang", "word", "n").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_arrow(counts.select("lang", "word", "n"), run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _top(counts: DataFrame, key: str, limit: int, least: int) -> list[tuple[str, str, int]]:
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             got = [scorer.predict(t) for t in texts]
             yield emit(schema, ids, [x for x, _ in got], [s for _, s in got])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

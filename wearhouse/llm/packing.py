@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wearhouse.llm.common import documents, emit, materialize, rows_of
+from wearhouse.llm.common import documents, emit, map_arrow, materialize, rows_of
 
 CAP = 1024
 END = 2
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, vocab: str, ranks: str, cap: int = CAP, end: int = E
                         c.append(v)
             yield emit(PIECES, *out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long")
 
 
 def _groups(hist: dict[int, int], k: int) -> dict[int, list[list[int]]]:
@@ -273,7 +273,7 @@ def pack(docs: DataFrame, vocab: str, ranks: str, cap: int = CAP, end: int = END
                 offset[rows_] = p[at, 3]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column("length").cast(pa.int64()), b.column("ids_crc32"), pa.array(sequence), pa.array(offset)], schema=schema)
 
-    return full.unionByName(ranked.mapInArrow(look_up, PACKED))
+    return full.unionByName(map_arrow(ranked, look_up, PACKED))
 
 
 def public_pack(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from wearhouse.llm.common import documents, emit, rows_of
+from wearhouse.llm.common import documents, emit, rows_of, map_arrow
 
 MARK = "▁"
 #: Remembered pre-tokens per worker; the table starts anew when it is full.
@@ -119,7 +119,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
             n = counter.counts(texts)
             yield emit(SCHEMA, ids, [len(t.encode()) for t in texts], n, [x > limit for x in n])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
