@@ -164,14 +164,14 @@ WITH d AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark
 ), win AS (
-  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS window
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS words
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
 ), places AS (
-  SELECT doc_id, i, s.size, array_to_string(w[i:i + s.size - 1], ' ') AS window
+  SELECT doc_id, i, s.size, array_to_string(w[i:i + s.size - 1], ' ') AS words
   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) p, (SELECT DISTINCT size FROM win) s
   WHERE i + s.size - 1 <= len(w)
 ), hits AS (
-  SELECT DISTINCT doc_id, i, size, item_id FROM places JOIN win USING (size, window)
+  SELECT DISTINCT doc_id, i, size, item_id FROM places JOIN win USING (size, words)
 ), hit_words AS (
   SELECT doc_id, count(DISTINCT pos) AS n_hit
   FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM (SELECT DISTINCT doc_id, i, size FROM hits)) GROUP BY doc_id

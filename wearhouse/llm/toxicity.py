@@ -1,9 +1,9 @@
 """Toxicity by maximum-scoring segments (operator 1).
 
 * Token scores: log-odds of a word in toxic against clean training texts, with
-  an informative Dirichlet prior from the word counts of *all* documents; the
-  lower confidence bound of the log-odds is the score, and words whose log-odds
-  are not significant share one slightly negative score.
+  an informative Dirichlet prior from the word counts of *all* documents, less
+  half their standard deviation.  Words whose counts do not differ significantly
+  (signed root of the likelihood ratio) share one slightly negative score.
 * Passages: a linear-time scan over the word scores finds all maximal-scoring
   segments of a text (each toxic passage, whole and disjoint).
 * Calibration: segment scores of chance texts follow an extreme-value law,
@@ -34,9 +34,10 @@ from wearhouse.llm.common import documents, emit, fold, label_sample, map_arrow,
 WORD = re.compile(r"[^\W\d_]+")
 MAX_ROWS = 20_000
 MAX_TERMS = 20_000
-#: Weight of the prior as a share of the labelled words, and least z of a term.
+#: Weight of the prior as a share of the labelled words, and the least signed
+#: root of a term's likelihood ratio.
 PRIOR = 0.1
-LEAST_Z = 2.3
+LEAST_Z = 3.7
 #: Karlin-Altschul's K, and the E below which a segment is significant.
 K = 0.1
 MOST_E = 0.5
@@ -91,21 +92,23 @@ def lexicon(counts: DataFrame, max_terms: int = MAX_TERMS) -> Model:
     y1, y0 = F.col("n1") + prior, F.col("n0") + prior
     log_odds = F.log(y1 / (F.lit(total["n1"] + a0) - y1)) - F.log(y0 / (F.lit(total["n0"] + a0) - y0))
     sd = F.sqrt(1 / y1 + 1 / y0)
+    share = total["n1"] / (total["n1"] + total["n0"])
+    seen = F.col("n1") + F.col("n0")
+    ratio = 2 * (F.col("n1") * F.log(F.col("n1") / (seen * share)) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (seen * (1 - share)))).otherwise(0.0))
     kept = (
-        counts.where(F.col("n1") > 1)
-        .select("word", "n", "n1", log_odds.alias("d"), sd.alias("sd"))
-        .where(F.col("d") > LEAST_Z * F.col("sd"))
-        .select("word", "n", "n1", (F.col("d") - F.col("sd")).alias("s"))
+        counts.where((F.col("n1") > 1) & (F.col("n1") > seen * share) & (ratio >= LEAST_Z * LEAST_Z))
+        .select("word", "n", "n1", (log_odds - sd / 2).alias("s"))
+        .where("s > 0")
         .orderBy(F.desc("s"), "word")
         .limit(max_terms)
         .collect()
     )
     terms = {r["word"]: r["s"] for r in kept}
     seen1 = sum(r["n1"] for r in kept) / total["n1"]
-    seen = sum(r["n"] for r in kept) / total["n"]
-    other = min(-1e-3, math.log(max(1e-9, 1 - seen1)) - math.log(max(1e-9, 1 - seen)))
+    seen0 = sum(r["n"] for r in kept) / total["n"]
+    other = min(-1e-3, math.log(max(1e-9, 1 - seen1)) - math.log(max(1e-9, 1 - seen0)))
     # lambda: sum over the background of p exp(lambda s) = 1
-    p = np.array([r["n"] / total["n"] for r in kept] + [1 - seen])
+    p = np.array([r["n"] / total["n"] for r in kept] + [1 - seen0])
     s = np.array([r["s"] for r in kept] + [other])
     low, high = 1e-6, 50.0
     for _ in range(200):
