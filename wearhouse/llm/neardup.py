@@ -10,10 +10,13 @@
   ``DISTANCE`` meet; a pair at the similarity threshold is further apart with
   a probability of about one in a million.
 * Large entries are not expanded into pairs.  First each class is held against
-  one other class, the smallest of the entries it shares most; the confirmed
-  links are joined into components, and entries that lie inside one component
-  are done.  Only in the others are members of different components compared,
-  in blocks of bounded size, by the whole signatures.
+  one hub: of each entry the member that meets most others, of a class's
+  entries the hub it shares most with.  The confirmed links are joined into
+  components, and entries that lie inside one component are done.  Only in the
+  others are members of different components compared, in blocks of bounded
+  size, each pair in the first entry that it shares, by the whole signatures
+  and by sketches (the ``SKETCH`` smallest shingle hashes, all of them in
+  shorter texts).  One link between two components is enough.
 * Candidates are confirmed on their full shingle sets.
 """
 
@@ -36,6 +39,10 @@ CHUNK = 4
 DISTANCE = 2 * (COMPONENTS // CHUNK) - 1
 #: Members of an entry that are compared in one go.
 BLOCK = 512
+#: Smallest shingle hashes of a sketch; the estimate from them may miss by
+#: ``SIGMAS`` standard deviations before a pair is passed over.
+SKETCH = 256
+SIGMAS = 5
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,7 +59,8 @@ def signature(h: np.ndarray) -> np.ndarray:
 
 def entries(sig: np.ndarray) -> np.ndarray:
     """The entries of a signature: per chunk and left-out component a hash of
-    chunk number, component number and the other components."""
+    chunk number, component number and the other components; its low byte is
+    the entry's number."""
     chunks = sig.astype(np.uint64).reshape(-1, CHUNK)
     out = []
     for skip in range(CHUNK):
@@ -61,7 +69,52 @@ def entries(sig: np.ndarray) -> np.ndarray:
             if c != skip:
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + chunks[:, c] + np.uint64(1))
         out.append(key)
-    return np.concatenate(out).view(np.int64)
+    number = np.arange(COMPONENTS, dtype=np.uint64)
+    return (np.concatenate(out) << np.uint64(8) | number).view(np.int64)
+
+
+def first_entry(same: np.ndarray) -> np.ndarray:
+    """Number of the first entry that pairs share, from the equality of their
+    signatures' components (a row per pair); ``COMPONENTS`` if none."""
+    chunks = same.reshape(len(same), COMPONENTS // CHUNK, CHUNK)
+    agree = chunks.sum(2)
+    out = np.full(len(same), COMPONENTS)
+    for skip in reversed(range(CHUNK)):
+        hit = (agree == CHUNK) | ((agree == CHUNK - 1) & ~chunks[:, :, skip])
+        out = np.where(hit.any(1), skip * agree.shape[1] + hit.argmax(1), out)
+    return out
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """The smallest hashes, shortened to 32 bits; a leading 1 if these are all."""
+    return np.concatenate([[len(h) <= SKETCH], h[:SKETCH] >> np.uint64(32)]).astype(np.uint32).tobytes()
+
+
+class Sketches:
+    """Sketches of a block's members, for one against many."""
+
+    def __init__(self, raw: list[bytes]):
+        rows = [np.frombuffer(x, np.uint32) for x in raw]
+        self.values = [x[1:] for x in rows]
+        self.limit = np.array([np.iinfo(np.uint32).max if x[0] else x[-1] for x in rows], np.uint32)
+        self.whole = np.array([bool(x[0]) for x in rows])
+
+    def alike(self, at: int, to: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``to`` may have the similarity with ``at``, and which surely
+        have: exactly (but for one colliding hash) where both sketches are
+        whole, else by the estimate, which is never sure."""
+        own, flat = self.values[at], np.concatenate([self.values[i] for i in to])
+        sizes = np.array([len(self.values[i]) for i in to])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        limit = np.minimum(self.limit[to], self.limit[at])
+        seen = flat <= np.repeat(limit, sizes)
+        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        both = np.add.reduceat(seen & (own[place] == flat), starts)
+        union = np.add.reduceat(seen, starts) + np.searchsorted(own, limit, side="right") - both
+        share = percent / 100
+        whole = self.whole[to] & self.whole[at]
+        over = both - share * union
+        return over >= -np.where(whole, 1, SIGMAS * np.sqrt(share * (1 - share) * union) + 1), whole & (over >= 1)
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -129,44 +182,68 @@ def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
-def _across(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) within ``DISTANCE`` of members of one entry that lie in
-    different components.  An entry is cut into blocks of about ``BLOCK``
+def _sketches(texts: DataFrame, size: int) -> DataFrame:
+    schema = pa.schema([("uid", pa.int64()), ("sketch", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uid, text in rows_of(batches, 256):
+            yield emit(schema, uid, [sketch(shingles(t, size)) for t in text])
+
+    return map_arrow(texts.select("uid", "text"), run, "uid long, sketch binary")
+
+
+def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one entry that lie in different components
+    and may have the similarity; of pairs known for certain, one between any
+    two components and blocks.  An entry is cut into blocks of about ``BLOCK``
     members by a hash of the member; each pair of blocks is one unit of work."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def within(rows: dict[str, list]) -> pa.RecordBatch:
+    def unit(entry: int, rows: dict[str, list]) -> pa.RecordBatch:
         uid, comp, home = (np.array(rows[c], np.int64) for c in ("uid", "comp", "home"))
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, COMPONENTS)
+        marks = Sketches(rows["sketch"])
         left, right = np.flatnonzero(home == home.min()), np.flatnonzero(home == home.max())
-        out: list[np.ndarray] = []
+        joined: set[tuple[int, int]] = set()
+        out: list[tuple[int, int]] = []
         for at in left:
-            to = right[(comp[right] != comp[at]) & (uid[right] != uid[at])]
-            to = to[(sig[to] != sig[at]).sum(1) <= DISTANCE]
-            out.append(np.stack([np.minimum(uid[at], uid[to]), np.maximum(uid[at], uid[to])]))
-        found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], schema=schema)
+            to = right[(comp[right] != comp[at]) & ((home[right] != home[at]) | (right > at))]
+            same = sig[to] == sig[at]
+            to = to[(same.sum(1) >= COMPONENTS - DISTANCE) & (first_entry(same) == entry)]
+            if len(to):
+                maybe, sure = marks.alike(at, to, percent)
+                for k, certain in zip(to[maybe], sure[maybe]):
+                    both = (min(comp[at], comp[k]), max(comp[at], comp[k]))
+                    if both in joined:
+                        continue
+                    if certain:
+                        joined.add(both)
+                    out.append((min(uid[at], uid[k]), max(uid[at], uid[k])))
+        return emit(schema, [int(x) for x, _ in out], [int(y) for _, y in out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, now, rows = ["uid", "comp", "home", "sig"], None, {}
-        for *unit, uid, comp, home, sig in rows_of(batches, 4096):
-            for row in zip(zip(*unit), uid, comp, home, sig):
+        names, now, rows = ["uid", "comp", "home", "sig", "sketch"], None, {}
+        for *name, uid, comp, home, sig, mark in rows_of(batches, 4096):
+            for row in zip(zip(*name), uid, comp, home, sig, mark):
                 if row[0] != now:
                     if now is not None:
-                        yield within(rows)
+                        yield unit(now[0] & 255, rows)
                     now, rows = row[0], {c: [] for c in names}
                 for c, v in zip(names, row[1:]):
                     rows[c].append(v)
         if now is not None:
-            yield within(rows)
+            yield unit(now[0] & 255, rows)
 
     blocks = F.ceil(F.col("n") / BLOCK)
+    about = classes.select("uid", "sig").join(members.select("uid").distinct(), "uid", "left_semi").join(
+        _sketches(texts.join(members.select("uid").distinct(), "uid", "left_semi"), size).dropDuplicates(["uid"]), "uid"
+    )
     units = (
         members.withColumn("home", F.pmod(F.xxhash64("uid"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .select("key", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "uid", "comp", "home")
-        .join(classes.select("uid", "sig"), "uid")
-        .select("key", "i", "j", "uid", "comp", "home", "sig")
+        .join(about, "uid")
+        .select("key", "i", "j", "uid", "comp", "home", "sig", "sketch")
     )
     return map_arrow(units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long").distinct()
 
@@ -187,21 +264,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = materialize(classes.withColumn("uid", F.monotonically_increasing_id()))
 
     placed = _entries(classes)
-    shared = placed.groupBy("key").agg(F.min("uid").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(placed.join(shared, "key"))
+    members = materialize(placed.join(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
 
     met = classes.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "doc_id", "set_id")
     texts = materialize(_texts(docs, met, size))
 
-    votes = members.where("uid <> pivot").groupBy("uid", "pivot").agg(F.count("*").alias("votes"))
-    first = votes.groupBy("uid").agg(F.max_by("pivot", F.struct("votes", -F.col("pivot"))).alias("b")).select(F.col("uid").alias("a"), "b")
+    degree = members.groupBy("uid").agg(F.sum("n").alias("degree"))
+    hubs = members.join(degree, "uid").groupBy("key").agg(F.max(F.struct("degree", "uid")).alias("hub")).select("key", F.col("hub.uid").alias("hub"))
+    votes = members.join(hubs, "key").where("uid <> hub").groupBy("uid", "hub").agg(F.count("*").alias("votes"))
+    first = votes.groupBy("uid").agg(F.max_by("hub", F.struct("votes", "hub")).alias("b")).select(F.col("uid").alias("a"), "b")
     links = materialize(_confirm(_close(first, classes), texts, size, percent))
     labels = materialize(components(links))
 
     marked = members.join(labels.select(F.col("node").alias("uid"), "component"), "uid", "left").select("key", "uid", "n", F.coalesce("component", "uid").alias("comp"))
     marked = materialize(marked)
     mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    more = _across(marked.join(mixed, "key"), classes)
+    more = _across(marked.join(mixed, "key"), classes, texts, size, percent)
     links = links.unionByName(materialize(_confirm(more, texts, size, percent)))
     labels = components(links)
 
