@@ -21,6 +21,7 @@ def constraints_hold(t):
 
 
 def accounted(batch, result):
+    assert batch.count() == result.applied.count() + result.rejects.count()
     ids = {r.change_id for r in batch.select("change_id").collect()}
     ok = {r.change_id for r in result.applied.select("change_id").collect()}
     bad = {r.change_id for r in result.rejects.select("change_id").collect()}
@@ -40,7 +41,7 @@ def test_golden_constraints(golden):
 
 def test_add_users_and_closets(spark, golden):
     batch = spark.createDataFrame(
-        [(1, " ann ", None), (2, "student", "x"), (3, "  ", None), (4, "ann", "f")], "change_id long, username string, gender string"
+        [(1, " ann ", None), (2, "mira", "x"), (3, "  ", None), (4, "ann", "f")], "change_id long, username string, gender string"
     )
     r = changes.add_users(golden, batch)
     ok, bad = accounted(batch, r)
@@ -83,7 +84,7 @@ def test_outfit_add_update_lock_delete(spark, golden):
     constraints_hold(r.tables)
 
     upd = spark.createDataFrame(
-        [(1, 1, 1, "Campus", "", "", "", "", "1,2"), (2, 1, 2, "Pres", "n", "Winter", "", "", "5,6,4")],
+        [(1, 1, 1, "Campus", "", "", "", "", "1,2"), (2, 1, 2, "Pres", "n", "Winter", "", "", "5,4")],
         "change_id long, u_id long, outfit_id long, outfit_name string, note string, season string, occasion string, image_url string, item_ids string",
     )
     r2 = changes.update_outfits(golden, upd)
@@ -101,7 +102,7 @@ def test_outfit_add_update_lock_delete(spark, golden):
 
 def test_record_wears(spark, golden):
     batch = wear_batch(spark, [
-        dict(change_id=1, u_id=1, outfit_id="1", datetime="2026-05-20 08:30:00"),  # duplicate key
+        dict(change_id=1, u_id=1, outfit_id="1", datetime="2025-04-01 07:45:00"),  # duplicate key
         dict(change_id=2, u_id=1, outfit_id="1", datetime="2026-06-02", rating="5"),
         dict(change_id=3, u_id=1, outfit_id="1", datetime="2026-06-02"),  # in-batch duplicate
         dict(change_id=4, u_id=1, item_ids="3, 7", datetime="2026-06-03 09:00:00", season="summer"),
@@ -118,20 +119,22 @@ def test_record_wears(spark, golden):
     new = t.w_outfit.where("outfit_id = 3").first()
     assert new.outfit_name == "Outfit Record" and new.created_date == "2026-06-03"
     lw = {x.item_id: x.last_worn for x in t.w_item.collect()}
-    assert lw[1] == "2026-06-02" and lw[3] == "2026-06-03" and lw[7] == "2026-06-03" and lw[5] == "2026-05-05"
+    assert lw[1] == "2026-06-02" and lw[3] == "2026-06-03" and lw[7] == "2026-06-03" and lw[5] == "2025-02-20"
     constraints_hold(t)
 
 
 def test_touch_worn_never_lowers(spark, golden):
     wears = spark.createDataFrame([(1, "2020-01-01 00:00:00"), (2, "2030-01-01")], "item_id long, datetime string")
     lw = {x.item_id: x.last_worn for x in changes.touch_worn(golden, wears).w_item.collect()}
-    assert lw[1] == "2026-05-01" and lw[2] == "2030-01-01"
+    assert lw[1] == "2025-03-04" and lw[2] == "2030-01-01"
 
 
 def test_insert_or_ignore_and_ids(spark, golden):
     new = spark.createDataFrame([(9, 1, "casual"), (8, 1, "extra"), (7, 1, "extra")], "change_id long, item_id long, tag string")
     out = changes.insert_or_ignore(golden.w_tag, new, ["item_id", "tag"])
-    assert out.count() == 9  # (1, casual) and one (1, extra) are new
+    assert sorted(map(tuple, out.collect())) == [(1, "casual"), (1, "extra")]
+    old = spark.createDataFrame([(1, 1, "basic")], "change_id long, item_id long, tag string")
+    assert changes.insert_or_ignore(golden.w_tag, old, ["item_id", "tag"]).count() == 0
     df = spark.range(0, 50, numPartitions=4).withColumnRenamed("id", "change_id")
     ids = sorted((r.change_id, r.new_id) for r in changes.assign_ids(df, "new_id", ["change_id"], 100).collect())
     assert [i for _, i in ids] == list(range(100, 150))
@@ -144,7 +147,7 @@ def test_stream_batch_replay_is_noop(spark, golden):
     assert apply_wear_batch(spark, batch, 0, root, as_of="2026-07-01 00:00:00")
     assert not apply_wear_batch(spark, batch, 0, root, as_of="2026-07-01 00:00:00")
     t = load_tables(spark, root)
-    assert t.w_outfit.count() == 3 and t.w_rec.count() == 3
+    assert t.w_outfit.count() == 3 and t.w_rec.count() == 4
     assert t.w_rec.where(F.col("datetime") == "2026-07-01 00:00:00").count() == 1
 
 
@@ -158,14 +161,15 @@ def test_publish_writes_only_changes(spark, golden):
     batch = wear_batch(spark, [dict(change_id=1, u_id=1, outfit_id="2", datetime="2026-06-09")])
     v = publish(changes.record_wears(base, batch), base, root, 0)
     parts = manifest(spark, root, v)
-    assert parts["w_user"] == ["v=0/w_user"] and parts["w_tag"] == ["v=0/w_tag"]  # untouched: not rewritten
-    assert parts["w_rec"] == ["v=0/w_rec", f"v={v}/w_rec"]  # insert-only: one new part
-    assert parts["w_item"] == [f"v={v}/w_item"]  # last_worn updated: rewritten
+    versions = {n: [x.split("/")[0] for x in p] for n, p in parts.items()}
+    assert versions["w_user"] == ["v=0"] and versions["w_tag"] == ["v=0"]  # untouched: not rewritten
+    assert versions["w_rec"] == ["v=0", f"v={v}"]  # insert-only: one new part
+    assert versions["w_item"] == [f"v={v}"]  # last_worn updated: rewritten
     t = load_tables(spark, root)
-    assert t.w_rec.count() == 3 and t.w_item.where("item_id = 5").first().last_worn == "2026-06-09"
+    assert t.w_rec.count() == 4 and t.w_item.where("item_id = 5").first().last_worn == "2026-06-09"
     v2 = compact_tables(spark, root, max_parts=1)
-    assert v2 == latest_version(spark, root) and manifest(spark, root, v2)["w_rec"] == [f"v={v2}/w_rec"]
-    assert load_tables(spark, root).w_rec.count() == 3
+    assert v2 == latest_version(spark, root) and len(manifest(spark, root, v2)["w_rec"]) == 1
+    assert load_tables(spark, root).w_rec.count() == 4
 
 
 def test_closets_add_rename(spark, golden):
@@ -201,36 +205,35 @@ def test_items_add_update(spark, golden):
     assert rep.w_cat.where("item_id = 1").count() == 0 and [x.tag for x in rep.w_tag.where("item_id = 1").collect()] == ["new"]
     mer = changes.update_items(golden, upd, mode="merge").tables
     row = mer.w_item.where("item_id = 1").first()
-    assert (row.item_name, row.size) == ("White Cotton Tee", "L") and mer.w_cat.where("item_id = 1").count() == 1
+    assert (row.item_name, row.size) == ("Rain Jacket", "L") and mer.w_cat.where("item_id = 1").count() == 1
 
 
 REC_CHANGE = "change_id long, u_id long, outfit_id long, datetime string, rating string, weather string, mood string, note string"
 
 
 def test_records_update_delete(spark, golden):
-    upd = spark.createDataFrame([(1, 1, 1, "2026-05-20 08:30:00", "2", "Rain", None, "meh"),
+    upd = spark.createDataFrame([(1, 1, 1, "2025-04-01 07:45:00", "2", "Rain", None, "meh"),
                                  (2, 1, 1, "2026-05-20", None, None, None, None),
-                                 (3, 1, 2, "2026-05-22 13:00:00", "8", None, None, None),
-                                 (4, 2, 1, "2026-05-20 08:30:00", None, None, None, None)], REC_CHANGE)
+                                 (3, 1, 2, "2025-04-03 19:30:00", "8", None, None, None),
+                                 (4, 2, 1, "2025-04-01 07:45:00", None, None, None, None)], REC_CHANGE)
     r = changes.update_records(golden, upd)
     ok, bad = accounted(upd, r)
     assert ok == {1} and bad[2] == changes.MSG_RECORD_NOT_FOUND and bad[3] == changes.MSG_RATING and bad[4] == changes.MSG_OUTFIT_NOT_FOUND
-    rec = r.tables.w_rec.where("outfit_id = 1").first()
+    rec = r.tables.w_rec.where("outfit_id = 1 AND datetime < '2025-04-02'").first()
     assert (rec.rating, rec.weather, rec.mood, rec.note) == (2, "Rain", "", "meh")
-    dele = spark.createDataFrame([(1, 1, 2, "2026-05-22 13:00:00", None, None, None, None),
+    dele = spark.createDataFrame([(1, 1, 2, "2025-04-03 19:30:00", None, None, None, None),
                                   (2, 1, 2, "", None, None, None, None)], REC_CHANGE)
     r2 = changes.delete_records(golden, dele)
     ok, bad = accounted(dele, r2)
     assert ok == {1} and bad[2] == changes.MSG_RECORD_DATE
-    assert r2.tables.w_rec.count() == 1 and r2.tables.w_outfit.count() == 2
+    assert r2.tables.w_rec.count() == 2 and r2.tables.w_outfit.count() == 2
 
 
 def test_change_file_source_and_json_sink(spark, golden):
     import json
     import os
 
-    from wearhouse.operators.reports import overview
-    from wearhouse.sources.tables import read_changes, rows_as_json
+    from wearhouse.sources.tables import read_changes, rows_as_json, write_json
 
     d = tempfile.mkdtemp(prefix="wearhouse-test-")
     with open(os.path.join(d, "c.json"), "w") as f:
@@ -239,18 +242,147 @@ def test_change_file_source_and_json_sink(spark, golden):
     df = read_changes(spark, d, WEAR_CHANGE_SCHEMA)
     rows = df.collect()
     assert len(rows) == 2 and rows[1]["_corrupt_record"] == "{not json" and rows[0]["_corrupt_record"] is None
-    js = golden.w_user.select(rows_as_json(golden.w_user).alias("j")).where("j like '%student%'").first().j
-    assert json.loads(js) == {"u_id": 1, "username": "student", "gender": "female", "role": "user"}
-    bundle = overview(golden, user_id=1)
-    assert set(bundle) == {"totals", "category_counts", "most_worn", "least_worn", "outfit_reuse", "recent_records"}
-    assert all(df.count() >= 1 for df in bundle.values())
+    js = golden.w_user.select(rows_as_json(golden.w_user).alias("j")).where("j like '%mira%'").first().j
+    assert json.loads(js) == {"u_id": 1, "username": "mira", "gender": "female", "role": "user"}
+    write_json(golden.w_outfit.select("outfit_id", F.lit(None).cast("string").alias("gap")), f"{d}/out")
+    lines = [json.loads(r.value) for r in spark.read.text(f"{d}/out").collect()]
+    assert sorted(x["outfit_id"] for x in lines) == [1, 2] and all(x["gap"] is None for x in lines)
+
+
+def test_alternate_fields(spark, golden):
+    """the first given one of two payload names counts."""
+    df = spark.createDataFrame([(1, "", "bob"), (2, "ann", "x")], "change_id long, username string, name string")
+    r = changes.add_users(golden, df.withColumn("gender", F.lit(None).cast("string")))
+    assert {x.username for x in r.applied.collect()} == {"bob", "ann"}
+
+
+def test_repeated_change_ids_are_rejected(spark, golden):
+    batch = wear_batch(spark, [dict(change_id=1, u_id=1, outfit_id="1", datetime="2026-06-02"), dict(change_id=1, u_id=1, outfit_id="2", datetime="2026-06-03"),
+                               dict(change_id=2, u_id=1, outfit_id="2", datetime="2026-06-04"), dict(u_id=1, outfit_id="2", datetime="2026-06-05")])
+    r = changes.record_wears(golden, batch)
+    assert r.applied.count() + r.rejects.count() == 4 and r.tables.w_rec.count() == 4
+    assert sorted((x.change_id or 0, x.reason) for x in r.rejects.collect()) == [(0, changes.MSG_MALFORMED), (1, changes.MSG_MALFORMED), (1, changes.MSG_MALFORMED)]
+    constraints_hold(r.tables)
+
+
+def test_later_updates_do_not_undo_earlier_ones(spark, golden):
+    rows = [(1, 1, 1, 2, None, "XL", None, None, None, "Teal", None), (2, 1, 1, None, "Poncho", None, "2026-01-01", None, None, None, None),
+            (3, 1, 1, 0, None, None, None, "dry", None, None, None)]
+    batch = spark.createDataFrame(rows, ITEM_CHANGE)
+    for mode, want in (("merge", (2, "Poncho", "XL", "2026-01-01")), ("replace", (2, "", "", ""))):
+        r = changes.update_items(golden, batch, mode=mode)
+        assert accounted(batch, r)[0] == {1, 2, 3}  # overridden ones are applied, too
+        row = r.tables.w_item.where("item_id = 1").first()
+        assert (row.c_id, row.item_name, row.size, row.last_worn) == want
+        colors = [x.color for x in r.tables.w_color.where("item_id = 1").collect()]
+        assert colors == (["Teal"] if mode == "merge" else [])
+        constraints_hold(r.tables)
+    out = spark.createDataFrame([(1, 1, 2, "A", "", "", "", "", "4,5"), (2, 1, 2, "B", "", "", "", "", "5,4")],
+                                "change_id long, u_id long, outfit_id long, outfit_name string, note string, season string, occasion string, image_url string, item_ids string")
+    r = changes.update_outfits(golden, out)
+    assert accounted(out, r)[0] == {1, 2} and r.tables.w_outfit.where("outfit_id = 2").first().outfit_name == "B"
+
+
+def test_second_delete_is_not_found(spark, golden):
+    twice = lambda *row: [(1, *row), (2, *row)]
+    cases = [
+        (changes.delete_closets, spark.createDataFrame(twice(1, 3), "change_id long, u_id long, c_id long"), changes.MSG_CLOSET_NOT_FOUND),
+        (changes.delete_items, spark.createDataFrame(twice(1, 7), "change_id long, u_id long, item_id long"), changes.MSG_ITEM_NOT_FOUND),
+        (changes.delete_outfits, spark.createDataFrame(twice(1, 2), "change_id long, u_id long, outfit_id long"), changes.MSG_OUTFIT_NOT_FOUND),
+        (changes.delete_records, spark.createDataFrame(twice(1, 2, "2025-04-03 19:30:00", None, None, None, None), REC_CHANGE), changes.MSG_RECORD_NOT_FOUND),
+    ]
+    for job, batch, reason in cases:
+        ok, bad = accounted(batch, job(golden, batch))
+        assert ok == {1} and bad == {2: reason}
+
+
+def test_blank_outfit_ids(spark, golden):
+    batch = wear_batch(spark, [dict(change_id=k, u_id=1, outfit_id=o, item_ids="3", datetime=f"2026-06-0{k}") for k, o in enumerate((" ", "", None, "0", " 2 "), 1)])
+    ok, bad = accounted(batch, changes.record_wears(golden, batch))
+    assert ok == {2, 3, 4, 5} and bad == {1: changes.MSG_INVALID_OUTFIT}
+
+
+def test_unreadable_marker_is_an_error(spark, golden):
+    import glob
+
+    import pytest
+    from wearhouse.sources.tables import last_batch_id, latest_version
+
+    root = tempfile.mkdtemp(prefix="wearhouse-test-")
+    assert latest_version(spark, root) is None and last_batch_id(spark, root) is None
+    write_tables(golden, root, version=0)
+    for f in glob.glob(f"{root}/commits/v=0/*.parquet"):
+        with open(f, "wb") as out:
+            out.write(b"not parquet")
+    for f in glob.glob(f"{root}/commits/v=0/.*.crc"):
+        with open(f, "wb") as out:
+            out.write(b"")
+    for call in (latest_version, last_batch_id):
+        with pytest.raises(Exception):
+            call(spark, root)
+    with pytest.raises(Exception):
+        write_tables(golden, root)
+
+
+def test_versions_are_never_overwritten(spark, golden):
+    import pytest
+    from wearhouse.sources import tables as T
+
+    root = tempfile.mkdtemp(prefix="wearhouse-test-")
+    write_tables(golden, root, version=0)
+    with pytest.raises(FileExistsError):
+        write_tables(golden, root, version=0)
+    # two writers that both see version 0 as the latest: the marker decides
+    seen = T.path_exists
+    fewer = golden.with_tables(w_rec=golden.w_rec.limit(0))
+    write_tables(golden, root, version=1)
+    try:
+        T.path_exists = lambda spark, path: False if path.endswith("commits/v=1") else seen(spark, path)
+        with pytest.raises(Exception):
+            write_tables(fewer, root, version=1)
+    finally:
+        T.path_exists = seen
+    assert load_tables(spark, root, 1).w_rec.count() == 3
+
+
+def test_crash_before_the_marker_loses_nothing(spark, golden, monkeypatch):
+    """The parts and rejects of a writer that died are ignored; the replay writes both."""
+    import pytest
+    from wearhouse.sources import tables as T
+
+    root = tempfile.mkdtemp(prefix="wearhouse-test-")
+    write_tables(golden, root, version=0)
+    batch = wear_batch(spark, [dict(change_id=1, u_id=1, outfit_id="1", datetime="2026-06-02"), dict(change_id=2, u_id=1, outfit_id="x")])
+    real = T.SparkSession.createDataFrame
+
+    def dies(self, data, schema=None, *a, **k):
+        if isinstance(schema, str) and schema.startswith("committed"):
+            raise RuntimeError("the driver is gone")
+        return real(self, data, schema, *a, **k)
+
+    monkeypatch.setattr(T.SparkSession, "createDataFrame", dies)
+    with pytest.raises(RuntimeError):
+        apply_wear_batch(spark, batch, 0, root)
+    monkeypatch.undo()
+    assert load_tables(spark, root).w_rec.count() == 3
+    assert apply_wear_batch(spark, batch, 0, root) and not apply_wear_batch(spark, batch, 0, root)
+    assert load_tables(spark, root).w_rec.count() == 4
+    assert [(r.change_id, r.reason) for r in T.read_beside(spark, root, "rejects").collect()] == [(2, changes.MSG_INVALID_OUTFIT)]
+
+
+def test_cluster_needs_a_shared_checkpoint_folder(monkeypatch):
+    import types
 
+    import pytest
+    from wearhouse.plans import session
 
-def test_first_present(spark):
-    from wearhouse.functions.columns import first_present
+    class Conf:
+        def get(self, *_):
+            return None
 
-    df = spark.createDataFrame([("", "bob", None), (None, None, "c")], "a string, b string, c string")
-    assert [r.x for r in df.select(first_present("a", "b", "c").alias("x")).collect()] == ["bob", "c"]
+    sc = types.SimpleNamespace(getCheckpointDir=lambda: None, getConf=Conf, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(types.SimpleNamespace(sparkContext=sc, conf=Conf()))
 
 
 def test_bucketed_snapshot_same_results(spark, golden):
@@ -270,7 +402,7 @@ def test_bucketed_snapshot_same_results(spark, golden):
     v = publish(changes.record_wears(t, batch), t, root, 0)
     assert len(manifest(spark, root, v)["w_rec"]) == 2
     t2 = load_tables(spark, root)
-    assert t2.w_rec.count() == 3 and key(outfits.outfit_list(t2)) == key(outfits.outfit_list(changes.record_wears(golden, batch).tables))
+    assert t2.w_rec.count() == 4 and key(outfits.outfit_list(t2)) == key(outfits.outfit_list(changes.record_wears(golden, batch).tables))
 
 
 def test_replayed_wear_batch_only_adds_rejects(spark, golden):
@@ -292,6 +424,7 @@ def test_stream_ingest_with_malformed_line(spark, golden):
     import json
     import os
 
+    from wearhouse.sources.tables import read_beside
     from wearhouse.streaming.ingest import start_wear_ingest
 
     root = tempfile.mkdtemp(prefix="wearhouse-test-")
@@ -304,8 +437,8 @@ def test_stream_ingest_with_malformed_line(spark, golden):
     q = start_wear_ingest(spark, f"{root}/in", f"{root}/tables", f"{root}/ckpt", as_of="2026-07-01 00:00:00")
     q.awaitTermination()
     t = load_tables(spark, f"{root}/tables")
-    assert t.w_rec.count() == 4 and t.w_outfit.count() == 3
-    bad = spark.read.parquet(f"{root}/tables/malformed").collect()
+    assert t.w_rec.count() == 5 and t.w_outfit.count() == 3
+    bad = read_beside(spark, f"{root}/tables", "rejects").collect()
     assert len(bad) == 1 and bad[0].raw == "{oops" and bad[0].reason == changes.MSG_MALFORMED
 
 

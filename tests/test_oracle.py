@@ -9,7 +9,7 @@ import os
 import pytest
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem".split()
+TABLES = "region nation customer supplier part orders lineitem documents pages benchmark labels".split()
 
 
 def _norm(v):
@@ -59,6 +59,3 @@ def test_entry_and_rows_only(spark):
     df = E.entry(spark)
     assert df.columns == ["u_id", "item_id", "item_name", "category", "color", "last_worn", "wear_count"]
     assert df.count() == 25
-    nested = E.queries()["outfit_detail_nested"](spark, SF)
-    flat = E.queries()["outfit_detail"](spark, SF)
-    assert nested.count() == flat.count()

@@ -79,12 +79,6 @@ def as_list(c: ColumnOrName) -> Column:
     return F.array_distinct(split_values(c))
 
 
-def as_list_array(arr: ColumnOrName) -> Column:
-    """F1 for an input that is already an array of strings."""
-    a = F.coalesce(col(arr), F.array().cast("array<string>"))
-    return F.array_distinct(F.filter(F.transform(a, trim9), lambda x: x != ""))
-
-
 def item_id_list(c: ColumnOrName) -> Column:
     """comma text -> distinct bigint ids, unparsable parts skipped, first-seen order."""
     parts = F.split(F.coalesce(col(c).cast("string"), F.lit("")), ",")
@@ -135,11 +129,6 @@ def required_name(c: ColumnOrName) -> Column:
     return F.when(t != "", t)
 
 
-def first_present(*cols: ColumnOrName) -> Column:
-    """the first alternate field that is neither NULL nor ''."""
-    return F.coalesce(*[F.nullif(col(c), F.lit("")) for c in cols])
-
-
 def date_part(c: ColumnOrName) -> Column:
     """the first ten characters of a datetime text."""
     return F.substring(col(c), 1, 10)
@@ -157,14 +146,15 @@ def today_text(as_of: str | None = None) -> Column:
 
 
 def optional_id(c: ColumnOrName) -> Column:
-    """blank -> NULL, otherwise the bigint value (NULL when unparsable)."""
-    t = trim9(col(c).cast("string"))
-    return F.when(F.nullif(t, F.lit("")).isNotNull(), to_integer(t))
+    """NULL, '' and 0 -> NULL (no id given), otherwise the bigint value
+    (NULL when unparsable; surrounding white space is allowed)."""
+    return F.nullif(to_integer(trim9(col(c).cast("string"))), F.lit(0).cast("bigint"))
 
 
 def optional_id_error(c: ColumnOrName) -> Column:
-    t = trim9(col(c).cast("string"))
-    return F.nullif(t, F.lit("")).isNotNull() & to_integer(t).isNull()
+    """True when something other than an integer is given (white space alone is)."""
+    raw = col(c).cast("string")
+    return F.coalesce(raw != "", F.lit(False)) & to_integer(trim9(raw)).isNull()
 
 
 def image_allowed(c: ColumnOrName) -> Column:
@@ -189,7 +179,3 @@ def like_contains(c: ColumnOrName, query: str) -> Column:
 def all_of(preds: Iterable[Column]) -> Column:
     """F16: AND of optional predicates (TRUE when there are none)."""
     return functools.reduce(operator.and_, list(preds), F.lit(True))
-
-
-def any_of(preds: Iterable[Column]) -> Column:
-    return functools.reduce(operator.or_, list(preds), F.lit(False))

@@ -97,14 +97,18 @@ def search(
         preds.append(F.col("u_id") == F.lit(user_id))
     items = items.where(all_of(preds)) if preds else items
 
-    # A user or closet search aggregates only that user's children.
-    attrs = keyed_arrays(t, ITEM_ATTRS, "item_id", restrict=items.select("item_id") if preds else None)
+    # Equality filters choose the items first (the child scan has the value
+    # pushed down); then only the chosen items' children are aggregated.
+    for value, (table, column) in ((category, ("w_cat", "category")), (color, ("w_color", "color")), (tag, ("w_tag", "tag"))):
+        if value is not None:
+            items = items.join(t.get(table).where(F.col(column) == F.lit(value)).select("item_id"), "item_id", "left_semi")
+    chosen = bool(preds) or any(v is not None for v in (category, color, tag))
+    attrs = keyed_arrays(t, ITEM_ATTRS, "item_id", restrict=items.select("item_id") if chosen else None)
     df = items.join(attrs, "item_id", "left")
     cols = {k: _arr(k) for k in ("tags", "categories", "colors", "images")}
 
     for value, key in ((category, "categories"), (color, "colors"), (tag, "tags")):
         if value is not None:
-            df = df.where(F.array_contains(cols[key], value))
             cols[key] = F.array(F.lit(value))
 
     if q is not None:
@@ -163,7 +167,7 @@ def item_outfit_refs(t: Tables) -> DataFrame:
     return (
         t.w_inc.join(t.w_outfit.select("outfit_id", "u_id"), "outfit_id")
         .groupBy("item_id", "u_id")
-        .agg(F.count_distinct("outfit_id").alias("outfit_count"))
+        .agg(F.count("outfit_id").alias("outfit_count"))  # the key of INCLUDES makes it exact
     )
 
 
@@ -200,10 +204,10 @@ def picker_filter(t: Tables, q: str | None = None, category: str | None = None,
     """C3 (with ``category``) / C4 (without): the item picker's client-side filter
     over catalog rows: closet equality, *primary* category equality, and a
     literal substring over name, category, color and tag joined by spaces."""
+    if closet_id:
+        t = t.only_items(t.w_item.where(F.col("c_id") == F.lit(closet_id)))
     df = item_catalog(t)
     preds = []
-    if closet_id:
-        preds.append(F.col("c_id") == F.lit(closet_id))
     if category:
         preds.append(first_value("category") == F.lit(category))
     query = (q or "").strip().lower()

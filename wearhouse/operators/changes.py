@@ -9,14 +9,20 @@ reason the application would have answered with.  Publishing is
 
 Checks run in the order the application runs them, and the first failing
 check names the reason.  Within one batch changes apply in ``change_id``
-order: for inserts the first of two conflicting changes wins, for updates of
-one row the last one wins, as if the requests had arrived one by one.
+order, as if the requests had arrived one by one: of two conflicting inserts
+the first wins, updates of one row are folded field by field, and a second
+delete of a row is rejected as not found.  An update that a later one overrides
+still counts as applied, so every change is either applied or rejected.
 Every change is all-or-nothing (a rejected wear record creates no outfit).
+Rows without a change id, and all rows that share one, are rejected as
+malformed before anything else looks at them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import functools
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,6 +143,36 @@ def _split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ok, bad
 
 
+def each_once(job: Callable[..., ChangeResult]) -> Callable[..., ChangeResult]:
+    """Splits off the rows whose ``change_id`` is NULL or occurs more than once,
+    so that no join on it can multiply rows, and rejects every one of them."""
+
+    @functools.wraps(job)
+    def run(t: Tables, changes: DataFrame, *args, **kw) -> ChangeResult:
+        again = changes.where("change_id IS NOT NULL").groupBy("change_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("change_id")
+        once = changes.where("change_id IS NOT NULL").join(again, "change_id", "left_anti").select(*changes.columns)
+        result = job(t, once, *args, **kw)
+        repeated = changes.select("change_id").join(again, "change_id", "left_semi")
+        bad = repeated.unionByName(changes.where("change_id IS NULL").select("change_id")).withColumn("reason", F.lit(MSG_MALFORMED))
+        return replace(result, rejects=result.rejects.unionByName(bad))
+
+    return run
+
+
+def reject_later(v: DataFrame, key: list[str], message: str) -> DataFrame:
+    """Of the valid changes sharing ``key`` all but the first get ``message``.
+    ``v`` is read twice, so it has to be materialized."""
+    firsts = first_of(v, key, F.col("reason").isNull())
+    return v.join(firsts, "change_id", "left").withColumn(
+        "reason", F.when(~F.coalesce(F.col("_first"), F.lit(True)), F.lit(message)).otherwise(F.col("reason"))
+    ).drop("_first")
+
+
+def latest(column: str) -> Column:
+    """The value of the last change that gives one (aggregate over a row's changes)."""
+    return F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.col("change_id")))
+
+
 # ------------------------------------------------------------------- M17
 def high_water(df: DataFrame, id_col: str, stored: int | None = None) -> int:
     """The largest id ever issued: the table's maximum, or a stored mark when higher
@@ -175,21 +211,15 @@ def assign_ids(df: DataFrame, id_col: str, order: list[str], start: int) -> Data
 
 # ------------------------------------------------------------- M14 - M16
 def insert_or_ignore(old: DataFrame, new: DataFrame, pk: list[str]) -> DataFrame:
-    """``INSERT OR IGNORE``: an existing key wins, and in a batch the first
-    (lowest ``change_id`` when present) wins.  The in-batch winner is a
-    min-by aggregate (partial aggregation, so a hot key is not one task)."""
-    cols = [c for c in old.columns]
-    if "change_id" in new.columns:
-        others = [c for c in cols if c not in pk]
-        if others:
-            first = new.groupBy(*pk).agg(F.min(F.struct("change_id", *others)).alias("_w"))
-            new = first.select(*pk, *[F.col(f"_w.{c}").alias(c) for c in others])
-        else:
-            new = new.select(*pk).distinct()
-    else:
-        new = new.select(*cols).dropDuplicates(pk)
-    fresh = new.select(*cols).join(old.select(*pk), pk, "left_anti")
-    return old.unionByName(fresh)
+    """``INSERT OR IGNORE``: an existing key wins, and of new rows with one
+    key that of the lowest ``change_id`` (a column ``new`` must have; ties go to
+    the smallest values).  Returns the rows to insert.  The winner is a min
+    aggregate, so a hot key is not one task."""
+    cols = list(old.columns)
+    others = [c for c in cols if c not in pk]
+    first = new.groupBy(*pk).agg(F.min(F.struct("change_id", *others)).alias("_w"))
+    rows = first.select(*pk, *[F.col(f"_w.{c}").alias(c) for c in others]).select(*cols)
+    return rows.join(old.select(*pk), pk, "left_anti").select(*cols)
 
 
 def replace_values(child: DataFrame, key: str, column: str, changes: DataFrame, values: str = "values") -> DataFrame:
@@ -251,6 +281,7 @@ def touch_worn(t: Tables, wears: DataFrame) -> Tables:
 
 
 # ------------------------------------------------------------- M1 - M4
+@each_once
 def add_users(t: Tables, changes: DataFrame) -> ChangeResult:
     """M1: sign-ups (change_id, username | name, gender): role 'user', a default
     closet "<name>'s Closet"; blank names and taken usernames are rejected."""
@@ -270,6 +301,7 @@ def add_users(t: Tables, changes: DataFrame) -> ChangeResult:
     return ChangeResult(tables, ok, bad, {"w_user": new_users, "w_closet": new_closets})
 
 
+@each_once
 def add_closets(t: Tables, changes: DataFrame) -> ChangeResult:
     """M2: new closets (change_id, u_id, c_name | name); trimmed name required, user must exist."""
     c = changes.withColumn("c_name", required_name(alternate(changes, "c_name", "name"))).join(
@@ -286,6 +318,7 @@ def _closet_owner(t: Tables, changes: DataFrame) -> DataFrame:
     return changes.join(t.w_closet.select("c_id", F.col("u_id").alias("_owner")), "c_id", "left")
 
 
+@each_once
 def rename_closets(t: Tables, changes: DataFrame) -> ChangeResult:
     """M3: rename (change_id, u_id, c_id, c_name); owner must match, name required;
     the last rename of a closet in the batch wins."""
@@ -307,6 +340,7 @@ def closet_reference_counts(t: Tables, closets: DataFrame) -> DataFrame:
     return items.join(t.w_inc, "item_id").groupBy("c_id").agg(F.count_distinct("outfit_id").alias("_refs"))
 
 
+@each_once
 def delete_closets(t: Tables, changes: DataFrame) -> ChangeResult:
     """M4: delete (change_id, u_id, c_id); owner must match; **restricted** while
     any outfit uses one of its items; else the closet and its items go (M16)."""
@@ -315,7 +349,7 @@ def delete_closets(t: Tables, changes: DataFrame) -> ChangeResult:
         (F.col("_owner").isNull() | (F.col("_owner") != F.col("u_id")), MSG_CLOSET_NOT_FOUND),
         (F.coalesce(F.col("_refs"), F.lit(0)) > 0, MSG_CLOSET_IN_USE(F.col("_refs"))),
     )).drop("_owner", "_refs")
-    ok, bad = _split(materialize(v))
+    ok, bad = _split(reject_later(materialize(v), ["c_id"], MSG_CLOSET_NOT_FOUND))
     return ChangeResult(cascade_delete(t, closets=ok.select("c_id")), ok, bad)
 
 
@@ -330,6 +364,7 @@ def _owned_closet(t: Tables, df: DataFrame, c_col: str = "c_id") -> DataFrame:
     ).drop("_cid", "_cowner")
 
 
+@each_once
 def add_items(t: Tables, changes: DataFrame) -> ChangeResult:
     """M5: new items with their multi-valued lists (comma text, cleaned by F1);
     name required; the closet must be the user's."""
@@ -346,6 +381,7 @@ def add_items(t: Tables, changes: DataFrame) -> ChangeResult:
     return ChangeResult(t.with_tables(**out), ok, bad, delta)
 
 
+@each_once
 def update_items(t: Tables, changes: DataFrame, mode: str = "replace") -> ChangeResult:
     """M6: update (change_id, u_id, item_id, c_id?, item_name, size, last_worn, lists).
 
@@ -353,33 +389,43 @@ def update_items(t: Tables, changes: DataFrame, mode: str = "replace") -> Change
     becomes '' (even the name, which is not re-checked) and every list is
     replaced.  ``mode='merge'`` is the library behaviour: absent (NULL) fields
     and lists keep their current value.  The item must be the user's, and the
-    target closet (the current one when absent) must be too.  The last change
-    of an item in the batch wins.
+    target closet (the current one when absent or 0) must be too.  Several
+    changes of one item are folded in order: a closet move holds until the next
+    one, in ``merge`` mode so does every field; in ``replace`` mode the last
+    change gives all other fields.
     """
     cur = items_with_owner(t).select("item_id", F.col("c_id").alias("_cur_c"), F.col("u_id").alias("_owner"),
                                      F.col("item_name").alias("_cur_name"), F.col("size").alias("_cur_size"),
                                      F.col("last_worn").alias("_cur_lw"))
-    c = changes.join(cur, "item_id", "left").withColumn("c_id", F.coalesce(F.col("c_id"), F.col("_cur_c")))
-    c = _owned_closet(t, c)
+    # No closet, and closet 0, mean the item's own.
+    c = changes.withColumn("_to", F.nullif(F.col("c_id"), F.lit(0).cast("bigint"))).join(cur, "item_id", "left")
+    c = _owned_closet(t, c.withColumn("c_id", F.coalesce("_to", "_cur_c")))
     v = c.withColumn("reason", first_failure(
         (F.col("_owner").isNull() | (F.col("_owner") != F.col("u_id")), MSG_ITEM_NOT_FOUND),
         (~F.col("_closet_ok"), MSG_CLOSET_NOT_FOUND),
     )).drop("_closet_ok")
     ok, bad = _split(materialize(v))
-    ok = last_per(ok, ["item_id"])
+    lists = [col for _, col in ITEM_CHILDREN]
+    fields = {"item_name": "_cur_name", "size": "_cur_size", "last_worn": "_cur_lw"}
+    last = F.max_by(F.struct(*fields, *lists), "change_id")
+    folded = ok.groupBy("item_id").agg(
+        F.coalesce(latest("_to"), F.first("_cur_c")).alias("c_id"), last.alias("_last"),
+        *[latest(x).alias(x) for x in (*fields, *lists)], *[F.first(x).alias(x) for x in fields.values()],
+    )
     if mode == "replace":
-        fields = {"item_name": F.coalesce("item_name", F.lit("")), "size": F.coalesce("size", F.lit("")),
-                  "last_worn": F.coalesce("last_worn", F.lit(""))}
+        new_rows = folded.select("item_id", "c_id", *[F.coalesce(f"_last.{k}", F.lit("")).alias(k) for k in fields])
     else:
-        fields = {"item_name": F.coalesce("item_name", "_cur_name"), "size": F.coalesce("size", "_cur_size", F.lit("")),
-                  "last_worn": F.coalesce("last_worn", "_cur_lw", F.lit(""))}
-    new_rows = ok.select("item_id", "c_id", *[e.alias(k) for k, e in fields.items()])
-    items = t.w_item.join(ok.select("item_id"), "item_id", "left_anti").unionByName(new_rows)
+        new_rows = folded.select("item_id", "c_id", F.coalesce("item_name", "_cur_name").alias("item_name"),
+                                 *[F.coalesce(k, fields[k], F.lit("")).alias(k) for k in ("size", "last_worn")])
+    items = t.w_item.join(folded.select("item_id"), "item_id", "left_anti").unionByName(new_rows)
     out = {"w_item": items}
     for table, col in ITEM_CHILDREN:
-        target = ok if mode == "replace" else ok.where(F.col(col).isNotNull())
+        if mode == "replace":
+            target = folded.select("item_id", F.col(f"_last.{col}").alias(col))
+        else:
+            target = folded.where(F.col(col).isNotNull())
         out[table] = replace_values(t.get(table), "item_id", col, target.select("item_id", as_list(col).alias("values")))
-    return ChangeResult(t.with_tables(**out), ok, bad)
+    return ChangeResult(t.with_tables(**out), ok.drop("_to"), bad)
 
 
 def item_reference_counts(t: Tables, requests: DataFrame) -> DataFrame:
@@ -390,6 +436,7 @@ def item_reference_counts(t: Tables, requests: DataFrame) -> DataFrame:
     return links.groupBy("item_id", "u_id").agg(F.count_distinct("outfit_id").alias("_refs"))
 
 
+@each_once
 def delete_items(t: Tables, changes: DataFrame) -> ChangeResult:
     """M7: delete (change_id, u_id, item_id); the item must be the user's;
     **restricted** while one of the user's outfits uses it; else cascade (M16)."""
@@ -399,7 +446,7 @@ def delete_items(t: Tables, changes: DataFrame) -> ChangeResult:
         (F.col("_owner").isNull() | (F.col("_owner") != F.col("u_id")), MSG_ITEM_NOT_FOUND),
         (F.coalesce(F.col("_refs"), F.lit(0)) > 0, MSG_ITEM_IN_USE(F.col("_refs"))),
     )).drop("_owner", "_refs")
-    ok, bad = _split(materialize(v))
+    ok, bad = _split(reject_later(materialize(v), ["item_id"], MSG_ITEM_NOT_FOUND))
     return ChangeResult(cascade_delete(t, items=ok.select("item_id")), ok, bad)
 
 
@@ -440,6 +487,7 @@ def _outfit_children(t: Tables, rows: DataFrame, replace: bool) -> tuple[dict[st
     return out, delta
 
 
+@each_once
 def add_outfits(t: Tables, changes: DataFrame, as_of: str | None = None) -> ChangeResult:
     """M8: new outfits (change_id, u_id, outfit_name, note, season, occasion,
     image_url, item_ids): name and at least one item required, every item the
@@ -463,15 +511,17 @@ def add_outfits(t: Tables, changes: DataFrame, as_of: str | None = None) -> Chan
     return ChangeResult(t.with_tables(w_outfit=t.w_outfit.unionByName(new), **children), ok, bad, delta)
 
 
+@each_once
 def update_outfits(t: Tables, changes: DataFrame) -> ChangeResult:
     """M9: update (change_id, u_id, outfit_id, ...): the outfit must be the user's;
     name and items required; items owned; **composition lock**: once an outfit
     has records its item set may not change; seasons canonical.  Name and note
     are replaced, created_date kept, all lists replaced."""
     cur = t.w_outfit.select("outfit_id", F.col("u_id").alias("_owner"), "created_date")
-    cur_ids = t.w_inc.groupBy("outfit_id").agg(F.array_sort(F.collect_set("item_id")).alias("_cur_ids"))
+    wanted = changes.select("outfit_id").distinct()
+    cur_ids = t.w_inc.join(wanted, "outfit_id", "left_semi").groupBy("outfit_id").agg(F.array_sort(F.collect_set("item_id")).alias("_cur_ids"))
     c = _outfit_payload(changes).join(cur, "outfit_id", "left").join(cur_ids, "outfit_id", "left").join(
-        outfit_wears(t).select("outfit_id", "worn_count"), "outfit_id", "left"
+        t.w_rec.join(wanted, "outfit_id", "left_semi").groupBy("outfit_id").agg(F.count(F.lit(1)).alias("worn_count")), "outfit_id", "left"
     )
     c = c.join(unowned_counts(t, c), "change_id", "left")
     changed = F.array_sort(F.col("_ids")) != F.coalesce(F.col("_cur_ids"), F.array().cast("array<bigint>"))
@@ -484,23 +534,25 @@ def update_outfits(t: Tables, changes: DataFrame) -> ChangeResult:
         (season_error("season"), MSG_SEASON),
     )).drop("_unowned", "_owner", "_cur_ids", "worn_count")
     ok, bad = _split(materialize(v))
-    ok = last_per(ok, ["outfit_id"])
-    new_rows = ok.select("outfit_id", "u_id", F.col("_name").alias("outfit_name"), F.coalesce("note", F.lit("")).alias("note"), "created_date")
-    outfits = t.w_outfit.join(ok.select("outfit_id"), "outfit_id", "left_anti").unionByName(new_rows)
-    children, _ = _outfit_children(t, ok, replace=True)
+    last = last_per(ok, ["outfit_id"])  # replaces everything that earlier ones of the batch set
+    new_rows = last.select("outfit_id", "u_id", F.col("_name").alias("outfit_name"), F.coalesce("note", F.lit("")).alias("note"), "created_date")
+    outfits = t.w_outfit.join(last.select("outfit_id"), "outfit_id", "left_anti").unionByName(new_rows)
+    children, _ = _outfit_children(t, last, replace=True)
     return ChangeResult(t.with_tables(w_outfit=outfits, **children), ok, bad)
 
 
+@each_once
 def delete_outfits(t: Tables, changes: DataFrame) -> ChangeResult:
     """Delete (change_id, u_id, outfit_id) of the owner; images, seasons,
     occasions, INCLUDES and records go with it (M16); items stay."""
     c = changes.join(t.w_outfit.select("outfit_id", F.col("u_id").alias("_owner")), "outfit_id", "left")
     v = c.withColumn("reason", first_failure((F.col("_owner").isNull() | (F.col("_owner") != F.col("u_id")), MSG_OUTFIT_NOT_FOUND))).drop("_owner")
-    ok, bad = _split(materialize(v))
+    ok, bad = _split(reject_later(materialize(v), ["outfit_id"], MSG_OUTFIT_NOT_FOUND))
     return ChangeResult(cascade_delete(t, outfits=ok.select("outfit_id")), ok, bad)
 
 
 # ------------------------------------------------------------ M11 / M12
+@each_once
 def record_wears(t: Tables, changes: DataFrame, as_of: str | None = None) -> ChangeResult:
     """M11 + M13: wear records (change_id, u_id, outfit_id?, datetime, rating,
     weather, mood, note, outfit_name, outfit_note, season, occasion,
@@ -520,9 +572,7 @@ def record_wears(t: Tables, changes: DataFrame, as_of: str | None = None) -> Cha
     c = c.withColumn("_ids", F.when(F.col("_oid").isNull(), item_id_list("item_ids")).otherwise(F.array().cast("array<bigint>")))
     c = c.withColumn("_dt", F.coalesce(F.nullif(F.col("datetime"), F.lit("")), now_text(as_of)))
     owners = t.w_outfit.select(F.col("outfit_id").alias("_oid"), F.col("u_id").alias("_owner"))
-    c = c.join(owners, "_oid", "left").join(unowned_counts(t, c), "change_id", "left")
-    existing = t.w_rec.select(F.col("outfit_id").alias("_oid"), F.col("datetime").alias("_dt"), F.lit(True).alias("_dup"))
-    c = c.join(existing, ["_oid", "_dt"], "left")
+    c = c.join(owners, "_oid", "left").join(unowned_counts(t, c.where(F.size("_ids") > 0)), "change_id", "left")
     v = c.withColumn("reason", first_failure(
         (F.col("u_id").isNull(), MSG_MALFORMED),
         (F.col("_oid_bad"), MSG_INVALID_OUTFIT),
@@ -531,15 +581,19 @@ def record_wears(t: Tables, changes: DataFrame, as_of: str | None = None) -> Cha
         (F.col("_oid").isNull() & (F.coalesce(F.col("_unowned"), F.lit(0)) > 0), MSG_NOT_OWNED),
         (rating_error("rating"), MSG_RATING),
         (F.col("_oid").isNull() & season_error("season"), MSG_SEASON),
-        (F.coalesce(F.col("_dup"), F.lit(False)), MSG_DUPLICATE_RECORD),
-    )).drop("_owner", "_unowned", "_dup", "_oid_bad")
-    # In-batch duplicates on an existing outfit: the first change wins.  The
-    # check reads the validated batch twice, so it is materialized first.
+    )).drop("_owner", "_unowned", "_oid_bad")
+    # A record exists already (change id NULL) or an earlier change of the batch
+    # makes it: one aggregate over both says which of them comes first.
     v = materialize(v)
-    firsts = first_of(v, ["_oid", "_dt"], F.col("reason").isNull())
-    v = v.join(firsts, "change_id", "left").withColumn(
-        "reason", F.when(~F.coalesce(F.col("_first"), F.lit(True)), F.lit(MSG_DUPLICATE_RECORD)).otherwise(F.col("reason"))
-    ).drop("_first")
+    asked = v.where("_oid IS NOT NULL AND reason IS NULL").select("_oid", "_dt", "change_id")
+    stored = t.w_rec.select(F.col("outfit_id").alias("_oid"), F.col("datetime").alias("_dt"), F.lit(None).cast("bigint").alias("change_id"))
+    there = asked.unionByName(stored).groupBy("_oid", "_dt").agg(
+        F.max(F.col("change_id").isNull()).alias("_stored"), F.min("change_id").alias("_min")
+    ).where("_min IS NOT NULL")
+    taken = F.col("_stored") | (F.col("change_id") != F.col("_min"))
+    v = v.join(there, ["_oid", "_dt"], "left").withColumn(
+        "reason", F.when(F.col("reason").isNull() & F.coalesce(taken, F.lit(False)), F.lit(MSG_DUPLICATE_RECORD)).otherwise(F.col("reason"))
+    ).drop("_stored", "_min")
     ok, bad = _split(materialize(v))
 
     new = ok.where(F.col("_oid").isNull())
@@ -568,6 +622,7 @@ def record_wears(t: Tables, changes: DataFrame, as_of: str | None = None) -> Cha
     return ChangeResult(touch_worn(t2, worn), applied, bad, delta)
 
 
+@each_once
 def update_records(t: Tables, changes: DataFrame) -> ChangeResult:
     """M12 update: (change_id, u_id, outfit_id, datetime, rating, weather, mood,
     note) by the exact datetime text; rating valid; the record must exist."""
@@ -591,6 +646,7 @@ def update_records(t: Tables, changes: DataFrame) -> ChangeResult:
     return ChangeResult(t.with_tables(w_rec=recs), ok, bad)
 
 
+@each_once
 def delete_records(t: Tables, changes: DataFrame) -> ChangeResult:
     """M12 delete: (change_id, u_id, outfit_id, datetime); the owner check is the
     correlated EXISTS, here a semi join on (outfit_id, u_id); the outfit stays."""
@@ -602,7 +658,7 @@ def delete_records(t: Tables, changes: DataFrame) -> ChangeResult:
         (F.coalesce(F.col("datetime"), F.lit("")) == "", MSG_RECORD_DATE),
         (F.col("_exists").isNull(), MSG_RECORD_NOT_FOUND),
     )).drop("_owner", "_exists")
-    ok, bad = _split(materialize(v))
+    ok, bad = _split(reject_later(materialize(v), ["outfit_id", "datetime"], MSG_RECORD_NOT_FOUND))
     recs = t.w_rec.join(ok.select("outfit_id", "datetime").distinct(), ["outfit_id", "datetime"], "left_anti")
     return ChangeResult(t.with_tables(w_rec=recs), ok, bad)
 

@@ -7,23 +7,17 @@ from pyspark.sql import functions as F
 
 from wearhouse.functions.columns import join_sorted
 from wearhouse.plans.factorised import OUTFIT_ATTRS, keyed_arrays
-from wearhouse.plans.joins import restrict_to
-from wearhouse.plans.session import materialize
 from wearhouse.plans.topk import top_k_per_group
 from wearhouse.sources.tables import Tables
 
 HISTORY_SPEC = OUTFIT_ATTRS[:2]  # seasons, occasions
 
 
-def _outfit_side(t: Tables, keys: DataFrame | None = None, row_bound: int | None = None) -> DataFrame:
+def _outfit_side(t: Tables) -> DataFrame:
     """Per outfit: name, owner, season/occasion arrays and INCLUDES item count."""
-    inc = t.w_inc
     outfits = t.w_outfit.select("outfit_id", "u_id", "outfit_name")
-    if keys is not None:
-        inc = restrict_to(inc, keys, "outfit_id", row_bound)
-        outfits = restrict_to(outfits, keys, "outfit_id", row_bound)
-    attrs = keyed_arrays(t, HISTORY_SPEC, "outfit_id", restrict=keys, row_bound=row_bound)
-    counts = inc.groupBy("outfit_id").agg(F.count("item_id").alias("n_items"))
+    attrs = keyed_arrays(t, HISTORY_SPEC, "outfit_id")
+    counts = t.w_inc.groupBy("outfit_id").agg(F.count("item_id").alias("n_items"))
     return outfits.join(attrs, "outfit_id", "left").join(counts, "outfit_id", "left")
 
 
@@ -39,10 +33,9 @@ def _shape(df: DataFrame) -> DataFrame:
 def wear_history(t: Tables, user_id: int | None = None) -> DataFrame:
     """Q21: every record with its outfit's name, season and occasion lists and
     INCLUDES item count.  Display order: datetime desc, then outfit_id."""
-    side = _outfit_side(t)
-    if user_id is not None:
-        side = side.where(F.col("u_id") == F.lit(user_id))
-    return _shape(t.w_rec.join(side, "outfit_id"))
+    if user_id is not None:  # cuts every table to the user's outfits first
+        t = t.only_outfits(t.w_outfit.where(F.col("u_id") == F.lit(user_id)))
+    return _shape(t.w_rec.join(_outfit_side(t), "outfit_id"))
 
 
 def recent_records(t: Tables, user_id: int | None = None, k: int = 5) -> DataFrame:
@@ -52,7 +45,6 @@ def recent_records(t: Tables, user_id: int | None = None, k: int = 5) -> DataFra
     if user_id is not None:
         owners = owners.where(F.col("u_id") == F.lit(user_id))
     recs = t.w_rec.join(owners, "outfit_id")
-    top = materialize(top_k_per_group(recs, ["u_id"], [F.col("datetime").desc(), F.col("outfit_id").asc()], k))
-    keys = top.select("outfit_id").distinct()
-    side = _outfit_side(t, keys, top.count()).drop("u_id")
+    top = top_k_per_group(recs, ["u_id"], [F.col("datetime").desc(), F.col("outfit_id").asc()], k)
+    side = _outfit_side(t.only_outfits(top)).drop("u_id")
     return _shape(top.join(side, "outfit_id", "left"))

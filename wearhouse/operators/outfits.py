@@ -26,9 +26,11 @@ def outfit_list(t: Tables, user_id: int | None = None) -> DataFrame:
     names, preview image (first non-blank outfit image, else first non-blank
     item image), distinct item count, wear count and last wear.
     Display order: created_date desc, outfit_id desc."""
-    o = _user_filter(t.w_outfit, user_id)
+    if user_id is not None:
+        t = t.only_outfits(t.w_outfit.where(F.col("u_id") == F.lit(user_id)))
+        t = t.only_items(t.w_inc)
     df = (
-        o.join(outfit_attrs(t), "outfit_id", "left")
+        t.w_outfit.join(outfit_attrs(t), "outfit_id", "left")
         .join(outfit_item_summary(t), "outfit_id", "left")
         .join(outfit_wears(t), "outfit_id", "left")
     )
@@ -76,8 +78,12 @@ def outfit_items(t: Tables, outfit_id: int | None = None) -> DataFrame:
     """Q18: the full catalog rows of each outfit's items (display order: item_name)."""
     from wearhouse.operators.catalog import item_catalog
 
-    inc = t.w_inc if outfit_id is None else t.w_inc.where(F.col("outfit_id") == F.lit(outfit_id))
-    return inc.join(item_catalog(t), "item_id").select("outfit_id", *item_catalog(t).columns)
+    inc = t.w_inc
+    if outfit_id is not None:
+        inc = inc.where(F.col("outfit_id") == F.lit(outfit_id))
+        t = t.only_items(inc)
+    items = item_catalog(t)
+    return inc.join(items, "item_id").select("outfit_id", *items.columns)
 
 
 def outfit_detail_nested(t: Tables, outfit_id: int | None = None, user_id: int | None = None) -> DataFrame:
@@ -106,15 +112,18 @@ def outfit_detail_nested(t: Tables, outfit_id: int | None = None, user_id: int |
 def outfit_filter(t: Tables, q: str | None = None, season: str | None = None, occasion: str | None = None, user_id: int | None = None) -> DataFrame:
     """The outfit page filter over Q16 rows: substring over name, note and
     item names joined by spaces; season and occasion by list membership."""
+    keys = None  # the season and occasion scans choose the outfits first
+    for value, table, column in ((season, "w_season", "season"), (occasion, "w_occ", "occasion")):
+        if value:
+            found = t.get(table).where(F.array_contains(split_values(column), value)).select("outfit_id").distinct()
+            keys = found if keys is None else keys.join(found, "outfit_id", "left_semi")
+    if keys is not None:
+        t = t.only_outfits(keys)
     df = outfit_list(t, user_id)
     query = (q or "").strip().lower()
     if query:
         hay = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("outfit_name", "note", "item_names")]))
         df = df.where(hay.contains(query))
-    if season:
-        df = df.where(F.array_contains(split_values("season"), season))
-    if occasion:
-        df = df.where(F.array_contains(split_values("occasion"), occasion))
     return df
 
 

@@ -1,7 +1,7 @@
 """Reports (R1-R12) and the account queries (Q12-Q15), for all users at once.
 
-A one-user report is ``.where(u_id == x)`` on these results; Catalyst pushes
-that filter through the joins to the scans.  Top-5 reports use a total order
+A one-user report (``user_id=``) cuts the tables to the user's items or outfits
+before anything is aggregated.  Building a report runs no job.  Top-5 reports use a total order
 (the id is the last key) so they are deterministic.
 """
 
@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearhouse.functions.columns import join_sorted
-from wearhouse.plans.factorised import item_attrs_for, item_wears, items_with_owner, outfit_wears, includes_count
-from wearhouse.plans.session import materialize
+from wearhouse.plans.factorised import ITEM_ATTRS, includes_count, item_wears, items_with_owner, keyed_arrays, outfit_wears
 from wearhouse.plans.topk import ranked, top_k_per_group
 from wearhouse.sources.tables import Tables
 
@@ -52,7 +51,7 @@ def category_counts(t: Tables, user_id: int | None = None) -> DataFrame:
     return (
         items.join(t.w_cat, "item_id", "left")
         .groupBy("u_id", cat)
-        .agg(F.count_distinct("item_id").alias("item_count"))
+        .agg(F.count("item_id").alias("item_count"))  # the key of CLOTH_CATEGORY makes it exact
     )
 
 
@@ -60,7 +59,7 @@ def category_counts_all(t: Tables) -> DataFrame:
     """Category counts over every item (no owner join)."""
     cat = F.coalesce(F.col("category"), F.lit("Uncategorized")).alias("category")
     return t.w_item.select("item_id").join(t.w_cat, "item_id", "left").groupBy(cat).agg(
-        F.count_distinct("item_id").alias("item_count")
+        F.count("item_id").alias("item_count")
     )
 
 
@@ -71,25 +70,28 @@ def usage_order(direction: str) -> list[Column]:
     return [first, F.col("last_worn").asc_nulls_first(), F.col("item_name").asc(), F.col("item_id").asc()]
 
 
-def item_usage(
-    t: Tables, direction: str = "DESC", user_id: int | None = None, k: int = TOP_K, wears: DataFrame | None = None
-) -> DataFrame:
+def item_usage_base(t: Tables, user_id: int | None = None) -> DataFrame:
+    """Every item (of one user) with its wear count, 0 when never worn.  For one
+    user INCLUDES is cut to the user's items and RECORD to their outfits first."""
+    items = _user_filter(items_with_owner(t).select("item_id", "u_id", "item_name", "last_worn"), user_id)
+    if user_id is not None:
+        inc = t.w_inc.join(items.select("item_id"), "item_id", "left_semi")
+        t = t.with_tables(w_inc=inc, w_rec=t.w_rec.join(inc.select("outfit_id"), "outfit_id", "left_semi"))
+    wears = item_wears(t).select("item_id", "wear_count")
+    return items.join(wears, "item_id", "left").withColumn("wear_count", F.coalesce(F.col("wear_count"), F.lit(0)).cast("bigint"))
+
+
+def item_usage(t: Tables, direction: str = "DESC", user_id: int | None = None, k: int = TOP_K, base: DataFrame | None = None) -> DataFrame:
     """R3 (DESC) / R4 (ASC): each user's k most / least worn items.
 
     wear_count = distinct (outfit, datetime) records of outfits containing the
     item (0 when never worn); ties by last_worn (NULL first), name, id.  The
-    category and color lists are attached only to the k surviving rows.
+    category and color lists are attached only to the k surviving rows, whose
+    ids restrict the child tables before they are aggregated.
     """
-    items = _user_filter(items_with_owner(t).select("item_id", "u_id", "item_name", "last_worn"), user_id)
-    wears = item_wears(t) if wears is None else wears
-    base = items.join(wears.select("item_id", "wear_count"), "item_id", "left").withColumn(
-        "wear_count", F.coalesce(F.col("wear_count"), F.lit(0)).cast("bigint")
-    )
-    # The k rows per user are computed once and written out (a small table in
-    # the shared checkpoint folder); the enrichment reads them several times
-    # and its broadcast is bounded by their exact count.
-    top = materialize(top_k_per_group(base, ["u_id"], usage_order(direction), k))
-    attrs = item_attrs_for(t, top, top.count())
+    base = item_usage_base(t, user_id) if base is None else base
+    top = top_k_per_group(base, ["u_id"], usage_order(direction), k)
+    attrs = keyed_arrays(t, ITEM_ATTRS[1:3], "item_id", restrict=top)
     return top.join(attrs, "item_id", "left").select(
         "u_id", "item_id", "item_name",
         join_sorted("categories").alias("category"),
@@ -107,36 +109,54 @@ def least_worn(t: Tables, user_id: int | None = None, k: int = TOP_K) -> DataFra
 
 
 # ------------------------------------------------------- R6 outfit reuse top-5
-def outfit_reuse(t: Tables, user_id: int | None = None, k: int = TOP_K) -> DataFrame:
+def REUSE_ORDER() -> list[Column]:
+    return [F.col("worn_times").desc(), F.col("created_date").desc(), F.col("outfit_id").desc()]
+
+
+def outfit_reuse(t: Tables, user_id: int | None = None, k: int = TOP_K, keep_created: bool = False) -> DataFrame:
     """Each user's k most worn outfits; ties by newest created_date, then newest id."""
-    o = _user_filter(t.w_outfit.select("outfit_id", "u_id", "outfit_name", "created_date"), user_id)
+    if user_id is not None:
+        t = t.only_outfits(t.w_outfit.where(F.col("u_id") == F.lit(user_id)))
+    o = t.w_outfit.select("outfit_id", "u_id", "outfit_name", "created_date")
     base = o.join(outfit_wears(t), "outfit_id", "left").select(
         "u_id", "outfit_id", "outfit_name", "created_date",
         F.coalesce(F.col("worn_count"), F.lit(0)).cast("bigint").alias("worn_times"),
         F.col("last_worn").alias("last_recorded"),
     )
-    order = [F.col("worn_times").desc(), F.col("created_date").desc(), F.col("outfit_id").desc()]
-    return top_k_per_group(base, ["u_id"], order, k).drop("created_date")
+    top = top_k_per_group(base, ["u_id"], REUSE_ORDER(), k)
+    return top if keep_created else top.drop("created_date")
 
 
 # ------------------------------------------------------------ R7 bundle
-def overview(t: Tables, user_id: int | None = None) -> dict[str, DataFrame]:
-    """The dashboard bundle as a dict of lazy DataFrames.
-
-    Each entry is its own Spark job; a caller that evaluates all six for many
-    users at once can ``persist`` :func:`wearhouse.plans.factorised.item_wears`
-    and pass it via ``item_usage(..., wears=...)`` to share it.
-    """
+def overview(t: Tables, user_id: int | None = None) -> DataFrame:
+    """The dashboard as one long table (report, u_id, position, label, value):
+    the totals, the category counts, the most and least worn items, the most
+    worn outfits and the most recent records (value: the rating, label: date
+    text and outfit name).  Most and least worn items share one wear aggregate."""
     from wearhouse.operators.history import recent_records
 
-    return {
-        "totals": totals(t, user_id),
-        "category_counts": category_counts(t, user_id),
-        "most_worn": item_usage(t, "DESC", user_id),
-        "least_worn": item_usage(t, "ASC", user_id),
-        "outfit_reuse": outfit_reuse(t, user_id),
-        "recent_records": recent_records(t, user_id),
-    }
+    base = item_usage_base(t, user_id)
+    parts = [
+        totals(t, user_id).select("u_id", F.posexplode(F.create_map(*[
+            x for c in ("closet_count", "item_count", "outfit_count", "record_count") for x in (F.lit(c), F.col(c))
+        ])).alias("at", "label", "value")).select(F.lit("totals").alias("report"), "u_id", (F.col("at") + 1).alias("position"), "label", "value"),
+    ]
+
+    def add(report: str, rows: DataFrame, order: list[Column], label: Column, value: str) -> None:
+        placed = ranked(rows, ["u_id"], order, "position")
+        parts.append(placed.select(F.lit(report).alias("report"), "u_id", "position", label.alias("label"), F.col(value).cast("bigint").alias("value")))
+
+    add("categories", category_counts(t, user_id), [F.col("item_count").desc(), F.col("category").asc()], F.col("category"), "item_count")
+    for report, direction in (("most_worn", "DESC"), ("least_worn", "ASC")):
+        add(report, top_k_per_group(base, ["u_id"], usage_order(direction), TOP_K), usage_order(direction), F.col("item_name"), "wear_count")
+    reuse = outfit_reuse(t, user_id, keep_created=True)
+    add("reuse", reuse, REUSE_ORDER(), F.col("outfit_name"), "worn_times")
+    recent = recent_records(t, user_id)
+    add("recent", recent, [F.col("datetime").desc(), F.col("outfit_id").asc()], F.concat_ws(" ", "datetime", "outfit_name"), "rating")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("position", F.col("position").cast("bigint"))
 
 
 # --------------------------------------------------- R8 join report (rows)
@@ -177,6 +197,7 @@ def item_usage_all(t: Tables) -> DataFrame:
 
 
 # --------------------------------------------------------- R12 row shaping
+# The names of the dashboard's lists.
 REPORT_LISTS = (
     ("categoryReport", "category", "item_count", "items"),
     ("mostWornReport", "item_name", "wear_count", "wears"),
@@ -189,9 +210,9 @@ def report_rows(t: Tables, user_id: int | None = None) -> DataFrame:
     (0 when NULL) and "N <suffix>" text; a user with an empty list gets one
     'No data' / '-' row.  Positions follow each list's own order."""
     cats = ranked(category_counts(t, user_id), ["u_id"], [F.col("item_count").desc(), F.col("category").asc()], "position")
-    wears = item_wears(t)  # one wear aggregate for both lists (one plan, so its exchanges are reused)
-    most = ranked(item_usage(t, "DESC", user_id, wears=wears), ["u_id"], usage_order("DESC"), "position")
-    least = ranked(item_usage(t, "ASC", user_id, wears=wears), ["u_id"], usage_order("ASC"), "position")
+    base = item_usage_base(t, user_id)  # one wear aggregate for both lists, whose exchange is reused
+    most = top_k_per_group(base, ["u_id"], usage_order("DESC"), TOP_K, "position")
+    least = top_k_per_group(base, ["u_id"], usage_order("ASC"), TOP_K, "position")
     frames = {"categoryReport": cats, "mostWornReport": most, "leastWornReport": least}
     users = _user_filter(t.w_user.select("u_id"), user_id)
     out = None
@@ -214,8 +235,8 @@ def report_rows(t: Tables, user_id: int | None = None) -> DataFrame:
 # ------------------------------------------------------ Q12-Q15 accounts
 def admin_users(t: Tables) -> DataFrame:
     """Q14: every user with distinct closet and item counts (0 for none); gender '' for NULL."""
-    closets = t.w_closet.groupBy("u_id").agg(F.count_distinct("c_id").alias("closet_count"))
-    items = items_with_owner(t).groupBy("u_id").agg(F.count_distinct("item_id").alias("item_count"))
+    closets = t.w_closet.groupBy("u_id").agg(F.count("c_id").alias("closet_count"))
+    items = items_with_owner(t).groupBy("u_id").agg(F.count("item_id").alias("item_count"))
     return (
         t.w_user.join(closets, "u_id", "left").join(items, "u_id", "left")
         .select(
@@ -231,9 +252,9 @@ def accounts(t: Tables) -> DataFrame:
     return t.w_user.select("username")
 
 
-def user_role(t: Tables, user_id: int) -> DataFrame:
-    """Q13: role and username of one user."""
-    return t.w_user.where(F.col("u_id") == F.lit(user_id)).select("role", "username")
+def user_roles(t: Tables, user_id: int | None = None) -> DataFrame:
+    """Q13: the role of one user (or of all)."""
+    return _user_filter(t.w_user, user_id).select("u_id", "role")
 
 
 def user_count(t: Tables) -> DataFrame:

@@ -2,10 +2,9 @@
 
 Each statement first derives the thirteen wardrobe tables from the TPC-H-style
 views with the same rules as :mod:`wearhouse.sources.derive`, then computes the
-query in the *direct* form of the source application's SQL (the LEFT JOIN
-chain with DISTINCT aggregates, or the cross-product search), extended to
-all users with ``u_id`` as a column and ``row_number()`` for top-k.  That makes
-it an independent check of the factorised Spark plans.
+query's result from its meaning: one subquery per attribute, one relation per
+thing counted, searches over the combinations of an item's values.  Constraint
+lists are written here on their own, so a wrong list in the library shows.
 """
 
 from __future__ import annotations
@@ -87,7 +86,7 @@ w_occ AS (
     SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0
 ),
 w_inc AS (
-    SELECT DISTINCT l_orderkey AS outfit_id, l_partkey AS item_id FROM lineitem WHERE l_partkey % 50 <> 0
+    SELECT DISTINCT l_orderkey AS outfit_id, l_partkey AS item_id FROM lineitem
 ),
 w_rec AS (
     SELECT l_orderkey AS outfit_id,
@@ -114,195 +113,175 @@ def all_sql() -> dict[str, str]:
     return {name: DERIVE + body for name, body in _Q.items()}
 
 
+# ---------------------------------------------------------------- shared pieces
+def _text(child: str, column: str, key: str, of: str) -> str:
+    """The distinct values of one row's child table as sorted comma text."""
+    return f"(SELECT string_agg(DISTINCT {column}, ',' ORDER BY {column}) FROM {child} WHERE {child}.{key} = {of}.{key}) AS {column}"
+
+
+#: Wears of an item: every record of every outfit that holds it.
+_WORN = """
+, worn AS (
+    SELECT item_id, count(*) AS wears, max(datetime) AS latest FROM w_inc JOIN w_rec USING (outfit_id) GROUP BY item_id
+)
+"""
+
+#: One line per item and category, 'Uncategorized' where there is none.
+_FILED = """
+, filed AS (
+    SELECT item_id, category FROM w_cat
+    UNION ALL SELECT item_id, 'Uncategorized' FROM w_item WHERE item_id NOT IN (SELECT item_id FROM w_cat)
+)
+"""
+
+#: All combinations of an item's tag, category and color ('' where it has none).
+_COMBINED = """
+, combined AS (
+    SELECT item_id, COALESCE(tag, '') AS t, COALESCE(category, '') AS k, COALESCE(color, '') AS c
+    FROM w_item LEFT JOIN w_tag USING (item_id) LEFT JOIN w_cat USING (item_id) LEFT JOIN w_color USING (item_id)
+)
+"""
+
 # ------------------------------------------------------------------ reports
-_USAGE = """
+_USAGE = _WORN + f"""
 , usage AS (
-    SELECT C.u_id, I.item_id, I.item_name,
-           string_agg(DISTINCT K.category, ',' ORDER BY K.category) AS category,
-           string_agg(DISTINCT L.color, ',' ORDER BY L.color) AS color,
-           I.last_worn,
-           COUNT(DISTINCT CASE WHEN R.datetime IS NOT NULL
-                 THEN CAST(R.outfit_id AS VARCHAR) || '|' || R.datetime END) AS wear_count
-    FROM w_item I
-    JOIN w_closet C ON I.c_id = C.c_id
-    LEFT JOIN w_cat K ON I.item_id = K.item_id
-    LEFT JOIN w_color L ON I.item_id = L.item_id
-    LEFT JOIN w_inc N ON I.item_id = N.item_id
-    LEFT JOIN w_rec R ON N.outfit_id = R.outfit_id
-    GROUP BY C.u_id, I.item_id, I.item_name, I.last_worn
-)
-SELECT u_id, item_id, item_name, category, color, last_worn, wear_count FROM (
-    SELECT *, row_number() OVER (PARTITION BY u_id
-        ORDER BY wear_count {dir}, last_worn ASC NULLS FIRST, item_name ASC, item_id ASC) AS rn
-    FROM usage) x
-WHERE rn <= 5
+    SELECT owner.u_id, item.item_id, item.item_name, item.last_worn, COALESCE(worn.wears, 0) AS wear_count,
+           {_text('w_cat', 'category', 'item_id', 'item')},
+           {_text('w_color', 'color', 'item_id', 'item')}
+    FROM w_item AS item JOIN w_closet AS owner USING (c_id) LEFT JOIN worn USING (item_id)
+)
 """
-q("report_most_worn", _USAGE.format(dir="DESC"))
-q("report_least_worn", _USAGE.format(dir="ASC"))
-
-q("report_totals", """
-SELECT U.u_id,
-       (SELECT COUNT(*) FROM w_closet C WHERE C.u_id = U.u_id) AS closet_count,
-       (SELECT COUNT(*) FROM w_item I JOIN w_closet C ON I.c_id = C.c_id WHERE C.u_id = U.u_id) AS item_count,
-       (SELECT COUNT(*) FROM w_outfit O WHERE O.u_id = U.u_id) AS outfit_count,
-       (SELECT COUNT(*) FROM w_rec R JOIN w_outfit O ON R.outfit_id = O.outfit_id WHERE O.u_id = U.u_id) AS record_count
-FROM w_user U
-""")
 
-q("report_category_counts", """
-SELECT C.u_id, COALESCE(K.category, 'Uncategorized') AS category, COUNT(DISTINCT I.item_id) AS item_count
-FROM w_item I
-JOIN w_closet C ON I.c_id = C.c_id
-LEFT JOIN w_cat K ON I.item_id = K.item_id
-GROUP BY C.u_id, COALESCE(K.category, 'Uncategorized')
-""")
 
-q("report_outfit_reuse", """
-, reuse AS (
-    SELECT O.u_id, O.outfit_id, O.outfit_name, O.created_date,
-           COUNT(R.datetime) AS worn_times, MAX(R.datetime) AS last_recorded
-    FROM w_outfit O LEFT JOIN w_rec R ON O.outfit_id = R.outfit_id
-    GROUP BY O.u_id, O.outfit_id, O.outfit_name, O.created_date
-)
-SELECT u_id, outfit_id, outfit_name, worn_times, last_recorded FROM (
-    SELECT *, row_number() OVER (PARTITION BY u_id
-        ORDER BY worn_times DESC, created_date DESC, outfit_id DESC) AS rn
-    FROM reuse) x
-WHERE rn <= 5
-""")
+def _ranked(sign: str) -> str:
+    return f"row_number() OVER (PARTITION BY u_id ORDER BY {sign}wear_count, last_worn NULLS FIRST, item_name, item_id)"
+
 
-q("items_joined", """
-SELECT U.username, C.c_name AS closet_name, I.item_name, I.size,
-       COALESCE(K.category, '') AS category, COALESCE(L.color, '') AS color, COALESCE(T.tag, '') AS tag,
-       I.last_worn
-FROM w_item I
-JOIN w_closet C ON I.c_id = C.c_id
-JOIN w_user U ON C.u_id = U.u_id
-LEFT JOIN w_cat K ON I.item_id = K.item_id
-LEFT JOIN w_color L ON I.item_id = L.item_id
-LEFT JOIN w_tag T ON I.item_id = T.item_id
+for _name, _sign in (("report_most_worn", "-"), ("report_least_worn", "")):
+    q(_name, _USAGE + f"SELECT u_id, item_id, item_name, category, color, last_worn, wear_count FROM usage QUALIFY {_ranked(_sign)} <= 5")
+q("report_most_worn_user", _USAGE + f"""
+SELECT u_id, item_id, item_name, category, color, last_worn, wear_count FROM usage WHERE u_id = 1 QUALIFY {_ranked('-')} <= 5
 """)
 
-q("category_counts_all", """
-SELECT COALESCE(K.category, 'Uncategorized') AS category, COUNT(DISTINCT I.item_id) AS item_count
-FROM w_item I LEFT JOIN w_cat K ON I.item_id = K.item_id
-GROUP BY COALESCE(K.category, 'Uncategorized')
+_TOTALS = """
+, things AS (
+    SELECT u_id, 'closet' AS thing FROM w_closet
+    UNION ALL SELECT u_id, 'item' FROM w_closet JOIN w_item USING (c_id)
+    UNION ALL SELECT u_id, 'outfit' FROM w_outfit
+    UNION ALL SELECT u_id, 'record' FROM w_outfit JOIN w_rec USING (outfit_id)
+)
+, totals AS (
+    SELECT who.u_id, count(*) FILTER (thing = 'closet') AS closet_count, count(*) FILTER (thing = 'item') AS item_count,
+           count(*) FILTER (thing = 'outfit') AS outfit_count, count(*) FILTER (thing = 'record') AS record_count
+    FROM w_user AS who LEFT JOIN things ON things.u_id = who.u_id GROUP BY who.u_id
+)
+"""
+q("report_totals", _TOTALS + "SELECT * FROM totals")
+_CATEGORIES = _FILED + """
+, per_category AS (
+    SELECT u_id, category, count(*) AS item_count FROM filed JOIN w_item USING (item_id) JOIN w_closet USING (c_id) GROUP BY u_id, category
+)
+"""
+q("report_category_counts", _CATEGORIES + "SELECT * FROM per_category")
+q("category_counts_all", _FILED + "SELECT category, count(*) AS item_count FROM filed GROUP BY category")
+
+_REUSE = """
+, times AS (SELECT outfit_id, count(*) AS worn_times, max(datetime) AS last_recorded FROM w_rec GROUP BY outfit_id)
+, reuse AS (
+    SELECT u_id, outfit_id, outfit_name, COALESCE(worn_times, 0) AS worn_times, last_recorded,
+           row_number() OVER (PARTITION BY u_id ORDER BY COALESCE(worn_times, 0) DESC, created_date DESC, outfit_id DESC) AS place
+    FROM w_outfit LEFT JOIN times USING (outfit_id)
+)
+"""
+q("report_outfit_reuse", _REUSE + "SELECT u_id, outfit_id, outfit_name, worn_times, last_recorded FROM reuse WHERE place <= 5")
+
+q("items_joined", _COMBINED + """
+SELECT username, c_name AS closet_name, item_name, size, k AS category, c AS color, t AS tag, last_worn
+FROM combined JOIN w_item USING (item_id) JOIN w_closet USING (c_id) JOIN w_user USING (u_id)
 """)
 
 q("outfits_min_items", """
-SELECT O.outfit_id, O.outfit_name, O.created_date
-FROM w_outfit O
-WHERE O.outfit_id IN (SELECT outfit_id FROM w_inc GROUP BY outfit_id HAVING COUNT(item_id) >= 3)
+, sizes AS (SELECT outfit_id, count(*) AS pieces FROM w_inc GROUP BY ALL)
+SELECT outfit_id, outfit_name, created_date FROM sizes JOIN w_outfit USING (outfit_id) WHERE pieces > 2
 """)
 
-q("item_usage_all", """
-SELECT I.item_id, I.item_name, COUNT(R.datetime) AS wear_count, MAX(R.datetime) AS last_recorded
-FROM w_item I
-LEFT JOIN w_inc N ON I.item_id = N.item_id
-LEFT JOIN w_rec R ON N.outfit_id = R.outfit_id
-GROUP BY I.item_id, I.item_name
+q("item_usage_all", _WORN + """
+SELECT item_id, item_name, COALESCE(wears, 0) AS wear_count, latest AS last_recorded FROM w_item LEFT JOIN worn USING (item_id)
 """)
 
-q("admin_users", """
-SELECT U.u_id, U.username, COALESCE(U.gender, '') AS gender, U.role,
-       COUNT(DISTINCT C.c_id) AS closet_count, COUNT(DISTINCT I.item_id) AS item_count
-FROM w_user U
-LEFT JOIN w_closet C ON U.u_id = C.u_id
-LEFT JOIN w_item I ON C.c_id = I.c_id
-GROUP BY U.u_id, U.username, U.gender, U.role
+q("admin_users", _TOTALS + """
+SELECT u_id, username, COALESCE(gender, '') AS gender, role, closet_count, item_count FROM totals JOIN w_user USING (u_id)
 """)
 
 q("accounts", "SELECT username FROM w_user")
-
-q("user_count", "SELECT COUNT(*) AS user_count FROM w_user")
-
-q("gender_labels", """
-SELECT u_id, username, COALESCE(NULLIF(gender, ''), 'not set') AS gender_label FROM w_user
-""")
-
+q("user_count", "SELECT count(*) AS user_count FROM w_user")
+q("user_roles", "SELECT u_id, role FROM w_user")
+q("gender_labels", "SELECT u_id, username, CASE WHEN length(gender) > 0 THEN gender ELSE 'not set' END AS gender_label FROM w_user")
 
 # ------------------------------------------------------------------ catalog
-def _catalog(where: str = "") -> str:
-    return f"""
+_CATALOG = f"""
 , catalog AS (
-    SELECT I.item_id, I.c_id, C.u_id, I.item_name, I.size, I.last_worn, C.c_name,
-           string_agg(DISTINCT T.tag, ',' ORDER BY T.tag) AS tag,
-           string_agg(DISTINCT K.category, ',' ORDER BY K.category) AS category,
-           string_agg(DISTINCT L.color, ',' ORDER BY L.color) AS color,
-           string_agg(DISTINCT M.image_url, ',' ORDER BY M.image_url) AS image_url
-    FROM w_item I
-    JOIN w_closet C ON I.c_id = C.c_id
-    LEFT JOIN w_tag T ON I.item_id = T.item_id
-    LEFT JOIN w_cat K ON I.item_id = K.item_id
-    LEFT JOIN w_color L ON I.item_id = L.item_id
-    LEFT JOIN w_img M ON I.item_id = M.item_id
-    {where}
-    GROUP BY I.item_id, I.c_id, C.u_id, I.item_name, I.size, I.last_worn, C.c_name
+    SELECT item.item_id, item.c_id, owner.u_id, item.item_name, item.size, item.last_worn, owner.c_name,
+           {_text('w_tag', 'tag', 'item_id', 'item')},
+           {_text('w_cat', 'category', 'item_id', 'item')},
+           {_text('w_color', 'color', 'item_id', 'item')},
+           {_text('w_img', 'image_url', 'item_id', 'item')}
+    FROM w_item AS item JOIN w_closet AS owner USING (c_id)
 )
 """
 
 
-def _kw(p: str) -> str:
-    like = "'%" + p.lower() + "%'"
-    return (
-        f"(lower(I.item_name) LIKE {like} OR lower(COALESCE(T.tag, '')) LIKE {like} "
-        f"OR lower(COALESCE(K.category, '')) LIKE {like} OR lower(COALESCE(L.color, '')) LIKE {like} "
-        f"OR lower(COALESCE(I.size, '')) LIKE {like})"
-    )
+def _found(test: str) -> str:
+    """Items some of whose combinations pass ``test``, showing only the values
+    of the passing ones (and all images)."""
+    shown = ", ".join(f"string_agg(DISTINCT {c}, ',' ORDER BY {c}) FILTER ({c} <> '') AS {n}" for c, n in (("t", "tag"), ("k", "category"), ("c", "color")))
+    return _CATALOG + _COMBINED + f"""
+, hits AS (
+    SELECT item_id, {shown}
+    FROM combined JOIN (SELECT item_id, u_id, item_name, COALESCE(size, '') AS s FROM catalog) USING (item_id) WHERE {test} GROUP BY item_id
+)
+SELECT item_id, c_id, u_id, item_name, size, last_worn, c_name, hits.tag, hits.category, hits.color, image_url
+FROM hits JOIN (SELECT item_id, c_id, u_id, item_name, size, last_worn, c_name, image_url FROM catalog) USING (item_id)
+"""
+
+
+def _keyword(word: str) -> str:
+    return " OR ".join(f"{c} ILIKE '%{word}%'" for c in ("item_name", "t", "k", "c", "s"))
 
 
 CAT_COLS = "item_id, c_id, u_id, item_name, size, last_worn, c_name, tag, category, color, image_url"
-SEARCH_ORDER_SQL = ("CASE WHEN last_worn IS NULL OR last_worn = '' THEN 0 ELSE 1 END, "
-                    "last_worn ASC NULLS FIRST, item_name ASC, item_id ASC")
 
 q("closets", "SELECT c_id, c_name, u_id FROM w_closet")
-q("item_catalog", _catalog() + f"SELECT {CAT_COLS} FROM catalog")
-q("items_by_closet", _catalog("WHERE I.c_id = 3") + f"SELECT {CAT_COLS} FROM catalog")
-q("search_keyword", _catalog("WHERE " + _kw("re")) + f"SELECT {CAT_COLS} FROM catalog")
-q("search_wildcard", _catalog("WHERE " + _kw("r_d")) + f"SELECT {CAT_COLS} FROM catalog")
-q("search_category_keyword", _catalog("WHERE " + _kw("econ")) + f"SELECT {CAT_COLS} FROM catalog")
-q("search_tag", _catalog("WHERE T.tag = 'hot'") + f"SELECT {CAT_COLS} FROM catalog")
-q("search_combined", _catalog("WHERE C.u_id = 1 AND " + _kw("ge") + " AND K.category = 'LARGE' AND L.color = 'Blue'")
-  + f"SELECT {CAT_COLS} FROM catalog")
-q("search_unworn_first", _catalog() + f"""
-SELECT {CAT_COLS}, position FROM (
-    SELECT *, row_number() OVER (PARTITION BY u_id ORDER BY {SEARCH_ORDER_SQL}) AS position FROM catalog) x
-WHERE position <= 5
+q("item_catalog", _CATALOG + f"SELECT {CAT_COLS} FROM catalog")
+q("items_by_closet", _CATALOG + f"SELECT {CAT_COLS} FROM catalog WHERE c_id = 3")
+q("search_keyword", _found(_keyword("re")))
+q("search_wildcard", _found(_keyword("r_d")))
+q("search_category_keyword", _found(_keyword("econ")))
+q("search_tag", _found("t = 'hot'"))
+q("search_combined", _found(f"u_id = 1 AND k = 'LARGE' AND c = 'Blue' AND ({_keyword('ge')})"))
+q("search_unworn_first", _CATALOG + f"""
+SELECT {CAT_COLS}, row_number() OVER (PARTITION BY u_id ORDER BY last_worn <> '' AND last_worn IS NOT NULL, last_worn NULLS FIRST, item_name, item_id) AS position
+FROM catalog QUALIFY position <= 5
 """)
 
 _REQ = """
-, req AS (SELECT N.outfit_id, O.u_id, N.item_id FROM w_inc N JOIN w_outfit O ON N.outfit_id = O.outfit_id)
+, possessions AS (SELECT u_id, item_id FROM w_closet JOIN w_item USING (c_id))
+, req AS (SELECT outfit_id, u_id, item_id FROM w_outfit JOIN w_inc USING (outfit_id))
 """
-q("owned_items", _REQ + """
-SELECT outfit_id, u_id, item_id FROM req
-WHERE EXISTS (SELECT 1 FROM w_item I JOIN w_closet C ON I.c_id = C.c_id
-              WHERE C.u_id = req.u_id AND I.item_id = req.item_id)
-""")
-q("ownership_violations", _REQ + """
-SELECT outfit_id, u_id, item_id FROM req
-WHERE NOT EXISTS (SELECT 1 FROM w_item I JOIN w_closet C ON I.c_id = C.c_id
-                  WHERE C.u_id = req.u_id AND I.item_id = req.item_id)
-""")
-q("item_outfit_refs", """
-SELECT N.item_id, O.u_id, COUNT(DISTINCT N.outfit_id) AS outfit_count
-FROM w_inc N JOIN w_outfit O ON N.outfit_id = O.outfit_id
-GROUP BY N.item_id, O.u_id
-""")
+q("owned_items", _REQ + "SELECT * FROM req SEMI JOIN possessions USING (u_id, item_id)")
+q("ownership_violations", _REQ + "SELECT * FROM req ANTI JOIN possessions USING (u_id, item_id)")
+q("item_outfit_refs", "SELECT item_id, u_id, count(*) AS outfit_count FROM w_inc JOIN w_outfit USING (outfit_id) GROUP BY ALL")
 q("closet_outfit_refs", """
-SELECT C.c_id,
-       (SELECT COUNT(DISTINCT N.outfit_id) FROM w_item I JOIN w_inc N ON I.item_id = N.item_id
-        WHERE I.c_id = C.c_id) AS outfit_count
-FROM w_closet C
+, used AS (SELECT DISTINCT c_id, outfit_id FROM w_item JOIN w_inc USING (item_id))
+SELECT c_id, count(outfit_id) AS outfit_count FROM w_closet LEFT JOIN used USING (c_id) GROUP BY c_id
 """)
 q("facet_options", """
-SELECT DISTINCT C.u_id, 'categories' AS facet, K.category AS value
-FROM w_cat K JOIN w_item I ON K.item_id = I.item_id JOIN w_closet C ON I.c_id = C.c_id WHERE K.category <> ''
-UNION ALL
-SELECT DISTINCT C.u_id, 'colors', L.color
-FROM w_color L JOIN w_item I ON L.item_id = I.item_id JOIN w_closet C ON I.c_id = C.c_id WHERE L.color <> ''
-UNION ALL
-SELECT DISTINCT C.u_id, 'tags', T.tag
-FROM w_tag T JOIN w_item I ON T.item_id = I.item_id JOIN w_closet C ON I.c_id = C.c_id WHERE T.tag <> ''
+, valued AS (
+    SELECT item_id, 'tags' AS facet, tag AS value FROM w_tag
+    UNION ALL SELECT item_id, 'colors', color FROM w_color
+    UNION ALL SELECT item_id, 'categories', category FROM w_cat
+)
+SELECT DISTINCT u_id, facet, value FROM valued JOIN w_item USING (item_id) JOIN w_closet USING (c_id) WHERE length(value) > 0
 """)
 
 
@@ -311,14 +290,10 @@ def _first(c: str) -> str:
     return f"COALESCE(list_filter(list_transform(string_split(COALESCE({c}, ''), ','), lambda x: trim(x)), lambda x: x <> '')[1], '')"
 
 
-_HAY = "lower(concat_ws(' ', COALESCE(item_name, ''), COALESCE(category, ''), COALESCE(color, ''), COALESCE(tag, '')))"
-q("picker_filter", _catalog() + f"""
-SELECT {CAT_COLS} FROM catalog WHERE {_first('category')} = 'SMALL' AND contains({_HAY}, 'old')
-""")
-q("picker_filter_closet", _catalog() + f"""
-SELECT {CAT_COLS} FROM catalog WHERE c_id = 7 AND contains({_HAY}, 'ge')
-""")
-q("item_labels", _catalog() + f"""
+_HAY = "lower(concat_ws(' ', item_name, category, color, tag))"
+q("picker_filter", _CATALOG + f"SELECT {CAT_COLS} FROM catalog WHERE {_first('category')} = 'SMALL' AND contains({_HAY}, 'old')")
+q("picker_filter_closet", _CATALOG + f"SELECT {CAT_COLS} FROM catalog WHERE c_id = 7 AND contains({_HAY}, 'ge')")
+q("item_labels", _CATALOG + f"""
 SELECT item_id, u_id, item_name,
        COALESCE(NULLIF({_first('category')}, ''), NULLIF({_first('tag')}, ''), 'Item') AS type_label,
        {_first('image_url')} AS image,
@@ -327,65 +302,49 @@ SELECT item_id, u_id, item_name,
        COALESCE(NULLIF(last_worn, ''), 'Not recorded') AS last_worn_label
 FROM catalog
 """)
-q("primary_category_facet", _catalog() + f"""
-SELECT DISTINCT u_id, {_first('category')} AS category FROM catalog WHERE {_first('category')} <> ''
-""")
+q("primary_category_facet", _CATALOG + f"SELECT DISTINCT u_id, {_first('category')} AS category FROM catalog WHERE {_first('category')} <> ''")
 
 
 # ------------------------------------------------------------------ outfits
-_OUTFIT_LIST = """
+_OUTFIT_LIST = f"""
 , olist AS (
-    SELECT O.outfit_id, O.u_id, O.outfit_name, O.note, O.created_date,
-           string_agg(DISTINCT S.season, ',' ORDER BY S.season) AS season,
-           string_agg(DISTINCT A.occasion, ',' ORDER BY A.occasion) AS occasion,
-           string_agg(DISTINCT G.image_url, ',' ORDER BY G.image_url) AS image_url,
-           string_agg(DISTINCT I.item_name, ',' ORDER BY I.item_name) AS item_names,
-           COALESCE(MIN(NULLIF(G.image_url, '')), MIN(NULLIF(CI.image_url, ''))) AS preview_image,
-           COUNT(DISTINCT I.item_id) AS item_count,
-           COUNT(DISTINCT R.datetime) AS worn_count,
-           MAX(R.datetime) AS last_worn
-    FROM w_outfit O
-    LEFT JOIN w_season S ON O.outfit_id = S.outfit_id
-    LEFT JOIN w_occ A ON O.outfit_id = A.outfit_id
-    LEFT JOIN w_oimg G ON O.outfit_id = G.outfit_id
-    LEFT JOIN w_inc N ON O.outfit_id = N.outfit_id
-    LEFT JOIN w_item I ON N.item_id = I.item_id
-    LEFT JOIN w_img CI ON I.item_id = CI.item_id
-    LEFT JOIN w_rec R ON O.outfit_id = R.outfit_id
-    GROUP BY O.outfit_id, O.u_id, O.outfit_name, O.note, O.created_date
+    SELECT o.outfit_id, o.u_id, o.outfit_name, o.note, o.created_date,
+           {_text('w_season', 'season', 'outfit_id', 'o')},
+           {_text('w_occ', 'occasion', 'outfit_id', 'o')},
+           {_text('w_oimg', 'image_url', 'outfit_id', 'o')},
+           pieces.item_names, COALESCE(own.image, pieces.image) AS preview_image, COALESCE(pieces.n, 0) AS item_count,
+           COALESCE(wears.n, 0) AS worn_count, wears.latest AS last_worn
+    FROM w_outfit AS o
+    LEFT JOIN (SELECT outfit_id, min(image_url) AS image FROM w_oimg WHERE image_url <> '' GROUP BY ALL) AS own USING (outfit_id)
+    LEFT JOIN (
+        SELECT outfit_id, string_agg(DISTINCT item_name, ',' ORDER BY item_name) AS item_names, count(*) AS n, min(image) AS image
+        FROM w_inc JOIN w_item USING (item_id)
+        LEFT JOIN (SELECT item_id, min(image_url) AS image FROM w_img WHERE image_url <> '' GROUP BY ALL) AS shot USING (item_id)
+        GROUP BY outfit_id
+    ) AS pieces USING (outfit_id)
+    LEFT JOIN (SELECT outfit_id, count(*) AS n, max(datetime) AS latest FROM w_rec GROUP BY ALL) AS wears USING (outfit_id)
 )
 """
 OL_COLS = ("outfit_id, u_id, outfit_name, note, created_date, season, occasion, image_url, item_names, "
            "preview_image, item_count, worn_count, last_worn")
 q("outfit_list", _OUTFIT_LIST + f"SELECT {OL_COLS} FROM olist")
+q("outfit_list_user", _OUTFIT_LIST + f"SELECT {OL_COLS} FROM olist WHERE u_id = 1")
 
-q("outfit_detail", """
-SELECT O.outfit_id, O.u_id, O.outfit_name, O.note, O.created_date,
-       string_agg(DISTINCT S.season, ',' ORDER BY S.season) AS season,
-       string_agg(DISTINCT A.occasion, ',' ORDER BY A.occasion) AS occasion,
-       string_agg(DISTINCT G.image_url, ',' ORDER BY G.image_url) AS image_url,
-       COUNT(DISTINCT N.item_id) AS item_count,
-       COUNT(DISTINCT R.datetime) AS worn_count,
-       MAX(R.datetime) AS last_worn,
-       CASE WHEN COUNT(N.item_id) > 0 THEN array_to_string(
-           list_sort(list_distinct(list(N.item_id) FILTER (WHERE N.item_id IS NOT NULL))), ',') END AS item_ids
-FROM w_outfit O
-LEFT JOIN w_season S ON O.outfit_id = S.outfit_id
-LEFT JOIN w_occ A ON O.outfit_id = A.outfit_id
-LEFT JOIN w_oimg G ON O.outfit_id = G.outfit_id
-LEFT JOIN w_inc N ON O.outfit_id = N.outfit_id
-LEFT JOIN w_rec R ON O.outfit_id = R.outfit_id
-GROUP BY O.outfit_id, O.u_id, O.outfit_name, O.note, O.created_date
-""")
-
-q("outfit_items", _catalog() + f"""
-SELECT N.outfit_id, catalog.* FROM w_inc N JOIN catalog ON N.item_id = catalog.item_id
-""")
+_DETAIL = _OUTFIT_LIST + """
+, links AS (SELECT outfit_id, list(item_id ORDER BY item_id) AS ids FROM w_inc GROUP BY outfit_id)
+, detail AS (
+    SELECT olist.* EXCLUDE (item_names, preview_image, item_count), COALESCE(len(ids), 0) AS item_count, ids
+    FROM olist LEFT JOIN links USING (outfit_id)
+)
+"""
+D_COLS = "outfit_id, u_id, outfit_name, note, created_date, season, occasion, image_url, item_count, worn_count, last_worn"
+q("outfit_detail", _DETAIL + f"SELECT {D_COLS}, array_to_string(ids, ',') AS item_ids FROM detail")
+q("outfit_items", _CATALOG + f"SELECT outfit_id, {CAT_COLS} FROM w_inc JOIN catalog USING (item_id)")
 
 _VALUES = "list_filter(list_transform(string_split(COALESCE({c}, ''), ','), lambda x: trim(x)), lambda x: x <> '')"
 q("outfit_filter", _OUTFIT_LIST + f"""
 SELECT {OL_COLS} FROM olist
-WHERE contains(lower(concat_ws(' ', COALESCE(outfit_name, ''), COALESCE(note, ''), COALESCE(item_names, ''))), 'outfit 1')
+WHERE contains(lower(concat_ws(' ', outfit_name, note, item_names)), 'outfit 1')
   AND list_contains({_VALUES.format(c='season')}, 'Summer')
   AND list_contains({_VALUES.format(c='occasion')}, '1-URGENT')
 """)
@@ -399,7 +358,7 @@ SELECT outfit_id, u_id, outfit_name,
        CAST(greatest(0, COALESCE(NULLIF(item_count, 0), len({_VALUES.format(c='item_names')}))
             - len(list_slice({_VALUES.format(c='item_names')}, 1, 3))) AS BIGINT) AS more_items,
        COALESCE(NULLIF({_first('preview_image')}, ''), {_first('image_url')}) AS image,
-       COALESCE(worn_count, 0) AS times_worn,
+       worn_count AS times_worn,
        COALESCE(NULLIF(last_worn, ''), 'Never') AS last_worn_label
 FROM olist
 """)
@@ -407,126 +366,110 @@ FROM olist
 q("season_facet", """
 , canon AS (SELECT * FROM (VALUES (1, 'Spring'), (2, 'Summer'), (3, 'Autumn'), (4, 'Winter')) v(position, season))
 , extra AS (
-    SELECT DISTINCT O.u_id, trim(S.season) AS season
-    FROM w_season S JOIN w_outfit O ON S.outfit_id = O.outfit_id
-    WHERE trim(S.season) NOT IN ('Spring', 'Summer', 'Autumn', 'Winter') AND trim(S.season) <> ''
+    SELECT DISTINCT u_id, trim(season) AS season FROM w_season JOIN w_outfit USING (outfit_id)
+    WHERE trim(season) NOT IN (SELECT season FROM canon) AND trim(season) <> ''
 )
-SELECT U.u_id, CAST(c.position AS BIGINT) AS position, c.season FROM w_user U, canon c
+SELECT u_id, CAST(position AS BIGINT) AS position, season FROM w_user, canon
 UNION ALL
-SELECT u_id, CAST(4 + row_number() OVER (PARTITION BY u_id ORDER BY season) AS BIGINT) AS position, season FROM extra
+SELECT u_id, CAST(4 + row_number() OVER (PARTITION BY u_id ORDER BY season) AS BIGINT), season FROM extra
 """)
 
-q("occasion_facet", """
-SELECT DISTINCT O.u_id, trim(A.occasion) AS occasion
-FROM w_occ A JOIN w_outfit O ON A.outfit_id = O.outfit_id
-WHERE trim(A.occasion) <> ''
-""")
+q("occasion_facet", "SELECT DISTINCT u_id, trim(occasion) AS occasion FROM w_occ JOIN w_outfit USING (outfit_id) WHERE trim(occasion) <> ''")
 
 # ------------------------------------------------------------------ history
-_HISTORY = """
+_HISTORY = _DETAIL + """
 , hist AS (
-    SELECT R.outfit_id, O.u_id, R.datetime, R.weather, R.mood, R.rating, R.note, O.outfit_name,
-           string_agg(DISTINCT S.season, ',' ORDER BY S.season) AS season,
-           string_agg(DISTINCT A.occasion, ',' ORDER BY A.occasion) AS occasion,
-           COUNT(DISTINCT I.item_id) AS item_count
-    FROM w_rec R
-    JOIN w_outfit O ON R.outfit_id = O.outfit_id
-    LEFT JOIN w_season S ON O.outfit_id = S.outfit_id
-    LEFT JOIN w_occ A ON O.outfit_id = A.outfit_id
-    LEFT JOIN w_inc I ON O.outfit_id = I.outfit_id
-    GROUP BY R.outfit_id, O.u_id, R.datetime, R.weather, R.mood, R.rating, R.note, O.outfit_name
+    SELECT outfit_id, u_id, datetime, weather, mood, rating, w_rec.note, outfit_name, season, occasion, item_count
+    FROM w_rec JOIN (SELECT outfit_id, u_id, outfit_name, season, occasion, item_count FROM detail) USING (outfit_id)
 )
 """
-H_COLS = "outfit_id, u_id, datetime, weather, mood, rating, note, outfit_name, season, occasion, item_count"
-q("wear_history", _HISTORY + f"SELECT {H_COLS} FROM hist")
-q("recent_records", _HISTORY + f"""
-SELECT {H_COLS} FROM (
-    SELECT *, row_number() OVER (PARTITION BY u_id ORDER BY datetime DESC, outfit_id ASC) AS rn FROM hist) x
-WHERE rn <= 5
+q("wear_history", _HISTORY + "SELECT * FROM hist")
+q("wear_history_user", _HISTORY + "SELECT * FROM hist WHERE u_id = 1")
+q("recent_records", _HISTORY + "SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY u_id ORDER BY datetime DESC, outfit_id) <= 5")
+
+
+# The dashboard: six lists as one relation of labelled values.
+_MOST, _LEAST = _ranked("-"), _ranked("")
+q("report_overview", _USAGE + _TOTALS + _CATEGORIES + _REUSE + _HISTORY + f"""
+, placed_history AS (SELECT *, row_number() OVER (PARTITION BY u_id ORDER BY datetime DESC, outfit_id) AS place FROM hist)
+SELECT 'totals' AS report, u_id, unnest([1, 2, 3, 4])::BIGINT AS position, unnest(['closet_count', 'item_count', 'outfit_count', 'record_count']) AS label,
+       unnest([closet_count, item_count, outfit_count, record_count])::BIGINT AS value FROM totals
+UNION ALL SELECT 'categories', u_id, row_number() OVER (PARTITION BY u_id ORDER BY item_count DESC, category), category, item_count FROM per_category
+UNION ALL SELECT 'most_worn', u_id, place, item_name, wear_count FROM (SELECT *, {_MOST} AS place FROM usage) WHERE place <= 5
+UNION ALL SELECT 'least_worn', u_id, place, item_name, wear_count FROM (SELECT *, {_LEAST} AS place FROM usage) WHERE place <= 5
+UNION ALL SELECT 'reuse', u_id, place, outfit_name, worn_times FROM reuse WHERE place <= 5
+UNION ALL SELECT 'recent', u_id, place, datetime || ' ' || outfit_name, rating FROM placed_history WHERE place <= 5
 """)
 
 
 # ------------------------------------------------------------------ audits
-def _audit_sql() -> None:
-    from wearhouse.sources.schemas import CHECKS, FOREIGN_KEYS, FUNCTIONAL_DEPENDENCIES, NOT_NULL, PRIMARY_KEYS, UNIQUE_KEYS
-
-    keys = list(PRIMARY_KEYS.items()) + [(n, k) for n, ks in UNIQUE_KEYS.items() for k in ks]
-    parts = [
-        f"SELECT '{n}' AS table_name, '{','.join(k)}' AS key_columns, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS n_rows, "
-        f"COUNT(*) AS distinct_keys, COUNT(CASE WHEN n > 1 THEN 1 END) AS dup_keys "
-        f"FROM (SELECT COUNT(*) AS n FROM {n} GROUP BY {', '.join(k)}) x"
-        for n, k in keys
-    ]
-    q("audit_pk", "\n" + "\nUNION ALL\n".join(parts))
-    parts = [
-        f"SELECT '{n}' AS table_name, '{c}' AS column_name, CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_count FROM {n}"
-        for n, cols in NOT_NULL.items() for c in cols
-    ]
-    q("audit_not_null", "\n" + "\nUNION ALL\n".join(parts))
-    parts = [
-        f"SELECT '{n}' AS table_name, '{r}' AS check_name, CAST(COUNT(*) FILTER (WHERE NOT COALESCE({p}, TRUE)) AS BIGINT) AS violations FROM {n}"
-        for n, rules in CHECKS.items() for r, p in rules
-    ]
-    q("audit_check", "\n" + "\nUNION ALL\n".join(parts))
-    parts = [
-        f"SELECT '{c}' AS child_table, '{cc}' AS child_column, '{p}' AS parent_table, COUNT(*) AS orphan_rows "
-        f"FROM {c} WHERE {cc} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} WHERE {p}.{pc} = {c}.{cc})"
-        for c, cc, p, pc in FOREIGN_KEYS
-    ]
-    q("audit_fk", "\n" + "\nUNION ALL\n".join(parts))
-    parts = [
-        f"SELECT '{n}' AS table_name, '{','.join(x)}' AS determinant, '{','.join(y)}' AS dependent, "
-        f"COUNT(*) FILTER (WHERE k > 1) AS violations "
-        f"FROM (SELECT COUNT(*) AS k FROM (SELECT DISTINCT {', '.join(x + y)} FROM {n}) d GROUP BY {', '.join(x)}) g"
-        for n, x, y in FUNCTIONAL_DEPENDENCIES
-    ]
-    q("audit_fd", "\n" + "\nUNION ALL\n".join(parts))
-
-
-_audit_sql()
+# The constraints of the data model, written down here on their own.
+_KEYS = (
+    ("w_user", "u_id"), ("w_closet", "c_id"), ("w_item", "item_id"), ("w_tag", "item_id,tag"), ("w_cat", "item_id,category"),
+    ("w_color", "item_id,color"), ("w_img", "item_id,image_url"), ("w_outfit", "outfit_id"), ("w_oimg", "outfit_id,image_url"),
+    ("w_season", "outfit_id,season"), ("w_occ", "outfit_id,occasion"), ("w_inc", "outfit_id,item_id"), ("w_rec", "outfit_id,datetime"),
+    ("w_user", "username"),
+)
+_REQUIRED = (
+    ("w_user", "u_id username role"), ("w_closet", "c_id c_name u_id"), ("w_item", "item_id c_id item_name"), ("w_tag", "item_id tag"),
+    ("w_cat", "item_id category"), ("w_color", "item_id color"), ("w_img", "item_id image_url"),
+    ("w_outfit", "outfit_id u_id outfit_name created_date"), ("w_oimg", "outfit_id image_url"), ("w_season", "outfit_id season"),
+    ("w_occ", "outfit_id occasion"), ("w_inc", "outfit_id item_id"), ("w_rec", "outfit_id datetime"),
+)
+_DOMAINS = (
+    ("w_user", "role_domain", "role NOT IN ('user', 'manager', 'admin')"),
+    ("w_rec", "rating_range", "rating < 1 OR rating > 5"),
+)
+_PARENTS = (
+    ("w_closet", "u_id", "w_user"), ("w_item", "c_id", "w_closet"), ("w_tag", "item_id", "w_item"), ("w_cat", "item_id", "w_item"),
+    ("w_color", "item_id", "w_item"), ("w_img", "item_id", "w_item"), ("w_outfit", "u_id", "w_user"), ("w_oimg", "outfit_id", "w_outfit"),
+    ("w_season", "outfit_id", "w_outfit"), ("w_occ", "outfit_id", "w_outfit"), ("w_inc", "outfit_id", "w_outfit"), ("w_inc", "item_id", "w_item"),
+    ("w_rec", "outfit_id", "w_outfit"),
+)
+_DEPENDENT = (
+    ("w_user", "u_id", "username,gender,role"), ("w_user", "username", "u_id"), ("w_closet", "c_id", "c_name,u_id"),
+    ("w_item", "item_id", "c_id,item_name,size,last_worn"), ("w_outfit", "outfit_id", "u_id,outfit_name,note,created_date"),
+    ("w_rec", "outfit_id,datetime", "rating,weather,note,mood"),
+)
+
+
+def _all_of(parts) -> str:
+    return "\n" + "\nUNION ALL\n".join(parts)
+
+
+q("audit_pk", _all_of(
+    f"SELECT '{t}' AS table_name, '{k}' AS key_columns, CAST(COALESCE(sum(n), 0) AS BIGINT) AS n_rows, count(*) AS distinct_keys, "
+    f"count(*) FILTER (n > 1) AS dup_keys FROM (SELECT count(*) AS n FROM {t} GROUP BY {k})" for t, k in _KEYS))
+q("audit_not_null", _all_of(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS null_count FROM {t}" for t, cs in _REQUIRED for c in cs.split()))
+q("audit_check", _all_of(f"SELECT '{t}' AS table_name, '{n}' AS check_name, count(*) AS violations FROM {t} WHERE {bad}" for t, n, bad in _DOMAINS))
+q("audit_fk", _all_of(
+    f"SELECT '{t}' AS child_table, '{c}' AS child_column, '{p}' AS parent_table, count(*) AS orphan_rows FROM {t} ANTI JOIN {p} USING ({c}) WHERE {c} IS NOT NULL"
+    for t, c, p in _PARENTS))
+q("audit_fd", _all_of(
+    f"SELECT '{t}' AS table_name, '{x}' AS determinant, '{y}' AS dependent, count(*) AS violations "
+    f"FROM (SELECT 1 FROM (SELECT DISTINCT {x},{y} FROM {t}) GROUP BY {x.replace(',', ', ')} HAVING count(*) > 1)" for t, x, y in _DEPENDENT))
 
 q("audit_ownership", """
-SELECT N.outfit_id, N.item_id, O.u_id AS outfit_owner, C.u_id AS item_owner
-FROM w_inc N
-JOIN w_outfit O ON N.outfit_id = O.outfit_id
-LEFT JOIN w_item I ON N.item_id = I.item_id
-LEFT JOIN w_closet C ON I.c_id = C.c_id
-WHERE C.u_id IS NULL OR C.u_id <> O.u_id
-""")
-q("audit_season", """
-SELECT outfit_id, season FROM w_season WHERE season NOT IN ('Spring', 'Summer', 'Autumn', 'Winter')
+, owners AS (SELECT item_id, u_id AS item_owner FROM w_item JOIN w_closet USING (c_id))
+SELECT outfit_id, item_id, u_id AS outfit_owner, item_owner
+FROM w_inc JOIN w_outfit USING (outfit_id) LEFT JOIN owners USING (item_id) WHERE u_id IS DISTINCT FROM item_owner
 """)
+q("audit_season", "SELECT outfit_id, season FROM w_season WHERE season NOT IN ('Spring', 'Summer', 'Autumn', 'Winter')")
 
-_USAGE_CTE = _USAGE.split("SELECT u_id, item_id, item_name, category, color, last_worn, wear_count FROM (")[0]
-q("report_rows", _USAGE_CTE + """
-, cats AS (
-    SELECT C.u_id, COALESCE(K.category, 'Uncategorized') AS category, COUNT(DISTINCT I.item_id) AS item_count
-    FROM w_item I JOIN w_closet C ON I.c_id = C.c_id LEFT JOIN w_cat K ON I.item_id = K.item_id
-    GROUP BY C.u_id, COALESCE(K.category, 'Uncategorized')
-)
+q("report_rows", _USAGE + _CATEGORIES + f"""
 , lists AS (
-    SELECT u_id, 'categoryReport' AS report,
-           row_number() OVER (PARTITION BY u_id ORDER BY item_count DESC, category ASC) AS position,
-           category AS label, item_count AS value, 'items' AS suffix
-    FROM cats
-    UNION ALL
-    SELECT u_id, 'mostWornReport', rn, item_name, wear_count, 'wears' FROM (
-        SELECT *, row_number() OVER (PARTITION BY u_id
-            ORDER BY wear_count DESC, last_worn ASC NULLS FIRST, item_name ASC, item_id ASC) AS rn FROM usage) x
-    WHERE rn <= 5
-    UNION ALL
-    SELECT u_id, 'leastWornReport', rn, item_name, wear_count, 'wears' FROM (
-        SELECT *, row_number() OVER (PARTITION BY u_id
-            ORDER BY wear_count ASC, last_worn ASC NULLS FIRST, item_name ASC, item_id ASC) AS rn FROM usage) x
-    WHERE rn <= 5
-)
-SELECT u_id, report, CAST(position AS BIGINT) AS position, COALESCE(NULLIF(label, ''), 'Untitled') AS label,
-       CAST(COALESCE(value, 0) AS VARCHAR) || ' ' || suffix AS value_text
-FROM lists
-UNION ALL
-SELECT U.u_id, r.report, CAST(1 AS BIGINT), 'No data', '-'
-FROM w_user U CROSS JOIN (VALUES ('categoryReport'), ('mostWornReport'), ('leastWornReport')) r(report)
-WHERE NOT EXISTS (SELECT 1 FROM lists L WHERE L.u_id = U.u_id AND L.report = r.report)
+    SELECT u_id, 'categoryReport' AS report, row_number() OVER (PARTITION BY u_id ORDER BY item_count DESC, category) AS position,
+           category AS label, item_count || ' items' AS value_text
+    FROM per_category
+    UNION ALL SELECT u_id, 'mostWornReport', {_ranked('-')}, item_name, wear_count || ' wears' FROM usage
+    UNION ALL SELECT u_id, 'leastWornReport', {_ranked('')}, item_name, wear_count || ' wears' FROM usage
+)
+, names AS (SELECT unnest(['categoryReport', 'mostWornReport', 'leastWornReport']) AS report)
+SELECT u_id, report, CAST(COALESCE(position, 1) AS BIGINT) AS position,
+       CASE WHEN position IS NULL THEN 'No data' WHEN label = '' THEN 'Untitled' ELSE label END AS label, COALESCE(value_text, '-') AS value_text
+FROM (SELECT u_id, report FROM w_user, names) LEFT JOIN lists USING (u_id, report)
+WHERE report = 'categoryReport' OR position IS NULL OR position <= 5
 """)
 
 
@@ -548,11 +491,8 @@ def _counts(filters: dict[str, str], extra: dict[str, str] | None = None, reject
 
 
 q("touch_worn", """
-, d AS (SELECT N.item_id, MAX(substr(R.datetime, 1, 10)) AS w FROM w_inc N JOIN w_rec R ON N.outfit_id = R.outfit_id GROUP BY N.item_id)
-SELECT I.item_id,
-       CASE WHEN d.w IS NOT NULL AND (I.last_worn IS NULL OR I.last_worn = '' OR I.last_worn < d.w) THEN d.w
-            ELSE I.last_worn END AS last_worn
-FROM w_item I LEFT JOIN d ON I.item_id = d.item_id
+, d AS (SELECT item_id, left(max(datetime), 10) AS day FROM w_inc JOIN w_rec USING (outfit_id) GROUP BY item_id)
+SELECT item_id, COALESCE(greatest(NULLIF(last_worn, ''), day), last_worn) AS last_worn FROM w_item LEFT JOIN d USING (item_id)
 """)
 
 _OREQ = """
@@ -638,60 +578,213 @@ q("outfit_update_tables", _OUPD + """
     rejects="SELECT COUNT(*) FROM outc WHERE outcome <> 'updated'",
 ))
 
-_WEARS = _LISTS + """
-, recs AS (SELECT R.outfit_id, R.datetime, R.rating, O.u_id,
-                  (R.outfit_id * 100000 + datediff('day', DATE '1970-01-01', CAST(substr(R.datetime, 1, 10) AS DATE))) * 4 AS base
-           FROM w_rec R JOIN w_outfit O ON R.outfit_id = O.outfit_id)
+_AS_OF = "2026-01-01 00:00:00"
+_WEARS = _LISTS + f"""
+, asked AS (
+    SELECT (outfit_id * 100000 + datediff('day', DATE '1970-01-01', CAST(left(datetime, 10) AS DATE))) * 4 AS change_id, outfit_id,
+           weather = 'N' AND mood = 'F' AS blank,
+           CASE weather WHEN 'N' THEN datetime WHEN 'A' THEN left(datetime, 10) ELSE '{_AS_OF}' END AS dt,
+           weather = 'A' AND rating IS NULL AS bad_rating
+    FROM w_rec JOIN w_outfit USING (outfit_id)
+)
+, sound AS (SELECT *, min(change_id) OVER (PARTITION BY outfit_id, dt) AS winner FROM asked WHERE NOT blank AND NOT bad_rating AND outfit_id <> 0)
+, taken AS (SELECT change_id FROM sound LEFT JOIN w_rec ON w_rec.outfit_id = sound.outfit_id AND w_rec.datetime = dt WHERE change_id <> winner OR w_rec.datetime IS NOT NULL)
 , newo AS (
-    SELECT outfit_id * 100000 * 4 + 2 AS change_id, u_id, ids, occasion, image_url, outfit_id AS src,
-           CASE WHEN outfit_id % 3 = 0 THEN '9' ELSE '3' END AS rating_raw
-    FROM olists WHERE outfit_id % 6 = 2
+    SELECT outfit_id * 100000 * 4 + 2 AS change_id, u_id, ids, occasion, image_url, note FROM olists
 )
-, new_unowned AS (
-    SELECT change_id, COUNT(*) AS n FROM (SELECT change_id, u_id, unnest(ids) AS item_id FROM newo) x
-    WHERE NOT EXISTS (SELECT 1 FROM owned WHERE owned.item_id = x.item_id AND owned.u_id = x.u_id)
-    GROUP BY change_id
+, foreign_ids AS (
+    SELECT DISTINCT change_id FROM (SELECT change_id, u_id, unnest(ids) AS item_id FROM newo) ANTI JOIN owned USING (item_id, u_id)
 )
 , new_outc AS (
     SELECT newo.*,
            CASE WHEN len(ids) = 0 THEN 'Select at least one clothing item for the outfit.'
-                WHEN COALESCE(new_unowned.n, 0) > 0 THEN 'One or more clothing items do not belong to this user.'
-                WHEN rating_raw = '9' THEN 'Rating must be between 1 and 5.'
+                WHEN change_id IN (SELECT change_id FROM foreign_ids) THEN 'One or more clothing items do not belong to this user.'
+                WHEN note = '1-URGENT' THEN 'Rating must be between 1 and 5.'
+                WHEN note = '5-LOW' THEN 'Season must be one of: Spring, Summer, Autumn, Winter.'
                 ELSE 'recorded' END AS outcome
-    FROM newo LEFT JOIN new_unowned ON newo.change_id = new_unowned.change_id
+    FROM newo
 )
 , new_ids AS (
-    SELECT change_id, (SELECT MAX(outfit_id) FROM w_outfit) + row_number() OVER (ORDER BY change_id) AS new_outfit_id
+    SELECT change_id, (SELECT max(outfit_id) FROM w_outfit) + row_number() OVER (ORDER BY change_id) AS outfit_id
     FROM new_outc WHERE outcome = 'recorded'
 )
 , outc AS (
-    -- outfit id 0 is falsy: such a change asks for a new outfit and names no items
-    SELECT base AS change_id, CASE WHEN outfit_id = 0 THEN NULL ELSE outfit_id END AS outfit_id,
-           CASE WHEN outfit_id = 0 THEN 'Select at least one clothing item for the outfit.' ELSE 'recorded' END AS outcome
-    FROM recs WHERE outfit_id % 4 = 0
-    UNION ALL
-    SELECT base + 1, CAST(NULL AS BIGINT), 'This outfit already has a record for that date.' FROM recs WHERE outfit_id % 4 = 1
+    -- outfit id 0 is no outfit: such a change asks for a new one and names no items
+    SELECT change_id, CASE WHEN outcome = 'recorded' THEN outfit_id END AS outfit_id, outcome FROM (
+        SELECT change_id, outfit_id,
+               CASE WHEN blank THEN 'Invalid outfit.'
+                    WHEN outfit_id = 0 THEN 'Select at least one clothing item for the outfit.'
+                    WHEN bad_rating THEN 'Rating must be between 1 and 5.'
+                    WHEN change_id IN (SELECT change_id FROM taken) THEN 'This outfit already has a record for that date.'
+                    ELSE 'recorded' END AS outcome
+        FROM asked)
     UNION ALL
-    SELECT n.change_id, i.new_outfit_id, n.outcome FROM new_outc n LEFT JOIN new_ids i ON n.change_id = i.change_id
+    SELECT change_id, new_ids.outfit_id, outcome FROM new_outc LEFT JOIN new_ids USING (change_id)
 )
 """
 q("record_wears", _WEARS + "SELECT change_id, outfit_id, outcome FROM outc")
-_VALS = "list_filter(list_transform(string_split(COALESCE({c}, ''), ','), lambda x: trim(x)), lambda x: x <> '')"
 q("record_wears_tables", _WEARS + """
 , made AS (SELECT * FROM new_outc WHERE outcome = 'recorded')
 """ + _counts(
     {},
     {
-        "w_outfit": "SELECT COUNT(*) FROM made",
-        "w_season": "SELECT COUNT(*) FROM made",
-        "w_occ": f"SELECT COALESCE(SUM(len(list_distinct({_VALS.format(c='occasion')}))), 0) FROM made",
-        "w_oimg": f"SELECT COALESCE(SUM(len(list_distinct({_VALS.format(c='image_url')}))), 0) FROM made",
-        "w_inc": "SELECT COALESCE(SUM(len(ids)), 0) FROM made",
-        "w_rec": "SELECT (SELECT COUNT(*) FROM made) + (SELECT COUNT(*) FROM recs WHERE outfit_id % 4 = 0 AND outfit_id <> 0)",
+        "w_outfit": "SELECT count(*) FROM made",
+        "w_season": "SELECT count(*) FROM made",
+        "w_occ": f"SELECT COALESCE(sum(len(list_distinct({_VALUES.format(c='occasion')}))), 0) FROM made",
+        "w_oimg": f"SELECT COALESCE(sum(len(list_distinct({_VALUES.format(c='image_url')}))), 0) FROM made",
+        "w_inc": "SELECT COALESCE(sum(len(ids)), 0) FROM made",
+        "w_rec": "SELECT count(*) FROM outc WHERE outcome = 'recorded'",
     },
-    rejects="SELECT COUNT(*) FROM outc WHERE outcome <> 'recorded'",
+    rejects="SELECT count(*) FROM outc WHERE outcome <> 'recorded'",
 ))
 
+
+# Change sets with their values: the outcomes, then the tables' rows afterwards.
+def _row(*columns: str) -> str:
+    return " || '|' || ".join(f"COALESCE(CAST({c} AS VARCHAR), '~')" for c in columns)
+
+
+def _values(outcomes: str, **relations: str) -> str:
+    """``outcomes`` and each relation select (k, v)."""
+    parts = [f"SELECT 'outcome' AS relation, k, v FROM ({outcomes}) AS o(k, v)"]
+    parts += [f"SELECT '{name}', k, v FROM ({sql}) AS {name}_now(k, v)" for name, sql in relations.items()]
+    return "\nUNION ALL\n".join(parts)
+
+
+def _kept(key: str, *columns: str, table: str, where: str = "TRUE") -> str:
+    return f"SELECT {key}, {_row(*columns)} FROM {table} WHERE {where}"
+
+
+_ITEM_ROW = ("c_id", "item_name", "size", "last_worn")
+_CHILD = (("w_tag", "tag"), ("w_cat", "category"), ("w_color", "color"), ("w_img", "image_url"))
+
+q("add_users", """
+, named AS (
+    SELECT outfit_id AS k, u_id, CASE note WHEN '5-LOW' THEN '' WHEN '1-URGENT' THEN username WHEN '2-HIGH' THEN note ELSE outfit_name END AS name
+    FROM w_outfit JOIN w_user USING (u_id)
+)
+, judged AS (
+    SELECT *, CASE WHEN name = '' THEN 'Username and password are required.'
+                   WHEN name IN (SELECT username FROM w_user) OR k <> min(k) OVER (PARTITION BY name) THEN 'Username already exists.' ELSE 'added' END AS v
+    FROM named
+)
+, fresh AS (
+    SELECT name, u_id, (SELECT max(u_id) FROM w_user) + row_number() OVER (ORDER BY k) AS id, (SELECT max(c_id) FROM w_closet) + row_number() OVER (ORDER BY k) AS c_id
+    FROM judged WHERE v = 'added'
+)
+""" + _values(
+    "SELECT k, v FROM judged",
+    w_user=_kept("u_id", "username", "gender", "role", table="w_user") + f" UNION ALL SELECT id, {_row('name', 'u_id')} || '|user' FROM fresh",
+    w_closet=_kept("c_id", "c_name", "u_id", table="w_closet") + " UNION ALL SELECT c_id, name || chr(39) || 's Closet|' || id FROM fresh",
+))
+q("add_closets", """
+, judged AS (
+    SELECT outfit_id AS k, outfit_name, u_id,
+           CASE note WHEN '1-URGENT' THEN 'User not found.' WHEN '5-LOW' THEN 'Wardrobe name is required.' ELSE 'added' END AS v
+    FROM w_outfit
+)
+, fresh AS (SELECT (SELECT max(c_id) FROM w_closet) + row_number() OVER (ORDER BY k) AS id, outfit_name, u_id FROM judged WHERE v = 'added')
+""" + _values(
+    "SELECT k, v FROM judged",
+    w_closet=_kept("c_id", "c_name", "u_id", table="w_closet") + f" UNION ALL {_kept('id', 'outfit_name', 'u_id', table='fresh')}",
+))
+_BY_ITEM = """
+, possessed AS (SELECT item_id, c_id, u_id, item_name, size, last_worn, CAST(size AS INTEGER) % 2 = 1 AS odd, COALESCE(last_worn, '') = '' AS never FROM w_item JOIN w_closet USING (c_id))
+"""
+q("rename_closets", _BY_ITEM + """
+, judged AS (
+    SELECT item_id AS k, c_id, trim(item_name) AS name, CASE WHEN odd THEN 'Wardrobe not found.' WHEN never THEN 'Wardrobe name is required.' ELSE 'renamed' END AS v FROM possessed
+)
+, names AS (SELECT c_id, arg_max(name, k) AS name FROM judged WHERE v = 'renamed' GROUP BY c_id)
+""" + _values("SELECT k, v FROM judged", w_closet=f"SELECT c_id, {_row('COALESCE(name, c_name)', 'u_id')} FROM w_closet LEFT JOIN names USING (c_id)"))
+_FREED = "item_id IN (SELECT item_id FROM w_item JOIN w_closet USING (c_id) WHERE c_name >= 'N')"
+q("delete_closets", f"""
+, refs AS (SELECT c_id, count(DISTINCT outfit_id) AS n FROM w_item JOIN w_inc USING (item_id) WHERE NOT ({_FREED}) GROUP BY c_id)
+, stays AS (SELECT c_id, n FROM refs)
+""" + _values(
+    """
+    SELECT c_id * 2 + turn, CASE WHEN n > 0 THEN 'This wardrobe contains items used by ' || n || ' outfit(s). Update or delete those outfits first.'
+                                 WHEN turn = 0 THEN 'deleted' ELSE 'Wardrobe not found.' END
+    FROM w_closet LEFT JOIN stays USING (c_id), (VALUES (0), (1)) turns(turn)
+    """,
+    w_closet=_kept("c_id", "c_name", table="w_closet", where="c_id IN (SELECT c_id FROM stays)"),
+    w_item=_kept("item_id", *_ITEM_ROW, table="w_item", where="c_id IN (SELECT c_id FROM stays)"),
+    **{t: _kept("item_id", c, table=t, where="item_id IN (SELECT item_id FROM w_item WHERE c_id IN (SELECT c_id FROM stays))") for t, c in _CHILD},
+))
+q("add_items", _BY_ITEM + """
+, judged AS (
+    SELECT *, CASE WHEN never THEN 'Item name is required.' WHEN odd THEN 'Wardrobe not found.' ELSE 'added' END AS v FROM possessed
+)
+, fresh AS (SELECT item_id, (SELECT max(item_id) FROM w_item) + row_number() OVER (ORDER BY item_id) AS id, c_id, item_name, size, last_worn FROM judged WHERE v = 'added')
+""" + _values(
+    "SELECT item_id, v FROM judged",
+    w_item=_kept("item_id", *_ITEM_ROW, table="w_item") + f" UNION ALL {_kept('id', *_ITEM_ROW, table='fresh')}",
+    **{t: _kept("item_id", c, table=t) + f" UNION ALL SELECT id, {c} FROM {t} JOIN fresh USING (item_id)" for t, c in _CHILD},
+))
+_ITEM_CHANGES = _BY_ITEM + "\n"
+_UPDATE_OUTCOMES = "SELECT item_id * 2, 'updated' FROM possessed UNION ALL SELECT item_id * 2 + 1, CASE WHEN odd THEN 'Item not found.' ELSE 'updated' END FROM possessed"
+_NEW_TAGS = "SELECT item_id, unnest(['new', 'hot']) FROM possessed WHERE NOT odd"
+q("update_items_merge", _ITEM_CHANGES + _values(
+    _UPDATE_OUTCOMES,
+    w_item=f"""SELECT item_id, {_row('c_id', 'item_name', "'X' || size", "CASE WHEN odd THEN COALESCE(last_worn, '') ELSE '2026-02-02' END")} FROM possessed""",
+    w_tag=f"SELECT item_id, tag FROM w_tag JOIN possessed USING (item_id) WHERE odd UNION ALL {_NEW_TAGS}",
+    w_cat=_kept("item_id", "category", table="w_cat"),
+    w_color="SELECT item_id, 'Black' FROM possessed",
+    w_img=_kept("item_id", "image_url", table="w_img"),
+))
+q("update_items_replace", _ITEM_CHANGES + _values(
+    _UPDATE_OUTCOMES,
+    w_item="SELECT item_id, CASE WHEN odd THEN c_id || '||X' || size || '|' ELSE c_id || '|||2026-02-02' END FROM possessed",
+    w_tag=_NEW_TAGS,
+    w_cat="SELECT item_id, category FROM w_cat WHERE FALSE",
+    w_color="SELECT item_id, 'Black' FROM possessed WHERE odd",
+    w_img="SELECT item_id, image_url FROM w_img WHERE FALSE",
+))
+q("add_outfits", _LISTS + f"""
+, mine AS (SELECT outfit_id, list(item_id ORDER BY item_id) AS own FROM w_inc JOIN w_outfit USING (outfit_id) SEMI JOIN owned USING (item_id, u_id) GROUP BY outfit_id)
+, judged AS (
+    SELECT olists.*, own, CASE WHEN note = '5-LOW' THEN 'Outfit name is required.' WHEN own IS NULL THEN 'Select at least one clothing item.'
+                               WHEN outfit_id IN (SELECT outfit_id FROM w_season WHERE season = 'Monsoon') THEN 'Season must be one of: Spring, Summer, Autumn, Winter.'
+                               ELSE 'added' END AS v
+    FROM olists LEFT JOIN mine USING (outfit_id)
+)
+, fresh AS (SELECT *, (SELECT max(outfit_id) FROM w_outfit) + row_number() OVER (ORDER BY outfit_id) AS id FROM judged WHERE v = 'added')
+""" + _values(
+    "SELECT outfit_id, v FROM judged",
+    w_outfit=_kept("outfit_id", "u_id", "outfit_name", "note", "created_date", table="w_outfit")
+    + f" UNION ALL SELECT id, {_row('u_id', 'outfit_name', 'note')} || '|2026-01-01' FROM fresh",
+    **{t: _kept("outfit_id", c, table=t) + f" UNION ALL SELECT id, {c} FROM {t} JOIN (SELECT outfit_id, id FROM fresh) USING (outfit_id) WHERE {c} <> ''"
+       for t, c in (("w_season", "season"), ("w_occ", "occasion"), ("w_oimg", "image_url"))},
+    w_inc="SELECT outfit_id, CAST(item_id AS VARCHAR) FROM w_inc UNION ALL SELECT id, CAST(unnest(own) AS VARCHAR) FROM fresh",
+))
+_RECORDS = """
+, judged AS (
+    SELECT outfit_id * 100000 + datediff('day', DATE '1970-01-01', CAST(left(datetime, 10) AS DATE)) AS k, w_rec.*,
+           CASE WHEN weather = 'N' THEN 'Outfit not found.' WHEN {rating} THEN 'Rating must be between 1 and 5.'
+                WHEN mood = 'F' THEN 'Record not found.' ELSE '{done}' END AS v
+    FROM w_rec JOIN (SELECT outfit_id FROM w_outfit) USING (outfit_id)
+)
+"""
+q("update_records", _RECORDS.format(rating="rating IS NULL", done="updated") + _values(
+    "SELECT k, v FROM judged",
+    w_rec=f"SELECT outfit_id, {_row('datetime', 'rating', 'weather', 'note', 'mood')} FROM judged WHERE v <> 'updated' "
+          "UNION ALL SELECT outfit_id, datetime || '|' || (6 - rating) || '|Windy|was ' || weather || '|' FROM judged WHERE v = 'updated'",
+))
+q("delete_records", _RECORDS.format(rating="FALSE", done="deleted") + _values(
+    "SELECT k, v FROM judged", w_rec="SELECT outfit_id, datetime FROM judged WHERE v <> 'deleted'"))
+q("insert_or_ignore", "SELECT item_id, color AS tag FROM w_color ANTI JOIN (SELECT item_id, tag AS color FROM w_tag) USING (item_id, color)")
+_GONE = """
+, gone AS (SELECT u_id FROM w_user WHERE gender IS NULL AND role = 'user')
+, left_closets AS (SELECT c_id FROM w_closet ANTI JOIN gone USING (u_id))
+, left_items AS (SELECT item_id FROM w_item SEMI JOIN left_closets USING (c_id))
+, left_outfits AS (SELECT outfit_id FROM w_outfit ANTI JOIN gone USING (u_id))
+"""
+_STILL = {"w_user": "u_id NOT IN (SELECT u_id FROM gone)", "w_closet": "c_id IN (SELECT c_id FROM left_closets)"}
+_STILL |= {t: "item_id IN (SELECT item_id FROM left_items)" for t in ("w_item", "w_tag", "w_cat", "w_color", "w_img")}
+_STILL |= {t: "outfit_id IN (SELECT outfit_id FROM left_outfits)" for t in ("w_outfit", "w_oimg", "w_season", "w_occ", "w_inc", "w_rec")}
+_STILL["w_inc"] += " AND item_id IN (SELECT item_id FROM left_items)"
+q("delete_users", _GONE + _counts(_STILL).replace("\nUNION ALL\nSELECT 'rejects', CAST((SELECT 0) AS BIGINT)", ""))
+
 q("clean_lists", _LISTS + """
 , raw AS (
     SELECT R.outfit_id, R.datetime,
@@ -727,5 +820,14 @@ FROM parsed
 # The stream applies the same changes in two micro-batches; the final counts equal the one-batch job's.
 q("stream_wear_ingest", _Q["record_wears_tables"])
 
+# Q20 with its arrays as text.
+q("outfit_detail_nested", _DETAIL + _CATALOG + f"""
+, texts AS (
+    SELECT outfit_id, string_agg({_row('item_name', 'item_id', 'c_name', 'tag', 'category', 'color', 'image_url')}, ';' ORDER BY item_name, item_id) AS items
+    FROM w_inc JOIN catalog USING (item_id) GROUP BY outfit_id
+)
+SELECT {D_COLS}, COALESCE(array_to_string(ids, ','), '') AS item_ids, items FROM detail LEFT JOIN texts USING (outfit_id)
+""")
+
 # Q20's nested item rows, flattened, equal Q18's rows.
 q("outfit_detail_nested_items", _Q["outfit_items"])

@@ -69,7 +69,6 @@ def keyed_arrays(
     spec=ITEM_ATTRS,
     key: str = "item_id",
     restrict: DataFrame | None = None,
-    row_bound: int | None = None,
     preview: bool = False,
 ) -> DataFrame:
     """Per key, a sorted distinct array per child table of ``spec`` (and, with
@@ -79,27 +78,25 @@ def keyed_arrays(
     children).  Bucketed tables: one aggregate per child, each local to its
     bucket, left-joined onto the entity's keys; every join is co-partitioned,
     so nothing is shuffled.  (A union of renamed columns would lose the
-    bucket partitioning.)  ``restrict`` limits the keys first (a semi join,
-    broadcast only under ``row_bound``).  Keys without children have NULL or
+    bucket partitioning.)  ``restrict`` limits the keys first (a semi join; AQE
+    broadcasts its keys when they turn out small).  Keys without children have NULL or
     empty arrays; callers treat both as empty.
     """
-    from wearhouse.plans.joins import restrict_to
-
     if restrict is not None:
         restrict = restrict.select(key).distinct()
     if not t.bucketed:
         long = long_attrs(t, spec, key)
         if restrict is not None:
-            long = restrict_to(long, restrict, key, row_bound)
+            long = long.join(restrict, key, "left_semi")
         extra = [F.min(F.when(F.col("kind") == "images", F.nullif(F.col("value"), F.lit("")))).alias("outfit_preview")] if preview else None
         return attrs_by_key(long, spec, key, extra)
     out = t.get(_ENTITY[key]).select(key)
     if restrict is not None:
-        out = restrict_to(out, restrict, key, row_bound)
+        out = out.join(restrict, key, "left_semi")
     for tbl, colname, kind in spec:
         child = t.get(tbl)
         if restrict is not None:
-            child = restrict_to(child, restrict, key, row_bound)
+            child = child.join(restrict, key, "left_semi")
         aggs = [_sorted_set(F.col(colname)).alias(kind)]
         if preview and kind == "images":
             aggs.append(F.min(F.nullif(F.col(colname), F.lit(""))).alias("outfit_preview"))
@@ -112,15 +109,6 @@ def item_attrs(t: Tables) -> DataFrame:
     return keyed_arrays(t, ITEM_ATTRS, "item_id")
 
 
-def item_attrs_for(t: Tables, keys: DataFrame, row_bound: int | None) -> DataFrame:
-    """:func:`item_attrs` restricted to the item ids in ``keys`` before aggregating.
-
-    Used after a top-k: the few surviving ids are broadcast (size checked)
-    and the child tables are filtered at the scan side instead of shuffled.
-    """
-    return keyed_arrays(t, ITEM_ATTRS, "item_id", restrict=keys, row_bound=row_bound)
-
-
 def outfit_wears(t: Tables) -> DataFrame:
     """Per outfit: ``worn_count`` (records) and ``last_worn`` (latest datetime text)."""
     return t.w_rec.groupBy("outfit_id").agg(F.count("datetime").alias("worn_count"), F.max("datetime").alias("last_worn"))

@@ -65,14 +65,15 @@ register("primary_category_facet", catalog.primary_category_facet)
 from wearhouse.operators import history, outfits  # noqa: E402
 
 register("outfit_list", outfits.outfit_list)
+register("outfit_list_user", lambda t: outfits.outfit_list(t, user_id=1))
 register("outfit_detail", outfits.outfit_detail)
-register("outfit_detail_nested", outfits.outfit_detail_nested)
 register("outfit_items", outfits.outfit_items)
 register("outfit_filter", lambda t: outfits.outfit_filter(t, q="Outfit 1", season="Summer", occasion="1-URGENT"))
 register("outfit_cards", outfits.outfit_cards)
 register("season_facet", outfits.season_facet)
 register("occasion_facet", outfits.occasion_facet)
 register("wear_history", history.wear_history)
+register("wear_history_user", lambda t: history.wear_history(t, user_id=1))
 register("recent_records", history.recent_records)
 
 # Step 7: audits
@@ -86,6 +87,9 @@ register("audit_fd", audit.functional_dependencies)
 register("audit_ownership", audit.ownership)
 register("audit_season", audit.unknown_seasons)
 register("report_rows", reports.report_rows)
+register("report_overview", reports.overview)
+register("report_most_worn_user", lambda t: reports.most_worn(t, user_id=1))
+register("user_roles", reports.user_roles)
 
 # Step 8: change sets over batches derived from the tables
 from pyspark.sql import functions as F  # noqa: E402
@@ -110,6 +114,68 @@ def _with_rejects(result):
     return changes.table_counts(result.tables).unionByName(n)
 
 
+def _contents(result, batch, ok_text: str, tables: dict[str, tuple[str, ...]]):
+    """The outcome of every change and the rows of the given tables afterwards, as
+    one long relation (relation, k, v): ``tables`` names the key column first."""
+    out = _outcomes(batch, result, ok_text).select(F.lit("outcome").alias("relation"), F.col("change_id").alias("k"), F.col("outcome").alias("v"))
+    for name, (key, *columns) in tables.items():
+        rest = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+        out = out.unionByName(result.tables.get(name).select(F.lit(name).alias("relation"), F.col(key).alias("k"), rest.alias("v")))
+    return out
+
+
+ITEM_TABLES = {
+    "w_item": ("item_id", "c_id", "item_name", "size", "last_worn"), "w_tag": ("item_id", "tag"), "w_cat": ("item_id", "category"),
+    "w_color": ("item_id", "color"), "w_img": ("item_id", "image_url"),
+}
+OUTFIT_TABLES = {
+    "w_outfit": ("outfit_id", "u_id", "outfit_name", "note", "created_date"), "w_season": ("outfit_id", "season"), "w_occ": ("outfit_id", "occasion"),
+    "w_oimg": ("outfit_id", "image_url"), "w_inc": ("outfit_id", "item_id"),
+}
+
+
+def _change_query(job, derive, ok_text, tables, **kw):
+    def run(t):
+        batch = _batch(derive(t))
+        return _contents(job(t, batch, **kw), batch, ok_text, tables)
+
+    return run
+
+
+def q_delete_closets(t):
+    """Closets named N to Z have let go of their outfits: they can be deleted
+    with their items; the others are still used."""
+    free = t.w_item.join(t.w_closet.where(F.col("c_name") >= "N"), "c_id").select("item_id")
+    t = t.with_tables(w_inc=t.w_inc.join(free, "item_id", "left_anti"))
+    batch = _batch(dc.closet_deletes(t))
+    return _contents(changes.delete_closets(t, batch), batch, "deleted", {"w_closet": ("c_id", "c_name"), **ITEM_TABLES})
+
+
+def q_insert_or_ignore(t):
+    return changes.insert_or_ignore(t.w_tag, dc.tag_rows(t), ["item_id", "tag"])
+
+
+def q_delete_users(t):
+    """M16 from the top: the users without a gender go, with all that is theirs."""
+    return changes.table_counts(changes.cascade_delete(t, users=t.w_user.where("gender IS NULL AND role = 'user'").select("u_id")))
+
+
+register("add_users", _change_query(changes.add_users, dc.sign_ups, "added", {
+    "w_user": ("u_id", "username", "gender", "role"), "w_closet": ("c_id", "c_name", "u_id")}))
+register("add_closets", _change_query(changes.add_closets, dc.closet_adds, "added", {"w_closet": ("c_id", "c_name", "u_id")}))
+register("rename_closets", _change_query(changes.rename_closets, dc.closet_renames, "renamed", {"w_closet": ("c_id", "c_name", "u_id")}))
+register("delete_closets", q_delete_closets)
+register("add_items", _change_query(changes.add_items, dc.item_adds, "added", ITEM_TABLES))
+register("update_items_merge", _change_query(changes.update_items, dc.item_updates, "updated", ITEM_TABLES, mode="merge"))
+register("update_items_replace", _change_query(changes.update_items, dc.item_updates, "updated", ITEM_TABLES, mode="replace"))
+register("add_outfits", _change_query(changes.add_outfits, dc.outfit_adds, "added", OUTFIT_TABLES, as_of=AS_OF))
+register("update_records", _change_query(changes.update_records, dc.record_changes, "updated", {
+    "w_rec": ("outfit_id", "datetime", "rating", "weather", "note", "mood")}))
+register("delete_records", _change_query(changes.delete_records, dc.record_changes, "deleted", {"w_rec": ("outfit_id", "datetime")}))
+register("insert_or_ignore", q_insert_or_ignore)
+register("delete_users", q_delete_users)
+
+
 def q_touch_worn(t):
     wears = t.w_inc.join(t.w_rec.select("outfit_id", "datetime"), "outfit_id").select("item_id", "datetime")
     return changes.touch_worn(t, wears).w_item.select("item_id", "last_worn")
@@ -176,7 +242,7 @@ register("clean_lists", q_clean_lists)
 
 # Step 9: stream ingest (same batch job per micro-batch)
 from wearhouse.plans.session import scratch_path  # noqa: E402
-from wearhouse.sources.tables import load_tables, write_tables  # noqa: E402
+from wearhouse.sources.tables import load_tables, read_beside, write_tables  # noqa: E402
 from wearhouse.streaming.ingest import start_wear_ingest  # noqa: E402
 
 
@@ -187,12 +253,13 @@ def q_stream_wear_ingest(t):
     root = scratch_path(spark, "wear-ingest")
     write_tables(t, f"{root}/tables", version=0)
     src = f"{root}/incoming"
-    batch = dc.wear_changes(t)
-    batch.repartition(2, "change_id").write.json(src)
-    query = start_wear_ingest(spark, src, f"{root}/tables", f"{root}/_stream", as_of=AS_OF, max_files_per_trigger=1)
+    # Written by all tasks; half of the files make one micro-batch.
+    files = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dc.wear_changes(t).repartition(files).write.json(src)
+    query = start_wear_ingest(spark, src, f"{root}/tables", f"{root}/_stream", as_of=AS_OF, max_files_per_trigger=-(-files // 2))
     query.awaitTermination()
     final = load_tables(spark, f"{root}/tables")
-    rejects = spark.read.parquet(f"{root}/tables/rejects").agg(F.count(F.lit(1)).alias("n_rows")).select(
+    rejects = read_beside(spark, f"{root}/tables", "rejects").agg(F.count(F.lit(1)).alias("n_rows")).select(
         F.lit("rejects").alias("table_name"), "n_rows"
     )
     return changes.table_counts(final).unionByName(rejects)
@@ -201,6 +268,19 @@ def q_stream_wear_ingest(t):
 register("stream_wear_ingest", q_stream_wear_ingest)
 
 
+def q_outfit_detail_nested(t):
+    """Q20 with its arrays as text: item ids, and name, id, closet and lists of each item."""
+    nested = outfits.outfit_detail_nested(t)
+    shown = ("item_name", "item_id", "c_name", "tag", "category", "color", "image_url")
+    one = lambda x: F.concat_ws("|", *[F.coalesce(x[c].cast("string"), F.lit("~")) for c in shown])
+    return nested.withColumn("item_ids", F.concat_ws(",", F.transform("item_ids", lambda x: x.cast("string")))).withColumn(
+        "items", F.array_join(F.transform("items", one), ";")
+    )
+
+
+register("outfit_detail_nested", q_outfit_detail_nested)
+
+
 def q_outfit_detail_nested_items(t):
     """Q20's nested ``items`` array flattened back to rows: it must equal Q18."""
     nested = outfits.outfit_detail_nested(t)

@@ -113,11 +113,7 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
         .distinct()
     )
 
-    w_inc = (
-        lineitem.where(F.col("l_partkey") % 50 != 0)
-        .select(F.col("l_orderkey").alias("outfit_id"), F.col("l_partkey").alias("item_id"))
-        .distinct()
-    )
+    w_inc = lineitem.select(F.col("l_orderkey").alias("outfit_id"), F.col("l_partkey").alias("item_id")).distinct()
 
     # One record per (order, shipdate): the line with the lowest (linenumber, partkey).
     # min(struct) is a plain hash aggregate, no sort-based window.

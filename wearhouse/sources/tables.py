@@ -4,13 +4,14 @@ Plain Parquet has no row-level DELETE/UPDATE, and a path cannot be overwritten
 while it is being read, so a change job publishes ``old snapshot + changes`` as
 a *new* version and then writes a one-row commit marker
 ``<root>/commits/v=<N>``.  Readers take the highest committed version, so they
-never see a half-written snapshot.
+never see a half-written snapshot.  Parts lie in a folder named after the
+version and the writing attempt and are never overwritten.
 
 The marker holds a manifest: for every table, the list of Parquet directories
 (relative to ``root``) that together hold its rows.  A version therefore only
 writes what changed: a table the job did not touch keeps its parts, an
 insert-only change adds one part with just the new rows, and only a table with
-updated or deleted rows is rewritten (into ``v=<N>/<table>``).
+updated or deleted rows is rewritten (into ``v=<N>/<attempt>/<table>``).
 :func:`compact_tables` merges tables whose part list has grown long.
 
 Optionally every part is written *bucketed* on its table's key (``item_id``
@@ -24,6 +25,7 @@ shuffle; a union of equally bucketed parts stays co-partitioned.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +73,18 @@ class Tables:
     def spark(self) -> SparkSession:
         return self.w_user.sparkSession
 
+    def only_outfits(self, keys: DataFrame) -> Tables:
+        """The bundle with every outfit-keyed table cut to the ``outfit_id`` in
+        ``keys`` (a semi join in front of whatever aggregates them)."""
+        names = ("w_outfit", "w_oimg", "w_season", "w_occ", "w_inc", "w_rec")
+        return self.with_tables(**{n: self.get(n).join(keys.select("outfit_id"), "outfit_id", "left_semi") for n in names})
+
+    def only_items(self, keys: DataFrame, links: bool = False) -> Tables:
+        """The bundle with every item-keyed table (INCLUDES with ``links``) cut to
+        the ``item_id`` in ``keys``."""
+        names = ("w_item", "w_tag", "w_cat", "w_color", "w_img") + (("w_inc",) if links else ())
+        return self.with_tables(**{n: self.get(n).join(keys.select("item_id"), "item_id", "left_semi") for n in names})
+
     def conform(self) -> "Tables":
         """Project every table to its declared column order and types."""
         return Tables(**{n: conform(df, SCHEMAS[n]) for n, df in self.as_dict().items()}, bucketed=self.bucketed,
@@ -86,18 +100,36 @@ def tables_from_rows(spark: SparkSession, rows: dict[str, list[tuple]]) -> Table
     return Tables(**{n: spark.createDataFrame(rows.get(n, []), SCHEMAS[n]) for n in SCHEMAS})
 
 
-def scan(spark: SparkSession, path: str, name: str) -> DataFrame:
+def scan(spark: SparkSession, *paths: str, name: str) -> DataFrame:
     """Read one stored table with its declared schema; pruning and pushdown are Catalyst's."""
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
+    return spark.read.schema(SCHEMAS[name]).parquet(*paths)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists in the store it names.  Any other trouble raises."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
+def _commits(spark: SparkSession, root: str) -> DataFrame | None:
+    """The commit markers, or None while the folder does not exist.  A marker
+    that cannot be read raises: it must never look like "nothing committed"."""
+    if not path_exists(spark, f"{root}/commits"):
+        return None
+    return spark.read.schema(
+        "committed boolean, batch_id bigint, tables map<string, array<string>>, buckets map<string, int>, id_marks map<string, bigint>, v int"
+    ).parquet(f"{root}/commits")
 
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
     """Highest committed snapshot version under ``root`` (None when there is none)."""
-    try:
-        row = spark.read.parquet(f"{root}/commits").agg(F.max("v").alias("v")).first()
-    except Exception:  # no commit directory yet
+    commits = _commits(spark, root)
+    if commits is None:
         return None
-    return None if row is None or row["v"] is None else int(row["v"])
+    # the markers themselves are read, not only the folder names
+    v = commits.where("committed").agg(F.max("v").alias("v")).first()["v"]
+    return None if v is None else int(v)
 
 
 def manifest(spark: SparkSession, root: str, version: int) -> dict[str, list[str]]:
@@ -114,9 +146,10 @@ def _marker(spark: SparkSession, root: str, version: int) -> tuple[dict[str, lis
 
 
 def _marker_full(spark: SparkSession, root: str, version: int):
-    rows = spark.read.parquet(f"{root}/commits").where(F.col("v") == version).limit(1).collect()
-    if not rows or rows[0]["tables"] is None:
-        return {n: [f"v={version}/{n}"] for n in SCHEMAS}, {}, {}
+    commits = _commits(spark, root)
+    rows = commits.where(F.col("v") == version).limit(1).collect() if commits is not None else []
+    if not rows:
+        raise FileNotFoundError(f"version {version} is not committed under {root}")
     r = rows[0].asDict()
     return {k: list(v) for k, v in r["tables"].items()}, dict(r.get("buckets") or {}), dict(r.get("id_marks") or {})
 
@@ -154,13 +187,13 @@ def load_tables(spark: SparkSession, root: str, version: int | None = None) -> T
             for f in frames[1:]:
                 df = df.unionByName(f)
         else:
-            df = spark.read.schema(SCHEMAS[n]).parquet(*[f"{root}/{p}" for p in parts[n]])
+            df = scan(spark, *[f"{root}/{p}" for p in parts[n]], name=n)
         out[n] = df
     return Tables(**out, bucketed=bool(buckets) and all(buckets.get(n) for n in ("w_item", "w_outfit")), id_marks=marks)
 
 
-# Clustering keys used when a snapshot is written: rows of one key land in one
-# file range, so joins and aggregates on it read fewer row groups.
+# The key by which a snapshot's files are sorted (and bucketed, where asked for):
+# within a file, rows of one key lie together, so its row groups can be skipped.
 _CLUSTER = {
     "w_user": "u_id", "w_closet": "c_id", "w_item": "item_id", "w_tag": "item_id",
     "w_cat": "item_id", "w_color": "item_id", "w_img": "item_id", "w_outfit": "outfit_id",
@@ -175,14 +208,14 @@ def _write(df: DataFrame, name: str, path: str, row_group_bytes: int | None, buc
         # bucketBy needs a catalog table: an external one whose files stay after the drop.
         tname = _catalog_name(path)
         # One task per bucket (same hash as the bucketing), so each bucket is one file.
-        w = df.repartition(int(buckets), key).write.mode("overwrite").format("parquet")
+        w = df.repartition(int(buckets), key).write.mode("errorifexists").format("parquet")
         w = w.bucketBy(int(buckets), key).sortBy(key).option("path", path)
         if row_group_bytes:
             w = w.option("parquet.block.size", str(row_group_bytes))
         w.saveAsTable(tname)
         df.sparkSession.sql(f"DROP TABLE IF EXISTS {tname}")
         return
-    w = df.sortWithinPartitions(key).write.mode("overwrite")
+    w = df.sortWithinPartitions(key).write.mode("errorifexists")
     if row_group_bytes:
         w = w.option("parquet.block.size", str(row_group_bytes))
     w.parquet(path)
@@ -198,6 +231,7 @@ def write_tables(
     unchanged: tuple[str, ...] | list[str] = (),
     appends: dict[str, DataFrame] | None = None,
     buckets: int | None = None,
+    beside: dict[str, DataFrame] | None = None,
 ) -> int:
     """Publish ``tables`` as snapshot ``version`` (default: latest + 1) and commit it.
 
@@ -206,7 +240,13 @@ def write_tables(
     the given rows; every other table is written in full.  The commit marker
     is written last and records the manifest and the stream ``batch_id``
     that produced the snapshot (NULL for batch jobs).  ``row_group_bytes``
-    overrides the Parquet row-group size.  ``buckets`` writes every new part
+    overrides the Parquet row-group size.  ``beside`` frames (rejects) are
+    written under the version's folder too, before the marker.
+
+    Nothing is ever overwritten: a version whose marker exists is refused, and
+    so is a marker that another writer wrote meanwhile.  What a writer that
+    died left of the same version stays unused, under its own attempt's name.
+     ``buckets`` writes every new part
     bucketed on the table key (default: the base version's bucket count).
     Returns the version.
     """
@@ -214,6 +254,9 @@ def write_tables(
     if version is None:
         last = latest_version(spark, root)
         version = 0 if last is None else last + 1
+    if path_exists(spark, f"{root}/commits/v={version}"):
+        raise FileExistsError(f"version {version} is already committed under {root}")
+    attempt = uuid.uuid4().hex[:12]
     base_parts, base_buckets, base_marks = _marker_full(spark, root, base_version) if base_version is not None else ({}, {}, {})
     marks = {k: max(int(v), int(tables.id_marks.get(k) or 0)) for k, v in base_marks.items()}
     for k, v in tables.id_marks.items():
@@ -224,7 +267,7 @@ def write_tables(
     parts: dict[str, list[str]] = {}
     nbuckets: dict[str, int] = {}
     for name, df in tables.conform().as_dict().items():
-        rel = f"v={version}/{name}"
+        rel = f"v={version}/{attempt}/{name}"
         if name in unchanged and name in base_parts:
             parts[name] = base_parts[name]
             if name in base_buckets:
@@ -246,11 +289,14 @@ def write_tables(
         if name not in marks:  # unchanged table carried from a base without marks
             m = load_part_max(spark, root, parts[name], ID_COLUMNS[name], name)
             marks[name] = m
+    for name, df in (beside or {}).items():
+        df.write.parquet(f"{root}/v={version}/{attempt}/{name}")
+        parts[name] = [f"v={version}/{attempt}/{name}"]
     spark.createDataFrame(
         [(True, batch_id, parts, nbuckets, marks)],
         "committed boolean, batch_id bigint, tables map<string, array<string>>, buckets map<string, int>, "
         "id_marks map<string, bigint>",
-    ).write.mode("overwrite").parquet(f"{root}/commits/v={version}")
+    ).coalesce(1).write.mode("errorifexists").parquet(f"{root}/commits/v={version}")
     return version
 
 
@@ -276,16 +322,15 @@ def compact_tables(spark: SparkSession, root: str, max_parts: int = 32, row_grou
 
 def last_batch_id(spark: SparkSession, root: str) -> int | None:
     """The highest stream batch id already published under ``root``."""
-    try:
-        row = spark.read.parquet(f"{root}/commits").agg(F.max("batch_id").alias("b")).first()
-    except Exception:  # no commit yet
-        return None
-    return None if row is None or row["b"] is None else int(row["b"])
+    commits = _commits(spark, root)
+    b = None if commits is None else commits.agg(F.max("batch_id").alias("b")).first()["b"]
+    return None if b is None else int(b)
 
 
-def read_commit(spark: SparkSession, root: str, version: int) -> dict:
-    rows = spark.read.parquet(f"{root}/commits").where(F.col("v") == version).limit(1).collect()
-    return rows[0].asDict() if rows else {}
+def read_beside(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """All frames that committed versions wrote beside their tables as ``name``."""
+    rows = _commits(spark, root).select(F.explode(F.col("tables")[name]).alias("part")).collect()  # one per version
+    return spark.read.parquet(*[f"{root}/{r['part']}" for r in rows])
 
 
 def read_changes(spark: SparkSession, path: str, schema: StructType, fmt: str = "json") -> DataFrame:

@@ -20,7 +20,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from wearhouse.operators.changes import MSG_MALFORMED, publish, record_wears
-from wearhouse.sources.tables import last_batch_id, latest_version, load_tables
+from wearhouse.plans.session import materialize
+from wearhouse.sources.tables import compact_tables, last_batch_id, latest_version, load_tables, manifest
+
+#: Parts a table may have before the ingest merges them.
+MAX_PARTS = 32
 
 WEAR_CHANGE_SCHEMA = StructType(
     [StructField("change_id", LongType()), StructField("u_id", LongType())]
@@ -41,20 +45,23 @@ def apply_wear_batch(spark: SparkSession, batch: DataFrame, batch_id: int, snaps
         return False
     base_version = latest_version(spark, snapshot_root)
     tables = load_tables(spark, snapshot_root, base_version)
+    malformed = None
     if "_corrupt_record" in batch.columns:
+        batch = materialize(batch)
         bad = F.col("_corrupt_record").isNotNull() | F.col("change_id").isNull()
-        batch.where(bad).select(
-            "change_id", F.lit(MSG_MALFORMED).alias("reason"), F.col("_corrupt_record").alias("raw"),
-            F.lit(batch_id).alias("batch_id"),
-        ).write.mode("overwrite").parquet(f"{snapshot_root}/malformed/batch={batch_id}")
+        malformed = batch.where(bad).select(
+            "change_id", F.lit(MSG_MALFORMED).alias("reason"), F.col("_corrupt_record").alias("raw"), F.lit(batch_id).alias("batch_id")
+        )
         batch = batch.where(~bad).drop("_corrupt_record")
     result = record_wears(tables, batch, as_of=as_of)
+    rejects = result.rejects.select("change_id", "reason", F.lit(None).cast("string").alias("raw"), F.lit(batch_id).alias("batch_id"))
+    if malformed is not None:
+        rejects = rejects.unionByName(malformed)
     # New records and outfits are appended as one part each; only CLOTH_ITEM
-    # (last_worn) is rewritten.
-    version = publish(result, tables, snapshot_root, base_version, batch_id=batch_id)
-    result.rejects.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-        f"{snapshot_root}/rejects/v={version}"
-    )
+    # (last_worn) is rewritten.  The rejects become visible with the same marker.
+    publish(result, tables, snapshot_root, base_version, batch_id=batch_id, beside={"rejects": rejects})
+    if any(len(p) > MAX_PARTS for p in manifest(spark, snapshot_root, latest_version(spark, snapshot_root)).values()):
+        compact_tables(spark, snapshot_root, MAX_PARTS)
     return True
 
 
