@@ -124,6 +124,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     )
 
 
+def _is_seed(size: int):
+    """Does the gram of ``size`` words from a position count among the seeds?"""
+    return lambda at: F.array_contains("seeds", _gram(F.col("w"), at, size))
+
+
 def _hits(rows: DataFrame, seeds: DataFrame, windows: DataFrame, short: list[int], span: int, gram: int) -> DataFrame:
     """(doc_id, th, at, size, window): windows of the benchmark that occur in
     documents with seeds.  A window is looked at if one of its grams is a seed."""
@@ -137,7 +142,7 @@ def _hits(rows: DataFrame, seeds: DataFrame, windows: DataFrame, short: list[int
     reach = F.transform("lit", lambda p: F.sequence(F.greatest(p - (span - gram), F.lit(0)), F.least(p, n - span)))
     tries = [cand.select("doc_id", "th", "w", F.explode(F.array_distinct(F.flatten(reach))).alias("at"), F.lit(span).alias("size"))]
     for m in short:
-        places = F.filter(F.sequence(F.lit(0), F.greatest(n - m, F.lit(0))), lambda p, m=m: F.array_contains("seeds", _gram(F.col("w"), p, m)))
+        places = F.filter(F.sequence(F.lit(0), F.greatest(n - m, F.lit(0))), _is_seed(m))
         tries.append(cand.where(n >= m).select("doc_id", "th", "w", F.explode(places).alias("at"), F.lit(m).alias("size")))
     out = tries[0]
     for t in tries[1:]:
