@@ -11,7 +11,7 @@
   segments of a text (each toxic passage, whole and disjoint).
 * Calibration: segment scores of chance texts follow an extreme-value law,
   E = K n exp(-lambda S); lambda solves sum p exp(lambda s) = 1 over the
-  background.  A text's evidence is the sum of log(1/E) over its significant
+  words of clean texts.  A text's evidence is the sum of log(1/E) over its significant
   segments, mapped to a probability by a logistic curve.  The curve is fitted
   to one training fold, the lexicon to the others, so that words that differ
   by chance do not look better than they are.
@@ -131,7 +131,7 @@ def lexicon(counts: DataFrame, max_terms: int = MAX_TERMS) -> Model:
     ratio = 2 * (F.col("n1") * F.log(F.col("n1") / (seen * share)) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (seen * (1 - share)))).otherwise(0.0))
     kept = (
         form_counts(counts).where((F.col("n1") > 1) & (F.col("n1") > seen * share) & (ratio >= LEAST_Z * LEAST_Z))
-        .select("word", "n", "n1", (log_odds - sd / 2).alias("s"))
+        .select("word", (y1 / (total["n1"] + a0)).alias("p1"), (y0 / (total["n0"] + a0)).alias("p0"), (log_odds - sd / 2).alias("s"))
         .where("s > 0")
         .orderBy(F.desc("s"), "word")
         .limit(max_terms)
@@ -140,11 +140,10 @@ def lexicon(counts: DataFrame, max_terms: int = MAX_TERMS) -> Model:
     terms = {r["word"]: r["s"] for r in kept}
     # a word counts under several forms; the share of words with a known form is that of the shortest ones
     tops = [r for r in kept if not any(r["word"][:k] in terms for k in range(1, len(r["word"])))]
-    seen1 = min(0.9, sum(r["n1"] for r in tops) / total["n1"])
-    seen0 = min(0.9, sum(r["n"] for r in tops) / total["n"])
-    other = min(-1e-3, math.log(max(1e-9, 1 - seen1)) - math.log(max(1e-9, 1 - seen0)))
-    # lambda: sum over the background of p exp(lambda s) = 1
-    p = np.array([r["n"] / total["n"] for r in tops] + [1 - seen0])
+    seen1, seen0 = (min(0.9, sum(r[c] for r in tops)) for c in ("p1", "p0"))
+    other = min(-1e-3, math.log(1 - seen1) - math.log(1 - seen0))
+    # lambda: sum over clean text of p exp(lambda s) = 1
+    p = np.array([r["p0"] for r in tops] + [1 - seen0])
     s = np.array([r["s"] for r in tops] + [other])
     low, high = 1e-6, 50.0
     for _ in range(200):
