@@ -251,34 +251,39 @@ def _meet(entries: DataFrame, tau: int) -> DataFrame:
 
         def work(k: np.ndarray, c: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal rest_k, rest_c, crowded
-            cut = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]]) if len(k) else np.zeros(1, np.int64)
-            sizes = np.diff(cut)
+            order = np.lexsort((c, k))
+            k, c = k[order], c[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+            k, c = k[new], c[new]
+            cut = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+            ends = np.append(cut[1:], len(k))
+            # only keys under which different lines meet, one of them with an own segment
+            line = c >> 1
+            meet = (np.minimum.reduceat(line, cut) != np.maximum.reduceat(line, cut)) & (np.bitwise_or.reduceat(c, cut) & 1 == 1)
+            todo = meet | (ends - cut > BLOCK)
+            if crowded is not None:
+                todo |= k[cut] == crowded
             found: list[np.ndarray] = []
-            for g in np.flatnonzero((sizes > 1) | (k[cut[:-1]] == crowded) if crowded is not None else sizes > 1):
-                own = np.unique(c[cut[g] : cut[g + 1]])
-                open_ = not last and g == len(sizes) - 1
-                if len(own) > BLOCK or k[cut[g]] == crowded:
-                    crowded = k[cut[g]]
-                    n = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(n, pa.int64()), pa.array(np.full(n, crowded))], schema=_FOUND)
-                    if open_:
+            rest_k, rest_c = k[:0], c[:0]
+            if not last:
+                rest_k, rest_c = k[cut[-1] :], c[cut[-1] :]
+            for g in np.flatnonzero(todo):
+                own, key = c[cut[g] : ends[g]], k[cut[g]]
+                if len(own) > BLOCK or key == crowded:
+                    crowded, n = key, len(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(n, pa.int64()), pa.array(np.full(n, key))], schema=_FOUND)
+                    if g == len(cut) - 1:
                         rest_k, rest_c = k[:0], c[:0]
-                        break
-                elif open_:
-                    break
-                else:
+                elif last or g < len(cut) - 1:
                     found.append(_pairs(own, own, tau))
             if found and (p := np.concatenate(found, 1)).shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.nulls(p.shape[1], pa.int64())], schema=_FOUND)
-            if not last and len(sizes) and not (crowded is not None and k[-1] == crowded):
-                rest_k, rest_c = k[cut[-2] :], c[cut[-2] :]
-            else:
-                rest_k, rest_c = k[:0], c[:0]
 
         for batch in batches:
             k = np.concatenate([rest_k, batch.column(0).to_numpy()])
             c = np.concatenate([rest_c, batch.column(1).to_numpy()])
-            yield from work(k, c, False)
+            if len(k):
+                yield from work(k, c, False)
         if len(rest_k):
             yield from work(rest_k, rest_c, True)
 
