@@ -63,6 +63,20 @@ def test_lines_within_tau_meet(tau):
         assert any(linededup._pairs(g, g, tau).shape[1] for g in met), (a, b)
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefghij "])
+def test_long_lines_within_their_share_meet(letters):
+    rng, tau, share = random.Random(5), linededup.TAU, linededup.SHARE
+    for _ in range(150):
+        a = "".join(rng.choice(letters) for _ in range(rng.choice([118, 120, 159, 200, 410, 1023, 4090, 5000])))
+        b = changed(rng, a, linededup.allowed(len(a), tau, share), letters)
+        k = linededup.allowed(min(len(a), len(b)), tau, share)
+        if a == b or min(len(a), len(b)) < share * (tau + 1) - tau or not linededup.within(a, b, k):
+            continue
+        keys, codes = linededup.Lines([a, b]).grams(tau, share)
+        order = np.lexsort((codes, keys))
+        assert linededup._neighbours(keys[order], codes[order], tau, share).shape[1] == 1, (a, b)
+
+
 def brute_segments(scores: list[float]) -> list[tuple[int, int]]:
     """Maximal scoring subsequences by their definition: recursively the best
     contiguous range, then left and right of it."""

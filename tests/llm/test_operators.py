@@ -188,6 +188,30 @@ def test_line_dedup(docs, none, rows, monkeypatch, block):
     assert linededup.dedup_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_line_threshold_grows_with_the_line(spark, monkeypatch, block):
+    monkeypatch.setattr(linededup, "BLOCK", block)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    shared = " ".join(word() for _ in range(12))
+    lines = []
+    for n in (10, 18, 20, 22, 25, 40, 90, 200, 800):  # words; around and above the border between the two joins
+        for _ in range(2):
+            base = [word() for _ in range(n // 2)] + [shared] + [word() for _ in range(n // 2)]
+            lines.append(" ".join(base))
+            for changes in (1, 1, 2, n // 40 + 1, n // 15 + 1):
+                new = list(base)
+                for _ in range(changes):
+                    new[rng.randrange(len(new))] = word()
+                lines.append(" ".join(new))
+    lines = list(dict.fromkeys(lines))
+    want = {(a, b) for a in range(len(lines)) for b in range(a) if linededup.within(lines[a], lines[b], max(2, min(len(lines[a]), len(lines[b])) // 40))}
+    assert sum(not linededup.within(lines[a], lines[b], 2) for a, b in want) > 20
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_near, r.n_links) for r in linededup.dedup_lines(docs).collect()}
+    assert got == {a: (any((a, b) in want for b in range(a)), sum(a in p for p in want)) for a in range(len(lines))}
+
+
 def test_drop_lines(docs, rows):
     hashes = {(r[0], r[1]): r[2] for r in docs.selectExpr("doc_id", "text", "xxhash64(text)").collect()}
     gone = {k: set(v[5]) for k, v in brute_lines(rows, 2, 24, hashes).items()}

@@ -1,20 +1,29 @@
-"""Line dedup by a segment-partition edit join (operator 3).
-
-Lines (of at least ``MIN_CHARS`` characters) within ``TAU`` edits of each other
-are linked.  A line of n characters is split into TAU + 1 even segments; of two
-lines within TAU edits, the longer one holds some segment of the shorter one
-unchanged, at a place that the lengths and the segment's number narrow down.
-So every line is entered under its own segments and looks up, for every length
-that is at most TAU shorter, the few substrings that can be such a segment.
-Entry keys hold length, segment number and substring hash.  Lines that meet
-under a key, and whose character parities do not already prove more than TAU
-edits, are candidates; they are verified by a banded bit-parallel edit
-distance on their whole texts.
-
-A key's lines are paired in blocks of bounded size, so that no task holds a
-frequent segment's lines.  Of every line text, the first occurrence (by doc_id,
-text hash, line number) stays, unless a line with an earlier first occurrence
-is within TAU edits.
+"""Line dedup by an edit join whose threshold grows with the line (operator 3).
+
+Lines (of at least ``MIN_CHARS`` characters) are linked if their edit distance
+is at most ``TAU``, or one edit for every ``SHARE`` characters of the shorter
+line where that is more (``allowed``).  Two ways of finding candidates, both
+without loss, feed one verification:
+
+Lines below SHARE * (TAU + 1) characters: a line of n characters is split into
+TAU + 1 even segments; of two lines within TAU edits, the longer one holds some
+segment of the shorter one unchanged, at a place that the lengths and the
+segment's number narrow down.  So every line is entered under its own segments
+and looks up, for every length that is at most TAU shorter, the few substrings
+that can be such a segment.  Keys hold length, segment number and substring
+hash; character parities drop pairs that need more edits.
+
+Longer lines: t edits leave a common run of at least (n - t) / (t + 1)
+characters.  Winnowing with windows that fit into that run (``window``) picks a
+common ``GRAM`` of it in both lines, so every line is entered under its picked
+grams, together with the characters before and after.  Lines that meet are
+candidates if these differ by no more than the allowed edits.
+
+Candidates are verified on their whole texts by the edit distance along
+diagonals.  A key's lines are paired in blocks of bounded size, so that no task
+holds a frequent key's lines; crowded grams are first dealt by place.  Of every
+line text, the first occurrence (by doc_id, text hash, line number) stays,
+unless a line with an earlier first occurrence is linked to it.
 """
 
 from __future__ import annotations
@@ -31,6 +40,9 @@ from wearhouse.llm.common import documents, emit, map_arrow, materialize, rows_o
 from wearhouse.llm.fingerprint import mix
 
 TAU = 2
+#: One edit for so many characters, and characters of a winnowed gram.
+SHARE = 40
+GRAM = 16
 MIN_CHARS = 24
 #: Characters that are looked at in one go, and members of a key per block.
 CHARS = 500_000
@@ -85,8 +97,8 @@ class Lines:
         value ^= value >> np.uint64(29)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * _power(_BASE, len(chars)), dtype=np.uint64)])
         whole = self._hash(np.zeros(len(lines), np.int64), self.n, 0)
-        #: 32 parity bits, 31 hash bits, one bit for "own segment".
-        self.code = ((parity << np.uint64(32)) | ((whole >> np.uint64(33)) << np.uint64(1))).view(np.int64)
+        #: 31 hash bits, 32 parity bits, one bit for "own segment".
+        self.code = (((whole >> np.uint64(33)) << np.uint64(33)) | (parity << np.uint64(1))).view(np.int64)
 
     def take(self, mask: np.ndarray) -> Lines:
         self.n, self.start, self.code = self.n[mask], self.start[mask], self.code[mask]
@@ -114,48 +126,110 @@ class Lines:
         return np.concatenate(keys).view(np.int64), np.concatenate(codes)
 
 
+    def grams(self, tau: int, share: int) -> tuple[np.ndarray, np.ndarray]:
+        """(key, code with the place) of the winnowed grams of every line."""
+        keys, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        wide = window(self.n, tau, share)
+        for w in np.unique(wide).tolist():
+            n, start, code = (x[wide == w] for x in (self.n, self.start, self.code))
+            size = n - GRAM + 1
+            first = np.cumsum(size) - size
+            line = np.repeat(np.arange(len(n)), size)
+            at = np.arange(size.sum()) - first[line]
+            a = start[line] + at
+            h = mix((self.sums[a + GRAM] - self.sums[a]) * _power(_BASE_INV, len(self.sums))[a])
+            low = _slide(np.minimum, h, w)  # by the window's first place
+            low[line[: len(low)] != line[w - 1 :]] = 0
+            edge = np.zeros(w - 1, np.uint64)
+            picked = np.flatnonzero(h == _slide(np.maximum, np.concatenate([edge, low, edge]), w))
+            line, at, h = line[picked], at[picked], h[picked]
+            keys.append(h.view(np.int64))
+            codes.append(code[line] & ~_PLACE | place(n[line], at))
+        return np.concatenate(keys), np.concatenate(codes)
+
+
+def allowed(n: int, tau: int, share: int) -> int:
+    """Edits allowed between lines of which the shorter has ``n`` characters."""
+    return max(tau, n // share)
+
+
+def window(n: np.ndarray, tau: int, share: int) -> np.ndarray:
+    """Grams per window: a window fits into the shortest run that the allowed
+    edits leave, of lines with ``n`` or more characters."""
+    t = np.maximum(tau, n // share)
+    return -(-t * (share - 1) // (t + 1)) - GRAM + 1
+
+
+def _slide(f: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
+    """``f`` over every ``w`` neighbours."""
+    have, out = 1, x
+    while have < w:
+        step = min(have, w - have)
+        out = f(out[:-step], out[step:])
+        have += step
+    return out
+
+
+#: Of a code in the gram join: 36 bits name the line, 4 its length's band, 12
+#: and 12 the characters before and from the gram on, modulo 4096.
+_PLACE = (1 << 28) - 1
+_WRAP = 4096
+_TOP = 8  # band of lines that may wrap
+
+
+def place(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    band = np.minimum(np.frexp(n)[1] - 5, _TOP)
+    return band << 24 | at % _WRAP << 12 | (n - at) % _WRAP
+
+
+def slack(band: np.ndarray, tau: int, share: int) -> np.ndarray:
+    """Allowed edits of the band's longest line; no bound in the top band."""
+    return np.where(band >= _TOP, 2 * _WRAP, np.maximum(tau, (32 << np.minimum(band, _TOP)) // share))
+
+
+def near_places(a: np.ndarray, b: np.ndarray, tau: int, share: int) -> np.ndarray:
+    """Do the lengths before and after the gram leave the lines within the allowed edits?"""
+    x, y = np.abs((a >> 12 & _WRAP - 1) - (b >> 12 & _WRAP - 1)), np.abs((a & _WRAP - 1) - (b & _WRAP - 1))
+    moved = np.minimum(x, _WRAP - x) + np.minimum(y, _WRAP - y)
+    return moved <= slack(np.minimum(a >> 24 & 15, b >> 24 & 15), tau, share)
+
+
+def _common(a: str, b: str, i: int, j: int) -> int:
+    """Length of the common run of ``a`` from ``i`` and ``b`` from ``j``."""
+    most, n, step = min(len(a) - i, len(b) - j), 0, 16
+    while n < most and (k := min(step, most - n)) and a[i + n : i + n + k] == b[j + n : j + n + k]:
+        n, step = n + k, 2 * step
+    k = min(step, most - n)
+    while k > 1:  # differs within the next k characters
+        half = k // 2
+        if a[i + n : i + n + half] == b[j + n : j + n + half]:
+            n, k = n + half, k - half
+        else:
+            k = half
+    return n
+
+
 def within(a: str, b: str, tau: int = TAU) -> bool:
     """Is the edit distance (in code points) at most ``tau``?
 
-    Bit-parallel over a band of 2 tau + 1 diagonals: bit d of level e says that
-    the first j + d - tau characters of ``a`` turn into the first j of ``b`` by
-    at most e edits.  All diagonals of a level advance in a few word operations.
+    For each number of edits, the furthest place in ``a`` that each diagonal
+    (place in ``a`` less place in ``b``) reaches.
     """
-    if abs(len(a) - len(b)) > tau:
+    m, n = len(a), len(b)
+    if abs(m - n) > tau:
         return False
-    i, m = 0, min(len(a), len(b))
-    while i < m and a[i] == b[i]:
-        i += 1
-    a, b = a[i:], b[i:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    if len(a) <= tau and len(b) <= tau:
-        return True
-    at: dict[str, int] = {}
-    for k, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << k
-    full, top = (1 << (2 * tau + 1)) - 1, len(a)
-
-    def room(j: int) -> int:  # diagonals whose place in a exists
-        low, high = max(0, tau - j), min(2 * tau, top - j + tau)
-        return ((1 << (high + 1)) - 1) & ~((1 << low) - 1) if high >= low else 0
-
-    levels = [1 << tau]
-    for e in range(tau):
-        levels.append((levels[e] | levels[e] << 1) & room(0))
-    for j, c in enumerate(b):
-        p = at.get(c, 0)
-        same = (p >> (j - tau) if j >= tau else p << (tau - j)) & full
-        ok, new = room(j + 1), []
-        for e, r in enumerate(levels):
-            x = r & same
-            if e:
-                x |= levels[e - 1] | levels[e - 1] >> 1 | new[e - 1] << 1
-            new.append(x & ok)
-        if not new[tau]:
-            return False
-        levels = new
-    return bool(levels[tau] >> (top - len(b) + tau) & 1)
+    reach = {0: _common(a, b, 0, 0)}
+    for e in range(tau + 1):
+        if reach.get(m - n, -1) >= m:
+            return True
+        new: dict[int, int] = {}
+        left = tau - e - 1  # edits left after the next one
+        for d in range(max(-e - 1, m - n - left), min(e + 1, m - n + left) + 1):
+            i = min(max(reach.get(d, -2) + 1, reach.get(d - 1, -2) + 1, reach.get(d + 1, -2)), m, n + d)
+            if i >= 0 and i >= d:
+                new[d] = i + _common(a, b, i, i - d)
+        reach = new
+    return False
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list, list[str]]]:
@@ -207,20 +281,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
 
 
-def _entries(docs: DataFrame, least: int, tau: int) -> DataFrame:
+def _entries(docs: DataFrame, least: int, tau: int, share: int, long: bool) -> DataFrame:
+    """(key, code) of the segments of shorter lines, or of the grams of longer
+    ones; a pair of which the shorter is below both borders is found by segments."""
+    border = share * (tau + 1)
     schema = pa.schema([("key", pa.int64()), ("code", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a frequent line enters once per task (and per REMEMBER lines)
         for _, lines in _chunks(batches, least):
-            lines = list(dict.fromkeys(x for x in lines if x))
+            lines = list(dict.fromkeys(x for x in lines if x and (len(x) >= border - tau if long else len(x) < border)))
             if lines:
                 found = Lines(lines)
                 new = np.fromiter((c not in seen for c in found.code.tolist()), bool, len(lines))
                 if len(seen) > REMEMBER:
                     seen.clear()
                 seen.update(found.code.tolist())
-                keys, codes = found.take(new).keys(tau)
+                keys, codes = found.take(new).grams(tau, share) if long else found.take(new).keys(tau)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(codes)], schema=schema)
 
     return map_arrow(_keyed(docs), run, "key long, code long")
@@ -232,16 +309,44 @@ def _pairs(left: np.ndarray, right: np.ndarray, tau: int) -> np.ndarray:
     out = [np.zeros((2, 0), np.int64)]
     for a in left:
         b = right[((a | right) & 1 == 1) & (a >> 1 != right >> 1)]
-        bits = np.bitwise_count((a ^ b).view(np.uint64) >> np.uint64(32))
+        bits = np.bitwise_count((a ^ b) >> 1 & 0xFFFFFFFF)
         b = b[bits <= 2 * tau] & ~1
         out.append(np.stack([np.minimum(b, a & ~1), np.maximum(b, a & ~1)]))
     return np.unique(np.concatenate(out, 1), axis=1)
 
 
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+    return pairs[:, np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(0)])[: pairs.shape[1]]]
+
+
+def _neighbours(k: np.ndarray, c: np.ndarray, tau: int, share: int) -> np.ndarray:
+    """Candidate pairs of lines (places left out) under equal keys ``k``, which are sorted."""
+    out, i, d = [np.zeros((2, 0), np.int64)], np.arange(len(k)), 0
+    while len(i):
+        d += 1
+        i = i[: np.searchsorted(i, len(k) - d)]
+        i = i[k[i] == k[i + d]]
+        a, b = c[i], c[i + d]
+        good = (a >> 28 != b >> 28) & near_places(a, b, tau, share)
+        a, b = a[good] & ~_PLACE, b[good] & ~_PLACE
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+    return _distinct(np.concatenate(out, 1))
+
+
+def _between(left: np.ndarray, right: np.ndarray, tau: int, share: int) -> np.ndarray:
+    """Candidate pairs of lines (places left out) of two blocks of a gram's members."""
+    out = [np.zeros((2, 0), np.int64)]
+    for a in left:
+        b = right[(a >> 28 != right >> 28) & near_places(a, right, tau, share)] & ~_PLACE
+        out.append(np.stack([np.minimum(b, a & ~_PLACE), np.maximum(b, a & ~_PLACE)]))
+    return _distinct(np.concatenate(out, 1))
+
+
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
 
-def _meet(entries: DataFrame, tau: int) -> DataFrame:
+def _meet(entries: DataFrame, tau: int, share: int, long: bool) -> DataFrame:
     """Candidate pairs (a, b) of every key; the members of a key with more than
     ``BLOCK`` of them come out singly (a, NULL, key)."""
 
@@ -258,8 +363,10 @@ def _meet(entries: DataFrame, tau: int) -> DataFrame:
             cut = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
             ends = np.append(cut[1:], len(k))
             # only keys under which different lines meet, one of them with an own segment
-            line = c >> 1
-            meet = (np.minimum.reduceat(line, cut) != np.maximum.reduceat(line, cut)) & (np.bitwise_or.reduceat(c, cut) & 1 == 1)
+            line = c >> (28 if long else 1)
+            meet = np.minimum.reduceat(line, cut) != np.maximum.reduceat(line, cut)
+            if not long:
+                meet &= np.bitwise_or.reduceat(c, cut) & 1 == 1
             todo = meet | (ends - cut > BLOCK)
             if crowded is not None:
                 todo |= k[cut] == crowded
@@ -267,6 +374,15 @@ def _meet(entries: DataFrame, tau: int) -> DataFrame:
             rest_k, rest_c = k[:0], c[:0]
             if not last:
                 rest_k, rest_c = k[cut[-1] :], c[cut[-1] :]
+            if long:  # all keys at once; only crowded ones are left
+                crowds = ends - cut > BLOCK
+                if crowded is not None:
+                    crowds |= k[cut] == crowded
+                pair = meet & ~crowds
+                pair[-1] &= last
+                members = np.repeat(pair, ends - cut)
+                found.append(_neighbours(k[members], c[members], tau, share))
+                todo &= crowds
             for g in np.flatnonzero(todo):
                 own, key = c[cut[g] : ends[g]], k[cut[g]]
                 if len(own) > BLOCK or key == crowded:
@@ -291,14 +407,36 @@ def _meet(entries: DataFrame, tau: int) -> DataFrame:
     return map_arrow(dealt, run, "a long, b long, key long")
 
 
-def _blocks(members: DataFrame, tau: int) -> DataFrame:
+def _cells(members: DataFrame, tau: int, share: int) -> DataFrame:
+    """(key, code) of crowded grams' members by place: two lines of one band, or
+    of a band and the next, whose places allow the edits share a cell."""
+    schema = pa.schema([("key", pa.int64()), ("code", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, code = (batch.column(name).to_numpy() for name in ("key", "code"))
+            for up in (0, 1):
+                band = np.minimum((code >> 24 & 15) + up, _TOP)
+                size = slack(band, tau, share) + 1
+                for x in (0, 1):
+                    for y in (0, 1):
+                        cell = ((code >> 12 & _WRAP - 1) // size + x) << 13 | (code & _WRAP - 1) // size + y
+                        cell = np.where(band == _TOP, 0, cell)
+                        named = mix(key.view(np.uint64) + (band << 26 | cell).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+                        yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array(code)], schema=schema)
+
+    return map_arrow(members, run, "key long, code long")
+
+
+def _blocks(members: DataFrame, tau: int, share: int, long: bool) -> DataFrame:
     """Candidate pairs of crowded keys (code, key): every two blocks of a key's
     members are one unit of work."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def unit(codes: list[int], homes: list[int]) -> pa.RecordBatch:
         c, h = np.array(codes, np.int64), np.array(homes, np.int64)
-        p = _pairs(c[h == h.min()], c[h == h.max()], tau)
+        left, right = c[h == h.min()], c[h == h.max()]
+        p = _between(left, right, tau, share) if long else _pairs(left, right, tau)
         return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,13 +462,13 @@ def _blocks(members: DataFrame, tau: int) -> DataFrame:
     return map_arrow(units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
-    """(a, b) line hashes of the candidate pairs within ``tau`` edits."""
+def _verify(pairs: DataFrame, texts: DataFrame, tau: int, share: int) -> DataFrame:
+    """(a, b) line hashes of the candidate pairs within the allowed edits."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, s, t in rows_of(batches, 1024):
-            good = [(x, y) for x, y, u, v in zip(a, b, s, t) if x != y and within(u, v, tau)]
+            good = [(x, y) for x, y, u, v in zip(a, b, s, t) if x != y and within(u, v, allowed(min(len(u), len(v)), tau, share))]
             yield emit(schema, [x for x, _ in good], [y for _, y in good])
 
     left = texts.select(F.col("code").alias("a"), F.col("line").alias("la"), F.col("text").alias("ta"))
@@ -345,27 +483,42 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("w.code", "w.line", F.element_at(F.split("d.text", "\n"), F.col("w.line_no") + 1).alias("text")).distinct()
 
 
-def line_links(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _candidates(docs: DataFrame, least: int, tau: int, share: int, long: bool) -> DataFrame:
+    """(a, b): names of lines that meet under a segment or a gram."""
+    met = materialize(_meet(_entries(docs, least, tau, share, long), tau, share, long))
+    pairs = met.where("key IS NULL").select("a", "b")
+    crowded = met.where("key IS NOT NULL").select("key", F.col("a").alias("code")).distinct()
+    if long:
+        met = materialize(_meet(_cells(crowded, tau, share), tau, share, long))
+        pairs = pairs.unionByName(met.where("key IS NULL").select("a", "b"))
+        crowded = met.where("key IS NOT NULL").select("key", F.col("a").alias("code")).distinct()
+    pairs = pairs.unionByName(_blocks(crowded, tau, share, long))
+    return pairs.select(*(F.col(x).bitwiseAND(F.lit(~_PLACE).cast("long")).alias(x) for x in ("a", "b")))
+
+
+def line_links(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, share: int = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(occurrences, distinct lines, links): links are pairs (a, b) of hashes of
-    different lines within ``tau`` edits, each pair once."""
+    different lines within the allowed edits, each pair once."""
+    if window(np.array([share * (tau + 1) - tau]), tau, share)[0] < 1:
+        raise ValueError(f"one edit for {share} characters is too much for grams of {GRAM}")
     places = materialize(occurrences(docs, least))
     lines = places.where("line_no >= 0").groupBy("line", "n").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count("*").alias("times"), F.first("code").alias("code"))
     lines = materialize(lines)
-    met = materialize(_meet(_entries(docs, least, tau), tau))
-    crowded = met.where("key IS NOT NULL").select("key", F.col("a").alias("code")).distinct()
-    pairs = materialize(met.where("key IS NULL").select("a", "b").unionByName(_blocks(crowded, tau)).distinct())
+    pairs = _candidates(docs, least, tau, share, False).unionByName(_candidates(docs, least, tau, share, True))
+    pairs = materialize(pairs.distinct())
     codes = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
-    wanted = lines.join(codes, "code", "left_semi").select("code", "line", "first.*")
-    return places, lines, materialize(_verify(pairs, materialize(_line_texts(docs, wanted)), tau))
+    named = lines.withColumn("code", F.col("code").bitwiseAND(F.lit(~_PLACE).cast("long")))
+    wanted = named.join(codes, "code", "left_semi").select("code", "line", "first.*")
+    return places, lines, materialize(_verify(pairs, materialize(_line_texts(docs, wanted)), tau, share))
 
 
-def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, share: int = SHARE) -> DataFrame:
     """(doc_id, text_hash, n_lines, n_exact, n_near, n_links, class_id, dropped)
     for every document of ``docs``.
 
     n_lines: lines of at least ``least`` characters; shorter ones are left
     alone.  n_exact: dropped repeats of an equal line; n_near: dropped lines
-    with an earlier line within ``tau`` edits; ``dropped``: their line numbers
+    with an earlier line within the allowed edits (``allowed``); ``dropped``: their line numbers
     from 0, sorted.  n_links: links of its lines to different lines.  class_id:
     the smallest doc_id among the first occurrences of its lines and of the
     lines they link to, itself included.  NULL and empty texts have no lines.
@@ -373,7 +526,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> Data
     doc_id are told apart by their text hash.  A NULL doc_id sorts first.
     Other columns are not read.
     """
-    places, lines, links = line_links(docs, tau, least)
+    places, lines, links = line_links(docs, tau, least, share)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = lines.select(F.col("line").alias("b"), F.col("first").alias("before"))
     near = both.join(other, "b").groupBy(F.col("a").alias("line")).agg(F.count("*").alias("links"), F.min("before").alias("before"))
@@ -403,11 +556,11 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> Data
     )
 
 
-def drop_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
+def drop_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, share: int = SHARE) -> DataFrame:
     """The rows of ``docs``, all columns, without the dropped lines (``n_chars``
     follows the text where there is such a column).  Rows of which nothing but
     white space is left, while there was more, go."""
-    gone = dedup_lines(docs, tau, least).where(F.size("dropped") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), "dropped")
+    gone = dedup_lines(docs, tau, least, share).where(F.size("dropped") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), "dropped")
     gone = gone.withColumnRenamed("dropped", "__dropped")
     rows = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__dropped", i)), "\n")
