@@ -391,6 +391,27 @@ def test_language(labelled, none):
     assert {r.lang_pred for r in langid.predict(docs, blank).collect()} == {"und"}
 
 
+def test_rare_language_keeps_its_entries(spark):
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 8)))
+    many = [" ".join(word("abcdefghijklmnopqrst") for _ in range(60)) for _ in range(60)]
+    own = [word("бвгджзклмн") for _ in range(30)]
+    few = [" ".join(rng.choice(own) for _ in range(20)) for _ in range(4)]
+    data = [(i, t, lang) for i, (t, lang) in enumerate([(t, "aa") for t in many] + [(t, "zz") for t in few])]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(docs, max_words=40, max_grams=100, min_count=1)
+    assert set(own) & set(" ".join(few).split()) <= set(model.words)
+    chars = {c for t in many + few for c in t}
+    assert {g for g in model.grams if len(g) == 1} == chars
+    words = Counter(w for t in few for w in t.split())
+    n_keys = len({w for t in many + few for w in t.split()})
+    for w, n in words.items():
+        assert abs(model.words[w][model.langs.index("zz")] - np.log((n + 0.5) / (words.total() + 0.5 * n_keys))) < 1e-4
+    texts = [(900 + i, " ".join(word("бвгджзклмн") for _ in range(8))) for i in range(5)]
+    got = langid.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    assert {r.lang_pred for r in got} == {"zz"}
+
+
 def test_language_backoff_needs_no_known_word(spark):
     docs = spark.createDataFrame([(1, "haus maus laus", "de"), (2, "house mouse louse", "en")], "doc_id long, text string, lang string")
     model = langid.train(docs, min_count=5)  # no word is frequent enough

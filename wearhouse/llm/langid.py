@@ -4,8 +4,10 @@ Training counts every word of every training text per language.  A text's
 words that the model knows are scored by their log frequency per language; an
 unseen word falls back to character n-grams of the word with its borders: at
 each place the longest known n-gram counts, and shorter and shorter ones where
-none is known.  The word table and the n-gram table keep the most frequent
-entries (``max_words``, ``max_grams``), which bounds what workers hold.
+none is known.  Every language has its own quota of its most frequent words and
+n-grams (``max_words``, ``max_grams``), which bounds what workers hold; n-grams
+of one and two characters are always kept.  Frequencies are shares of all that
+was counted for a language, kept or not.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from wearhouse.llm.common import documents, emit, fold, map_arrow, materialize,
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
+#: N-grams up to this length are outside the quota.
+SHORT = 2
+#: Per language.
 MAX_WORDS = 50_000
 MAX_GRAMS = 60_000
 MIN_COUNT = 3
@@ -85,31 +90,46 @@ def gram_counts(counts: DataFrame) -> DataFrame:
     return map_arrow(counts.select("lang", "word", "n"), run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _top(counts: DataFrame, key: str, limit: int, least: int) -> list[tuple[str, str, int]]:
-    """(key, lang, n) of the most frequent keys; at most ``limit`` keys reach the driver."""
+#: (key, lang, n) of the kept keys; number of all keys and all counts per language, by order (0: words).
+Table = tuple[list[tuple[str, str, int]], dict[int, tuple[int, dict[str, int]]]]
+
+
+def _top(counts: DataFrame, key: str, limit: int, least: int, always: int = 0) -> Table:
+    """The ``limit`` most frequent keys of every language, and all keys of at
+    most ``always`` characters, with their counts in all languages."""
+    order = F.length(key) if always else F.lit(0)
     total = counts.groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    kept = total.where(F.col("total") >= least).orderBy(F.desc("total"), key).limit(limit).select(key, "by_lang")
-    return [(k, lang, n) for k, by in kept.collect() for lang, n in by.items()]
+    total = materialize(total.withColumn("k", order))
+    full: dict[int, tuple[int, dict[str, int]]] = {r.k: (r.keys, {}) for r in total.groupBy("k").agg(F.count("*").alias("keys")).collect()}
+    for r in counts.groupBy(order.alias("k"), "lang").agg(F.sum("n").alias("n")).collect():
+        full[r.k][1][r.lang] = r.n
+    short = F.length(key) <= always
+    rows = total.where((F.col("total") >= least) & ~short).select(key, F.explode("by_lang").alias("lang", "n"))
+    crowded = [r.lang for r in rows.groupBy("lang").count().where(F.col("count") > limit).collect()]
+    kept = rows.where(~F.col("lang").isin(crowded)).select(key)
+    for lang in sorted(crowded):
+        kept = kept.unionByName(rows.where(F.col("lang") == lang).orderBy(F.desc("n"), key).limit(limit).select(key))
+    kept = total.join(kept.distinct(), key, "left_semi").unionByName(total.where(short & (F.col("total") >= least))).select(key, "by_lang")
+    return [(k, lang, n) for k, by in kept.collect() for lang, n in by.items()], full
 
 
 class Model:
     """Log frequencies per language of words and of n-grams of each order."""
 
-    def __init__(self, words_: list[tuple[str, str, int]], grams: list[tuple[str, str, int]]):
-        self.langs = sorted({lang for _, lang, _ in words_} | {lang for _, lang, _ in grams})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        self.words = self._logs(words_, at)
+    def __init__(self, words_: Table, grams: Table):
+        self.langs = sorted({lang for _, full in (words_, grams) for _, by in full.values() for lang in by})
+        self.words = self._logs(words_[0], *words_[1].get(0, (0, {})))
         self.grams: dict[str, np.ndarray] = {}
         for k in ORDERS:
-            self.grams |= self._logs([x for x in grams if len(x[0]) == k], at)
+            self.grams |= self._logs([x for x in grams[0] if len(x[0]) == k], *grams[1].get(k, (0, {})))
 
-    @staticmethod
-    def _logs(rows: list[tuple[str, str, int]], at: dict[str, int], add: float = 0.5) -> dict[str, np.ndarray]:
+    def _logs(self, rows: list[tuple[str, str, int]], n_keys: int, full: dict[str, int], add: float = 0.5) -> dict[str, np.ndarray]:
+        at = {lang: i for i, lang in enumerate(self.langs)}
         keys = {k: i for i, k in enumerate(dict.fromkeys(k for k, _, _ in rows))}
         m = np.full((len(keys), len(at)), add)
         for k, lang, n in rows:
             m[keys[k], at[lang]] += n
-        m = np.log(m / m.sum(0))
+        m = np.log(m / (np.array([full.get(lang, 0) for lang in self.langs]) + add * n_keys))
         return dict(zip(keys, m.astype(np.float32)))
 
 
@@ -162,7 +182,8 @@ class Scorer:
 def train(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, min_count: int = MIN_COUNT) -> Model:
     """A model from all rows of ``docs`` with text and lang."""
     counts = materialize(word_counts(docs))
-    return Model(_top(counts, "word", max_words, min_count), _top(gram_counts(counts), "gram", max_grams, 1))
+    grams = materialize(gram_counts(counts))
+    return Model(_top(counts, "word", max_words, min_count), _top(grams, "gram", max_grams, 1, SHORT))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -173,7 +194,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     first.  Repeated rows are each predicted; other columns are not read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
