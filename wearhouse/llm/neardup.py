@@ -8,7 +8,7 @@
   entered once per allowed error position, with that component left out, and
   two classes that meet in an entry are candidates.  All pairs within
   ``DISTANCE`` meet; a pair at the similarity threshold is further apart with
-  a probability of about one in a million.
+  a probability of about 3.3 in a million, and is then dropped.
 * Large entries are not expanded into pairs.  First each class is held against
   one hub: of each entry the member that meets most others, of a class's
   entries the hub it shares most with.  The confirmed links are joined into
