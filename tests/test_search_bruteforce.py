@@ -40,10 +40,10 @@ def as_set(df):
     return {tuple(r[c] for c in catalog.CATALOG_COLUMNS) for r in df.collect()}
 
 
-QS = [None, "a", "warm", "top", "o", "%", "0%_o", "é"]
-CATS = [None, "Top", "Outerwear"]
-TAGS = [None, "basic", "warm"]
-COLORS = [None, "Blue"]
+QS = [None, "a", "snug", "coat", "o", "%", "0%_o", "é"]
+CATS = [None, "Layer", "Coat"]
+TAGS = [None, "inner", "show"]
+COLORS = [None, "Cream"]
 
 
 @pytest.mark.parametrize("q,category,tag,color", [c for c in itertools.product(QS, CATS, TAGS, COLORS)][::5])

@@ -15,64 +15,59 @@ def by_id(df):
 
 
 def test_tag_filter_shows_only_matching_tag(edge):
-    got = by_id(catalog.search(edge, tag="basic"))
-    assert got[8].tag == "basic" and got[1].tag == "basic"
+    assert by_id(catalog.search(edge, tag="snug"))[10].tag == "snug"
+    assert by_id(catalog.search(edge, tag="loud"))[6].tag == "loud"
 
 
 def test_keyword_shows_only_matching_values(edge):
-    # 'warm' matches only a tag of item 8 (not name, size, category or color)
-    got = by_id(catalog.search(edge, q="warm"))
-    assert got[8].tag == "warm" and got[8].category == "Top"
-    assert got[3].tag == "warm"
+    # 'snug' is a tag of item 10 and in no name, size, category or color
+    liner = by_id(catalog.search(edge, q="snug"))[10]
+    assert (liner.tag, liner.category) == ("snug", "Layer")
 
 
 def test_keyword_category_match_keeps_all_tags(edge):
-    got = by_id(catalog.search(edge, q="top"))
-    # item 8 matches through its name 'Layer Top' -> lists complete
-    assert got[8].tag == "basic,warm"
+    assert by_id(catalog.search(edge, q="layer"))[10].tag == "inner,snug"
 
 
 def test_unworn_first_null_before_blank(edge):
-    order = [r.item_id for r in catalog.search(edge, user_id=1).orderBy(*search_order()).collect()]
-    assert order[:2] == [8, 9]  # NULL and '' rank 0, NULL sorts first
+    order = [r.item_id for r in catalog.search(edge, user_id=2).orderBy(*search_order()).collect()]
+    assert order[:4] == [2, 10, 11, 5]  # NULL and '' rank 0, NULL sorts first, then the name
 
 
 def test_datetime_text_keys_are_distinct(edge):
-    h = history.wear_history(edge).where("outfit_id = 4").collect()
-    assert sorted(r.datetime for r in h) == ["2026-05-20", "2026-05-20 00:00:00"]
-    lst = {r.outfit_id: r for r in outfits.outfit_list(edge).collect()}
-    assert lst[4].worn_count == 2 and lst[4].last_worn == "2026-05-20 00:00:00"
+    h = history.wear_history(edge).where("outfit_id = 6").collect()
+    assert sorted(r.datetime for r in h) == ["2025-01-03", "2025-01-03 00:00:00"]
+    kit = {r.outfit_id: r for r in outfits.outfit_list(edge).collect()}[6]
+    assert kit.worn_count == 2 and kit.last_worn == "2025-01-03 00:00:00"
 
 
 def test_empty_outfit_and_images(edge):
     lst = {r.outfit_id: r for r in outfits.outfit_list(edge).collect()}
-    assert lst[3].item_count == 0 and lst[3].item_names is None and lst[3].worn_count == 0
-    # outfit 4 has no outfit image; its preview is the smallest non-blank item image
-    assert lst[4].preview_image == "/img/layer.png"
-    assert by_id(catalog.item_catalog(edge))[8].image_url == ",/img/layer.png"
+    assert lst[5].item_count == 0 and lst[5].item_names is None and lst[5].worn_count == 0
+    # outfit 6 has no image of its own; its preview is the smallest non-blank item image
+    assert lst[6].preview_image == "/p/liner.jpg"
+    assert by_id(catalog.item_catalog(edge))[10].image_url == ",/p/liner.jpg"
 
 
 def test_like_wildcards_and_backslash(edge):
-    got = by_id(catalog.search(edge, q="0%_o"))
-    assert 10 in got  # '%' and '_' stay wildcards
-    got = by_id(catalog.search(edge, q="\\b"))
-    assert set(got) == {10}  # a typed backslash is an ordinary character
+    assert 12 in by_id(catalog.search(edge, q="0%_o"))  # '%' and '_' stay wildcards
+    assert set(by_id(catalog.search(edge, q="\\x"))) == {12}  # a typed backslash is an ordinary character
 
 
 def test_unicode_case_folding(edge):
-    assert 10 in by_id(catalog.search(edge, q="éch"))
+    assert 12 in by_id(catalog.search(edge, q="éven"))
 
 
 def test_unknown_season_audit_and_facet(edge):
-    assert [(r.outfit_id, r.season) for r in audit.unknown_seasons(edge).collect()] == [(4, "Monsoon")]
-    facet = outfits.season_facet(edge).where("u_id = 1").orderBy("position").collect()
+    assert [(r.outfit_id, r.season) for r in audit.unknown_seasons(edge).collect()] == [(6, "Monsoon")]
+    facet = outfits.season_facet(edge).where("u_id = 2").orderBy("position").collect()
     assert [r.season for r in facet] == ["Spring", "Summer", "Autumn", "Winter", "Monsoon"]
 
 
 def test_zero_closet_user_kept(edge):
     adm = {r.u_id: r for r in reports.admin_users(edge).collect()}
-    assert adm[3].closet_count == 0 and adm[3].gender == ""
-    rows = reports.report_rows(edge).where("u_id = 3").collect()
+    assert adm[4].closet_count == 0 and adm[4].gender == ""
+    rows = reports.report_rows(edge).where("u_id = 4").collect()
     assert {(r.report, r.label, r.value_text) for r in rows} == {
         ("categoryReport", "No data", "-"), ("mostWornReport", "No data", "-"), ("leastWornReport", "No data", "-")
     }
@@ -80,7 +75,7 @@ def test_zero_closet_user_kept(edge):
 
 def test_uncategorized(edge):
     got = {(r.u_id, r.category): r.item_count for r in reports.category_counts(edge).collect()}
-    assert got[(1, "Uncategorized")] == 1
+    assert got[(2, "Uncategorized")] == 2 and got[(3, "Uncategorized")] == 1
 
 
 def test_column_helpers(spark):

@@ -45,7 +45,7 @@ from wearhouse.functions.columns import (
 from wearhouse.plans.factorised import items_with_owner, outfit_wears
 from wearhouse.plans.session import checkpoint_partitions, materialize
 from wearhouse.sources.schemas import SEASONS
-from wearhouse.sources.tables import Tables
+from wearhouse.sources.tables import Tables, with_touches
 
 # The messages the application answers with.
 MSG_USER_REQUIRED = "Username and password are required."
@@ -83,12 +83,15 @@ def MSG_ITEM_IN_USE(n: Column) -> Column:
 class ChangeResult:
     """New tables, applied and rejected changes.  ``appends`` holds, for tables
     that only gained rows, just those rows (so publishing can add one part
-    instead of rewriting the table)."""
+    instead of rewriting the table).  ``touches`` (item_id, last_worn) holds the
+    days that M13 brings, where that is all that changes of CLOTH_ITEM: they are
+    published as a part of its touch log."""
 
     tables: Tables
     applied: DataFrame
     rejects: DataFrame
     appends: dict[str, DataFrame] = field(default_factory=dict)
+    touches: DataFrame | None = None
 
 
 def publish(result: ChangeResult, base: Tables, root: str, base_version: int, **kw) -> int:
@@ -99,7 +102,9 @@ def publish(result: ChangeResult, base: Tables, root: str, base_version: int, **
 
     new, old = result.tables.as_dict(), base.as_dict()
     unchanged = [n for n in new if new[n] is old[n]]
-    return write_tables(result.tables, root, base_version=base_version, unchanged=unchanged, appends=result.appends, **kw)
+    return write_tables(
+        result.tables, root, base_version=base_version, unchanged=unchanged, appends=result.appends, touches=result.touches, **kw
+    )
 
 
 def first_failure(*checks: tuple[Column, Column | str]) -> Column:
@@ -174,14 +179,6 @@ def latest(column: str) -> Column:
 
 
 # ------------------------------------------------------------------- M17
-def high_water(df: DataFrame, id_col: str, stored: int | None = None) -> int:
-    """The largest id ever issued: the table's maximum, or a stored mark when higher
-    (ids of deleted rows are never reused)."""
-    row = df.agg(F.max(id_col).alias("m")).first()
-    m = row["m"] if row and row["m"] is not None else 0
-    return max(int(m), int(stored or 0))
-
-
 def assign_ids(df: DataFrame, id_col: str, order: list[str], start: int) -> DataFrame:
     """Dense ids ``start, start+1, ...`` in ``order`` without a global window.
 
@@ -271,13 +268,12 @@ def touch_worn(t: Tables, wears: DataFrame) -> Tables:
     """Raise ``last_worn`` of each worn item to the wear date (first ten
     characters) when it is NULL, '' or an older text.  ``wears``: (item_id,
     datetime).  Never lowers it; one aggregate per item, one left join."""
-    d = wears.groupBy("item_id").agg(F.max(date_part("datetime")).alias("_d"))
-    lw = F.col("last_worn")
-    new = F.when(
-        F.col("_d").isNotNull() & (lw.isNull() | (lw == "") | (lw < F.col("_d"))), F.col("_d")
-    ).otherwise(lw)
-    items = t.w_item.join(d, "item_id", "left").select(*[new.alias(c) if c == "last_worn" else F.col(c) for c in t.w_item.columns])
-    return t.with_tables(w_item=items)
+    return t.with_tables(w_item=with_touches(t.w_item, worn_days(wears)))
+
+
+def worn_days(wears: DataFrame) -> DataFrame:
+    """(item_id, last_worn): the days of ``wears`` (item_id, datetime)."""
+    return wears.select("item_id", date_part("datetime").alias("last_worn"))
 
 
 # ------------------------------------------------------------- M1 - M4
@@ -293,8 +289,8 @@ def add_users(t: Tables, changes: DataFrame) -> ChangeResult:
         (F.coalesce(F.col("_taken"), F.lit(False)) | ~F.coalesce(F.col("_first"), F.lit(True)), MSG_USER_EXISTS),
     )).drop("_u", "_taken", "_first")
     ok, bad = _split(materialize(v))
-    ok = assign_ids(ok, "u_id", ["change_id"], high_water(t.w_user, "u_id", t.id_marks.get("w_user")) + 1)
-    ok = assign_ids(ok, "c_id", ["change_id"], high_water(t.w_closet, "c_id", t.id_marks.get("w_closet")) + 1)
+    ok = assign_ids(ok, "u_id", ["change_id"], t.highest_id("w_user") + 1)
+    ok = assign_ids(ok, "c_id", ["change_id"], t.highest_id("w_closet") + 1)
     new_users = ok.select("u_id", "username", F.coalesce("gender", F.lit("")).alias("gender"), F.lit("user").alias("role"))
     new_closets = ok.select("c_id", F.concat("username", F.lit("'s Closet")).alias("c_name"), "u_id")
     tables = t.with_tables(w_user=t.w_user.unionByName(new_users), w_closet=t.w_closet.unionByName(new_closets))
@@ -309,7 +305,7 @@ def add_closets(t: Tables, changes: DataFrame) -> ChangeResult:
     )
     v = c.withColumn("reason", first_failure((F.col("_user").isNull(), MSG_USER_NOT_FOUND), (F.col("c_name").isNull(), MSG_CLOSET_NAME))).drop("_user")
     ok, bad = _split(materialize(v))
-    ok = assign_ids(ok, "c_id", ["change_id"], high_water(t.w_closet, "c_id", t.id_marks.get("w_closet")) + 1)
+    ok = assign_ids(ok, "c_id", ["change_id"], t.highest_id("w_closet") + 1)
     new = ok.select("c_id", "c_name", "u_id")
     return ChangeResult(t.with_tables(w_closet=t.w_closet.unionByName(new)), ok, bad, {"w_closet": new})
 
@@ -371,7 +367,7 @@ def add_items(t: Tables, changes: DataFrame) -> ChangeResult:
     c = _owned_closet(t, changes.withColumn("item_name", required_name("item_name")))
     v = c.withColumn("reason", first_failure((F.col("item_name").isNull(), MSG_ITEM_NAME), (~F.col("_closet_ok"), MSG_CLOSET_NOT_FOUND))).drop("_closet_ok")
     ok, bad = _split(materialize(v))
-    ok = assign_ids(ok, "item_id", ["change_id"], high_water(t.w_item, "item_id", t.id_marks.get("w_item")) + 1)
+    ok = assign_ids(ok, "item_id", ["change_id"], t.highest_id("w_item") + 1)
     delta = {"w_item": ok.select(
         "item_id", "c_id", "item_name", F.coalesce("size", F.lit("")).alias("size"), F.coalesce("last_worn", F.lit("")).alias("last_worn")
     )}
@@ -501,7 +497,7 @@ def add_outfits(t: Tables, changes: DataFrame, as_of: str | None = None) -> Chan
         (season_error("season"), MSG_SEASON),
     )).drop("_unowned")
     ok, bad = _split(materialize(v))
-    ok = assign_ids(ok, "outfit_id", ["change_id"], high_water(t.w_outfit, "outfit_id", t.id_marks.get("w_outfit")) + 1)
+    ok = assign_ids(ok, "outfit_id", ["change_id"], t.highest_id("w_outfit") + 1)
     new = ok.select(
         "outfit_id", "u_id", F.col("_name").alias("outfit_name"), F.coalesce("note", F.lit("")).alias("note"),
         today_text(as_of).alias("created_date"),
@@ -586,7 +582,12 @@ def record_wears(t: Tables, changes: DataFrame, as_of: str | None = None) -> Cha
     # makes it: one aggregate over both says which of them comes first.
     v = materialize(v)
     asked = v.where("_oid IS NOT NULL AND reason IS NULL").select("_oid", "_dt", "change_id")
-    stored = t.w_rec.select(F.col("outfit_id").alias("_oid"), F.col("datetime").alias("_dt"), F.lit(None).cast("bigint").alias("change_id"))
+    # Only the records of the batch's outfits are looked at: their id range prunes
+    # row groups (snapshots are sorted by it), a semi join does the rest.
+    low, high = asked.agg(F.min("_oid"), F.max("_oid")).first()
+    near = t.w_rec.where(F.col("outfit_id").between(0 if low is None else low, -1 if high is None else high))
+    near = near.join(asked.select(F.col("_oid").alias("outfit_id")).distinct(), "outfit_id", "left_semi")
+    stored = near.select(F.col("outfit_id").alias("_oid"), F.col("datetime").alias("_dt"), F.lit(None).cast("bigint").alias("change_id"))
     there = asked.unionByName(stored).groupBy("_oid", "_dt").agg(
         F.max(F.col("change_id").isNull()).alias("_stored"), F.min("change_id").alias("_min")
     ).where("_min IS NOT NULL")
@@ -597,7 +598,7 @@ def record_wears(t: Tables, changes: DataFrame, as_of: str | None = None) -> Cha
     ok, bad = _split(materialize(v))
 
     new = ok.where(F.col("_oid").isNull())
-    new = assign_ids(new, "outfit_id", ["change_id"], high_water(t.w_outfit, "outfit_id", t.id_marks.get("w_outfit")) + 1)
+    new = assign_ids(new, "outfit_id", ["change_id"], t.highest_id("w_outfit") + 1)
     new_outfits = new.select(
         "outfit_id", "u_id", F.coalesce(F.col("outfit_name"), F.lit("Outfit Record")).alias("outfit_name"),
         F.coalesce("outfit_note", F.lit("")).alias("note"),
@@ -619,7 +620,7 @@ def record_wears(t: Tables, changes: DataFrame, as_of: str | None = None) -> Cha
         reuse.select("outfit_id", "_dt").join(t.w_inc, "outfit_id").select("item_id", F.col("_dt").alias("datetime"))
         .unionByName(new.select(F.explode("_ids").alias("item_id"), F.col("_dt").alias("datetime")))
     )
-    return ChangeResult(touch_worn(t2, worn), applied, bad, delta)
+    return ChangeResult(touch_worn(t2, worn), applied, bad, delta, worn_days(worn))
 
 
 @each_once

@@ -253,8 +253,8 @@ def accounts(t: Tables) -> DataFrame:
 
 
 def user_roles(t: Tables, user_id: int | None = None) -> DataFrame:
-    """Q13: the role of one user (or of all)."""
-    return _user_filter(t.w_user, user_id).select("u_id", "role")
+    """Q13: name and role of one user (or of all)."""
+    return _user_filter(t.w_user, user_id).select("u_id", "username", "role")
 
 
 def user_count(t: Tables) -> DataFrame:

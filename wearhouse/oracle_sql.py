@@ -215,7 +215,7 @@ SELECT u_id, username, COALESCE(gender, '') AS gender, role, closet_count, item_
 
 q("accounts", "SELECT username FROM w_user")
 q("user_count", "SELECT count(*) AS user_count FROM w_user")
-q("user_roles", "SELECT u_id, role FROM w_user")
+q("user_roles", "SELECT u_id, username, role FROM w_user")
 q("gender_labels", "SELECT u_id, username, CASE WHEN length(gender) > 0 THEN gender ELSE 'not set' END AS gender_label FROM w_user")
 
 # ------------------------------------------------------------------ catalog
@@ -257,6 +257,9 @@ q("items_by_closet", _CATALOG + f"SELECT {CAT_COLS} FROM catalog WHERE c_id = 3"
 q("search_keyword", _found(_keyword("re")))
 q("search_wildcard", _found(_keyword("r_d")))
 q("search_category_keyword", _found(_keyword("econ")))
+for _name, _word in (("search_keyword_indexed", "re"), ("search_wildcard_indexed", "r_d"), ("search_category_indexed", "econ")):
+    q(_name, _found(_keyword(_word)))
+q("search_letter_indexed", _found(f"k = 'LARGE' AND ({_keyword('g%z')})"))
 q("search_tag", _found("t = 'hot'"))
 q("search_combined", _found(f"u_id = 1 AND k = 'LARGE' AND c = 'Blue' AND ({_keyword('ge')})"))
 q("search_unworn_first", _CATALOG + f"""

@@ -40,7 +40,13 @@ register("user_count", reports.user_count)
 register("gender_labels", reports.gender_labels)
 
 # Step 3-4: catalog, lookups, search
-from wearhouse.operators import catalog  # noqa: E402
+from wearhouse.operators import catalog, keyword_index  # noqa: E402
+
+
+def indexed_search(t, q, **filters):
+    """Q4 answered from the keyword index of all items, built and stored first."""
+    return keyword_index.search_indexed(t, keyword_index.stored(keyword_index.build_index(t)), q, **filters)
+
 
 register("closets", catalog.closets)
 register("item_catalog", catalog.item_catalog)
@@ -48,6 +54,10 @@ register("items_by_closet", lambda t: catalog.items_by_closet(t, 3))
 register("search_keyword", lambda t: catalog.search(t, q="re"))
 register("search_wildcard", lambda t: catalog.search(t, q="r_d"))
 register("search_category_keyword", lambda t: catalog.search(t, q="econ"))
+register("search_keyword_indexed", lambda t: indexed_search(t, "re"))
+register("search_wildcard_indexed", lambda t: indexed_search(t, "r_d"))
+register("search_category_indexed", lambda t: indexed_search(t, "econ"))
+register("search_letter_indexed", lambda t: indexed_search(t, "g%z", category="LARGE"))
 register("search_tag", lambda t: catalog.search(t, tag="hot"))
 register("search_combined", lambda t: catalog.search(t, q="ge", category="LARGE", color="Blue", user_id=1))
 register("search_unworn_first", lambda t: catalog.search_top(t, 5))

@@ -20,6 +20,13 @@ RECORD) with one bucket count for the whole snapshot.  Readers register each
 part as an external table and read it through the catalog, so aggregates and
 joins on those keys find their input already co-partitioned and need no
 shuffle; a union of equally bucketed parts stays co-partitioned.
+
+Wears raise CLOTH_ITEM.last_worn (M13).  A job that changes nothing else of the
+items appends the days to a touch log (``w_touch`` in the manifest: item_id,
+last_worn) instead of rewriting the items; readers merge it by taking the later
+text.  As a maximum does not depend on order, late and repeated entries are
+harmless, and a rewrite of CLOTH_ITEM for any other reason takes the merged values
+over and starts an empty log.
 """
 
 from __future__ import annotations
@@ -59,6 +66,8 @@ class Tables:
     # Highest id ever issued per id-keyed table (from the snapshot's commit
     # marker): new ids continue above it, so ids of deleted rows are never reused.
     id_marks: dict = field(default_factory=dict)
+    # The frames as they were loaded: an id mark holds for a frame as long as it is this one.
+    loaded: dict = field(default_factory=dict, compare=False, repr=False)
 
     def get(self, name: str) -> DataFrame:
         return getattr(self, name)
@@ -90,6 +99,33 @@ class Tables:
         return Tables(**{n: conform(df, SCHEMAS[n]) for n, df in self.as_dict().items()}, bucketed=self.bucketed,
                       id_marks=self.id_marks)
 
+    def highest_id(self, name: str) -> int:
+        """The highest id ever issued for a table: the snapshot's mark alone
+        while the table is as it was loaded, else the larger of mark and maximum."""
+        mark = self.id_marks.get(name)
+        if mark is not None and self.loaded.get(name) is self.get(name):
+            return int(mark)
+        top = self.get(name).agg(F.max(ID_COLUMNS[name]).alias("m")).first()["m"]
+        return max(int(top or 0), int(mark or 0))
+
+
+def later_worn(stored: Column, day: Column) -> Column:
+    """``day`` where ``stored`` is NULL, '' or an older text, else ``stored``."""
+    return F.when(day.isNotNull() & (stored.isNull() | (stored == "") | (stored < day)), day).otherwise(stored)
+
+
+def latest_touches(touches: DataFrame) -> DataFrame:
+    """(item_id, last_worn): the latest day of every item in ``touches``."""
+    return touches.groupBy("item_id").agg(F.max("last_worn").alias("last_worn"))
+
+
+def with_touches(items: DataFrame, touches: DataFrame) -> DataFrame:
+    """CLOTH_ITEM with its touch log merged in.  A reader that does not ask for
+    last_worn does not read the log (Catalyst drops the join)."""
+    days = latest_touches(touches).withColumnRenamed("last_worn", "_day")
+    merged = later_worn(F.col("last_worn"), F.col("_day"))
+    return items.join(days, "item_id", "left").select(*[merged.alias(c) if c == "last_worn" else F.col(c) for c in items.columns])
+
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
@@ -137,6 +173,10 @@ def manifest(spark: SparkSession, root: str, version: int) -> dict[str, list[str
     return _marker(spark, root, version)[0]
 
 
+#: The touch log's name in the manifest, and its columns.
+TOUCHES = "w_touch"
+TOUCH_SCHEMA = "item_id bigint, last_worn string"
+
 ID_COLUMNS = {"w_user": "u_id", "w_closet": "c_id", "w_item": "item_id", "w_outfit": "outfit_id"}
 
 
@@ -172,6 +212,10 @@ def _read_part(spark: SparkSession, name: str, path: str, buckets: int | None) -
     return spark.table(tname)
 
 
+def read_touches(spark: SparkSession, root: str, parts: dict[str, list[str]]) -> DataFrame:
+    return spark.read.schema(TOUCH_SCHEMA).parquet(*[f"{root}/{p}" for p in parts[TOUCHES]])
+
+
 def load_tables(spark: SparkSession, root: str, version: int | None = None) -> Tables:
     """Read a committed snapshot (the latest when ``version`` is None)."""
     v = latest_version(spark, root) if version is None else version
@@ -189,7 +233,9 @@ def load_tables(spark: SparkSession, root: str, version: int | None = None) -> T
         else:
             df = scan(spark, *[f"{root}/{p}" for p in parts[n]], name=n)
         out[n] = df
-    return Tables(**out, bucketed=bool(buckets) and all(buckets.get(n) for n in ("w_item", "w_outfit")), id_marks=marks)
+    if parts.get(TOUCHES):
+        out["w_item"] = with_touches(out["w_item"], read_touches(spark, root, parts))
+    return Tables(**out, loaded=dict(out), bucketed=bool(buckets) and all(buckets.get(n) for n in ("w_item", "w_outfit")), id_marks=marks)
 
 
 # The key by which a snapshot's files are sorted (and bucketed, where asked for):
@@ -232,6 +278,8 @@ def write_tables(
     appends: dict[str, DataFrame] | None = None,
     buckets: int | None = None,
     beside: dict[str, DataFrame] | None = None,
+    touches: DataFrame | None = None,
+    merge_touches: bool = False,
 ) -> int:
     """Publish ``tables`` as snapshot ``version`` (default: latest + 1) and commit it.
 
@@ -246,8 +294,10 @@ def write_tables(
     Nothing is ever overwritten: a version whose marker exists is refused, and
     so is a marker that another writer wrote meanwhile.  What a writer that
     died left of the same version stays unused, under its own attempt's name.
-     ``buckets`` writes every new part
-    bucketed on the table key (default: the base version's bucket count).
+    ``buckets`` writes every new part bucketed on the table key (default: the
+    base version's bucket count).  ``touches`` (item_id, last_worn): the only
+    change of CLOTH_ITEM since ``base_version``; it becomes a part of the touch
+    log (its only one with ``merge_touches``) and the items keep their parts.
     Returns the version.
     """
     spark = tables.spark
@@ -266,6 +316,12 @@ def write_tables(
     appends = appends or {}
     parts: dict[str, list[str]] = {}
     nbuckets: dict[str, int] = {}
+    log = list(base_parts.get(TOUCHES, []))
+    if touches is not None and "w_item" in base_parts:
+        rel = f"v={version}/{attempt}/{TOUCHES}"
+        latest_touches(touches).sortWithinPartitions("item_id").write.mode("errorifexists").parquet(f"{root}/{rel}")
+        log = [rel] if merge_touches else [*log, rel]
+        unchanged = [*unchanged, "w_item"]
     for name, df in tables.conform().as_dict().items():
         rel = f"v={version}/{attempt}/{name}"
         if name in unchanged and name in base_parts:
@@ -279,12 +335,16 @@ def write_tables(
         else:
             _write(df, name, f"{root}/{rel}", row_group_bytes, buckets)
             parts[name] = [rel]
+            if name == "w_item":
+                log = []  # its rows hold the merged values now
         if name in ID_COLUMNS:
             # The highest id in what was just written (read back: one column, no recomputation).
             written = spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{rel}").agg(F.max(ID_COLUMNS[name]).alias("m")).first()["m"]
             marks[name] = max(marks.get(name, 0), int(written or 0))
         if buckets:
             nbuckets[name] = int(buckets)
+    if log:
+        parts[TOUCHES] = log
     for name in ID_COLUMNS:
         if name not in marks:  # unchanged table carried from a base without marks
             m = load_part_max(spark, root, parts[name], ID_COLUMNS[name], name)
@@ -308,7 +368,8 @@ def load_part_max(spark: SparkSession, root: str, parts: list[str], col: str, na
 
 def compact_tables(spark: SparkSession, root: str, max_parts: int = 32, row_group_bytes: int | None = None) -> int | None:
     """Publish a new version in which every table with more than ``max_parts``
-    parts is rewritten as one part; returns the new version (None if nothing to do)."""
+    parts is rewritten as one part, and a touch log with more as one part with
+    each item's latest day; returns the new version (None if nothing to do)."""
     v = latest_version(spark, root)
     if v is None:
         return None
@@ -317,7 +378,10 @@ def compact_tables(spark: SparkSession, root: str, max_parts: int = 32, row_grou
     if not long:
         return None
     t = load_tables(spark, root, v)
-    return write_tables(t, root, base_version=v, unchanged=[n for n in parts if n not in long], row_group_bytes=row_group_bytes)
+    merged = read_touches(spark, root, parts) if TOUCHES in long and "w_item" not in long else None
+    return write_tables(
+        t, root, base_version=v, unchanged=[n for n in parts if n not in long], row_group_bytes=row_group_bytes, touches=merged, merge_touches=True
+    )
 
 
 def last_batch_id(spark: SparkSession, root: str) -> int | None:

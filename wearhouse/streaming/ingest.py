@@ -57,8 +57,8 @@ def apply_wear_batch(spark: SparkSession, batch: DataFrame, batch_id: int, snaps
     rejects = result.rejects.select("change_id", "reason", F.lit(None).cast("string").alias("raw"), F.lit(batch_id).alias("batch_id"))
     if malformed is not None:
         rejects = rejects.unionByName(malformed)
-    # New records and outfits are appended as one part each; only CLOTH_ITEM
-    # (last_worn) is rewritten.  The rejects become visible with the same marker.
+    # New records and outfits are appended as one part each, last_worn as a part
+    # of the touch log: nothing is rewritten.  The rejects become visible with the same marker.
     publish(result, tables, snapshot_root, base_version, batch_id=batch_id, beside={"rejects": rejects})
     if any(len(p) > MAX_PARTS for p in manifest(spark, snapshot_root, latest_version(spark, snapshot_root)).values()):
         compact_tables(spark, snapshot_root, MAX_PARTS)
