@@ -38,13 +38,21 @@ def changed(rng: random.Random, a: str, times: int, letters: str) -> str:
     return "".join(b)
 
 
-@pytest.mark.parametrize("tau", [1, 2, 3])
-def test_banded_distance(tau):
-    rng = random.Random(tau)
-    for _ in range(3000):
-        a = "".join(rng.choice("abcé") for _ in range(rng.randint(0, 14)))
-        b = changed(rng, a, rng.randint(0, 4), "abcé")
-        assert linededup.within(a, b, tau) == (edits(a, b) <= tau), (a, b)
+def test_banded_distance():
+    rng = random.Random(1)
+    pairs, limits = [], []
+    for _ in range(2500):
+        a = "".join(rng.choice("abcé😀") for _ in range(rng.randint(0, 60)))
+        b = changed(rng, a, rng.randint(0, 9), "abcé") if rng.random() < 0.8 else "".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))
+        pairs.append((a, b))
+        limits.append(rng.choice([0, 1, 2, 3, 5, 8, 12, 31, 32, 33, 40]))
+    want = [edits(a, b) <= t for (a, b), t in zip(pairs, limits)]
+    assert linededup.close(pairs, np.array(limits)).tolist() == want
+    assert linededup.close([], np.zeros(0, np.int64)).tolist() == []
+
+
+def met(entries, tau: int, long: bool) -> int:
+    return sum(len(a) for a, _ in linededup.within_keys(*entries, tau, long, long))
 
 
 @pytest.mark.parametrize("tau", [1, 2, 3])
@@ -53,28 +61,58 @@ def test_lines_within_tau_meet(tau):
     for _ in range(800):
         a = "".join(rng.choice("ab") for _ in range(rng.randint(12, 20)))
         b = changed(rng, a, rng.randint(1, tau), "abé")
-        if a == b:
-            continue
-        keys, codes = linededup.Lines([a, b]).keys(tau)
-        groups: dict[int, set[int]] = {}
-        for k, c in zip(keys.tolist(), codes.tolist()):
-            groups.setdefault(k, set()).add(c)
-        met = [np.array(sorted(g)) for g in groups.values() if len(g) > 1]
-        assert any(linededup._pairs(g, g, tau).shape[1] for g in met), (a, b)
+        assert a == b or met(linededup.Lines([a, b]).short(tau), tau, False), (a, b)
 
 
 @pytest.mark.parametrize("letters", ["ab", "abcdefghij "])
 def test_long_lines_within_their_share_meet(letters):
     rng, tau, share = random.Random(5), linededup.TAU, linededup.SHARE
-    for _ in range(150):
-        a = "".join(rng.choice(letters) for _ in range(rng.choice([118, 120, 159, 200, 410, 1023, 4090, 5000])))
-        b = changed(rng, a, linededup.allowed(len(a), tau, share), letters)
-        k = linededup.allowed(min(len(a), len(b)), tau, share)
-        if a == b or min(len(a), len(b)) < share * (tau + 1) - tau or not linededup.within(a, b, k):
+    sizes = [118, 119, 120, 121, 159, 160, 200, 410, 479, 480, 1023, 1700, 2047, 2048, 2060, 4090, 5200]
+    found = 0
+    for _ in range(250):
+        a = "".join(rng.choice(letters) for _ in range(rng.choice(sizes)))
+        b = changed(rng, a, int(linededup.allowed(len(a), tau, share)), letters)
+        least = min(len(a), len(b))
+        if a == b or least < share * (tau + 1) - tau or not linededup.within(a, b, int(linededup.allowed(least, tau, share))):
             continue
-        keys, codes = linededup.Lines([a, b]).grams(tau, share)
-        order = np.lexsort((codes, keys))
-        assert linededup._neighbours(keys[order], codes[order], tau, share).shape[1] == 1, (a, b)
+        entries = linededup.Lines([a, b]).long(tau, share)
+        assert met(entries, tau, True), (a, b)
+        found += 1
+        for divide in (linededup._by_side, linededup._by_place):  # and in the divided keys
+            entries = divided(divide, entries)
+            assert met_plainly(entries, tau), (divide, a, b)
+    assert found > 150
+
+
+def divided(divide, entries):
+    """What ``divide`` makes of (key, name, code), without Spark."""
+    import pyarrow as pa
+
+    seen = {}
+
+    def catch(_, run, __):
+        batches = list(run(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in entries], names=["key", "name", "code"])])))
+        seen["out"] = tuple(np.concatenate([b.column(i).to_numpy() for b in batches]) for i in range(3))
+
+    kept, linededup.map_arrow = linededup.map_arrow, catch
+    try:
+        divide(None)
+    finally:
+        linededup.map_arrow = kept
+    return seen["out"]
+
+
+def met_plainly(entries, tau: int) -> int:
+    return sum(len(a) for a, _ in linededup.within_keys(*entries, tau, True, False))
+
+
+def test_template_lines_are_no_candidates():
+    """One long common start and unlike ends: of 79,800 pairs almost none is looked at closely."""
+    rng = random.Random(6)
+    start = "".join(rng.choice("abcdefghij ") for _ in range(88))
+    lines = [start + "".join(rng.choice("abcdefghij ") for _ in range(rng.randint(100, 140))) for _ in range(400)]
+    pairs = {p for a, b in linededup.within_keys(*linededup.Lines(lines).long(2, 40), 2, True, True) for p in zip(a.tolist(), b.tolist())}
+    assert len(pairs) < len(lines)
 
 
 def brute_segments(scores: list[float]) -> list[tuple[int, int]]:

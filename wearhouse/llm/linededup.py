@@ -1,29 +1,33 @@
-"""Line dedup by an edit join whose threshold grows with the line (operator 3).
+"""Line dedup by a segment-partition edit join (operator 3).
 
 Lines (of at least ``MIN_CHARS`` characters) are linked if their edit distance
 is at most ``TAU``, or one edit for every ``SHARE`` characters of the shorter
-line where that is more (``allowed``).  Two ways of finding candidates, both
-without loss, feed one verification:
-
-Lines below SHARE * (TAU + 1) characters: a line of n characters is split into
-TAU + 1 even segments; of two lines within TAU edits, the longer one holds some
-segment of the shorter one unchanged, at a place that the lengths and the
-segment's number narrow down.  So every line is entered under its own segments
-and looks up, for every length that is at most TAU shorter, the few substrings
-that can be such a segment.  Keys hold length, segment number and substring
-hash; character parities drop pairs that need more edits.
-
-Longer lines: t edits leave a common run of at least (n - t) / (t + 1)
-characters.  Winnowing with windows that fit into that run (``window``) picks a
-common ``GRAM`` of it in both lines, so every line is entered under its picked
-grams, together with the characters before and after.  Lines that meet are
-candidates if these differ by no more than the allowed edits.
-
-Candidates are verified on their whole texts by the edit distance along
-diagonals.  A key's lines are paired in blocks of bounded size, so that no task
-holds a frequent key's lines; crowded grams are first dealt by place.  Of every
-line text, the first occurrence (by doc_id, text hash, line number) stays,
-unless a line with an earlier first occurrence is linked to it.
+line where that is more (``allowed``).  With t edits allowed, a line is split into
+t + 1 even segments; of two linked lines the longer one holds some segment of the
+shorter one unchanged, at about the same distance from both ends.  So every
+line is entered under its own segments and probes with its substrings, and two
+lines that meet are compared: an own segment on one side, a substring on the
+other.  Nothing else pairs lines, and nothing is lost:
+
+* Lines below SHARE * (TAU + 1) characters look up the few substrings that
+  lengths and places allow; keys hold length, segment number and substring.
+* Longer lines have too many such substrings (they grow with t^3).  A segment is
+  entered under its anchor, the ``GRAM`` characters with the smallest hash in it,
+  and a line probes with every substring that can be an anchor: those with the
+  smallest hash of some window as long as the shortest segment that may meet it.
+  A segment has ``room`` characters to the right or to the left of its anchor;
+  these must be equal, too, so lines meet on GRAM + room characters.
+
+A candidate must also pass the distances from both ends (together at most t
+apart) and the character counts (``SIGNATURE``; together at most 2 t apart), all
+held in the entries.  Then the texts are joined, and the banded bit-parallel edit
+distance (``close``) decides, for many pairs at once in numpy.
+
+Keys with many members are divided before any pair is made: by the characters
+beside the anchor, then by place and length; what is still crowded is paired in
+blocks of bounded size.  Of every line text, the first occurrence (by doc_id, text
+hash, line number) stays, unless a line with an earlier first occurrence is
+linked to it.
 """
 
 from __future__ import annotations
@@ -40,18 +44,21 @@ from wearhouse.llm.common import documents, emit, map_arrow, materialize, rows_o
 from wearhouse.llm.fingerprint import mix
 
 TAU = 2
-#: One edit for so many characters, and characters of a winnowed gram.
+#: One edit for so many characters, and characters of an anchor.
 SHARE = 40
-GRAM = 16
+GRAM = 12
 MIN_CHARS = 24
-#: Characters that are looked at in one go, and members of a key per block.
+#: Characters that are looked at in one go, members of a key per block, and
+#: pairs that are looked at in one go.
 CHARS = 500_000
 BLOCK = 1024
+PAIRS = 500_000
 #: Lines a task remembers to have entered.
 REMEMBER = 300_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
+_SALT = np.uint64(0xD1B54A32D192ED03)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -65,7 +72,7 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def segment(n: np.ndarray, i: int, tau: int) -> tuple[np.ndarray, np.ndarray]:
+def segment(n: np.ndarray, i: np.ndarray | int, tau: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of segment ``i`` of lines of ``n`` characters: even
     segments, the last ones one longer."""
     short, longer = n // (tau + 1), n % (tau + 1)
@@ -75,7 +82,7 @@ def segment(n: np.ndarray, i: int, tau: int) -> tuple[np.ndarray, np.ndarray]:
 
 def lookups(tau: int) -> list[tuple[int, int, int]]:
     """(how much shorter, segment, shift of the substring against the segment's
-    start) of every lookup besides a line's own segments."""
+    start) of every lookup of a short line besides its own segments."""
     return [
         (less, i, x)
         for less in range(tau + 1)
@@ -85,79 +92,125 @@ def lookups(tau: int) -> list[tuple[int, int, int]]:
     ]
 
 
+def allowed(n: np.ndarray | int, tau: int, share: int):
+    """Edits allowed between lines of which the shorter has ``n`` characters."""
+    return np.maximum(tau, n // share)
+
+
+def shortest_segment(n: np.ndarray | int, tau: int, share: int):
+    """Characters of the shortest segment of any line that may be linked to one of ``n``."""
+    t = allowed(n, tau, share)
+    return np.minimum(share * t, np.maximum(n, 1)) // (t + 1)
+
+
+def room(tau: int, share: int) -> int:
+    """Characters that every segment of a long line has beside its anchor, on one side."""
+    return (share * (tau + 1) // (tau + 2) - GRAM) // 2
+
+
+# An entry's code, from its high bits: 2 for the kind, 1 for lines of ``_WRAP`` or
+# more characters, 7 for the allowed edits (``_LONG``: as many or more), 11 and 11
+# for the characters before and from the anchor on, modulo ``_WRAP``; 6 counts of
+# 5 bits (see ``may_be_close``).  Short lines: kind and 62 parities.
+_LONG = 127
+_WRAP = 2048
+_BEFORE, _AFTER = 43, 32
+_COUNTS, _COUNT = 6, 5
+#: Kinds: a substring; a segment with room to the right of its anchor, to the left.
+_PROBE, _RIGHT, _LEFT = 0, 1, 2
+_EXT = 13  # bits of the characters' hash on each side, in the key's low bits
+
+
 class Lines:
-    """Codes and keys of a list of lines, all at once."""
+    """Names, codes and keys of a list of lines, all at once."""
 
     def __init__(self, lines: list[str]):
+        self.name = np.fromiter((_hash64(x) for x in lines), np.int64, len(lines))
         self.n = np.fromiter(map(len, lines), np.int64, len(lines))
-        chars = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-        self.start = np.concatenate([[0], np.cumsum(self.n)[:-1]])
-        parity = np.bitwise_xor.reduceat(np.uint64(1) << (chars & np.uint32(31)).astype(np.uint64), self.start) if len(chars) else np.zeros(0, np.uint64)
-        value = (chars.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        self.chars = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+        self.start = np.cumsum(self.n) - self.n
+        value = (self.chars.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
         value ^= value >> np.uint64(29)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * _power(_BASE, len(chars)), dtype=np.uint64)])
-        whole = self._hash(np.zeros(len(lines), np.int64), self.n, 0)
-        #: 31 hash bits, 32 parity bits, one bit for "own segment".
-        self.code = (((whole >> np.uint64(33)) << np.uint64(33)) | (parity << np.uint64(1))).view(np.int64)
-
-    def take(self, mask: np.ndarray) -> Lines:
-        self.n, self.start, self.code = self.n[mask], self.start[mask], self.code[mask]
-        return self
-
-    def _hash(self, at: np.ndarray, n: np.ndarray, tag: np.ndarray | int) -> np.ndarray:
-        a = self.start + at
-        inverse = _power(_BASE_INV, len(self.sums))[a]
-        h = (self.sums[a + n] - self.sums[a]) * inverse
-        return mix(h + np.asarray(tag).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-
-    def keys(self, tau: int) -> tuple[np.ndarray, np.ndarray]:
-        """(key, code with the "own" bit) of all entries and lookups."""
-        keys, codes = [], []
-        for i in range(tau + 1):
-            at, size = segment(self.n, i, tau)
-            keys.append(self._hash(at, size, self.n * 16 + i))
-            codes.append(self.code | 1)
-        for less, i, shift in lookups(tau):
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * _power(_BASE, len(self.chars)), dtype=np.uint64)])
+
+    def _hash(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """Hashes of ``n`` characters from ``at`` on (a place in all lines together)."""
+        return (self.sums[at + n] - self.sums[at]) * _power(_BASE_INV, len(self.sums))[at]
+
+    def _parity(self) -> np.ndarray:
+        bit = np.uint64(1) << (self.chars % np.uint32(62)).astype(np.uint64)
+        return np.bitwise_xor.reduceat(bit, self.start).view(np.int64)
+
+    def _counts(self) -> np.ndarray:
+        """``_COUNTS`` numbers of characters, modulo 2 ** ``_COUNT`` each, packed."""
+        kind = (self.chars % np.uint32(_COUNTS)).astype(np.int64)
+        out = np.zeros(len(self.n), np.int64)
+        for k in range(_COUNTS):
+            out |= np.add.reduceat((kind == k).astype(np.int64), self.start) % (1 << _COUNT) << _COUNT * k
+        return out
+
+    def short(self, tau: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, name, code) of all segments and substrings of short lines."""
+        keys, names, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if not len(self.n):
+            return keys[0], names[0], codes[0]
+        parity = self._parity()
+        for less, i, shift in [(0, i, 0) for i in range(tau + 1)] + lookups(tau):
             at, size = segment(self.n - less, i, tau)
             ok = (at + shift >= 0) & (at + shift + size <= self.n)
-            k = self._hash(np.where(ok, at + shift, 0), np.where(ok, size, 0), (self.n - less) * 16 + i)
-            keys.append(k[ok])
-            codes.append(self.code[ok])
-        return np.concatenate(keys).view(np.int64), np.concatenate(codes)
-
-
-    def grams(self, tau: int, share: int) -> tuple[np.ndarray, np.ndarray]:
-        """(key, code with the place) of the winnowed grams of every line."""
-        keys, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        wide = window(self.n, tau, share)
+            tag = ((self.n - less) * 16 + i).astype(np.uint64) * _SALT
+            key = mix(self._hash(np.where(ok, self.start + at + shift, 0), np.where(ok, size, 0)) + tag)
+            keys.append(key[ok].view(np.int64))
+            names.append(self.name[ok])
+            codes.append((parity | (_RIGHT if (less, shift) == (0, 0) else _PROBE) << 62)[ok])
+        return tuple(np.concatenate(x) for x in (keys, names, codes))
+
+    def long(self, tau: int, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, name, code) of all anchors of long lines, those of their own
+        segments marked."""
+        out = [(np.zeros(0, np.int64),) * 3]
+        if not len(self.n):
+            return out[0]
+        counts, edits = self._counts(), allowed(self.n, tau, share)
+        beside, wide = room(tau, share), shortest_segment(self.n, tau, share) - GRAM + 1
         for w in np.unique(wide).tolist():
-            n, start, code = (x[wide == w] for x in (self.n, self.start, self.code))
+            mine = np.flatnonzero(wide == w)
+            n, start = self.n[mine], self.start[mine]
             size = n - GRAM + 1
             first = np.cumsum(size) - size
             line = np.repeat(np.arange(len(n)), size)
             at = np.arange(size.sum()) - first[line]
-            a = start[line] + at
-            h = mix((self.sums[a + GRAM] - self.sums[a]) * _power(_BASE_INV, len(self.sums))[a])
+            h = mix(self._hash(start[line] + at, GRAM))
             low = _slide(np.minimum, h, w)  # by the window's first place
             low[line[: len(low)] != line[w - 1 :]] = 0
             edge = np.zeros(w - 1, np.uint64)
-            picked = np.flatnonzero(h == _slide(np.maximum, np.concatenate([edge, low, edge]), w))
-            line, at, h = line[picked], at[picked], h[picked]
-            keys.append(h.view(np.int64))
-            codes.append(code[line] & ~_PLACE | place(n[line], at))
-        return np.concatenate(keys), np.concatenate(codes)
-
-
-def allowed(n: int, tau: int, share: int) -> int:
-    """Edits allowed between lines of which the shorter has ``n`` characters."""
-    return max(tau, n // share)
-
-
-def window(n: np.ndarray, tau: int, share: int) -> np.ndarray:
-    """Grams per window: a window fits into the shortest run that the allowed
-    edits leave, of lines with ``n`` or more characters."""
-    t = np.maximum(tau, n // share)
-    return -(-t * (share - 1) // (t + 1)) - GRAM + 1
+            picked = h == _slide(np.maximum, np.concatenate([edge, low, edge]), w)
+            kind = np.zeros(len(h), np.int64)
+            # the smallest hash of every own segment, over the grams that lie in it
+            t = edits[mine]
+            owner = np.repeat(np.arange(len(n)), t + 1)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(t + 1) - t - 1, t + 1)
+            begin, length = segment(n[owner], number, t[owner])
+            a, grams = first[owner] + begin, length - GRAM + 1
+            places = np.repeat(a - (np.cumsum(grams) - grams), grams) + np.arange(grams.sum())
+            least = np.minimum.reduceat(h[places], np.cumsum(grams) - grams)
+            hit = h[places] == np.repeat(least, grams)
+            places, offset = places[hit], (places - np.repeat(a, grams))[hit]
+            kind[places] = np.where(np.repeat(length, grams)[hit] - offset - GRAM >= beside, _RIGHT, _LEFT)
+            some = np.flatnonzero(picked | (kind != _PROBE))
+            line, at, h, kind = line[some], at[some], h[some], kind[some]
+            place, rest = start[line] + at, n[line] - at
+            right = self._side(place + GRAM, rest - GRAM >= beside, beside)
+            left = self._side(place - beside, at >= beside, beside)
+            key = h >> np.uint64(2 * _EXT) << np.uint64(2 * _EXT) | right << np.uint64(_EXT) | left
+            code = kind << 62 | (n[line] >= _WRAP).astype(np.int64) << 61 | np.minimum(t[line], _LONG) << 54
+            code |= at % _WRAP << _BEFORE | rest % _WRAP << _AFTER | counts[mine][line]
+            out.append((key.view(np.int64), self.name[mine][line], code))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _side(self, at: np.ndarray, fits: np.ndarray, n: int) -> np.ndarray:
+        h = mix(self._hash(np.where(fits, at, 0), np.where(fits, n, 0)) + _SALT)
+        return np.where(fits, h, 0) >> np.uint64(64 - _EXT)
 
 
 def _slide(f: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
@@ -170,66 +223,188 @@ def _slide(f: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-#: Of a code in the gram join: 36 bits name the line, 4 its length's band, 12
-#: and 12 the characters before and from the gram on, modulo 4096.
-_PLACE = (1 << 28) - 1
-_WRAP = 4096
-_TOP = 8  # band of lines that may wrap
+def _circular(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    d = np.abs(x - y)
+    return np.minimum(d, size - d)
 
 
-def place(n: np.ndarray, at: np.ndarray) -> np.ndarray:
-    band = np.minimum(np.frexp(n)[1] - 5, _TOP)
-    return band << 24 | at % _WRAP << 12 | (n - at) % _WRAP
+def _edits(code: np.ndarray) -> np.ndarray:
+    return code >> 54 & 127
 
 
-def slack(band: np.ndarray, tau: int, share: int) -> np.ndarray:
-    """Allowed edits of the band's longest line; no bound in the top band."""
-    return np.where(band >= _TOP, 2 * _WRAP, np.maximum(tau, (32 << np.minimum(band, _TOP)) // share))
+def may_be_close(a: np.ndarray, b: np.ndarray, tau: int, long: bool) -> np.ndarray:
+    """Do places and characters leave the lines within the allowed edits?"""
+    if not long:
+        return np.bitwise_count((a ^ b) & ((1 << 62) - 1)) <= 2 * tau
+    t = np.minimum(_edits(a), _edits(b))
+    moved = sum(_circular(a >> s & _WRAP - 1, b >> s & _WRAP - 1, _WRAP) for s in (_BEFORE, _AFTER))
+    mask = (1 << _COUNT) - 1
+    changed = sum(_circular(a >> _COUNT * k & mask, b >> _COUNT * k & mask, 1 << _COUNT) for k in range(_COUNTS))
+    return (t == _LONG) | ((moved <= t) & (changed <= 2 * t))
 
 
-def near_places(a: np.ndarray, b: np.ndarray, tau: int, share: int) -> np.ndarray:
-    """Do the lengths before and after the gram leave the lines within the allowed edits?"""
-    x, y = np.abs((a >> 12 & _WRAP - 1) - (b >> 12 & _WRAP - 1)), np.abs((a & _WRAP - 1) - (b & _WRAP - 1))
-    moved = np.minimum(x, _WRAP - x) + np.minimum(y, _WRAP - y)
-    return moved <= slack(np.minimum(a >> 24 & 15, b >> 24 & 15), tau, share)
+def _kind(code: np.ndarray) -> np.ndarray:
+    return code >> 62 & 3
 
 
-def _common(a: str, b: str, i: int, j: int) -> int:
-    """Length of the common run of ``a`` from ``i`` and ``b`` from ``j``."""
-    most, n, step = min(len(a) - i, len(b) - j), 0, 16
-    while n < most and (k := min(step, most - n)) and a[i + n : i + n + k] == b[j + n : j + n + k]:
-        n, step = n + k, 2 * step
-    k = min(step, most - n)
-    while k > 1:  # differs within the next k characters
-        half = k // 2
-        if a[i + n : i + n + half] == b[j + n : j + n + half]:
-            n, k = n + half, k - half
-        else:
-            k = half
-    return n
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, the smaller name first; no line with itself."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new &= a != b
+    return a[new], b[new]
 
 
-def within(a: str, b: str, tau: int = TAU) -> bool:
-    """Is the edit distance (in code points) at most ``tau``?
+def _lengths(code: np.ndarray) -> np.ndarray:
+    """Characters of long lines, the longest (whose places wrap) all alike."""
+    n = (code >> _BEFORE & _WRAP - 1) + (code >> _AFTER & _WRAP - 1)
+    return np.where(code >> 61 & 1 == 1, _WRAP, n)
+
 
-    For each number of edits, the furthest place in ``a`` that each diagonal
-    (place in ``a`` less place in ``b``) reaches.
+def _matches(group: np.ndarray, own: np.ndarray, name: np.ndarray, code: np.ndarray, tau: int, long: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of an own segment (``own``) with any entry of its group
+    that is not much longer or shorter, ``PAIRS`` or so at a time."""
+    if not len(group):
+        return
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    place = np.cumsum(np.concatenate([[False], group[1:] != group[:-1]])) * (4 * _WRAP)
+    reach = np.zeros(len(place), np.int64)
+    if long:
+        place += _lengths(code[order])
+        again = np.argsort(place, kind="stable")
+        order, place = order[again], place[again]
+        reach = _edits(code[order])
+    name, code = name[order], code[order]
+    mine = np.flatnonzero(own[order])
+    low = np.searchsorted(place, place[mine] - reach[mine])
+    high = np.searchsorted(place, place[mine] + reach[mine], side="right")
+    size = np.cumsum(high - low)
+    begin = 0
+    while begin < len(mine):
+        done = size[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(size, done + PAIRS, side="right")))
+        n = (high - low)[begin:end]
+        i = np.repeat(mine[begin:end], n)
+        j = np.repeat(low[begin:end] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        differ = name[i] != name[j]
+        i, j = i[differ], j[differ]
+        ok = may_be_close(code[i], code[j], tau, long)
+        if ok.any():
+            yield _distinct(name[i[ok]], name[j[ok]])
+        begin = end
+
+
+def within_keys(key: np.ndarray, name: np.ndarray, code: np.ndarray, tau: int, long: bool, sides: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs under the keys.  With ``sides`` a key's low bits are the
+    characters beside the anchor, of which a segment compares those on its own side."""
+    if not sides:
+        yield from _matches(key, _kind(code) != _PROBE, name, code, tau, long)
+        return
+    yield from _matches(key >> _EXT, _kind(code) == _RIGHT, name, code, tau, long)
+    other = key >> 2 * _EXT << _EXT | key & (1 << _EXT) - 1
+    yield from _matches(other, _kind(code) == _LEFT, name, code, tau, long)
+
+
+# -- the banded bit-parallel edit distance
+
+
+def close(pairs: list[tuple[str, str]], limits: np.ndarray) -> np.ndarray:
+    """Is the edit distance (in code points) of each pair at most its limit?
+
+    Row i of column j is bit i - j + k of a word, k the limit: the band around
+    the diagonal.  Bands of up to 63 bits run for many pairs at once, wider ones
+    as Python integers.
     """
-    m, n = len(a), len(b)
-    if abs(m - n) > tau:
-        return False
-    reach = {0: _common(a, b, 0, 0)}
-    for e in range(tau + 1):
-        if reach.get(m - n, -1) >= m:
-            return True
-        new: dict[int, int] = {}
-        left = tau - e - 1  # edits left after the next one
-        for d in range(max(-e - 1, m - n - left), min(e + 1, m - n + left) + 1):
-            i = min(max(reach.get(d, -2) + 1, reach.get(d - 1, -2) + 1, reach.get(d + 1, -2)), m, n + d)
-            if i >= 0 and i >= d:
-                new[d] = i + _common(a, b, i, i - d)
-        reach = new
-    return False
+    out = np.zeros(len(pairs), bool)
+    sizes = np.array([(max(len(a), len(b)), min(len(a), len(b))) for a, b in pairs], np.int64).reshape(-1, 2)
+    fits = sizes[:, 0] - sizes[:, 1] <= limits
+    order = np.argsort(sizes[:, 1], kind="stable")
+    narrow = order[(fits & (limits < 32))[order]]
+    for at in range(0, len(narrow), 512):
+        some = narrow[at : at + 512]
+        out[some] = _narrow([pairs[i] for i in some], sizes[some], limits[some])
+    for i in np.flatnonzero(fits & (limits >= 32)):
+        out[i] = _wide(*pairs[i], int(limits[i]))
+    return out
+
+
+def _narrow(pairs: list[tuple[str, str]], sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    k, count = int(limits.max()), len(pairs)
+    width = int(sizes[:, 0].max())
+    # the longer lines as columns of characters, with k places in front of them
+    a = np.full((count, width + k + 65), 0xFFFFFFFF, np.uint32)
+    b = np.full((count, int(sizes[:, 1].max()) + 1), 0xFFFFFFFE, np.uint32)
+    for row, (x, y) in enumerate(pairs):
+        x, y = (x, y) if len(x) >= len(y) else (y, x)
+        a[row, k : k + len(x)] = np.frombuffer(x.encode("utf-32-le"), np.uint32)
+        b[row, : len(y)] = np.frombuffer(y.encode("utf-32-le"), np.uint32)
+    band = np.uint64((1 << 2 * k + 1) - 1)
+    top, one = np.uint64(1 << 2 * k), np.uint64(1)
+    alive = np.arange(count)
+    longer, shorter = sizes[:, 0], sizes[:, 1]
+    score = np.zeros(count, np.int64)
+    vp = np.full(count, band ^ np.uint64((1 << k + 1) - 1), np.uint64)  # column 0: one more in every row below 0
+    vn = np.zeros(count, np.uint64)
+    out = np.zeros(count, bool)
+
+    def finish(rows: np.ndarray) -> None:
+        extra = (longer - shorter)[alive[rows]]
+        below = ((one << extra.astype(np.uint64)) - one) << np.uint64(k + 1)
+        far = score[rows] + np.bitwise_count(vp[rows] & below).astype(np.int64) - np.bitwise_count(vn[rows] & below)
+        out[alive[rows]] = far <= limits[alive[rows]]
+
+    column = 0
+    while len(alive):
+        ended = shorter[alive] == column
+        hopeless = score - (longer - shorter)[alive] > limits[alive]
+        if ended.any() or (column % 16 == 0 and hopeless.any()):
+            finish(np.flatnonzero(ended))
+            going = ~(ended | hopeless)
+            alive, score, vp, vn, a, b = (x[going] for x in (alive, score, vp, vn, a, b))
+            if not len(alive):
+                break
+        equal = np.packbits(a[:, column : column + 64] == b[:, column, None], axis=1, bitorder="little").view("<u8").ravel() & band
+        vp, vn = vp >> one | top, vn >> one
+        zero = (((equal & vp) + vp) ^ vp) | equal | vn  # diagonal steps that cost nothing
+        score += (zero >> np.uint64(k) & one ^ one).astype(np.int64)
+        right, back = (vn | ~(zero | vp)) << one | one, (vp & zero) << one
+        vp, vn = (back | ~(zero | right)) & band, right & zero & band
+        column += 1
+    return out
+
+
+def _wide(x: str, y: str, k: int) -> bool:
+    if len(x) < len(y):
+        x, y = y, x
+    where: dict[str, int] = {}
+    for i, c in enumerate(x):
+        where[c] = where.get(c, 0) | 1 << i
+    band, top = (1 << 2 * k + 1) - 1, 1 << 2 * k
+    score, vp, vn, spare = 0, band ^ ((1 << k + 1) - 1), 0, len(x) - len(y)
+    for j, c in enumerate(y):
+        seen = where.get(c, 0)
+        equal = (seen >> j - k if j >= k else seen << k - j) & band
+        vp, vn = vp >> 1 | top, vn >> 1
+        zero = ((((equal & vp) + vp) ^ vp) | equal | vn) & band
+        score += ~zero >> k & 1
+        if score - spare > k:
+            return False
+        right, back = (vn | ~(zero | vp)) << 1 | 1, (vp & zero) << 1
+        vp, vn = (back | ~(zero | right)) & band, right & zero & band
+    below = ((1 << spare) - 1) << k + 1
+    return score + (vp & below).bit_count() - (vn & below).bit_count() <= k
+
+
+def within(a: str, b: str, tau: int = TAU) -> bool:
+    """Is the edit distance (in code points) at most ``tau``?"""
+    return bool(close([(a, b)], np.array([tau]))[0])
+
+
+# -- over tables
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list, list[str]]]:
@@ -258,257 +433,262 @@ def _hash64(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-OCCURRENCES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("line", pa.int64()), ("code", pa.int64())])
+def _hash128(line: str) -> tuple[int, int]:
+    """Two halves; the first is the name in the join."""
+    h = xxhash.xxh64_intdigest(line.encode(), 7)
+    return _hash64(line), h - (1 << 64) if h >> 63 else h
+
+
+OCCURRENCES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("line", pa.int64()), ("line2", pa.int64())])
 
 
 def occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, th, line_no, n, line, code) of every line of at least ``least``
-    characters; a row with line_no -1 for every document has their number as n."""
+    """(doc_id, th, line_no, n, line, line2) of every line of at least ``least``
+    characters, the last two its 128-bit hash; a row with line_no -1 for every
+    document has their number as n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for places, lines in _chunks(batches, least):
-            real = [i for i, p in enumerate(places) if p[2] >= 0]
-            code: list = [None] * len(lines)
-            for i, c in zip(real, Lines([lines[i] for i in real]).code.tolist() if real else ()):
-                code[i] = c
-            h = [_hash64(x) if x else None for x in lines]
-            yield emit(OCCURRENCES, *zip(*places), h, code)
+            h = [_hash128(x) if x else (None, None) for x in lines]
+            yield emit(OCCURRENCES, *zip(*places), [x for x, _ in h], [y for _, y in h])
 
-    return map_arrow(_keyed(docs), run, "doc_id long, th long, line_no int, n int, line long, code long")
+    return map_arrow(_keyed(docs), run, "doc_id long, th long, line_no int, n int, line long, line2 long")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
 
 
+_ENTRY = pa.schema([("key", pa.int64()), ("name", pa.int64()), ("code", pa.int64())])
+_ENTRY_SQL = "key long, name long, code long"
+
+
+def _record(schema: pa.Schema, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+
 def _entries(docs: DataFrame, least: int, tau: int, share: int, long: bool) -> DataFrame:
-    """(key, code) of the segments of shorter lines, or of the grams of longer
-    ones; a pair of which the shorter is below both borders is found by segments."""
+    """(key, name, code) of shorter or of longer lines; a pair of which the
+    shorter is below both borders is found among the shorter ones."""
     border = share * (tau + 1)
-    schema = pa.schema([("key", pa.int64()), ("code", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a frequent line enters once per task (and per REMEMBER lines)
         for _, lines in _chunks(batches, least):
-            lines = list(dict.fromkeys(x for x in lines if x and (len(x) >= border - tau if long else len(x) < border)))
-            if lines:
-                found = Lines(lines)
-                new = np.fromiter((c not in seen for c in found.code.tolist()), bool, len(lines))
-                if len(seen) > REMEMBER:
-                    seen.clear()
-                seen.update(found.code.tolist())
-                keys, codes = found.take(new).grams(tau, share) if long else found.take(new).keys(tau)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(codes)], schema=schema)
-
-    return map_arrow(_keyed(docs), run, "key long, code long")
-
-
-def _pairs(left: np.ndarray, right: np.ndarray, tau: int) -> np.ndarray:
-    """Candidate pairs, two rows with the smaller code first: one line enters
-    the key with an own segment, and parities allow ``tau`` edits."""
-    out = [np.zeros((2, 0), np.int64)]
-    for a in left:
-        b = right[((a | right) & 1 == 1) & (a >> 1 != right >> 1)]
-        bits = np.bitwise_count((a ^ b) >> 1 & 0xFFFFFFFF)
-        b = b[bits <= 2 * tau] & ~1
-        out.append(np.stack([np.minimum(b, a & ~1), np.maximum(b, a & ~1)]))
-    return np.unique(np.concatenate(out, 1), axis=1)
-
-
-def _distinct(pairs: np.ndarray) -> np.ndarray:
-    pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
-    return pairs[:, np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(0)])[: pairs.shape[1]]]
-
-
-def _neighbours(k: np.ndarray, c: np.ndarray, tau: int, share: int) -> np.ndarray:
-    """Candidate pairs of lines (places left out) under equal keys ``k``, which are sorted."""
-    out, i, d = [np.zeros((2, 0), np.int64)], np.arange(len(k)), 0
-    while len(i):
-        d += 1
-        i = i[: np.searchsorted(i, len(k) - d)]
-        i = i[k[i] == k[i + d]]
-        a, b = c[i], c[i + d]
-        good = (a >> 28 != b >> 28) & near_places(a, b, tau, share)
-        a, b = a[good] & ~_PLACE, b[good] & ~_PLACE
-        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-    return _distinct(np.concatenate(out, 1))
-
-
-def _between(left: np.ndarray, right: np.ndarray, tau: int, share: int) -> np.ndarray:
-    """Candidate pairs of lines (places left out) of two blocks of a gram's members."""
-    out = [np.zeros((2, 0), np.int64)]
-    for a in left:
-        b = right[(a >> 28 != right >> 28) & near_places(a, right, tau, share)] & ~_PLACE
-        out.append(np.stack([np.minimum(b, a & ~_PLACE), np.maximum(b, a & ~_PLACE)]))
-    return _distinct(np.concatenate(out, 1))
-
-
-_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
-
-
-def _meet(entries: DataFrame, tau: int, share: int, long: bool) -> DataFrame:
+            lines = dict.fromkeys(x for x in lines if x and (len(x) >= border - tau if long else len(x) < border))
+            new = []
+            for x in lines:
+                h = _hash64(x)
+                if h not in seen:
+                    new.append(x)
+                    seen.add(h)
+            if len(seen) > REMEMBER:
+                seen.clear()
+            if new:
+                found = Lines(new)
+                yield _record(_ENTRY, *(found.long(tau, share) if long else found.short(tau)))
+
+    return map_arrow(_keyed(docs), run, _ENTRY_SQL)
+
+
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("code", pa.int64())])
+_FOUND_SQL = "a long, b long, key long, code long"
+
+
+def _meet(entries: DataFrame, tau: int, long: bool, sides: bool) -> DataFrame:
     """Candidate pairs (a, b) of every key; the members of a key with more than
-    ``BLOCK`` of them come out singly (a, NULL, key)."""
+    ``BLOCK`` of them come out singly (a, NULL, key, code)."""
+    bits = 2 * _EXT if sides else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_k, rest_c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rest = (np.zeros(0, np.int64),) * 3
         crowded = None  # the key whose members already came out singly
 
-        def work(k: np.ndarray, c: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal rest_k, rest_c, crowded
-            order = np.lexsort((c, k))
-            k, c = k[order], c[order]
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-            k, c = k[new], c[new]
-            cut = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
-            ends = np.append(cut[1:], len(k))
-            # only keys under which different lines meet, one of them with an own segment
-            line = c >> (28 if long else 1)
-            meet = np.minimum.reduceat(line, cut) != np.maximum.reduceat(line, cut)
-            if not long:
-                meet &= np.bitwise_or.reduceat(c, cut) & 1 == 1
-            todo = meet | (ends - cut > BLOCK)
+        def work(k: np.ndarray, name: np.ndarray, code: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal rest, crowded
+            group = k >> bits
+            cut = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
+            alone = np.diff(np.append(cut, len(k))) == 1
+            alone[-1] &= last
+            if crowded is not None:
+                alone &= group[cut] != crowded
+            keep = np.ones(len(k), bool)
+            keep[cut[alone]] = False  # keys that only one line has
+            k, name, code = k[keep], name[keep], code[keep]
+            order = np.lexsort((code, name, k))
+            k, name, code = k[order], name[order], code[order]
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (name[1:] != name[:-1]) | (code[1:] != code[:-1])
+            k, name, code = k[new], name[new], code[new]
+            rest = tuple(x[:0] for x in (k, name, code))
+            if not len(k):
+                return
+            group = k >> bits
+            cut = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
+            size = np.diff(np.append(cut, len(k)))
+            crowd = size > BLOCK
             if crowded is not None:
-                todo |= k[cut] == crowded
-            found: list[np.ndarray] = []
-            rest_k, rest_c = k[:0], c[:0]
-            if not last:
-                rest_k, rest_c = k[cut[-1] :], c[cut[-1] :]
-            if long:  # all keys at once; only crowded ones are left
-                crowds = ends - cut > BLOCK
-                if crowded is not None:
-                    crowds |= k[cut] == crowded
-                pair = meet & ~crowds
-                pair[-1] &= last
-                members = np.repeat(pair, ends - cut)
-                found.append(_neighbours(k[members], c[members], tau, share))
-                todo &= crowds
-            for g in np.flatnonzero(todo):
-                own, key = c[cut[g] : ends[g]], k[cut[g]]
-                if len(own) > BLOCK or key == crowded:
-                    crowded, n = key, len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(n, pa.int64()), pa.array(np.full(n, key))], schema=_FOUND)
-                    if g == len(cut) - 1:
-                        rest_k, rest_c = k[:0], c[:0]
-                elif last or g < len(cut) - 1:
-                    found.append(_pairs(own, own, tau))
-            if found and (p := np.concatenate(found, 1)).shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.nulls(p.shape[1], pa.int64())], schema=_FOUND)
+                crowd |= group[cut] == crowded
+            if crowd[-1]:
+                crowded = group[-1]
+            ready = np.repeat(~crowd, size)
+            if not last and not crowd[-1]:
+                rest = tuple(x[cut[-1] :] for x in (k, name, code))
+                ready[cut[-1] :] = False
+            many = np.repeat(crowd, size)
+            if many.any():
+                n = int(many.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(name[many]), pa.nulls(n, pa.int64()), pa.array(k[many]), pa.array(code[many])], schema=_FOUND)
+            for a, b in within_keys(k[ready], name[ready], code[ready], tau, long, sides):
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], schema=_FOUND)
 
         for batch in batches:
-            k = np.concatenate([rest_k, batch.column(0).to_numpy()])
-            c = np.concatenate([rest_c, batch.column(1).to_numpy()])
-            if len(k):
-                yield from work(k, c, False)
-        if len(rest_k):
-            yield from work(rest_k, rest_c, True)
+            now = tuple(np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns))
+            if len(now[0]):
+                yield from work(*now, False)
+        if len(rest[0]):
+            yield from work(*rest, True)
 
-    dealt = entries.repartition("key").sortWithinPartitions("key")
-    return map_arrow(dealt, run, "a long, b long, key long")
+    dealt = entries.repartition(F.shiftright("key", bits)) if bits else entries.repartition("key")
+    return map_arrow(dealt.sortWithinPartitions("key"), run, _FOUND_SQL)
 
 
-def _cells(members: DataFrame, tau: int, share: int) -> DataFrame:
-    """(key, code) of crowded grams' members by place: two lines of one band, or
-    of a band and the next, whose places allow the edits share a cell."""
-    schema = pa.schema([("key", pa.int64()), ("code", pa.int64())])
+def _by_side(members: DataFrame) -> DataFrame:
+    """(key, name, code) of crowded anchors' members by the characters beside
+    them: a segment on its own side, a substring on both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, code = (batch.column(name).to_numpy() for name in ("key", "code"))
-            for up in (0, 1):
-                band = np.minimum((code >> 24 & 15) + up, _TOP)
-                size = slack(band, tau, share) + 1
+            key, name, code = (c.to_numpy() for c in batch.columns)
+            gram = (key >> 2 * _EXT).view(np.uint64) * _SALT
+            for side, low in ((_RIGHT, key >> _EXT & (1 << _EXT) - 1), (_LEFT, key & (1 << _EXT) - 1)):
+                own = _kind(code) == side
+                marked = code & ((1 << 62) - 1) | own.astype(np.int64) << 62
+                yield _record(_ENTRY, mix(gram + (low << 2 | side).astype(np.uint64)).view(np.int64), name, marked)
+
+    return map_arrow(members, run, _ENTRY_SQL)
+
+
+def _by_place(members: DataFrame) -> DataFrame:
+    """(key, name, code) of crowded members by place and length: two lines whose
+    distances from both ends allow their edits share a cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, name, code = (c.to_numpy() for c in batch.columns)
+            t, n = _edits(code), _lengths(code)
+
+            def entered(cell: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
+                named = mix(key.view(np.uint64) + cell.astype(np.uint64) * _SALT).view(np.int64)
+                return _record(_ENTRY, named[some], name[some], code[some])
+
+            for up in (0, 1):  # lines of one band of allowed edits, or of neighbouring ones
+                band = np.frexp(t)[1].astype(np.int64) + up
                 for x in (0, 1):
                     for y in (0, 1):
-                        cell = ((code >> 12 & _WRAP - 1) // size + x) << 13 | (code & _WRAP - 1) // size + y
-                        cell = np.where(band == _TOP, 0, cell)
-                        named = mix(key.view(np.uint64) + (band << 26 | cell).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-                        yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array(code)], schema=schema)
+                        before, after = (code >> _BEFORE & _WRAP - 1) >> band, (code >> _AFTER & _WRAP - 1) >> band
+                        yield entered(band << 26 | before + x << 13 | after + y, n < _WRAP)
+            yield entered(np.full(len(key), 1 << 40), n + t >= _WRAP)  # places of such lines wrap: one cell
 
-    return map_arrow(members, run, "key long, code long")
+    return map_arrow(members, run, _ENTRY_SQL)
 
 
-def _blocks(members: DataFrame, tau: int, share: int, long: bool) -> DataFrame:
-    """Candidate pairs of crowded keys (code, key): every two blocks of a key's
-    members are one unit of work."""
+def _blocks(members: DataFrame, tau: int, long: bool) -> DataFrame:
+    """Candidate pairs (a, b) of keys that are still crowded: every two blocks
+    of a key's members are one unit of work."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def unit(codes: list[int], homes: list[int]) -> pa.RecordBatch:
-        c, h = np.array(codes, np.int64), np.array(homes, np.int64)
-        left, right = c[h == h.min()], c[h == h.max()]
-        p = _between(left, right, tau, share) if long else _pairs(left, right, tau)
-        return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], schema=schema)
+    def unit(names: list[int], codes: list[int], homes: list[int]) -> Iterator[pa.RecordBatch]:
+        name, code, home = np.array(names, np.int64), np.array(codes, np.int64), np.array(homes, np.int64)
+        own = _kind(code) != _PROBE
+        for x, y in ((home.min(), home.max()), (home.max(), home.min())):
+            left, right = np.flatnonzero(own & (home == x)), np.flatnonzero(home == y)
+            step = max(1, PAIRS // max(1, len(right)))
+            for at in range(0, len(left), step):
+                i = np.repeat(left[at : at + step], len(right))
+                j = np.tile(right, len(left[at : at + step]))
+                ok = (name[i] != name[j]) & may_be_close(code[i], code[j], tau, long)
+                if ok.any():
+                    yield _record(schema, *_distinct(name[i[ok]], name[j[ok]]))
+            if x == y:
+                break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, codes, homes = None, [], []
-        for key, i, j, code, home in rows_of(batches, 8192):
-            for name, c, h in zip(zip(key, i, j), code, home):
-                if name != now:
+        now, rows = None, ([], [], [])
+        for key, i, j, *row in rows_of(batches, 8192):
+            for where, *values in zip(zip(key, i, j), *row):
+                if where != now:
                     if now is not None:
-                        yield unit(codes, homes)
-                    now, codes, homes = name, [], []
-                codes.append(c)
-                homes.append(h)
+                        yield from unit(*rows)
+                    now, rows = where, ([], [], [])
+                for column, v in zip(rows, values):
+                    column.append(v)
         if now is not None:
-            yield unit(codes, homes)
+            yield from unit(*rows)
 
     n = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     units = (
         members.join(n, "key")
-        .withColumn("home", F.pmod(F.xxhash64("code"), F.col("blocks")))
+        .withColumn("home", F.pmod(F.xxhash64("name"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("key", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "code", "home")
+        .select("key", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "name", "code", "home")
     )
     return map_arrow(units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, tau: int, share: int) -> DataFrame:
-    """(a, b) line hashes of the candidate pairs within the allowed edits."""
+    """(a, b) line ids of the candidate pairs within the allowed edits."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, s, t in rows_of(batches, 1024):
-            good = [(x, y) for x, y, u, v in zip(a, b, s, t) if x != y and within(u, v, allowed(min(len(u), len(v)), tau, share))]
-            yield emit(schema, [x for x, _ in good], [y for _, y in good])
+        for a, b, s, t in rows_of(batches, 4096):
+            limits = allowed(np.array([min(len(u), len(v)) for u, v in zip(s, t)], np.int64), tau, share)
+            good = np.flatnonzero(close(list(zip(s, t)), limits)) if a else []
+            yield emit(schema, [a[k] for k in good], [b[k] for k in good])
 
-    left = texts.select(F.col("code").alias("a"), F.col("line").alias("la"), F.col("text").alias("ta"))
-    right = texts.select(F.col("code").alias("b"), F.col("line").alias("lb"), F.col("text").alias("tb"))
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("la", "lb", "ta", "tb"), run, "a long, b long").distinct()
+    left = texts.select(F.col("name").alias("a"), F.col("uid").alias("la"), F.col("text").alias("ta"))
+    right = texts.select(F.col("name").alias("b"), F.col("uid").alias("lb"), F.col("text").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b").where("la <> lb")
+    both = both.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"), "ta", "tb")
+    return map_arrow(both, run, "a long, b long").distinct()
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(code, line, text) of the wanted lines, taken from their first occurrence."""
+    """(name, uid, text) of the wanted lines, taken from their first occurrence."""
     d, w = _keyed(docs).alias("d"), wanted.alias("w")
     rows = d.join(w, F.expr("d.doc_id <=> w.doc_id AND d.th = w.th"))
-    return rows.select("w.code", "w.line", F.element_at(F.split("d.text", "\n"), F.col("w.line_no") + 1).alias("text")).distinct()
+    return rows.select("w.name", "w.uid", F.element_at(F.split("d.text", "\n"), F.col("w.line_no") + 1).alias("text")).distinct()
 
 
 def _candidates(docs: DataFrame, least: int, tau: int, share: int, long: bool) -> DataFrame:
-    """(a, b): names of lines that meet under a segment or a gram."""
-    met = materialize(_meet(_entries(docs, least, tau, share, long), tau, share, long))
-    pairs = met.where("key IS NULL").select("a", "b")
-    crowded = met.where("key IS NOT NULL").select("key", F.col("a").alias("code")).distinct()
-    if long:
-        met = materialize(_meet(_cells(crowded, tau, share), tau, share, long))
-        pairs = pairs.unionByName(met.where("key IS NULL").select("a", "b"))
-        crowded = met.where("key IS NOT NULL").select("key", F.col("a").alias("code")).distinct()
-    pairs = pairs.unionByName(_blocks(crowded, tau, share, long))
-    return pairs.select(*(F.col(x).bitwiseAND(F.lit(~_PLACE).cast("long")).alias(x) for x in ("a", "b")))
+    """(a, b): names of lines that meet."""
+
+    def parts(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+        met = materialize(met)
+        return met.where("key IS NULL").select("a", "b"), met.where("key IS NOT NULL").select("key", F.col("a").alias("name"), "code").distinct()
+
+    pairs, crowded = parts(_meet(_entries(docs, least, tau, share, long), tau, long, long))
+    for divide in (_by_side, _by_place) if long else ():
+        more, crowded = parts(_meet(divide(crowded), tau, long, False))
+        pairs = pairs.unionByName(more)
+    return pairs.unionByName(_blocks(crowded, tau, long))
 
 
 def line_links(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, share: int = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(occurrences, distinct lines, links): links are pairs (a, b) of hashes of
+    """(occurrences, distinct lines, links): links are pairs (a, b) of uids of
     different lines within the allowed edits, each pair once."""
-    if window(np.array([share * (tau + 1) - tau]), tau, share)[0] < 1:
-        raise ValueError(f"one edit for {share} characters is too much for grams of {GRAM}")
+    if shortest_segment(share * (tau + 1), tau, share) < GRAM + 2 or least < tau + 1:
+        raise ValueError(f"one edit for {share} characters, or {tau} in {least}, is too much for segments of {GRAM}")
     places = materialize(occurrences(docs, least))
-    lines = places.where("line_no >= 0").groupBy("line", "n").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count("*").alias("times"), F.first("code").alias("code"))
-    lines = materialize(lines)
+    lines = places.where("line_no >= 0").groupBy("line", "line2", "n").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count("*").alias("times"))
+    lines = materialize(lines.withColumn("uid", F.monotonically_increasing_id()))
     pairs = _candidates(docs, least, tau, share, False).unionByName(_candidates(docs, least, tau, share, True))
-    pairs = materialize(pairs.distinct())
-    codes = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
-    named = lines.withColumn("code", F.col("code").bitwiseAND(F.lit(~_PLACE).cast("long")))
-    wanted = named.join(codes, "code", "left_semi").select("code", "line", "first.*")
+    # different lines of one name are compared, too
+    namesakes = lines.groupBy("line").count().where("count > 1").select(F.col("line").alias("a"), F.col("line").alias("b"))
+    pairs = materialize(pairs.unionByName(namesakes).distinct())
+    names = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
+    wanted = lines.join(names, "line", "left_semi").select(F.col("line").alias("name"), "uid", "first.*")
     return places, lines, materialize(_verify(pairs, materialize(_line_texts(docs, wanted)), tau, share))
 
 
@@ -528,11 +708,11 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, share:
     """
     places, lines, links = line_links(docs, tau, least, share)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    other = lines.select(F.col("line").alias("b"), F.col("first").alias("before"))
-    near = both.join(other, "b").groupBy(F.col("a").alias("line")).agg(F.count("*").alias("links"), F.min("before").alias("before"))
-    told = lines.join(near, "line", "left").where("times > 1 OR links IS NOT NULL").select("line", "n", "first", "before", "links")
+    other = lines.select(F.col("uid").alias("b"), F.col("first").alias("before"))
+    near = both.join(other, "b").groupBy(F.col("a").alias("uid")).agg(F.count("*").alias("links"), F.min("before").alias("before"))
+    told = lines.join(near, "uid", "left").where("times > 1 OR links IS NOT NULL").select("line", "line2", "n", "first", "before", "links")
     here = F.struct("doc_id", "th", "line_no")
-    marks = places.where("line_no >= 0").join(told, ["line", "n"]).select(
+    marks = places.where("line_no >= 0").join(told, ["line", "line2", "n"]).select(
         "doc_id", "th", "line_no", F.coalesce("links", F.lit(0)).alias("links"),
         F.coalesce(F.col("before") < F.col("first"), F.lit(False)).alias("is_near"), (here != F.col("first")).alias("again"),
         F.least("first.doc_id", "before.doc_id").alias("class_id"),
@@ -563,7 +743,9 @@ def drop_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, share: i
     gone = dedup_lines(docs, tau, least, share).where(F.size("dropped") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), "dropped")
     gone = gone.withColumnRenamed("dropped", "__dropped")
     rows = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__dropped", i)), "\n")
+    parts = F.split("text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__dropped"))
+    left = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
     rows = rows.withColumn("text", F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(left))
     rows = rows.where(F.col("__dropped").isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
