@@ -53,6 +53,10 @@ MIN_CHARS = 24
 CHARS = 500_000
 BLOCK = 1024
 PAIRS = 500_000
+#: Members of an anchor that a task divides by the characters beside it itself.
+CROWD = 50_000
+#: Lines of a block whose pairs are verified together.
+TEXTS = 256
 #: Lines a task remembers to have entered.
 REMEMBER = 300_000
 
@@ -109,10 +113,13 @@ def room(tau: int, share: int) -> int:
 
 
 # An entry's code, from its high bits: 2 for the kind, 1 for lines of ``_WRAP`` or
-# more characters, 7 for the allowed edits (``_LONG``: as many or more), 11 and 11
-# for the characters before and from the anchor on, modulo ``_WRAP``; 6 counts of
-# 5 bits (see ``may_be_close``).  Short lines: kind and 62 parities.
-_LONG = 127
+# more characters, 7 for the allowed edits (of such lines: for the logarithm of
+# the length, base ``_STEP``), 11 and 11 for the characters before and from the
+# anchor on, modulo ``_WRAP``, 1 unused, 1 if the line has the key at several places;
+# 6 counts of 5 bits (see ``may_be_close``).  Short lines: kind and 62 parities.
+_TOP = 127  # of the 7 bits: as many or more
+_STEP = 1.025
+_MANY = 1 << 30
 _WRAP = 2048
 _BEFORE, _AFTER = 43, 32
 _COUNTS, _COUNT = 6, 5
@@ -203,9 +210,12 @@ class Lines:
             right = self._side(place + GRAM, rest - GRAM >= beside, beside)
             left = self._side(place - beside, at >= beside, beside)
             key = h >> np.uint64(2 * _EXT) << np.uint64(2 * _EXT) | right << np.uint64(_EXT) | left
-            code = kind << 62 | (n[line] >= _WRAP).astype(np.int64) << 61 | np.minimum(t[line], _LONG) << 54
+            size = np.where(n < _WRAP, t, 0)
+            if (n >= _WRAP).any():
+                size[n >= _WRAP] = np.log(n[n >= _WRAP] / _WRAP) / np.log(_STEP)
+            code = kind << 62 | (n[line] >= _WRAP).astype(np.int64) << 61 | np.minimum(size, _TOP)[line] << 54
             code |= at % _WRAP << _BEFORE | rest % _WRAP << _AFTER | counts[mine][line]
-            out.append((key.view(np.int64), self.name[mine][line], code))
+            out.append(_once(line, key.view(np.int64), self.name[mine][line], code))
         return tuple(np.concatenate(x) for x in zip(*out))
 
     def _side(self, at: np.ndarray, fits: np.ndarray, n: int) -> np.ndarray:
@@ -213,6 +223,19 @@ class Lines:
         return np.where(fits, h, 0) >> np.uint64(64 - _EXT)
 
 
+def _once(line: np.ndarray, key: np.ndarray, name: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, name, code) with one entry for each line, key and kind: repetitive
+    lines have the same anchor at very many places."""
+    kind = _kind(code)
+    order = np.argsort(mix(key.view(np.uint64) + (line << 2 | kind).astype(np.uint64) * _SALT), kind="stable")
+    line, key, name, code, kind = (x[order] for x in (line, key, name, code, kind))
+    new = np.ones(len(key), bool)
+    new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(key)))
+    return key[first], name[first], code[first] | (times > 1) * _MANY
+
+
 def _slide(f: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
     """``f`` over every ``w`` neighbours."""
     have, out = 1, x
@@ -228,19 +251,32 @@ def _circular(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(d, size - d)
 
 
-def _edits(code: np.ndarray) -> np.ndarray:
-    return code >> 54 & 127
+def _long(code: np.ndarray) -> np.ndarray:
+    return code >> 61 & 1 == 1
+
+
+def _size(code: np.ndarray) -> np.ndarray:
+    return code >> 54 & _TOP
+
+
+_LONGEST = np.append(np.ceil(_WRAP * _STEP ** np.arange(1, _TOP + 1)).astype(np.int64), 1 << 40)
 
 
-def may_be_close(a: np.ndarray, b: np.ndarray, tau: int, long: bool) -> np.ndarray:
+def _edits(code: np.ndarray, share: int) -> np.ndarray:
+    """Allowed edits of the line, of the longest ones an upper bound."""
+    return np.where(_long(code), _LONGEST[_size(code)] // share, _size(code))
+
+
+def may_be_close(a: np.ndarray, b: np.ndarray, tau: int, share: int, long: bool) -> np.ndarray:
     """Do places and characters leave the lines within the allowed edits?"""
     if not long:
         return np.bitwise_count((a ^ b) & ((1 << 62) - 1)) <= 2 * tau
-    t = np.minimum(_edits(a), _edits(b))
+    t = np.minimum(_edits(a, share), _edits(b, share))
     moved = sum(_circular(a >> s & _WRAP - 1, b >> s & _WRAP - 1, _WRAP) for s in (_BEFORE, _AFTER))
     mask = (1 << _COUNT) - 1
     changed = sum(_circular(a >> _COUNT * k & mask, b >> _COUNT * k & mask, 1 << _COUNT) for k in range(_COUNTS))
-    return (t == _LONG) | ((moved <= t) & (changed <= 2 * t))
+    alike = ~(_long(a) & _long(b)) | (np.abs(_size(a) - _size(b)) <= 2)
+    return alike & ((moved <= t) | ((a | b) & _MANY != 0)) & (changed <= 2 * t)
 
 
 def _kind(code: np.ndarray) -> np.ndarray:
@@ -259,12 +295,12 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lengths(code: np.ndarray) -> np.ndarray:
-    """Characters of long lines, the longest (whose places wrap) all alike."""
+    """Characters of a line, from ``_WRAP`` on in steps of their logarithm."""
     n = (code >> _BEFORE & _WRAP - 1) + (code >> _AFTER & _WRAP - 1)
-    return np.where(code >> 61 & 1 == 1, _WRAP, n)
+    return np.where(_long(code), _WRAP + _size(code), n)
 
 
-def _matches(group: np.ndarray, own: np.ndarray, name: np.ndarray, code: np.ndarray, tau: int, long: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _matches(group: np.ndarray, own: np.ndarray, name: np.ndarray, code: np.ndarray, tau: int, share: int, long: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs of an own segment (``own``) with any entry of its group
     that is not much longer or shorter, ``PAIRS`` or so at a time."""
     if not len(group):
@@ -277,7 +313,7 @@ def _matches(group: np.ndarray, own: np.ndarray, name: np.ndarray, code: np.ndar
         place += _lengths(code[order])
         again = np.argsort(place, kind="stable")
         order, place = order[again], place[again]
-        reach = _edits(code[order])
+        reach = np.minimum(_edits(code[order], share), 2 * _WRAP // share)
     name, code = name[order], code[order]
     mine = np.flatnonzero(own[order])
     low = np.searchsorted(place, place[mine] - reach[mine])
@@ -291,22 +327,24 @@ def _matches(group: np.ndarray, own: np.ndarray, name: np.ndarray, code: np.ndar
         i = np.repeat(mine[begin:end], n)
         j = np.repeat(low[begin:end] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         differ = name[i] != name[j]
+        if long:  # the shorter line's segments are enough
+            differ &= (place[i] < place[j]) | ((place[i] == place[j]) & ((name[i] < name[j]) | _long(code[i])))
         i, j = i[differ], j[differ]
-        ok = may_be_close(code[i], code[j], tau, long)
+        ok = may_be_close(code[i], code[j], tau, share, long)
         if ok.any():
             yield _distinct(name[i[ok]], name[j[ok]])
         begin = end
 
 
-def within_keys(key: np.ndarray, name: np.ndarray, code: np.ndarray, tau: int, long: bool, sides: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def within_keys(key: np.ndarray, name: np.ndarray, code: np.ndarray, tau: int, share: int, long: bool, sides: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs under the keys.  With ``sides`` a key's low bits are the
     characters beside the anchor, of which a segment compares those on its own side."""
     if not sides:
-        yield from _matches(key, _kind(code) != _PROBE, name, code, tau, long)
+        yield from _matches(key, _kind(code) != _PROBE, name, code, tau, share, long)
         return
-    yield from _matches(key >> _EXT, _kind(code) == _RIGHT, name, code, tau, long)
+    yield from _matches(key >> _EXT, _kind(code) == _RIGHT, name, code, tau, share, long)
     other = key >> 2 * _EXT << _EXT | key & (1 << _EXT) - 1
-    yield from _matches(other, _kind(code) == _LEFT, name, code, tau, long)
+    yield from _matches(other, _kind(code) == _LEFT, name, code, tau, share, long)
 
 
 # -- the banded bit-parallel edit distance
@@ -495,10 +533,11 @@ _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), (
 _FOUND_SQL = "a long, b long, key long, code long"
 
 
-def _meet(entries: DataFrame, tau: int, long: bool, sides: bool) -> DataFrame:
+def _meet(entries: DataFrame, tau: int, share: int, long: bool, sides: bool) -> DataFrame:
     """Candidate pairs (a, b) of every key; the members of a key with more than
-    ``BLOCK`` of them come out singly (a, NULL, key, code)."""
+    ``BLOCK`` of them (with ``sides``: ``CROWD``) come out singly (a, NULL, key, code)."""
     bits = 2 * _EXT if sides else 0
+    limit = CROWD if sides else BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = (np.zeros(0, np.int64),) * 3
@@ -526,7 +565,7 @@ def _meet(entries: DataFrame, tau: int, long: bool, sides: bool) -> DataFrame:
             group = k >> bits
             cut = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
             size = np.diff(np.append(cut, len(k)))
-            crowd = size > BLOCK
+            crowd = size > limit
             if crowded is not None:
                 crowd |= group[cut] == crowded
             if crowd[-1]:
@@ -539,7 +578,7 @@ def _meet(entries: DataFrame, tau: int, long: bool, sides: bool) -> DataFrame:
             if many.any():
                 n = int(many.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(name[many]), pa.nulls(n, pa.int64()), pa.array(k[many]), pa.array(code[many])], schema=_FOUND)
-            for a, b in within_keys(k[ready], name[ready], code[ready], tau, long, sides):
+            for a, b in within_keys(k[ready], name[ready], code[ready], tau, share, long, sides):
                 none = pa.nulls(len(a), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], schema=_FOUND)
 
@@ -554,7 +593,7 @@ def _meet(entries: DataFrame, tau: int, long: bool, sides: bool) -> DataFrame:
     return map_arrow(dealt.sortWithinPartitions("key"), run, _FOUND_SQL)
 
 
-def _by_side(members: DataFrame) -> DataFrame:
+def _by_side(members: DataFrame, share: int) -> DataFrame:
     """(key, name, code) of crowded anchors' members by the characters beside
     them: a segment on its own side, a substring on both."""
 
@@ -570,31 +609,35 @@ def _by_side(members: DataFrame) -> DataFrame:
     return map_arrow(members, run, _ENTRY_SQL)
 
 
-def _by_place(members: DataFrame) -> DataFrame:
+def _by_place(members: DataFrame, share: int) -> DataFrame:
     """(key, name, code) of crowded members by place and length: two lines whose
     distances from both ends allow their edits share a cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, name, code = (c.to_numpy() for c in batch.columns)
-            t, n = _edits(code), _lengths(code)
+            t, n = _edits(code, share), _lengths(code)
+            many = code & _MANY != 0
 
-            def entered(cell: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
+            def entered(cell: np.ndarray, some: np.ndarray, code: np.ndarray = code) -> pa.RecordBatch:
                 named = mix(key.view(np.uint64) + cell.astype(np.uint64) * _SALT).view(np.int64)
                 return _record(_ENTRY, named[some], name[some], code[some])
 
+            # by length alone only lines with several places meet the others
+            marked = code & ((1 << 62) - 1) | many.astype(np.int64) << 62
             for up in (0, 1):  # lines of one band of allowed edits, or of neighbouring ones
-                band = np.frexp(t)[1].astype(np.int64) + up
+                band = np.frexp(np.minimum(t, _WRAP))[1].astype(np.int64) + up
+                before = (code >> _BEFORE & _WRAP - 1) >> band
                 for x in (0, 1):
+                    yield entered(1 << 40 | band << 26 | (n >> band) + x, n < _WRAP, marked)
                     for y in (0, 1):
-                        before, after = (code >> _BEFORE & _WRAP - 1) >> band, (code >> _AFTER & _WRAP - 1) >> band
-                        yield entered(band << 26 | before + x << 13 | after + y, n < _WRAP)
-            yield entered(np.full(len(key), 1 << 40), n + t >= _WRAP)  # places of such lines wrap: one cell
+                        yield entered(band << 26 | before + x << 13 | (n >> band) + y, (n < _WRAP) & ~many)
+            yield entered(np.full(len(key), 1 << 41), n + t >= _WRAP)  # the places of long lines wrap: one cell
 
     return map_arrow(members, run, _ENTRY_SQL)
 
 
-def _blocks(members: DataFrame, tau: int, long: bool) -> DataFrame:
+def _blocks(members: DataFrame, tau: int, share: int, long: bool) -> DataFrame:
     """Candidate pairs (a, b) of keys that are still crowded: every two blocks
     of a key's members are one unit of work."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -608,7 +651,7 @@ def _blocks(members: DataFrame, tau: int, long: bool) -> DataFrame:
             for at in range(0, len(left), step):
                 i = np.repeat(left[at : at + step], len(right))
                 j = np.tile(right, len(left[at : at + step]))
-                ok = (name[i] != name[j]) & may_be_close(code[i], code[j], tau, long)
+                ok = (name[i] != name[j]) & may_be_close(code[i], code[j], tau, share, long)
                 if ok.any():
                     yield _record(schema, *_distinct(name[i[ok]], name[j[ok]]))
             if x == y:
@@ -637,21 +680,57 @@ def _blocks(members: DataFrame, tau: int, long: bool) -> DataFrame:
     return map_arrow(units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long")
 
 
+def _units(pairs: DataFrame) -> DataFrame:
+    """(unit, a, b): the pairs dealt into units that share lines, so that a line's
+    text is sent to few places.  Lines that many pairs connect have one smallest
+    neighbour; its lines are cut into blocks, and two blocks make a unit."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hub = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("hub"))
+    first, second = hub.select("a", F.col("hub").alias("ha")), hub.select(F.col("a").alias("b"), F.col("hub").alias("hb"))
+    dealt = pairs.join(first, "a").join(second, "b").select("a", "b", F.least("ha", "hb").alias("hub"))
+    size = dealt.groupBy("hub").agg(F.ceil(F.sqrt(2 * F.count("*")) / TEXTS).alias("blocks"))
+    i, j = (F.pmod(F.xxhash64(c), F.col("blocks")) for c in ("a", "b"))
+    return dealt.join(size, "hub").select(F.xxhash64("hub", F.least(i, j), F.greatest(i, j)).alias("unit"), "a", "b")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, tau: int, share: int) -> DataFrame:
     """(a, b) line ids of the candidate pairs within the allowed edits."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, s, t in rows_of(batches, 4096):
-            limits = allowed(np.array([min(len(u), len(v)) for u, v in zip(s, t)], np.int64), tau, share)
-            good = np.flatnonzero(close(list(zip(s, t)), limits)) if a else []
-            yield emit(schema, [a[k] for k in good], [b[k] for k in good])
+    def judged(left: list, right: list) -> pa.RecordBatch:
+        lines = [(s, t) for s, t in zip(left, right) if s[0] != t[0]]
+        limits = allowed(np.array([min(len(s[1]), len(t[1])) for s, t in lines], np.int64), tau, share)
+        good = np.flatnonzero(close([(s[1], t[1]) for s, t in lines], limits))
+        ids = [sorted((lines[k][0][0], lines[k][1][0])) for k in good]
+        return emit(schema, [a for a, _ in ids], [b for _, b in ids])
 
-    left = texts.select(F.col("name").alias("a"), F.col("uid").alias("la"), F.col("text").alias("ta"))
-    right = texts.select(F.col("name").alias("b"), F.col("uid").alias("lb"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").where("la <> lb")
-    both = both.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"), "ta", "tb")
-    return map_arrow(both, run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}  # a unit's texts come first: name -> (uid, text) of its lines
+        for unit, a, b, uid, text in rows_of(batches, 8192):
+            left, right = [], []
+            for u, x, y, i, t in zip(unit, a, b, uid, text):
+                if u != now:
+                    if left:
+                        yield judged(left, right)
+                        left, right = [], []
+                    now, held = u, {}
+                if y is None:
+                    held.setdefault(x, []).append((i, t))
+                else:
+                    for s in held[x]:
+                        for o in held[y]:
+                            left.append(s)
+                            right.append(o)
+            if left:
+                yield judged(left, right)
+
+    units = materialize(_units(pairs))
+    wanted = units.select("unit", F.col("a").alias("name")).unionByName(units.select("unit", F.col("b").alias("name"))).distinct()
+    none = F.lit(None).cast("long")
+    rows = wanted.join(texts, "name").select("unit", F.col("name").alias("a"), none.alias("b"), "uid", "text")
+    rows = rows.unionByName(units.select("unit", "a", "b", none.alias("uid"), F.lit(None).cast("string").alias("text")))
+    dealt = rows.repartition("unit").sortWithinPartitions(F.col("unit"), F.col("b").asc_nulls_first())
+    return map_arrow(dealt, run, "a long, b long").distinct()
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -668,11 +747,11 @@ def _candidates(docs: DataFrame, least: int, tau: int, share: int, long: bool) -
         met = materialize(met)
         return met.where("key IS NULL").select("a", "b"), met.where("key IS NOT NULL").select("key", F.col("a").alias("name"), "code").distinct()
 
-    pairs, crowded = parts(_meet(_entries(docs, least, tau, share, long), tau, long, long))
+    pairs, crowded = parts(_meet(_entries(docs, least, tau, share, long), tau, share, long, long))
     for divide in (_by_side, _by_place) if long else ():
-        more, crowded = parts(_meet(divide(crowded), tau, long, False))
+        more, crowded = parts(_meet(divide(crowded, share), tau, share, long, False))
         pairs = pairs.unionByName(more)
-    return pairs.unionByName(_blocks(crowded, tau, long))
+    return pairs.unionByName(_blocks(crowded, tau, share, long))
 
 
 def line_links(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, share: int = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
