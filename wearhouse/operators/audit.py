@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wearhouse.functions.columns import image_allowed
 from wearhouse.plans.factorised import items_with_owner
 from wearhouse.sources.schemas import CHECKS, FOREIGN_KEYS, FUNCTIONAL_DEPENDENCIES, NOT_NULL, PRIMARY_KEYS, SEASONS, UNIQUE_KEYS
 from wearhouse.sources.tables import Tables
@@ -100,6 +101,15 @@ def functional_dependencies(t: Tables) -> DataFrame:
     return _union(frames)
 
 
+def images(t: Tables) -> DataFrame:
+    """stored images whose file name has no allowed extension ('' is no image)."""
+    frames = [
+        t.get(name).where((F.col("image_url") != "") & ~image_allowed("image_url")).select(F.lit(name).alias("table_name"), F.col(key).alias("id"), "image_url")
+        for name, key in (("w_img", "item_id"), ("w_oimg", "outfit_id"))
+    ]
+    return _union(frames)
+
+
 def ownership(t: Tables) -> DataFrame:
     """Outfit-item links whose item is not owned by the outfit's owner
     (``item_owner`` NULL when the item does not exist)."""

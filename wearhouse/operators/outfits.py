@@ -8,11 +8,14 @@ the final joins are 1:1 and co-partitioned.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearhouse.functions.columns import first_value, join_sorted, split_values
 from wearhouse.plans.factorised import outfit_attrs, outfit_item_summary, outfit_wears
+from wearhouse.plans.topk import ranked
 from wearhouse.sources.schemas import SEASONS
 from wearhouse.sources.tables import Tables
 
@@ -158,16 +161,16 @@ def _user_values(t: Tables, table: str, column: str) -> DataFrame:
     )
 
 
-def season_facet(t: Tables) -> DataFrame:
+def season_facet(t: Tables, rank: Callable = ranked) -> DataFrame:
     """Per user, the four canonical seasons in fixed order, then any other
-    stored season in sorted order: (u_id, position, season)."""
+    stored season in sorted order: (u_id, position, season).  ``rank`` places the
+    others: ``ranking.ranked_by_ranges`` for users with very many."""
     canon = t.w_user.select("u_id", F.posexplode(F.array(*[F.lit(s) for s in SEASONS])).alias("pos", "season")).select(
         "u_id", (F.col("pos") + 1).cast("bigint").alias("position"), "season"
     )
     extra = _user_values(t, "w_season", "season").where(~F.col("value").isin(*SEASONS))
-    w = Window.partitionBy("u_id").orderBy("value")
-    extra = extra.select(
-        "u_id", (F.lit(len(SEASONS)) + F.row_number().over(w)).cast("bigint").alias("position"), F.col("value").alias("season")
+    extra = rank(extra, ["u_id"], [F.col("value").asc()], "_place").select(
+        "u_id", (F.lit(len(SEASONS)) + F.col("_place")).cast("bigint").alias("position"), F.col("value").alias("season")
     )
     return canon.unionByName(extra)
 

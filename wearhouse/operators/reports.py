@@ -7,6 +7,8 @@ before anything is aggregated.  Building a report runs no job.  Top-5 reports us
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,12 +115,15 @@ def REUSE_ORDER() -> list[Column]:
     return [F.col("worn_times").desc(), F.col("created_date").desc(), F.col("outfit_id").desc()]
 
 
-def outfit_reuse(t: Tables, user_id: int | None = None, k: int = TOP_K, keep_created: bool = False) -> DataFrame:
-    """Each user's k most worn outfits; ties by newest created_date, then newest id."""
+def outfit_reuse(
+    t: Tables, user_id: int | None = None, k: int = TOP_K, keep_created: bool = False, wears: DataFrame | None = None
+) -> DataFrame:
+    """Each user's k most worn outfits; ties by newest created_date, then newest
+    id.  ``wears``: stored counts (outfit_id, worn_count, last_worn) to use instead of counting."""
     if user_id is not None:
         t = t.only_outfits(t.w_outfit.where(F.col("u_id") == F.lit(user_id)))
     o = t.w_outfit.select("outfit_id", "u_id", "outfit_name", "created_date")
-    base = o.join(outfit_wears(t), "outfit_id", "left").select(
+    base = o.join(outfit_wears(t) if wears is None else wears, "outfit_id", "left").select(
         "u_id", "outfit_id", "outfit_name", "created_date",
         F.coalesce(F.col("worn_count"), F.lit(0)).cast("bigint").alias("worn_times"),
         F.col("last_worn").alias("last_recorded"),
@@ -128,11 +133,12 @@ def outfit_reuse(t: Tables, user_id: int | None = None, k: int = TOP_K, keep_cre
 
 
 # ------------------------------------------------------------ R7 bundle
-def overview(t: Tables, user_id: int | None = None) -> DataFrame:
+def overview(t: Tables, user_id: int | None = None, rank: Callable = ranked) -> DataFrame:
     """The dashboard as one long table (report, u_id, position, label, value):
     the totals, the category counts, the most and least worn items, the most
     worn outfits and the most recent records (value: the rating, label: date
-    text and outfit name).  Most and least worn items share one wear aggregate."""
+    text and outfit name).  Most and least worn items share one wear aggregate.
+    ``rank`` places the categories (see ``report_rows``)."""
     from wearhouse.operators.history import recent_records
 
     base = item_usage_base(t, user_id)
@@ -142,11 +148,11 @@ def overview(t: Tables, user_id: int | None = None) -> DataFrame:
         ])).alias("at", "label", "value")).select(F.lit("totals").alias("report"), "u_id", (F.col("at") + 1).alias("position"), "label", "value"),
     ]
 
-    def add(report: str, rows: DataFrame, order: list[Column], label: Column, value: str) -> None:
-        placed = ranked(rows, ["u_id"], order, "position")
+    def add(report: str, rows: DataFrame, order: list[Column], label: Column, value: str, rank: Callable = ranked) -> None:
+        placed = rank(rows, ["u_id"], order, "position")
         parts.append(placed.select(F.lit(report).alias("report"), "u_id", "position", label.alias("label"), F.col(value).cast("bigint").alias("value")))
 
-    add("categories", category_counts(t, user_id), [F.col("item_count").desc(), F.col("category").asc()], F.col("category"), "item_count")
+    add("categories", category_counts(t, user_id), [F.col("item_count").desc(), F.col("category").asc()], F.col("category"), "item_count", rank)
     for report, direction in (("most_worn", "DESC"), ("least_worn", "ASC")):
         add(report, top_k_per_group(base, ["u_id"], usage_order(direction), TOP_K), usage_order(direction), F.col("item_name"), "wear_count")
     reuse = outfit_reuse(t, user_id, keep_created=True)
@@ -205,11 +211,12 @@ REPORT_LISTS = (
 )
 
 
-def report_rows(t: Tables, user_id: int | None = None) -> DataFrame:
+def report_rows(t: Tables, user_id: int | None = None, rank: Callable = ranked) -> DataFrame:
     """Dashboard list rows per user: label ('Untitled' when blank), value
     (0 when NULL) and "N <suffix>" text; a user with an empty list gets one
-    'No data' / '-' row.  Positions follow each list's own order."""
-    cats = ranked(category_counts(t, user_id), ["u_id"], [F.col("item_count").desc(), F.col("category").asc()], "position")
+    'No data' / '-' row.  Positions follow each list's own order.  ``rank`` places
+    the categories: ``ranking.ranked_by_ranges`` for users with very many."""
+    cats = rank(category_counts(t, user_id), ["u_id"], [F.col("item_count").desc(), F.col("category").asc()], "position")
     base = item_usage_base(t, user_id)  # one wear aggregate for both lists, whose exchange is reused
     most = top_k_per_group(base, ["u_id"], usage_order("DESC"), TOP_K, "position")
     least = top_k_per_group(base, ["u_id"], usage_order("ASC"), TOP_K, "position")

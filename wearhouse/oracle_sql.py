@@ -834,3 +834,193 @@ SELECT {D_COLS}, COALESCE(array_to_string(ids, ','), '') AS item_ids, items FROM
 
 # Q20's nested item rows, flattened, equal Q18's rows.
 q("outfit_detail_nested_items", _Q["outfit_items"])
+
+
+# ------------------------------------------------------ states kept up by deltas
+# The records and links that are there after the wears (M11), the deleted records
+# (M12) and the deleted outfits (M10), and the counts over them.
+_AFTER_WEARS = _WEARS + """
+, first_item AS (SELECT outfit_id, MIN(item_id) AS item_id FROM w_inc GROUP BY outfit_id)
+, gone AS (
+    SELECT outfit_id FROM w_outfit LEFT JOIN first_item USING (outfit_id) LEFT JOIN owned ON owned.item_id = first_item.item_id
+    WHERE owned.u_id IS NULL OR owned.u_id = w_outfit.u_id
+)
+, recs AS (
+    SELECT * FROM (
+        SELECT outfit_id, datetime FROM w_rec WHERE weather = 'N' OR mood = 'F'
+        UNION ALL SELECT outfit_id, dt FROM asked SEMI JOIN (SELECT change_id FROM outc WHERE outcome = 'recorded') USING (change_id)
+        UNION ALL SELECT new_ids.outfit_id, created_date || ' 12:00:00'
+        FROM new_ids JOIN w_outfit ON new_ids.change_id = w_outfit.outfit_id * 400000 + 2
+    ) ANTI JOIN gone USING (outfit_id)
+)
+, inc AS (
+    SELECT * FROM (SELECT outfit_id, item_id FROM w_inc UNION ALL SELECT outfit_id, unnest(ids) FROM new_ids JOIN new_outc USING (change_id))
+    ANTI JOIN gone USING (outfit_id)
+)
+, by_item AS (SELECT item_id, count(*) AS worn, max(datetime) AS latest FROM inc JOIN recs USING (outfit_id) GROUP BY item_id)
+"""
+q("wear_counts_by_deltas", _AFTER_WEARS + """
+SELECT 'item' AS kind, item_id AS id, worn, latest FROM by_item
+UNION ALL SELECT 'outfit', outfit_id, count(*), max(datetime) FROM recs GROUP BY outfit_id
+""")
+q("most_worn_by_deltas", _AFTER_WEARS + f"""
+, days AS (
+    SELECT item_id, max(left(dt, 10)) AS day FROM (
+        SELECT item_id, dt FROM asked SEMI JOIN (SELECT change_id FROM outc WHERE outcome = 'recorded') USING (change_id) JOIN w_inc USING (outfit_id)
+        UNION ALL SELECT unnest(ids), created_date || ' 12:00:00' FROM new_ids JOIN new_outc USING (change_id) JOIN w_outfit ON change_id = w_outfit.outfit_id * 400000 + 2
+    ) GROUP BY item_id
+)
+, usage AS (
+    SELECT owner.u_id, item.item_id, item.item_name, COALESCE(worn, 0) AS wear_count,
+           CASE WHEN day IS NOT NULL AND (last_worn IS NULL OR last_worn < day) THEN day ELSE last_worn END AS last_worn,
+           {_text('w_cat', 'category', 'item_id', 'item')},
+           {_text('w_color', 'color', 'item_id', 'item')}
+    FROM w_item AS item JOIN w_closet AS owner USING (c_id) LEFT JOIN by_item USING (item_id) LEFT JOIN days USING (item_id)
+)
+SELECT u_id, item_id, item_name, category, color, last_worn, wear_count FROM usage QUALIFY {_ranked('-')} <= 5
+""")
+_FACETED = """
+SELECT u_id, facet, value, count(*) AS n FROM valued GROUP BY ALL
+"""
+q("facet_counts", f"""
+, valued AS (
+    SELECT u_id, 'tags' AS facet, tag AS value FROM w_tag JOIN w_item USING (item_id) JOIN w_closet USING (c_id)
+    UNION ALL SELECT u_id, 'colors', color FROM w_color JOIN w_item USING (item_id) JOIN w_closet USING (c_id)
+    UNION ALL SELECT u_id, 'categories', category FROM w_cat JOIN w_item USING (item_id) JOIN w_closet USING (c_id)
+    UNION ALL SELECT u_id, 'primary', min(category) FROM w_cat JOIN w_item USING (item_id) JOIN w_closet USING (c_id) GROUP BY item_id, u_id
+    UNION ALL SELECT u_id, 'seasons', season FROM w_season JOIN w_outfit USING (outfit_id)
+    UNION ALL SELECT u_id, 'occasions', occasion FROM w_occ JOIN w_outfit USING (outfit_id)
+)
+""" + _FACETED)
+q("facet_counts_by_deltas", _BY_ITEM + f"""
+, stay AS (
+    SELECT item_id, u_id, odd FROM possessed
+    SEMI JOIN (SELECT item_id, u_id FROM w_inc JOIN w_outfit USING (outfit_id)) AS used USING (item_id, u_id)
+)
+, copies AS (SELECT item_id, u_id FROM possessed WHERE NOT never AND NOT odd)
+, valued AS (
+    SELECT u_id, 'tags' AS facet, tag AS value FROM w_tag JOIN copies USING (item_id)
+    UNION ALL SELECT u_id, 'colors', color FROM w_color JOIN copies USING (item_id)
+    UNION ALL SELECT u_id, 'categories', category FROM w_cat JOIN copies USING (item_id)
+    UNION ALL SELECT u_id, 'primary', min(category) FROM w_cat JOIN copies USING (item_id) GROUP BY item_id, u_id
+    UNION ALL SELECT u_id, 'tags', unnest(['new', 'hot']) FROM stay WHERE NOT odd
+    UNION ALL SELECT u_id, 'colors', 'Black' FROM stay WHERE odd
+)
+""" + _FACETED)
+q("report_rows_ranges", _Q["report_rows"])
+q("season_facet_ranges", _Q["season_facet"])
+q("item_places", """
+SELECT u_id, item_id, item_name, row_number() OVER (PARTITION BY u_id ORDER BY item_name, item_id) AS place FROM w_item JOIN w_closet USING (c_id)
+""")
+
+
+# ------------------------------------------------------ alternate names, files
+q("add_users_alternate", _Q["add_users"])
+q("rename_closets_alternate", _Q["rename_closets"])
+q("item_catalog_json", _Q["item_catalog"])
+q("change_quarantine", _LISTS + """
+, asked AS (
+    SELECT (outfit_id * 100000 + datediff('day', DATE '1970-01-01', CAST(left(datetime, 10) AS DATE))) * 4 AS id FROM w_rec JOIN w_outfit USING (outfit_id)
+    UNION ALL SELECT outfit_id * 400000 + 2 FROM w_outfit
+)
+SELECT id AS change_id, CASE WHEN id % 40 = 4 THEN 'The line could not be parsed.' WHEN id % 40 = 8 THEN 'Unknown field: colour'
+                             WHEN id % 40 = 12 THEN 'A field has the wrong type.' ELSE 'good' END AS state
+FROM asked
+""")
+
+
+# ------------------------------------------------------ faults
+_FAULTS = """
+, x_tag AS (
+    SELECT item_id, CASE WHEN item_id % 13 <> 5 THEN tag END AS tag FROM (SELECT * FROM w_tag UNION ALL SELECT * FROM w_tag WHERE item_id % 11 = 4)
+)
+, x_item AS (SELECT * REPLACE (CASE WHEN item_id % 17 = 6 THEN -5 ELSE c_id END AS c_id) FROM w_item)
+, x_user AS (SELECT * REPLACE (CASE WHEN u_id = 2 THEN 'guest' ELSE role END AS role) FROM w_user)
+, x_outfit AS (SELECT * FROM w_outfit UNION ALL SELECT * REPLACE ('other' AS note) FROM w_outfit WHERE outfit_id % 23 = 7)
+, x_inc AS (SELECT outfit_id, CASE WHEN outfit_id % 29 = 8 THEN -item_id ELSE item_id END AS item_id FROM w_inc)
+, x_rec AS (SELECT * REPLACE (CASE WHEN outfit_id % 19 = 3 THEN 6 ELSE rating END AS rating) FROM w_rec)
+, x_img AS (
+    SELECT item_id, CASE item_id % 7 WHEN 2 THEN image_url || '.svg' WHEN 3 THEN 'noname' ELSE image_url END AS image_url FROM w_img
+)
+"""
+
+
+def _faulty(sql: str) -> str:
+    """``sql`` over the tables with faults, its results still naming the tables."""
+    import re
+
+    for name in ("tag", "item", "user", "outfit", "inc", "rec", "img"):
+        sql = re.sub(rf"(FROM|JOIN) w_{name}\b", rf"\1 x_{name}", sql)
+    return _FAULTS + sql
+
+
+for _name in ("audit_pk", "audit_not_null", "audit_check", "audit_fk", "audit_fd"):
+    q(f"{_name}_faults", _faulty(_Q[_name]))
+_IMAGES = _all_of(
+    f"SELECT '{t}' AS table_name, {k} AS id, image_url FROM {t} WHERE image_url <> '' AND NOT regexp_matches(lower(image_url), '\\.(png|jpg|jpeg|gif|webp)$')"
+    for t, k in (("w_img", "item_id"), ("w_oimg", "outfit_id")))
+q("audit_images", _IMAGES)
+q("audit_images_faults", _faulty(_IMAGES))
+
+
+# ------------------------------------------------------ whole tables by digest
+_COLUMNS = {
+    "w_user": "u_id username gender role", "w_closet": "c_id c_name u_id", "w_item": "item_id c_id item_name size last_worn",
+    "w_tag": "item_id tag", "w_cat": "item_id category", "w_color": "item_id color", "w_img": "item_id image_url",
+    "w_outfit": "outfit_id u_id outfit_name note created_date", "w_oimg": "outfit_id image_url", "w_season": "outfit_id season",
+    "w_occ": "outfit_id occasion", "w_inc": "outfit_id item_id", "w_rec": "outfit_id datetime rating weather note mood",
+}
+
+
+def _all_digests(now: dict[str, str]) -> str:
+    """Row count and digest of every table; ``now`` gives a table's rows where they
+    are not the stored ones."""
+    parts = []
+    for name, columns in _COLUMNS.items():
+        rows = now.get(name, f"SELECT * FROM {name}")
+        half = "CAST(COALESCE(sum(CAST('0x' || h[{0}:{1}] AS BIGINT)), 0) AS VARCHAR)"
+        parts.append(
+            f"SELECT '{name}' AS table_name, count(*) AS n_rows, {half.format(1, 15)} || '-' || {half.format(16, 30)} AS digest "
+            f"FROM (SELECT md5({_row(*columns.split())}) AS h FROM ({rows}) AS rows_now({', '.join(columns.split())}))"
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+def _where(filters: dict[str, str]) -> dict[str, str]:
+    return {n: f"SELECT * FROM {n} WHERE {f}" for n, f in filters.items()}
+
+
+q("cascade_delete_digests", _OREQ + _all_digests(_where({n: _ODEL for n in ("w_outfit", "w_oimg", "w_season", "w_occ", "w_inc", "w_rec")})))
+q("delete_items_digests", _IREQ + _all_digests(_where({n: _IDEL for n in ("w_item", "w_tag", "w_cat", "w_color", "w_img", "w_inc")})))
+q("delete_users_digests", _GONE + _all_digests(_where(_STILL)))
+q("outfit_update_digests", _OUPD + """
+, upd AS (SELECT * FROM outc WHERE outcome = 'updated')
+""" + _all_digests({
+    "w_outfit": "SELECT * REPLACE (CASE WHEN outfit_id IN (SELECT outfit_id FROM upd) THEN COALESCE(note, '') ELSE note END AS note) FROM w_outfit",
+    "w_oimg": "SELECT * FROM w_oimg WHERE NOT (image_url = '' AND outfit_id IN (SELECT outfit_id FROM upd))",
+    "w_inc": "SELECT outfit_id, item_id FROM w_inc WHERE outfit_id NOT IN (SELECT outfit_id FROM upd) UNION ALL SELECT outfit_id, unnest(new_ids) FROM upd",
+}))
+q("record_wears_digests", _AFTER_WEARS + f"""
+, made AS (SELECT new_outc.*, new_ids.outfit_id AS id, o.outfit_name, o.created_date FROM new_outc JOIN new_ids USING (change_id) JOIN w_outfit AS o ON change_id = o.outfit_id * 400000 + 2)
+, again AS (
+    SELECT asked.outfit_id, dt, w_rec.rating, w_rec.weather, w_rec.mood
+    FROM (SELECT *, change_id // 4 % 100000 AS day FROM asked) AS asked
+    JOIN w_rec ON w_rec.outfit_id = asked.outfit_id AND datediff('day', DATE '1970-01-01', CAST(left(w_rec.datetime, 10) AS DATE)) = day
+    SEMI JOIN (SELECT change_id FROM outc WHERE outcome = 'recorded') AS kept USING (change_id)
+)
+, days AS (
+    SELECT item_id, max(left(dt, 10)) AS day FROM (
+        SELECT item_id, dt FROM again JOIN w_inc USING (outfit_id) UNION ALL SELECT unnest(ids), created_date FROM made
+    ) GROUP BY item_id
+)
+""" + _all_digests({
+    "w_item": "SELECT item_id, c_id, item_name, size, CASE WHEN day IS NOT NULL AND (last_worn IS NULL OR last_worn < day) THEN day ELSE last_worn END "
+              "FROM w_item LEFT JOIN days USING (item_id)",
+    "w_outfit": "SELECT * FROM w_outfit UNION ALL SELECT id, u_id, 'Worn ' || outfit_name, '', created_date FROM made",
+    "w_season": "SELECT * FROM w_season UNION ALL SELECT id, 'Summer' FROM made",
+    "w_occ": f"SELECT * FROM w_occ UNION ALL SELECT id, unnest(list_distinct({_VALUES.format(c='occasion')})) FROM made",
+    "w_oimg": f"SELECT * FROM w_oimg UNION ALL SELECT id, unnest(list_distinct({_VALUES.format(c='image_url')})) FROM made",
+    "w_inc": "SELECT * FROM w_inc UNION ALL SELECT id, unnest(ids) FROM made",
+    "w_rec": "SELECT * FROM w_rec UNION ALL SELECT outfit_id, dt, rating, weather, '', mood FROM again "
+             "UNION ALL SELECT id, created_date || ' 12:00:00', 3, 'Sunny', '', 'Happy' FROM made",
+}))

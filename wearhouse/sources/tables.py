@@ -397,6 +397,54 @@ def read_beside(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(*[f"{root}/{r['part']}" for r in rows])
 
 
+# Why a change line is set aside.
+NOT_PARSED = "The line could not be parsed."
+SURPLUS = "Unknown field: "
+WRONG_TYPE = "A field has the wrong type."
+
+
+def parsed_changes(lines: DataFrame, schema: StructType, fmt: str = "json") -> DataFrame:
+    """Text lines (``value``) as changes: the columns of ``schema``, the line as
+    ``_raw`` and, for lines to set aside, ``_reason``.
+
+    Set aside are lines that are no JSON object (or CSV record), objects with a
+    field that the schema does not have (the first of them is named; CSV records
+    with too many fields), and values that do not fit their column's type.
+    Blank lines are no changes.  Column functions only, so a stream can use it.
+    """
+    marked = StructType(schema.fields + [StructField("_bad", StringType(), True)])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    lines = lines.where(F.trim("value") != "")
+    if fmt == "csv":
+        got = F.from_csv("value", marked.simpleString()[7:-1].replace(":", " "), options)
+        fields = F.size(F.split("value", ','))
+        surplus, whole = F.lit(None).cast("string"), F.lit(True)
+        reason = F.when(F.col("_got._bad").isNotNull(), F.when(fields > len(schema.fields), F.lit(SURPLUS + "more than the header")).otherwise(F.lit(WRONG_TYPE)))
+    else:
+        got = F.from_json("value", marked, options)
+        keys = F.expr("json_object_keys(value)")
+        whole = F.expr("try_parse_json(value)").isNotNull() & keys.isNotNull()
+        surplus = F.get(F.array_except(keys, F.array(*[F.lit(f.name) for f in schema.fields])), 0)
+        reason = (
+            F.when(~F.col("_whole"), F.lit(NOT_PARSED)).when(F.col("_surplus").isNotNull(), F.concat(F.lit(SURPLUS), F.col("_surplus")))
+            .when(F.col("_got._bad").isNotNull(), F.lit(WRONG_TYPE))
+        )
+    rows = lines.select(F.col("value").alias("_raw"), got.alias("_got"), whole.alias("_whole"), surplus.alias("_surplus"))
+    return rows.select(*[F.col(f"_got.{f.name}").alias(f.name) for f in schema.fields], "_raw", reason.alias("_reason"))
+
+
+def quarantined(spark: SparkSession, path: str, schema: StructType, fmt: str = "json") -> tuple[DataFrame, DataFrame]:
+    """The good changes of the files at ``path`` (columns of ``schema``) and the
+    lines set aside (raw, reason).  A CSV file starts with a header line of the
+    schema's columns, in its order."""
+    lines = spark.read.text(path)
+    if fmt == "csv":
+        lines = lines.where(F.col("value") != ",".join(f.name for f in schema.fields))
+    rows = parsed_changes(lines, schema, fmt)
+    good = rows.where("_reason IS NULL").select(*[f.name for f in schema.fields])
+    return good, rows.where("_reason IS NOT NULL").select(F.col("_raw").alias("raw"), F.col("_reason").alias("reason"))
+
+
 def read_changes(spark: SparkSession, path: str, schema: StructType, fmt: str = "json") -> DataFrame:
     """S5 (re-aimed): a change set is JSON lines (or CSV with a header) with a typed schema.
 

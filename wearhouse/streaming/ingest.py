@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from wearhouse.operators.changes import MSG_MALFORMED, publish, record_wears
 from wearhouse.plans.session import materialize
-from wearhouse.sources.tables import compact_tables, last_batch_id, latest_version, load_tables, manifest
+from wearhouse.sources.tables import compact_tables, last_batch_id, latest_version, load_tables, manifest, parsed_changes
 
 #: Parts a table may have before the ingest merges them.
 MAX_PARTS = 32
@@ -34,8 +34,6 @@ WEAR_CHANGE_SCHEMA = StructType(
                   "outfit_note", "season", "occasion", "image_url", "item_ids")
     ]
 )
-# The stream keeps lines that are not valid JSON (or lack a change id) as rejects.
-STREAM_SCHEMA = StructType(WEAR_CHANGE_SCHEMA.fields + [StructField("_corrupt_record", StringType())])
 
 
 def apply_wear_batch(spark: SparkSession, batch: DataFrame, batch_id: int, snapshot_root: str, as_of: str | None = None) -> bool:
@@ -46,15 +44,16 @@ def apply_wear_batch(spark: SparkSession, batch: DataFrame, batch_id: int, snaps
     base_version = latest_version(spark, snapshot_root)
     tables = load_tables(spark, snapshot_root, base_version)
     malformed = None
-    if "_corrupt_record" in batch.columns:
+    if "_reason" in batch.columns:  # lines set aside, and changes without an id
         batch = materialize(batch)
-        bad = F.col("_corrupt_record").isNotNull() | F.col("change_id").isNull()
+        bad = F.col("_reason").isNotNull() | F.col("change_id").isNull()
         malformed = batch.where(bad).select(
-            "change_id", F.lit(MSG_MALFORMED).alias("reason"), F.col("_corrupt_record").alias("raw"), F.lit(batch_id).alias("batch_id")
+            "change_id", F.lit(MSG_MALFORMED).alias("reason"), F.col("_raw").alias("raw"), F.col("_reason").alias("detail"), F.lit(batch_id).alias("batch_id")
         )
-        batch = batch.where(~bad).drop("_corrupt_record")
+        batch = batch.where(~bad).drop("_reason", "_raw")
     result = record_wears(tables, batch, as_of=as_of)
-    rejects = result.rejects.select("change_id", "reason", F.lit(None).cast("string").alias("raw"), F.lit(batch_id).alias("batch_id"))
+    none = F.lit(None).cast("string")
+    rejects = result.rejects.select("change_id", "reason", none.alias("raw"), none.alias("detail"), F.lit(batch_id).alias("batch_id"))
     if malformed is not None:
         rejects = rejects.unionByName(malformed)
     # New records and outfits are appended as one part each, last_worn as a part
@@ -77,10 +76,10 @@ def start_wear_ingest(
     """Start the ingest.  ``available_now`` processes what is there and stops
     (each micro-batch writes a full snapshot, so a continuous trigger would
     only add versions); ``checkpoint_location`` must be a shared folder."""
-    reader = spark.readStream.schema(STREAM_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt_record")
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.json(source_dir)
+    stream = parsed_changes(reader.text(source_dir), WEAR_CHANGE_SCHEMA)  # lines that are no change become rejects
 
     def each(batch: DataFrame, batch_id: int) -> None:
         apply_wear_batch(spark, batch, batch_id, snapshot_root, as_of)
