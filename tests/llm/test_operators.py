@@ -29,7 +29,7 @@ BENCH = [
     (3, "The quick brown fox jumps over the lazy dog while nobody else is looking at it"),
     (4, ""),
     (5, None),
-    (None, "an item without an id is left out of everything we count here today"),
+    (None, "an item without an id is hit like any other but never counted here today"),
     (2, "Short item here"),
 ]
 
@@ -48,6 +48,7 @@ def rows():
     texts += [(100, f"{line}\n{line}\n{prose(rng, 30)}"), (101, f"{prose(rng, 20)}\n{line[:-1]}"), (102, line + "x"), (103, line[1:5] + "Z" + line[6:])]
     quick = "the QUICK brown fox, jumps over the lazy dog while seven wizards watch!"
     texts += [(110, prose(rng, 40) + " " + quick + " " + prose(rng, 5)), (111, "xx short item HERE yy"), (112, "the quick brown fox jumps over")]
+    texts += [(113, prose(rng, 20) + "\nso AN ITEM without an id is hit like any other, then")]
     texts += [(120, None), (121, ""), (122, " \n\t "), (123, "é"), (124, "日本語 テキスト\n\n"), (125, "w " * 30_000), (None, prose(rng, 30)), (126, "3 # !!")]
     texts += [texts[3], texts[3], (5, "another text with the id of five and some words of its own " * 3)]
     return texts
@@ -147,7 +148,7 @@ def test_drop_near_duplicates(docs):
     assert not set(ids) & set(range(60, 72)) and {7, 120, 121, 122, 123} <= set(ids) and None in ids
 
 
-def brute_lines(rows, tau, least, hashes):
+def brute_lines(rows, tau, least, hashes, copied=None):
     unique = {(i, hashes[i, t], t) for i, t in rows}
     places = [(i, h, k, x) for i, h, t in unique for k, x in enumerate((t or "").split("\n")) if len(x) >= least]
     order = lambda p: (p[0] is not None, p[0] or 0, *p[1:3])
@@ -173,6 +174,9 @@ def brute_lines(rows, tau, least, hashes):
         r[4] = min([y for y in [r[4], *ids] if y is not None], default=None)
         if again or near:
             r[5].append(p[2])
+            source = min([first[x], *(first[o] for o in links[x])], key=order)[:2]
+            if copied is not None and source != p[:2]:
+                copied.setdefault(p[:2], Counter())[source] += len(x)
     return {k: (*v[:5], sorted(v[5])) for k, v in out.items()}
 
 
@@ -214,13 +218,18 @@ def test_line_threshold_grows_with_the_line(spark, monkeypatch, block):
 
 def test_drop_lines(docs, rows):
     hashes = {(r[0], r[1]): r[2] for r in docs.selectExpr("doc_id", "text", "xxhash64(text)").collect()}
-    gone = {k: set(v[5]) for k, v in brute_lines(rows, 2, 24, hashes).items()}
+    copied = {}
+    gone = {k: set(v[5]) for k, v in brute_lines(rows, 2, 24, hashes, copied).items()}
+    wholes = 0
     want = Counter()
     for i, t in rows:
         g = gone[i, hashes[i, t]]
         new = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g) if g else t
         if not g or new.strip():
-            want[i, new, len(new) if g else 1] += 1
+            whole = g and max(copied.get((i, hashes[i, t]), Counter([0])).values()) >= 0.5 * len(t)
+            wholes += bool(whole)
+            want[(i, t, 1) if whole else (i, new, len(new) if g else 1)] += 1
+    assert wholes >= 3
     left = linededup.drop_lines(docs)
     assert left.columns == docs.columns
     assert Counter((r.doc_id, r.text, r.n_chars) for r in left.collect()) == want
@@ -243,27 +252,27 @@ def test_decontamination(docs, none, bench, rows):
     windows = defaultdict(set)
     for item, t in BENCH:
         w = bench_words(t)
-        if item is not None and w:
+        if w:
             n = min(10, len(w))
             for k in range(len(w) - n + 1):
-                windows[tuple(w[k : k + n])].add(str(item))
+                windows[tuple(w[k : k + n])] |= set() if item is None else {str(item)}
     want = set()
     for i, t in rows:
         w, hit, items = bench_words(t), set(), set()
         for k in range(len(w)):
             for n in {len(x) for x in windows}:
-                if found := windows.get(tuple(w[k : k + n])):
+                if (found := windows.get(tuple(w[k : k + n]))) is not None:
                     hit |= set(range(k, k + n))
                     items |= found
         digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
         want.add((i, len(w), len(hit), len(items), digest, bool(hit)))
     got = decontam.decontaminate(docs, bench).drop("text_hash").collect()
     assert set(map(tuple, got)) == want and len(got) == len({(i, t) for i, t in rows})
-    assert {r.doc_id for r in got if r.contaminated} == {110, 111}
+    assert {r.doc_id for r in got if r.contaminated} == {110, 111, 113}
     assert decontam.decontaminate(none, bench).count() == 0
     assert not decontam.decontaminate(docs, bench.limit(0)).where("contaminated").count()
     left = decontam.drop_contaminated(docs, bench)
-    assert left.columns == docs.columns and left.count() == len(rows) - 2
+    assert left.columns == docs.columns and left.count() == len(rows) - 3
 
 
 def test_every_shared_span_is_found(spark):
@@ -353,8 +362,13 @@ def test_toxicity(labelled, none):
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     held = [i for i in range(500) if held_out(i)]
     assert sum((got[i].score >= 0.5) != (i % 5 == 0) for i in held) <= 1
-    assert all(got[i].score < 0.5 and got[i].n_passages == 0 for i in (900, 901, 902, 903, None))
-    assert any("vile" in (got[i].top_passage or "") for i in held)
+    assert all(got[i].score < 0.5 and got[i].passages == [] for i in (900, 901, 902, 903, None))
+    assert any("vile" in p.text for i in held for p in got[i].passages)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in got.values():  # whole, in order, disjoint
+        ws = toxicity.words(texts[r.doc_id])
+        assert all(p.text == " ".join(ws[p.first : p.last + 1]) for p in r.passages)
+        assert all(p.last < q.first for p, q in zip(r.passages, r.passages[1:]))
     left = toxicity.drop_toxic(docs, model)
     assert left.columns == docs.columns and left.count() == docs.count() - sum(r.score >= 0.5 for r in got.values())
     assert toxicity.score(none, model).count() == 0

@@ -63,3 +63,31 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in neardup.drop_near_duplicates(docs).collect()}
     assert kept == {10 * k for k in range(10)}
+
+
+def test_near_copies_do_not_outlive_the_dedups(spark):
+    """Near copies lose most lines to line dedup; what would be left of them is
+    like nothing any more, so they go on whole and near dedup takes them."""
+    rng = random.Random(23)
+    rows, copies = [], set()
+    for k in range(20):
+        base = prose(rng, 240).split("\n")
+        rows.append((100 * k, "\n".join(base)))
+        for j in range(1, 4):
+            lines = list(base)
+            for _ in range(j):  # one word of one line in twenty is another one
+                i = rng.randrange(len(lines))
+                words = lines[i].split(" ")
+                words[rng.randrange(len(words))] = "anotherword"
+                lines[i] = " ".join(words)
+            rows.append((100 * k + j, "\n".join(lines)))
+            copies.add(100 * k + j)
+    shared = prose(rng, 24)
+    rows += [(5000 + k, prose(rng, 120) + "\n" + shared) for k in range(10)]  # boilerplate makes no copy
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = corpus_pipeline.dedup_lines(spark, docs, "")
+    texts = {r.doc_id: r.text for r in cut.collect()}
+    assert all(texts[i] == t for i, t in rows if i in copies and i in texts)  # whole, or gone
+    assert sum(shared in texts[5000 + k] for k in range(10)) == 1
+    kept = {r.doc_id for r in corpus_pipeline.dedup_documents(spark, cut, "").collect()}
+    assert kept == {100 * k for k in range(20)} | {5000 + k for k in range(10)}

@@ -57,7 +57,7 @@ def _fingerprints(rows: DataFrame, short: list[int], span: int, gram: int) -> Da
 
 
 def _item_words(benchmark: DataFrame) -> DataFrame:
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w"))
+    items = benchmark.select("item_id", words(F.col("text")).alias("w"))
     return materialize(items.where(F.size("w") > 0))
 
 
@@ -74,8 +74,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
 
     A NULL text has no words.  A document without hits has the SHA-256 of the
     empty text.  Rows equal in doc_id and text are one document; rows that
-    share only the doc_id are told apart by their text hash.  Items without an
-    id or without words are left out; repeated items count once.  An empty
+    share only the doc_id are told apart by their text hash.  Items without
+    words are left out; those without an id count for n_hit and contaminated, but
+    not for n_items and items_sha256; repeated items count once.  An empty
     benchmark finds nothing.  Other columns are not read.
     """
     items = _item_words(benchmark)
@@ -107,7 +108,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("until"))
     places = F.sort_array(F.collect_set(F.struct("at", "size")))
     n_hit = hits.groupBy("doc_id", "th").agg(F.aggregate(places, start, step)["total"].cast("long").alias("n_hit"))
-    pairs = hits.select("doc_id", "th", "window").distinct().join(windows, "window").select("doc_id", "th", F.col("item_id").cast("string").alias("item")).distinct()
+    pairs = hits.select("doc_id", "th", "window").distinct().join(windows, "window").select("doc_id", "th", F.col("item_id").cast("string").alias("item"))
+    pairs = pairs.where("item IS NOT NULL").distinct()
     by_doc = pairs.groupBy("doc_id", "th").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256).alias("items_sha256"))
 
     e, h, i = every.alias("e"), n_hit.alias("h"), by_doc.alias("i")
@@ -182,7 +184,7 @@ WITH d AS (
   FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM (SELECT DISTINCT doc_id, i, size FROM hits)) GROUP BY doc_id
 ), hit_items AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated

@@ -55,6 +55,8 @@ BLOCK = 1024
 PAIRS = 500_000
 #: Members of an anchor that a task divides by the characters beside it itself.
 CROWD = 50_000
+#: Share of a document's characters in another one that makes it a copy.
+COPY = 0.5
 #: Lines of a block whose pairs are verified together.
 TEXTS = 256
 #: Lines a task remembers to have entered.
@@ -771,6 +773,26 @@ def line_links(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, share: i
     return places, lines, materialize(_verify(pairs, materialize(_line_texts(docs, wanted)), tau, share))
 
 
+def _marks(docs: DataFrame, tau: int, least: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, marks): marks hold every occurrence that is linked or that
+    repeats an earlier one (doc_id, th, line_no, n, links, is_near, again,
+    class_id), ``source`` being the earliest document with such a line before it."""
+    places, lines, links = line_links(docs, tau, least, share)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    other = lines.select(F.col("uid").alias("b"), F.col("first").alias("before"))
+    near = both.join(other, "b").groupBy(F.col("a").alias("uid")).agg(F.count("*").alias("links"), F.min("before").alias("before"))
+    told = lines.join(near, "uid", "left").where("times > 1 OR links IS NOT NULL").select("line", "line2", "n", "first", "before", "links")
+    here = F.struct("doc_id", "th", "line_no")
+    earliest = F.least("first", "before")
+    marks = places.where("line_no >= 0").join(told, ["line", "line2", "n"]).select(
+        "doc_id", "th", "line_no", "n", F.coalesce("links", F.lit(0)).alias("links"),
+        F.coalesce(F.col("before") < F.col("first"), F.lit(False)).alias("is_near"), (here != F.col("first")).alias("again"),
+        F.least("first.doc_id", "before.doc_id").alias("class_id"),
+        F.struct(earliest["doc_id"].alias("doc_id"), earliest["th"].alias("th")).alias("source"),
+    ).distinct()
+    return places, marks
+
+
 def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, share: int = SHARE) -> DataFrame:
     """(doc_id, text_hash, n_lines, n_exact, n_near, n_links, class_id, dropped)
     for every document of ``docs``.
@@ -785,17 +807,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, share:
     doc_id are told apart by their text hash.  A NULL doc_id sorts first.
     Other columns are not read.
     """
-    places, lines, links = line_links(docs, tau, least, share)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    other = lines.select(F.col("uid").alias("b"), F.col("first").alias("before"))
-    near = both.join(other, "b").groupBy(F.col("a").alias("uid")).agg(F.count("*").alias("links"), F.min("before").alias("before"))
-    told = lines.join(near, "uid", "left").where("times > 1 OR links IS NOT NULL").select("line", "line2", "n", "first", "before", "links")
-    here = F.struct("doc_id", "th", "line_no")
-    marks = places.where("line_no >= 0").join(told, ["line", "line2", "n"]).select(
-        "doc_id", "th", "line_no", F.coalesce("links", F.lit(0)).alias("links"),
-        F.coalesce(F.col("before") < F.col("first"), F.lit(False)).alias("is_near"), (here != F.col("first")).alias("again"),
-        F.least("first.doc_id", "before.doc_id").alias("class_id"),
-    ).distinct()
+    places, marks = _marks(docs, tau, least, share)
     gone = F.col("is_near") | F.col("again")
     zero = F.lit(0).cast("long")
     told_rows = marks.select(
@@ -815,18 +827,33 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, share:
     )
 
 
-def drop_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, share: int = SHARE) -> DataFrame:
+def _gone(docs: DataFrame, tau: int, least: int, share: int) -> DataFrame:
+    """(__id, __th, __dropped, __copied): the lines to drop of every document that
+    has some, and the most characters of them that one other document has."""
+    _, marks = _marks(docs, tau, least, share)
+    by_source = marks.where("is_near OR again").groupBy("doc_id", "th", "source").agg(F.collect_set("line_no").alias("lines"), F.sum("n").alias("chars"))
+    own = F.struct("doc_id", "th").eqNullSafe(F.col("source"))
+    return by_source.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(
+        F.flatten(F.collect_list("lines")).alias("__dropped"), F.coalesce(F.max(F.when(~own, F.col("chars"))), F.lit(0)).alias("__copied")
+    )
+
+
+def drop_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, share: int = SHARE, copy: float = COPY) -> DataFrame:
     """The rows of ``docs``, all columns, without the dropped lines (``n_chars``
     follows the text where there is such a column).  Rows of which nothing but
-    white space is left, while there was more, go."""
-    gone = dedup_lines(docs, tau, least, share).where(F.size("dropped") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), "dropped")
-    gone = gone.withColumnRenamed("dropped", "__dropped")
+    white space is left, while there was more, go.  A row of which one earlier
+    document has ``copy`` or more (as a share of its characters) in equal or near
+    lines, but not all, is a copy rather than a text with repeated lines: it is
+    left whole for the dedup of documents to judge, which a remnant would escape."""
+    gone = _gone(docs, tau, least, share)
     rows = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left")
     parts = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__dropped"))
     left = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
-    rows = rows.withColumn("text", F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(left))
-    rows = rows.where(F.col("__dropped").isNull() | F.col("text").rlike(r"\S"))
+    rows = rows.withColumn("__left", left).where(F.col("__dropped").isNull() | F.col("__left").rlike(r"\S"))
+    whole = F.col("__copied") >= copy * F.length("text")
+    rows = rows.withColumn("__dropped", F.when(~whole, F.col("__dropped")))
+    rows = rows.withColumn("text", F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.col("__left")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("__dropped").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return rows.select(*docs.columns)

@@ -164,8 +164,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
         for texts, ys in rows_of(batches):
             yield emit(schema, [f.row(t).tobytes() for t in texts], [int(y > 0) for y in ys])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")  # max_rows rows
-    got = map_arrow(rows, run, "x binary, y int").limit(2 * max_rows).collect()  # a bounded sample, as documented
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # max_rows ids
+    # of several rows with one id the one with the smallest text hash
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y")).select("text", "y")
+    got = map_arrow(rows, run, "x binary, y int").collect()  # at most max_rows rows, as documented
     got.sort(key=lambda r: bytes(r["x"]))  # the same model whatever the order of the rows
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(len(got), WIDTH)
     return fit(x, np.array([r["y"] for r in got], np.float32))

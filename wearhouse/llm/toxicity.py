@@ -16,8 +16,8 @@
   to one training fold, the lexicon to the others, so that words that differ
   by chance do not look better than they are.
 
-The lexicon is bounded (``max_terms``) and so is the labelled sample
-(``max_rows``); counts cover all documents.
+The labelled sample is bounded (``max_rows``), and with it the lexicon, which
+holds words of its toxic texts only; counts cover all documents.
 """
 
 from __future__ import annotations
@@ -37,7 +37,6 @@ from wearhouse.llm.common import documents, emit, fold, label_sample, map_arrow,
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_ROWS = 20_000
-MAX_TERMS = 20_000
 #: Weight of the prior as a share of the labelled words, and the least signed
 #: root of a term's likelihood ratio.
 PRIOR = 0.1
@@ -116,8 +115,10 @@ class Model:
             return s
 
 
-def lexicon(counts: DataFrame, max_terms: int = MAX_TERMS) -> Model:
-    """Scores from the word counts; only significant words reach the driver."""
+def lexicon(counts: DataFrame) -> Model:
+    """Scores from the word counts.  All significant forms reach the driver: words
+    that occur more than once in the toxic texts of the labelled sample, which
+    is bounded, whatever the corpus."""
     total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n1", "n0"))).first()
     if not total["n1"] or not total["n0"]:
         return Model()
@@ -134,7 +135,6 @@ def lexicon(counts: DataFrame, max_terms: int = MAX_TERMS) -> Model:
         .select("word", (y1 / (total["n1"] + a0)).alias("p1"), (y0 / (total["n0"] + a0)).alias("p0"), (log_odds - sd / 2).alias("s"))
         .where("s > 0")
         .orderBy(F.desc("s"), "word")
-        .limit(max_terms)
         .collect()
     )
     terms = {r["word"]: r["s"] for r in kept}
@@ -231,12 +231,12 @@ def calibrate(docs: DataFrame, sample: DataFrame, model: Model) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Lexicon, scale and curve.  Labels of held-out documents (crc32 fold 0 of
     5) are never read.  Without both labels the model gives one low score."""
     sample = materialize(label_sample(labels, "toxic", max_rows))
     curve = fold(F.col("doc_id"), 5) == 4
-    model = lexicon(materialize(word_counts(docs, sample.where(~curve))), max_terms)
+    model = lexicon(materialize(word_counts(docs, sample.where(~curve))))
     return calibrate(docs, sample.where(curve), model) if model.terms else model
 
 
@@ -245,27 +245,29 @@ def probability(model: Model, e: float) -> float:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, n_passages, top_passage) for every row of ``docs``.
+    """(doc_id, score, passages) for every row of ``docs``; passages: an array of
+    (first, last, weight, text) with the numbers of the first and last word from 0,
+    the segment's score and its words, in order.
 
-    NULL and empty texts have no evidence and the score of a text without any
-    toxic passage.  ``top_passage`` is the words of the best segment (at most
-    its first 50), else NULL.  Repeated rows are each scored; other columns
-    are not read.
+    NULL and empty texts have no evidence, no passage and the score of a text
+    without any toxic passage.  Repeated rows are each scored; other columns are
+    not read.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_passages", pa.int32()), ("top_passage", pa.string())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_terms
+    passage = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("weight", pa.float64()), ("text", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("passages", pa.list_(passage))])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # forms of the labelled sample's words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for ids, texts in rows_of(batches):
             got = [evidence(m, t) for t in texts]
-            tops = []
+            spans = []
             for t, (_, found) in zip(texts, got):
-                best = max(found, default=None)
-                tops.append(" ".join(words(t)[best[1] : best[2] + 1][:50]) if best else None)
-            yield emit(schema, ids, [probability(m, e) for e, _ in got], [len(f) for _, f in got], tops)
+                ws = words(t) if found else []
+                spans.append([{"first": a, "last": b, "weight": s, "text": " ".join(ws[a : b + 1])} for s, a, b in found])
+            yield emit(schema, ids, [probability(m, e) for e, _ in got], spans)
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double, n_passages int, top_passage string")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double, passages array<struct<first:int,last:int,weight:double,text:string>>")
 
 
 def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -289,6 +291,6 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
-        "n_passages",
-        "top_passage",
+        F.size("passages").alias("n_passages"),
+        F.expr("array_max(transform(passages, p -> struct(p.weight, p.first, p.text))).text").alias("top_passage"),
     )
