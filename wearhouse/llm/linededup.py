@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wearhouse.llm.common import documents, emit, map_arrow, materialize, rows_of
@@ -57,8 +57,10 @@ PAIRS = 500_000
 CROWD = 50_000
 #: Share of a document's characters in another one that makes it a copy.
 COPY = 0.5
-#: Lines of a block whose pairs are verified together.
-TEXTS = 256
+#: Pairs whose distances are computed side by side.
+ROWS = 1024
+#: Smaller neighbours of a line that are compared with it in one unit.
+TEXTS = 2048
 #: Lines a task remembers to have entered.
 REMEMBER = 300_000
 
@@ -364,8 +366,8 @@ def close(pairs: list[tuple[str, str]], limits: np.ndarray) -> np.ndarray:
     fits = sizes[:, 0] - sizes[:, 1] <= limits
     order = np.argsort(sizes[:, 1], kind="stable")
     narrow = order[(fits & (limits < 32))[order]]
-    for at in range(0, len(narrow), 512):
-        some = narrow[at : at + 512]
+    for at in range(0, len(narrow), ROWS):
+        some = narrow[at : at + ROWS]
         out[some] = _narrow([pairs[i] for i in some], sizes[some], limits[some])
     for i in np.flatnonzero(fits & (limits >= 32)):
         out[i] = _wide(*pairs[i], int(limits[i]))
@@ -374,6 +376,7 @@ def close(pairs: list[tuple[str, str]], limits: np.ndarray) -> np.ndarray:
 
 def _narrow(pairs: list[tuple[str, str]], sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     k, count = int(limits.max()), len(pairs)
+    wide = 32 if k < 16 else 64  # places that are looked at in a column
     width = int(sizes[:, 0].max())
     # the longer lines as columns of characters, with k places in front of them
     a = np.full((count, width + k + 65), 0xFFFFFFFF, np.uint32)
@@ -407,7 +410,7 @@ def _narrow(pairs: list[tuple[str, str]], sizes: np.ndarray, limits: np.ndarray)
             alive, score, vp, vn, a, b = (x[going] for x in (alive, score, vp, vn, a, b))
             if not len(alive):
                 break
-        equal = np.packbits(a[:, column : column + 64] == b[:, column, None], axis=1, bitorder="little").view("<u8").ravel() & band
+        equal = np.packbits(a[:, column : column + wide] == b[:, column, None], axis=1, bitorder="little").view(f"<u{wide // 8}").ravel() & band
         vp, vn = vp >> one | top, vn >> one
         zero = (((equal & vp) + vp) ^ vp) | equal | vn  # diagonal steps that cost nothing
         score += (zero >> np.uint64(k) & one ^ one).astype(np.int64)
@@ -683,63 +686,68 @@ def _blocks(members: DataFrame, tau: int, share: int, long: bool) -> DataFrame:
 
 
 def _units(pairs: DataFrame) -> DataFrame:
-    """(unit, a, b): the pairs dealt into units that share lines, so that a line's
-    text is sent to few places.  Lines that many pairs connect have one smallest
-    neighbour; its lines are cut into blocks, and two blocks make a unit."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hub = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("hub"))
-    first, second = hub.select("a", F.col("hub").alias("ha")), hub.select(F.col("a").alias("b"), F.col("hub").alias("hb"))
-    dealt = pairs.join(first, "a").join(second, "b").select("a", "b", F.least("ha", "hb").alias("hub"))
-    size = dealt.groupBy("hub").agg(F.ceil(F.sqrt(2 * F.count("*")) / TEXTS).alias("blocks"))
+    """(unit, a, b): the pairs (a < b) dealt into units that share lines, so that a
+    line's text is sent to few places.  Of lines that many pairs connect, most have
+    the same smallest neighbour; a line with many smaller neighbours has them
+    cut into blocks, and so are the lines on the other side."""
+    smaller = Window.partitionBy("b")
+    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.count("*").over(smaller) / TEXTS)))).cast("long")
+    dealt = pairs.select("a", "b", F.min("a").over(smaller).alias("hub"), blocks.alias("blocks"))
     i, j = (F.pmod(F.xxhash64(c), F.col("blocks")) for c in ("a", "b"))
-    return dealt.join(size, "hub").select(F.xxhash64("hub", F.least(i, j), F.greatest(i, j)).alias("unit"), "a", "b")
+    return dealt.select(F.xxhash64("hub", "blocks", i, j).alias("unit"), "a", "b")
+
+
+_PLACE = [("doc_id", pa.int64()), ("th", pa.int64()), ("line_no", pa.int32())]
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())] + [(f"{side}_{n}", t) for side in "ab" for n, t in _PLACE])
+_LINK_SQL = ", ".join(["a long, b long"] + [f"{side}_doc_id long, {side}_th long, {side}_line_no int" for side in "ab"])
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, tau: int, share: int) -> DataFrame:
-    """(a, b) line ids of the candidate pairs within the allowed edits."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """The candidate pairs within the allowed edits, each once: the uids a < b of
+    two lines and the first occurrence of each."""
 
-    def judged(left: list, right: list) -> pa.RecordBatch:
-        lines = [(s, t) for s, t in zip(left, right) if s[0] != t[0]]
-        limits = allowed(np.array([min(len(s[1]), len(t[1])) for s, t in lines], np.int64), tau, share)
-        good = np.flatnonzero(close([(s[1], t[1]) for s, t in lines], limits))
-        ids = [sorted((lines[k][0][0], lines[k][1][0])) for k in good]
-        return emit(schema, [a for a, _ in ids], [b for _, b in ids])
+    def judged(pairs: list[tuple[tuple, tuple]]) -> pa.RecordBatch:
+        limits = allowed(np.array([min(len(s[4]), len(t[4])) for s, t in pairs], np.int64), tau, share)
+        good = np.flatnonzero(close([(s[4], t[4]) for s, t in pairs], limits))
+        rows = [sorted((pairs[k][0][:4], pairs[k][1][:4]), key=lambda r: r[0]) for k in good]
+        return emit(_LINK, *(list(c) for c in zip(*((a[0], b[0], *a[1:], *b[1:]) for a, b in rows)))) if rows else emit(_LINK, *[[]] * len(_LINK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}  # a unit's texts come first: name -> (uid, text) of its lines
-        for unit, a, b, uid, text in rows_of(batches, 8192):
-            left, right = [], []
-            for u, x, y, i, t in zip(unit, a, b, uid, text):
+        now, held = None, {}  # a unit's texts come first: name -> its lines (uid, place, text)
+        todo, size = [], 0
+        for unit, a, b, *line in rows_of(batches, 4096):
+            for u, x, y, *own in zip(unit, a, b, *line):
                 if u != now:
-                    if left:
-                        yield judged(left, right)
-                        left, right = [], []
                     now, held = u, {}
                 if y is None:
-                    held.setdefault(x, []).append((i, t))
-                else:
-                    for s in held[x]:
-                        for o in held[y]:
-                            left.append(s)
-                            right.append(o)
-            if left:
-                yield judged(left, right)
+                    held.setdefault(x, []).append(tuple(own))
+                    continue
+                for s in held[x]:
+                    for t in held[y]:
+                        if s[0] != t[0]:
+                            todo.append((s, t))
+                            size += len(s[4]) + len(t[4])
+                if size > 8 * CHARS:
+                    yield judged(todo)
+                    todo, size = [], 0
+        if todo:
+            yield judged(todo)
 
     units = materialize(_units(pairs))
     wanted = units.select("unit", F.col("a").alias("name")).unionByName(units.select("unit", F.col("b").alias("name"))).distinct()
-    none = F.lit(None).cast("long")
-    rows = wanted.join(texts, "name").select("unit", F.col("name").alias("a"), none.alias("b"), "uid", "text")
-    rows = rows.unionByName(units.select("unit", "a", "b", none.alias("uid"), F.lit(None).cast("string").alias("text")))
-    dealt = rows.repartition("unit").sortWithinPartitions(F.col("unit"), F.col("b").asc_nulls_first())
-    return map_arrow(dealt, run, "a long, b long").distinct()
+    columns = ["uid", "doc_id", "th", "line_no", "text"]
+    rows = wanted.join(texts, "name").select("unit", F.col("name").alias("a"), F.lit(None).cast("long").alias("b"), *columns)
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns]
+    dealt = rows.unionByName(units.select("unit", "a", "b", *none)).repartition("unit")
+    dealt = dealt.sortWithinPartitions(F.col("unit"), F.col("b").asc_nulls_first())
+    return map_arrow(dealt, run, _LINK_SQL).distinct()
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(name, uid, text) of the wanted lines, taken from their first occurrence."""
+    """(name, uid, first occurrence, text) of the wanted lines."""
     d, w = _keyed(docs).alias("d"), wanted.alias("w")
     rows = d.join(w, F.expr("d.doc_id <=> w.doc_id AND d.th = w.th"))
-    return rows.select("w.name", "w.uid", F.element_at(F.split("d.text", "\n"), F.col("w.line_no") + 1).alias("text")).distinct()
+    return rows.select("w.name", "w.uid", "w.doc_id", "w.th", "w.line_no", F.element_at(F.split("d.text", "\n"), F.col("w.line_no") + 1).alias("text")).distinct()
 
 
 def _candidates(docs: DataFrame, least: int, tau: int, share: int, long: bool) -> DataFrame:
@@ -758,7 +766,8 @@ def _candidates(docs: DataFrame, least: int, tau: int, share: int, long: bool) -
 
 def line_links(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS, share: int = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(occurrences, distinct lines, links): links are pairs (a, b) of uids of
-    different lines within the allowed edits, each pair once."""
+    different lines within the allowed edits, each pair once, with the first
+    occurrence of both."""
     if shortest_segment(share * (tau + 1), tau, share) < GRAM + 2 or least < tau + 1:
         raise ValueError(f"one edit for {share} characters, or {tau} in {least}, is too much for segments of {GRAM}")
     places = materialize(occurrences(docs, least))
@@ -778,9 +787,9 @@ def _marks(docs: DataFrame, tau: int, least: int, share: int) -> tuple[DataFrame
     repeats an earlier one (doc_id, th, line_no, n, links, is_near, again,
     class_id), ``source`` being the earliest document with such a line before it."""
     places, lines, links = line_links(docs, tau, least, share)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    other = lines.select(F.col("uid").alias("b"), F.col("first").alias("before"))
-    near = both.join(other, "b").groupBy(F.col("a").alias("uid")).agg(F.count("*").alias("links"), F.min("before").alias("before"))
+    # a link tells either line where the other one first occurs
+    sides = [links.select(F.col(x).alias("uid"), F.struct(*(F.col(f"{y}_{c}").alias(c) for c, _ in _PLACE)).alias("before")) for x, y in ("ab", "ba")]
+    near = sides[0].unionByName(sides[1]).groupBy("uid").agg(F.count("*").alias("links"), F.min("before").alias("before"))
     told = lines.join(near, "uid", "left").where("times > 1 OR links IS NOT NULL").select("line", "line2", "n", "first", "before", "links")
     here = F.struct("doc_id", "th", "line_no")
     earliest = F.least("first", "before")
