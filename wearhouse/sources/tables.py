@@ -417,7 +417,7 @@ def parsed_changes(lines: DataFrame, schema: StructType, fmt: str = "json") -> D
     lines = lines.where(F.trim("value") != "")
     if fmt == "csv":
         got = F.from_csv("value", marked.simpleString()[7:-1].replace(":", " "), options)
-        fields = F.size(F.split("value", ','))
+        fields = F.size(F.split("_raw", ","))  # of a record that did not fit; a quoted comma may count
         surplus, whole = F.lit(None).cast("string"), F.lit(True)
         reason = F.when(F.col("_got._bad").isNotNull(), F.when(fields > len(schema.fields), F.lit(SURPLUS + "more than the header")).otherwise(F.lit(WRONG_TYPE)))
     else:
