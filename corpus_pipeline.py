@@ -5,6 +5,12 @@ and works on all rows its predecessor kept.  All but the last return the
 columns of ``docs``; the last returns the packed pieces.  ``run`` applies them in
 order; every stage's result is written as Parquet into the shared checkpoint
 folder and read again as the next one's input.
+
+Every stage reads doc_id and text only and keeps the other columns as they are.
+Empty and NULL texts are kept by all stages (and packed as their end id).  Rows
+equal in doc_id and text are judged alike; rows that share only the doc_id are
+told apart by their texts, except by near dedup, which decides by doc_id.  A NULL
+doc_id is an id like any other.  Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -22,8 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal and nearly equal lines the first stays; a document of which no
-    text is left goes."""
+    """Of equal and nearly equal lines the first (by doc_id, text hash, line number)
+    stays; a document of which no text is left goes, and one of which an earlier
+    one has half or more, but not all, is left whole for near dedup."""
     return linededup.drop_lines(docs)
 
 
