@@ -113,11 +113,14 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
         .distinct()
     )
 
-    w_inc = lineitem.select(F.col("l_orderkey").alias("outfit_id"), F.col("l_partkey").alias("item_id")).distinct()
+    # Dealt by the order once: the pairs are nearly distinct, so tasks that read
+    # lineitem would aggregate in vain, and joins on outfit_id need no other shuffle.
+    lines = lineitem.repartition("l_orderkey")
+    w_inc = lines.select(F.col("l_orderkey").alias("outfit_id"), F.col("l_partkey").alias("item_id")).distinct()
 
     # One record per (order, shipdate): the line with the lowest (linenumber, partkey).
     # min(struct) is a plain hash aggregate, no sort-based window.
-    first_line = lineitem.groupBy("l_orderkey", "l_shipdate").agg(
+    first_line = lines.groupBy("l_orderkey", "l_shipdate").agg(
         F.min(F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")).alias("m")
     )
     w_rec = first_line.select(
