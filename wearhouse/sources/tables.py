@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from wearhouse.plans.session import materialize
 from wearhouse.sources.schemas import SCHEMAS
 
 
@@ -441,6 +442,8 @@ def quarantined(spark: SparkSession, path: str, schema: StructType, fmt: str = "
     if fmt == "csv":
         lines = lines.where(F.col("value") != ",".join(f.name for f in schema.fields))
     rows = parsed_changes(lines, schema, fmt)
+    # Parsed once for both results; the lines themselves are kept where they are set aside.
+    rows = materialize(rows.withColumn("_raw", F.when(F.col("_reason").isNotNull(), F.col("_raw"))))
     good = rows.where("_reason IS NULL").select(*[f.name for f in schema.fields])
     return good, rows.where("_reason IS NOT NULL").select(F.col("_raw").alias("raw"), F.col("_reason").alias("reason"))
 

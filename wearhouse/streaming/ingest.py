@@ -45,8 +45,8 @@ def apply_wear_batch(spark: SparkSession, batch: DataFrame, batch_id: int, snaps
     tables = load_tables(spark, snapshot_root, base_version)
     malformed = None
     if "_reason" in batch.columns:  # lines set aside, and changes without an id
-        batch = materialize(batch)
         bad = F.col("_reason").isNotNull() | F.col("change_id").isNull()
+        batch = materialize(batch.withColumn("_raw", F.when(bad, F.col("_raw"))))  # good lines are not kept twice
         malformed = batch.where(bad).select(
             "change_id", F.lit(MSG_MALFORMED).alias("reason"), F.col("_raw").alias("raw"), F.col("_reason").alias("detail"), F.lit(batch_id).alias("batch_id")
         )
