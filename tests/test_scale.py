@@ -7,11 +7,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from wearhouse.functions.columns import to_integer, trim9, trimmed_integer
-from wearhouse.operators import changes, wear_counts
+from wearhouse.functions.columns import split_values, to_integer, trim9, trimmed_integer
+from wearhouse.operators import changes, outfits, wear_counts
 from wearhouse.operators.changes import ChangeResult, each_once, reject_later
 from wearhouse.plans.session import materialize
-from wearhouse.sources.derive import derive_tables
+from wearhouse.sources.derive import PARTITION_BYTES, _dealt, derive_tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,3 +76,17 @@ def test_integers_are_read_as_if_trimmed(spark, dtype):
     texts = ["1", "+7", "-03", " 5 ", "5\n", "5\u0085", " 9", "", " ", None, "x", "1_0", "1.0", "99999999999999999999", "3000000000", "٣", "1 2"]
     df = spark.createDataFrame([(x,) for x in texts], "x string")
     assert all(r.same for r in df.select(trimmed_integer(F.col("x"), dtype).eqNullSafe(to_integer(trim9("x"), dtype)).alias("same")).collect())
+
+
+def test_outfit_filter_joins_each_table_on_its_own(spark, golden):
+    got = outfits.outfit_filter(golden, season="Summer")
+    assert "LeftSemi" not in plan(got)  # the chosen outfits' rows were written before
+    want = outfits.outfit_list(golden).where(F.array_contains(split_values("season"), "Summer"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+
+
+def test_partitions_of_a_large_table_follow_its_size(spark):
+    df = spark.range(1000)
+    assert _dealt(df, 70 * PARTITION_BYTES - 5, "id").rdd.getNumPartitions() == 70
+    assert _dealt(df, 10, "id").rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert _dealt(df, 70 * PARTITION_BYTES, "id").count() == 1000

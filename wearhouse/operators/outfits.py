@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wearhouse.functions.columns import first_value, join_sorted, split_values
 from wearhouse.plans.factorised import outfit_attrs, outfit_item_summary, outfit_wears
+from wearhouse.plans.session import materialize
 from wearhouse.plans.topk import ranked
 from wearhouse.sources.schemas import SEASONS
 from wearhouse.sources.tables import Tables
@@ -121,7 +122,10 @@ def outfit_filter(t: Tables, q: str | None = None, season: str | None = None, oc
             found = t.get(table).where(F.array_contains(split_values(column), value)).select("outfit_id").distinct()
             keys = found if keys is None else keys.join(found, "outfit_id", "left_semi")
     if keys is not None:
-        t = t.only_outfits(keys)
+        # Written one by one: else a task sorts and holds the rows of all these joins at once.
+        t = t.only_outfits(materialize(keys))
+        if not t.bucketed:
+            t = t.with_tables(**{n: materialize(t.get(n)) for n in t.OUTFIT_KEYED})
     df = outfit_list(t, user_id)
     query = (q or "").strip().lower()
     if query:

@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wearhouse.sources.tables import Tables
+from wearhouse.sources.tables import Tables, path_bytes
+
+#: Bytes of a Parquet file that make one partition of a large table.
+PARTITION_BYTES = 4 << 20
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +31,14 @@ def ymd_hms(c) -> F.Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
+def _dealt(df: DataFrame, size: int, key: str) -> DataFrame:
+    """``df`` (files of ``size`` bytes) dealt by ``key``.  Left to itself, Spark makes
+    about one partition per core, however large these get; beyond
+    ``PARTITION_BYTES`` for each core their number follows the size instead."""
+    parts = -(-size // PARTITION_BYTES)
+    return df.repartition(parts, key) if parts > df.sparkSession.sparkContext.defaultParallelism else df.repartition(key)
+
+
 def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
     region = _read(spark, sf_dir, "region")
     nation = _read(spark, sf_dir, "nation")
@@ -115,7 +126,7 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     # Dealt by the order once: the pairs are nearly distinct, so tasks that read
     # lineitem would aggregate in vain, and joins on outfit_id need no other shuffle.
-    lines = lineitem.repartition("l_orderkey")
+    lines = _dealt(lineitem, path_bytes(spark, f"{sf_dir}/lineitem.parquet"), "l_orderkey")
     w_inc = lines.select(F.col("l_orderkey").alias("outfit_id"), F.col("l_partkey").alias("item_id")).distinct()
 
     # One record per (order, shipdate): the line with the lowest (linenumber, partkey).

@@ -34,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from dataclasses import dataclass, field, fields, replace
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,9 @@ class Tables:
     # The frames as they were loaded: an id mark holds for a frame as long as it is this one.
     loaded: dict = field(default_factory=dict, compare=False, repr=False)
 
+    #: The tables keyed by outfit_id.
+    OUTFIT_KEYED: ClassVar[tuple[str, ...]] = ("w_outfit", "w_oimg", "w_season", "w_occ", "w_inc", "w_rec")
+
     def get(self, name: str) -> DataFrame:
         return getattr(self, name)
 
@@ -86,8 +90,7 @@ class Tables:
     def only_outfits(self, keys: DataFrame) -> Tables:
         """The bundle with every outfit-keyed table cut to the ``outfit_id`` in
         ``keys`` (a semi join in front of whatever aggregates them)."""
-        names = ("w_outfit", "w_oimg", "w_season", "w_occ", "w_inc", "w_rec")
-        return self.with_tables(**{n: self.get(n).join(keys.select("outfit_id"), "outfit_id", "left_semi") for n in names})
+        return self.with_tables(**{n: self.get(n).join(keys.select("outfit_id"), "outfit_id", "left_semi") for n in self.OUTFIT_KEYED})
 
     def only_items(self, keys: DataFrame, links: bool = False) -> Tables:
         """The bundle with every item-keyed table (INCLUDES with ``links``) cut to
@@ -149,6 +152,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the file or folder ``path`` in the store it names."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+
+
 def _commits(spark: SparkSession, root: str) -> DataFrame | None:
     """The commit markers, or None while the folder does not exist.  A marker
     that cannot be read raises: it must never look like "nothing committed"."""
