@@ -85,6 +85,19 @@ def test_outfit_filter_joins_each_table_on_its_own(spark, golden):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
 
 
+def test_references_of_many_items_are_dealt_by_item_once(spark, golden, monkeypatch):
+    t = golden.with_tables(w_inc=golden.w_inc.unionByName(golden.w_inc.limit(3)), w_outfit=golden.w_outfit.unionByName(golden.w_outfit))
+    requests = golden.w_inc.join(golden.w_outfit, "outfit_id").select("item_id", "u_id")
+    few = changes.item_reference_counts(t, requests)
+    assert "LeftSemi" in plan(few)
+    monkeypatch.setattr(changes, "FEW_ITEMS", 0)
+    many = changes.item_reference_counts(t, requests)
+    assert "LeftSemi" not in plan(many)
+    want = requests.join(golden.w_inc, "item_id").join(golden.w_outfit, ["outfit_id", "u_id"]).groupBy("item_id", "u_id").agg(F.count_distinct("outfit_id").alias("_refs"))
+    rows = sorted(map(tuple, want.select("item_id", "u_id", "_refs").collect()))
+    assert rows and all(sorted(map(tuple, x.select("item_id", "u_id", "_refs").collect())) == rows for x in (few, many))
+
+
 def test_partitions_of_a_large_table_follow_its_size(spark):
     df = spark.range(1000)
     assert _dealt(df, 70 * PARTITION_BYTES - 5, "id").rdd.getNumPartitions() == 70
