@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import zipfile
@@ -36,10 +38,28 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def _give_back() -> None:
+    """Hands memory that the allocators keep for later back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow`` on workers that have this package."""
+    """``df.mapInArrow`` on workers that have this package.  Spark reuses its
+    workers, and an executor pays for what each of them keeps, so they keep
+    nothing after a task."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    @functools.wraps(run)
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(lean, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
