@@ -6,12 +6,13 @@ import bisect
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from wearhouse.llm import fingerprint, linededup, neardup, packing, quality, toxicity, urlfilter
+from wearhouse.llm import common, fingerprint, linededup, neardup, packing, quality, toxicity, urlfilter
 from wearhouse.llm.tokencount import TokenCounter
 
 
@@ -117,6 +118,43 @@ def test_template_lines_are_no_candidates():
     assert len(pairs) < len(lines)
 
 
+def test_crowds_of_near_lines_give_no_pairs_of_all_members():
+    """300 variants of one line: 44,850 pairs, but every key gives each member a few rows only."""
+    rng = random.Random(9)
+    letters = "abcdefghij "
+    base = "".join(rng.choice(letters) for _ in range(200))
+    lines = list({changed(rng, base, 1, letters) for _ in range(300)} - {base})
+    entries = linededup.Lines(lines).long(2, 40)
+    rows, met = 0, set()
+    for key, code in linededup._sided(entries[0], entries[2]):
+        for a, b, crowd, _ in linededup._sparse(key, entries[1], code, 2, 40, True, linededup.FEW):
+            rows += len(a)
+            met |= set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+    assert rows <= 2 * linededup.FEW * len(entries[0])
+    assert sum(len(a) for a, _ in linededup.within_keys(*entries, 2, 40, True, True)) > 4 * rows
+    assert {x for p in met if p[0] != p[1] for x in p} == set(entries[1].tolist())
+
+
+def test_alike_is_the_edit_distance():
+    rng = random.Random(10)
+    lines = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(30)]
+    lines += [changed(rng, x, rng.randint(1, 6), "abcé") for x in lines]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(lines)), np.arange(len(lines))))
+    want = [edits(lines[x], lines[y]) <= max(2, min(len(lines[x]), len(lines[y])) // 10) for x, y in zip(i, j)]
+    assert linededup.alike(lines, i, j, 2, 10).tolist() == want
+    assert linededup._trimmed("abcde", "abXde") == ("c", "X") and linededup._trimmed("aaa", "aa") == ("a", "") and linededup._trimmed("", "b") == ("", "b")
+
+
+def test_workers_give_memory_back_after_a_task(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "ship", lambda _: None)
+    monkeypatch.setattr(common, "_give_back", lambda: given.append(1))
+    frame = SimpleNamespace(sparkSession=None, mapInArrow=lambda run, _: run)
+    task = common.map_arrow(frame, lambda batches: (b for b in batches), "x long")(iter([1, 2]))
+    assert next(task) == 1 and not given
+    assert list(task) == [2] and given == [1]
+
+
 def brute_segments(scores: list[float]) -> list[tuple[int, int]]:
     """Maximal scoring subsequences by their definition: recursively the best
     contiguous range, then left and right of it."""
