@@ -4,7 +4,9 @@ rows and extra columns with clashing names, against brute force."""
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -434,6 +436,26 @@ def test_language_backoff_needs_no_known_word(spark):
     assert scorer.predict("graus raus blaus")[0] == "de" and scorer.predict("spouse rouse douse")[0] == "en"
 
 
+def test_language_model_takes_the_driver_few_bytes_a_key(spark):
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(5, 9)))
+    data = [(i, " ".join(word("abcdefgh" if i % 2 else "efghijkl") for _ in range(200)), "aa" if i % 2 else "zz") for i in range(100)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    langid.train(docs.limit(1), min_count=1)  # what is loaded only once
+    tracemalloc.start()
+    model = langid.train(docs, min_count=1)
+    size = len(pickle.dumps(model))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    keys = len(model.words) + len(model.grams)
+    assert len(model.words) > 15_000 and len(model.grams) > 15_000
+    assert size < 30 * keys and peak < 120 * keys + 1_000_000
+    again = pickle.loads(pickle.dumps(model))
+    some = list(model.words)[::997]
+    assert list(again.words) == list(model.words) and all((again.words[w] == model.words[w]).all() for w in some)
+    assert [langid.Scorer(again).predict(t) for _, t, _ in data[:4]] == [langid.Scorer(model).predict(t) for _, t, _ in data[:4]]
+
+
 def test_components(spark):
     from wearhouse.llm.components import components
 

@@ -12,9 +12,10 @@ was counted for a language, kept or not.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -90,13 +91,10 @@ def gram_counts(counts: DataFrame) -> DataFrame:
     return map_arrow(counts.select("lang", "word", "n"), run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-#: (key, lang, n) of the kept keys; number of all keys and all counts per language, by order (0: words).
-Table = tuple[list[tuple[str, str, int]], dict[int, tuple[int, dict[str, int]]]]
-
-
-def _top(counts: DataFrame, key: str, limit: int, least: int, always: int = 0) -> Table:
+def _top(counts: DataFrame, key: str, langs: list[str], limit: int, least: int, always: int = 0) -> tuple[pa.Table, dict[int, tuple[int, dict[str, int]]]]:
     """The ``limit`` most frequent keys of every language, and all keys of at
-    most ``always`` characters, with their counts in all languages."""
+    most ``always`` characters: (key, its order, its counts in all of ``langs``);
+    number of all keys and all counts per language, by order (0: words)."""
     order = F.length(key) if always else F.lit(0)
     total = counts.groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
     total = materialize(total.withColumn("k", order))
@@ -109,28 +107,52 @@ def _top(counts: DataFrame, key: str, limit: int, least: int, always: int = 0) -
     kept = rows.where(~F.col("lang").isin(crowded)).select(key)
     for lang in sorted(crowded):
         kept = kept.unionByName(rows.where(F.col("lang") == lang).orderBy(F.desc("n"), key).limit(limit).select(key))
-    kept = total.join(kept.distinct(), key, "left_semi").unionByName(total.where(short & (F.col("total") >= least))).select(key, "by_lang")
-    return [(k, lang, n) for k, by in kept.collect() for lang, n in by.items()], full
+    kept = total.join(kept.distinct(), key, "left_semi").unionByName(total.where(short & (F.col("total") >= least)))
+    by_lang = [F.coalesce(F.element_at("by_lang", F.lit(lang)), F.lit(0).cast("long")) for lang in langs]
+    return kept.select(F.col(key).alias("key"), "k", F.array(*by_lang).cast("array<long>").alias("n")).toArrow(), full
+
+
+class Rows(Mapping):
+    """Keys and their rows of a matrix.  Both lie in one piece each, and so they go
+    to the workers; the places of the keys are looked up where they are first used,
+    so the driver holds no object for a key."""
+
+    def __init__(self, keys: pa.Array, rows: np.ndarray):
+        self._keys, self.rows = keys, rows
+
+    @functools.cached_property
+    def at(self) -> dict[str, int]:
+        return {k: i for i, k in enumerate(self._keys.to_pylist())}
+
+    def __getstate__(self) -> dict:
+        return {"_keys": self._keys, "rows": self.rows}
+
+    def __len__(self) -> int:
+        return len(self._keys)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.at)
+
+    def __getitem__(self, key: str) -> np.ndarray:
+        return self.rows[self.at[key]]
 
 
 class Model:
     """Log frequencies per language of words and of n-grams of each order."""
 
-    def __init__(self, words_: Table, grams: Table):
-        self.langs = sorted({lang for _, full in (words_, grams) for _, by in full.values() for lang in by})
-        self.words = self._logs(words_[0], *words_[1].get(0, (0, {})))
-        self.grams: dict[str, np.ndarray] = {}
-        for k in ORDERS:
-            self.grams |= self._logs([x for x in grams[0] if len(x[0]) == k], *grams[1].get(k, (0, {})))
+    def __init__(self, words_: DataFrame, grams: DataFrame, max_words: int, max_grams: int, min_count: int):
+        self.langs = sorted(r.lang for r in words_.select("lang").distinct().collect())
+        self.words = self._logs(*_top(words_, "word", self.langs, max_words, min_count))
+        self.grams = self._logs(*_top(grams, "gram", self.langs, max_grams, 1, SHORT))
 
-    def _logs(self, rows: list[tuple[str, str, int]], n_keys: int, full: dict[str, int], add: float = 0.5) -> dict[str, np.ndarray]:
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        keys = {k: i for i, k in enumerate(dict.fromkeys(k for k, _, _ in rows))}
-        m = np.full((len(keys), len(at)), add)
-        for k, lang, n in rows:
-            m[keys[k], at[lang]] += n
-        m = np.log(m / (np.array([full.get(lang, 0) for lang in self.langs]) + add * n_keys))
-        return dict(zip(keys, m.astype(np.float32)))
+    def _logs(self, kept: pa.Table, full: dict[int, tuple[int, dict[str, int]]], add: float = 0.5) -> Rows:
+        keys, orders, n = (kept[c].combine_chunks() for c in ("key", "k", "n"))
+        orders, m = orders.to_numpy(), n.flatten().to_numpy().reshape(len(kept), len(self.langs))
+        rows = np.empty(m.shape, np.float32)
+        for k, (n_keys, totals) in full.items():
+            some = orders == k
+            rows[some] = np.log((m[some] + add) / (np.array([totals.get(lang, 0) for lang in self.langs]) + add * n_keys))
+        return Rows(keys, rows)
 
 
 class Scorer:
@@ -139,20 +161,20 @@ class Scorer:
     def __init__(self, model: Model, remember: int = REMEMBER):
         self.m, self.remember = model, remember
         self.rows = np.zeros((len(model.words) + remember + 1, max(1, len(model.langs))), np.float32)
-        self.base = {w: i for i, w in enumerate(model.words)}
         if model.words:
-            self.rows[: len(model.words)] = np.stack(list(model.words.values()))
-        self.at = dict(self.base)
+            self.rows[: len(model.words)] = model.words.rows
+        self.at = dict(model.words.at)
 
     def backoff(self, word: str) -> np.ndarray:
         """Sum over the longest known n-grams that cover the bordered word."""
         word, out, i = f" {word} ", np.zeros(max(1, len(self.m.langs)), np.float32), 0
+        at, rows = self.m.grams.at, self.m.grams.rows
         while i < len(word):
             step = 1
             for k in ORDERS:
-                row = self.m.grams.get(word[i : i + k]) if i + k <= len(word) else None
+                row = at.get(word[i : i + k]) if i + k <= len(word) else None
                 if row is not None:
-                    out, step = out + row, k
+                    out, step = out + rows[row], k
                     break
             i += step
         return out
@@ -169,7 +191,7 @@ class Scorer:
                 if i is None:
                     if len(self.at) >= len(self.rows) - 1:
                         total, ids = total + self.rows[ids].sum(0, dtype=np.float64), []
-                        self.at = dict(self.base)
+                        self.at = dict(self.m.words.at)
                     self.at[w] = i = len(self.at)
                     self.rows[i] = self.backoff(w)
                 ids.append(i)
@@ -183,7 +205,7 @@ def train(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAM
     """A model from all rows of ``docs`` with text and lang."""
     counts = materialize(word_counts(docs))
     grams = materialize(gram_counts(counts))
-    return Model(_top(counts, "word", max_words, min_count), _top(grams, "gram", max_grams, 1, SHORT))
+    return Model(counts, grams, max_words, max_grams, min_count)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
