@@ -108,7 +108,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from wearhouse.functions.columns import item_id_list, rating_error, rating_value, season_error, season_values  # noqa: E402
 from wearhouse.operators import changes  # noqa: E402
 from wearhouse.plans.factorised import items_with_owner, outfit_wears  # noqa: E402
-from wearhouse.plans.session import materialize, scratch_path  # noqa: E402
+from wearhouse.plans.session import materialize, scratch_path, shuffles_removed  # noqa: E402
 from wearhouse.sources import derive_changes as dc  # noqa: E402
 
 AS_OF = "2026-01-01 00:00:00"
@@ -432,9 +432,11 @@ def q_stream_wear_ingest(t):
     root = scratch_path(spark, "wear-ingest")
     write_tables(t, f"{root}/tables", version=0)
     src = f"{root}/incoming"
-    # Written by all tasks; half of the files make one micro-batch.
-    files = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dc.wear_changes(t).repartition(files).write.option("compression", "gzip").json(src)
+    # Written by the tasks that derive them, with no shuffle to deal them anew; half of
+    # the files make one micro-batch.
+    with shuffles_removed(spark):
+        dc.wear_changes(t).write.option("compression", "gzip").json(src)
+    files = len(spark.read.text(src).inputFiles())
     query = start_wear_ingest(spark, src, f"{root}/tables", f"{root}/_stream", as_of=AS_OF, max_files_per_trigger=-(-files // 2))
     query.awaitTermination()
     final = load_tables(spark, f"{root}/tables")

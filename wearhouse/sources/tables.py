@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from wearhouse.plans.session import materialize
+from wearhouse.plans.session import materialize, write_stored
 from wearhouse.sources.schemas import SCHEMAS
 
 
@@ -272,10 +272,8 @@ def _write(df: DataFrame, name: str, path: str, row_group_bytes: int | None, buc
         w.saveAsTable(tname)
         df.sparkSession.sql(f"DROP TABLE IF EXISTS {tname}")
         return
-    w = df.sortWithinPartitions(key).write.mode("errorifexists")
-    if row_group_bytes:
-        w = w.option("parquet.block.size", str(row_group_bytes))
-    w.parquet(path)
+    options = {"parquet.block.size": str(row_group_bytes)} if row_group_bytes else {}
+    write_stored(df.sortWithinPartitions(key), path, compression="zstd", **options)
 
 
 def write_tables(
@@ -330,7 +328,7 @@ def write_tables(
     log = list(base_parts.get(TOUCHES, []))
     if touches is not None and "w_item" in base_parts:
         rel = f"v={version}/{attempt}/{TOUCHES}"
-        latest_touches(touches).sortWithinPartitions("item_id").write.mode("errorifexists").parquet(f"{root}/{rel}")
+        write_stored(latest_touches(touches).sortWithinPartitions("item_id"), f"{root}/{rel}", compression="zstd")
         log = [rel] if merge_touches else [*log, rel]
         unchanged = [*unchanged, "w_item"]
     for name, df in tables.conform().as_dict().items():
@@ -361,7 +359,7 @@ def write_tables(
             m = load_part_max(spark, root, parts[name], ID_COLUMNS[name], name)
             marks[name] = m
     for name, df in (beside or {}).items():
-        df.write.parquet(f"{root}/v={version}/{attempt}/{name}")
+        write_stored(df, f"{root}/v={version}/{attempt}/{name}", compression="zstd")
         parts[name] = [f"v={version}/{attempt}/{name}"]
     spark.createDataFrame(
         [(True, batch_id, parts, nbuckets, marks)],

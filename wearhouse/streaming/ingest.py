@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from wearhouse.operators.changes import MSG_MALFORMED, publish, record_wears
-from wearhouse.plans.session import materialize
+from wearhouse.plans.session import materialize, stages_removed
 from wearhouse.sources.tables import compact_tables, last_batch_id, latest_version, load_tables, manifest, parsed_changes
 
 #: Parts a table may have before the ingest merges them.
@@ -41,26 +41,28 @@ def apply_wear_batch(spark: SparkSession, batch: DataFrame, batch_id: int, snaps
     last = last_batch_id(spark, snapshot_root)
     if last is not None and batch_id <= last:
         return False
-    base_version = latest_version(spark, snapshot_root)
-    tables = load_tables(spark, snapshot_root, base_version)
-    malformed = None
-    if "_reason" in batch.columns:  # lines set aside, and changes without an id
-        bad = F.col("_reason").isNotNull() | F.col("change_id").isNull()
-        batch = materialize(batch.withColumn("_raw", F.when(bad, F.col("_raw"))))  # good lines are not kept twice
-        malformed = batch.where(bad).select(
-            "change_id", F.lit(MSG_MALFORMED).alias("reason"), F.col("_raw").alias("raw"), F.col("_reason").alias("detail"), F.lit(batch_id).alias("batch_id")
-        )
-        batch = batch.where(~bad).drop("_reason", "_raw")
-    result = record_wears(tables, batch, as_of=as_of)
-    none = F.lit(None).cast("string")
-    rejects = result.rejects.select("change_id", "reason", none.alias("raw"), none.alias("detail"), F.lit(batch_id).alias("batch_id"))
-    if malformed is not None:
-        rejects = rejects.unionByName(malformed)
-    # New records and outfits are appended as one part each, last_worn as a part
-    # of the touch log: nothing is rewritten.  The rejects become visible with the same marker.
-    publish(result, tables, snapshot_root, base_version, batch_id=batch_id, beside={"rejects": rejects})
-    if any(len(p) > MAX_PARTS for p in manifest(spark, snapshot_root, latest_version(spark, snapshot_root)).values()):
-        compact_tables(spark, snapshot_root, MAX_PARTS)
+    # The snapshot holds what is kept of the batch; the tables written on the way go.
+    with stages_removed(spark):
+        base_version = latest_version(spark, snapshot_root)
+        tables = load_tables(spark, snapshot_root, base_version)
+        malformed = None
+        if "_reason" in batch.columns:  # lines set aside, and changes without an id
+            bad = F.col("_reason").isNotNull() | F.col("change_id").isNull()
+            batch = materialize(batch.withColumn("_raw", F.when(bad, F.col("_raw"))))  # good lines are not kept twice
+            malformed = batch.where(bad).select(
+                "change_id", F.lit(MSG_MALFORMED).alias("reason"), F.col("_raw").alias("raw"), F.col("_reason").alias("detail"), F.lit(batch_id).alias("batch_id")
+            )
+            batch = batch.where(~bad).drop("_reason", "_raw")
+        result = record_wears(tables, batch, as_of=as_of)
+        none = F.lit(None).cast("string")
+        rejects = result.rejects.select("change_id", "reason", none.alias("raw"), none.alias("detail"), F.lit(batch_id).alias("batch_id"))
+        if malformed is not None:
+            rejects = rejects.unionByName(malformed)
+        # New records and outfits are appended as one part each, last_worn as a part
+        # of the touch log: nothing is rewritten.  The rejects become visible with the same marker.
+        publish(result, tables, snapshot_root, base_version, batch_id=batch_id, beside={"rejects": rejects})
+        if any(len(p) > MAX_PARTS for p in manifest(spark, snapshot_root, latest_version(spark, snapshot_root)).values()):
+            compact_tables(spark, snapshot_root, MAX_PARTS)
     return True
 
 
