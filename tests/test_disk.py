@@ -63,3 +63,14 @@ def test_stream_of_derived_changes_is_not_dealt_anew(spark, golden, monkeypatch)
     assert counts == {r.table_name: r.n_rows for r in registered.q_record_wears_tables(t).collect()}
     root = max(stages(spark, "wear-ingest"), key=lambda p: int(p.split("-")[-1]))
     assert 1 <= len(glob.glob(root + "/incoming/part-*")) <= 3  # as many files as tasks that derive them
+
+
+def test_lines_with_faults_are_written_compressed_and_once(spark, golden):
+    stage, lines = stages(spark), stages(spark, "changes")
+    got = registered.q_change_quarantine(golden)
+    assert len(stages(spark) - stage) == 1  # the parsed lines; not the batch as well
+    (folder,) = stages(spark, "changes") - lines
+    files = glob.glob(folder + "/part-*")
+    assert files and all(f.endswith(".gz") for f in files)
+    batch = registered.dc.wear_changes(golden)
+    assert sorted(r.change_id for r in got.collect()) == sorted(r.change_id for r in batch.collect())
